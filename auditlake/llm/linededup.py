@@ -24,8 +24,14 @@ SETTLED_BOUND = 200_000  # rows of (word, line, size, ...) that may be broadcast
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc, line, body): every line that holds a word, numbered from 0 in its document."""
-    lines = docs.select(row_id(doc_id, text).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "body"))
-    return lines.withColumn("body", F.trim(F.translate("body", "\t\r\x0b\x0c", "    "))).where("body <> ''")
+    lines = docs.select(row_id(doc_id, text).alias("doc"), F.posexplode(F.split(_spaced(F.col(text)), "\n", -1)).alias("line", "body"))
+    return lines.where(F.trim("body") != "")
+
+
+def _spaced(text: Column) -> Column:
+    """text with other white space of a line turned into spaces; most texts have none and are passed on as they are."""
+    odd = [F.contains(text, F.lit(c)) for c in "\t\r\x0b\x0c"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
 
 
 def _key(body: Column) -> Column:
@@ -50,13 +56,14 @@ def _ranked(words: Column, table: bytearray) -> Column:
     """The distinct words of a line as numbers whose order is by rarity, then by hash."""
     level = lambda h: F.ascii(F.substring(F.lit(table), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, 1).cast("string"))
     low = F.lit((1 << 56) - 1)
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))))
+    pack = lambda w: F.shiftleft(level(F.xxhash64(w)).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+    return F.sort_array(F.array_distinct(F.transform(words, pack)))
 
 
-def _bits(ranked: Column, shift: int) -> Column:
-    """A 64-bit map of a set of numbers."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))
+def _bits(ranked: Column, half: int) -> Column:
+    """Half of a 128-bit map of a set of numbers: one bit of a number says which half it is in, six others where."""
+    mine = lambda x: F.shiftright(x, 21).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(half))
+    bit = lambda x: F.call_function("shiftleft", mine(x).cast("long"), F.shiftright(x, 15).bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
@@ -80,7 +87,7 @@ def distinct_lines(lines: DataFrame, table: bytearray) -> DataFrame:
     """One row for each line text: key, its first place (doc, line), n words, prefix and bitmaps."""
     ranked = lines.select("doc", "line", _key(F.col("body")).alias("key"), _ranked(_words(F.col("body")), table).alias("r"))
     prefix = F.slice("r", 1, F.size("r") - F.ceil(F.size("r") * TENTHS / 10).cast("int") + 1)
-    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), prefix.alias("prefix"), _bits(F.col("r"), 15).alias("b0"), _bits(F.col("r"), 21).alias("b1"))
+    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), prefix.alias("prefix"), _bits(F.col("r"), 0).alias("b0"), _bits(F.col("r"), 1).alias("b1"))
     return slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", "b0", "b1")])
 
 
@@ -88,11 +95,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> Data
     """Those (x, y) places whose lines have Jaccard similarity 0.8 or more; words are compared, not maps."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
     wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line").alias("lines"))
-    texts = docs.select(row_id(doc_id, text).alias("doc"), F.col(text).alias("_t"))
+    texts = docs.select(row_id(doc_id, text).alias("doc"), _spaced(F.col(text)).alias("_t"))
     bodies = F.transform(F.col("lines"), lambda k: F.struct(k.alias("line"), F.element_at(F.split("_t", "\n", -1), k + 1).alias("body")))
     found = texts.join(wanted, "doc").select("doc", F.explode(bodies).alias("b"))
-    spaced = F.trim(F.translate("b.body", "\t\r\x0b\x0c", "    "))
-    sets = written(found.select(F.struct("doc", F.col("b.line").alias("line")).alias("at"), F.array_distinct(F.transform(_words(spaced), lambda w: F.xxhash64(w))).alias("s")).dropDuplicates(["at"]))
+    sets = written(found.select(F.struct("doc", F.col("b.line").alias("line")).alias("at"), F.array_distinct(F.transform(_words(F.col("b.body")), lambda w: F.xxhash64(w))).alias("s")).dropDuplicates(["at"]))
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("at").alias("y"), F.col("s").alias("sy")), "y")
     return both.where(F.size(F.array_intersect("sx", "sy")) >= _need(F.size("sx"), F.size("sy"))).select("x", "y")
 
@@ -104,16 +110,17 @@ def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     table = rarity_table(_lines(docs, text, doc_id))
     firsts = written(distinct_lines(_lines(docs, text, doc_id), table))
-    posts = firsts.select("at", "n", "b0", "b1", F.posexplode("prefix").alias("i", "t"))
+    # one shuffle for all three uses: each takes all columns, so that the exchange is the same
+    posts = firsts.select("at", "n", "b0", "b1", F.posexplode("prefix").alias("i", "t")).repartition("t")
     fields = F.struct("at", "n", "i", "b0", "b1")
     w = Window.partitionBy("t").orderBy("at")
     seen = posts.select("t", fields.alias("p"), F.first(fields).over(w).alias("head"))
-    settled = (F.col("p.at") > F.col("head.at")) & _may_match(F.col("p"), F.col("head"))
-    seen = seen.withColumn("settled", settled)
-    x, y = seen.alias("x"), seen.alias("y")
-    meets = (F.col("x.t") == F.col("y.t")) & ~F.col("x.settled") & (F.col("x.p.at") > F.col("y.p.at")) & _may_match(F.col("x.p"), F.col("y.p"))
+    later = seen.where(F.col("p.at") > F.col("head.at"))
+    settled = _may_match(F.col("p"), F.col("head"))
+    x, y = later.where(~settled).select("t", "p").alias("x"), posts.select("t", fields.alias("p")).alias("y")
+    meets = (F.col("x.t") == F.col("y.t")) & (F.col("x.p.at") > F.col("y.p.at")) & _may_match(F.col("x.p"), F.col("y.p"))
     rest = x.join(y, meets).select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y"), F.lit(False).alias("by_head"))
-    heads = seen.where("settled").select(F.col("p.at").alias("x"), F.col("head.at").alias("y"), F.lit(True).alias("by_head"))
+    heads = later.where(settled).select(F.col("p.at").alias("x"), F.col("head.at").alias("y"), F.lit(True).alias("by_head"))
     pairs = written(rest.union(heads).groupBy("x", "y").agg(F.max("by_head").alias("by_head")))
     good = written(_verified(docs, pairs.select("x", "y"), text, doc_id))
     # lines that only an earliest line had settled, wrongly: they meet all earlier lines of their words after all
