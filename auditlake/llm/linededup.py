@@ -111,7 +111,7 @@ def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     table = rarity_table(_lines(docs, text, doc_id))
     firsts = written(distinct_lines(_lines(docs, text, doc_id), table))
     # one shuffle for all three uses: each takes all columns, so that the exchange is the same
-    posts = firsts.select("at", "n", "b0", "b1", F.posexplode("prefix").alias("i", "t")).repartition("t")
+    posts = firsts.select("at", "n", "b0", "b1", F.posexplode("prefix").alias("i", "t")).where(" and ".join(f"{c} is not null" for c in ("t", "at", "n", "b0", "b1", "i"))).repartition("t")
     fields = F.struct("at", "n", "i", "b0", "b1")
     w = Window.partitionBy("t").orderBy("at")
     seen = posts.select("t", fields.alias("p"), F.first(fields).over(w).alias("head"))

@@ -2,8 +2,8 @@
 
 Plan: one fingerprint a document (Arrow batches), collapsed to distinct fingerprints. A fingerprint is embedded as the
 bit counts of its 32 two-bit segments, stored in unary, so that the Manhattan distance of two embeddings is the bit
-count of one XOR. It never exceeds the Hamming distance. The 32 axes form seven bundles: if two embeddings are within
-Manhattan distance 4, at least three bundles agree, so the two share a cell of one of the 35 grids that three bundles
+count of one XOR. It never exceeds the Hamming distance. The 32 axes form eight bundles: if two embeddings are within
+Manhattan distance 4, at least four bundles agree, so the two share a cell of one of the 70 grids that four bundles
 span. Rows of cells with company are compared: first Manhattan, then the exact Hamming distance.
 """
 
@@ -23,7 +23,7 @@ from auditlake.llm.common import real_id, row_id, written
 from auditlake.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-BUNDLES = 7
+BUNDLES = 8
 LOW = 0x5555555555555555
 
 
