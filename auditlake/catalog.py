@@ -1,4 +1,549 @@
-"""Every registered query and its SQL, gathered from the modules that hold them."""
+"""Every registered query of the library on the driver's tables, with the DuckDB SQL that must give the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditlake.functions import scores as S
+from auditlake.operators import findings as fi
+from auditlake.operators import joins as jo
+from auditlake.operators import loadlog as lo
+from auditlake.operators import service as se
+from auditlake.operators import text as tx
+from auditlake.plans.bindings import bound, cte, table
+from auditlake.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+FINDINGS, RUNS, USERS, REQUESTS, LOCKS, ADVISORIES = map(bound, ("findings", "runs", "users", "requests", "locks", "advisories"))
+EXPORTS, IDENTS, ROUTES, DOCS, LEDGER, BILLING = map(bound, ("exports", "idents", "routes", "docs", "ledger", "billing"))
+AS_OF = "1997-06-15 00:00:00"
+DIMENSIONS = ["security", "unit", "accessibility", "load", "chaos", "contracts", "mutation"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END"
+_WEIGHT = "CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 50 WHEN 'medium' THEN 20 WHEN 'low' THEN 8 WHEN 'info' THEN 0 ELSE 10 END"
+_ORDER = f"{_RANK}, path, line, col, title, seq"
+
+
+def _curve(p: str, k: str = "5") -> str:
+    return f"greatest(5, CAST(floor(100.0 / (1.0 + CAST({p} AS DOUBLE) / 100.0 / {k}.0) + 0.5) AS INTEGER))"
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in S.SEVERITIES)
+
+# ---------------------------------------------------------------- findings and scores
+
+
+@query(rf"""{cte('docs')}, l AS (SELECT repo, path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS text FROM docs),
+h AS (SELECT repo, path, line, CASE WHEN regexp_extract(text, '{fi.TOKEN_SHAPES}', 1) <> '' THEN 'token-shape'
+  WHEN regexp_extract(text, '{fi.SECRET_ASSIGNMENT.replace("'", "''")}', 2) <> '' AND NOT regexp_matches(regexp_extract(text, '{fi.SECRET_ASSIGNMENT.replace("'", "''")}', 2), '{fi.PLACEHOLDER}') THEN 'secret-assignment' END AS rule FROM l),
+c AS (SELECT repo, count(*) AS n, sum(CASE rule WHEN 'token-shape' THEN 100 ELSE 50 END) AS p FROM h WHERE rule IS NOT NULL GROUP BY repo)
+SELECT d.repo, coalesce(n, 0) AS n, {_curve('coalesce(p, 0)')} AS score FROM (SELECT DISTINCT repo FROM docs) d LEFT JOIN c ON d.repo = c.repo""")
+def secret_scores(spark, sf):
+    """Which sources leak credentials, and how do they score?"""
+    docs = DOCS(spark, sf)
+    found = fi.dedupe_findings(fi.secret_findings(fi.explode_lines(docs)))
+    counts = found.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.sum(S.penalty_hundredths(F.col("severity"))).alias("p"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return docs.select("repo").distinct().join(counts, "repo", "left").select("repo", zero("n").alias("n"), S.curve(zero("p")).alias("score"))
+
+
+@query(f"{cte('findings')} SELECT repo, dimension, count(*) AS total, {_COUNTS} FROM findings GROUP BY repo, dimension")
+def severity_by_dimension(spark, sf):
+    return fi.severity_counts(FINDINGS(spark, sf), "repo", "dimension")
+
+
+@query(f"{cte('findings')} SELECT repo, dimension, count(*) AS n, {_curve(f'sum({_WEIGHT})')} AS score FROM findings GROUP BY repo, dimension")
+def dimension_scores(spark, sf):
+    return fi.severity_scores(FINDINGS(spark, sf), "repo", "dimension")
+
+
+@query(f"""{cte('findings')}, s AS (SELECT repo, dimension, count(*) AS n, {_curve(f'sum({_WEIGHT})')} AS score FROM findings GROUP BY repo, dimension)
+SELECT repo, CAST(floor(avg(score) + 0.5) AS INTEGER) AS overall, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY repo""")
+def overall_scores(spark, sf):
+    s = fi.severity_scores(FINDINGS(spark, sf), "repo", "dimension")
+    return s.groupBy("repo").agg(S.round_half_up(F.avg("score")).alias("overall"), F.sum("n").alias("n"))
+
+
+_TERMS = {"security": 30, "unit": 20, "load": 20, "accessibility": 15, "chaos": 15}
+
+
+@query(f"""{cte('findings')}, s AS (SELECT repo, dimension, {_curve(f'sum({_WEIGHT})')} AS score FROM findings GROUP BY repo, dimension)
+SELECT repo, CAST(floor(({' + '.join(f"{w} * coalesce(nullif(max(score) FILTER (dimension = '{d}'), 0), 50)" for d, w in _TERMS.items())}) / 100.0 + 0.5) AS INTEGER) AS overall FROM s GROUP BY repo""")
+def overall_weighted(spark, sf):
+    """Weighted mean of five dimensions; a missing or zero score counts as 50."""
+    s = fi.severity_scores(FINDINGS(spark, sf), "repo", "dimension").groupBy("repo").pivot("dimension", list(_TERMS)).agg(F.max("score"))
+    total = sum((w * F.coalesce(F.nullif(F.col(d), F.lit(0)), F.lit(50)) for d, w in _TERMS.items()), F.lit(0))
+    return s.select("repo", S.round_half_up(total / F.lit(100.0)).alias("overall"))
+
+
+@query(f"{cte('findings')} SELECT run_id, severity, title, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_ORDER}) AS rank FROM findings WHERE severity IN ('critical', 'high')) WHERE rank <= 3")
+def top_issues(spark, sf):
+    return fi.top_issues(FINDINGS(spark, sf), 3).select("run_id", "severity", "title", "path", "rank")
+
+
+@query(f"""{cte('findings')}, r AS (SELECT *, row_number() OVER (PARTITION BY repo, dimension ORDER BY {_ORDER}) AS rank FROM findings)
+SELECT repo, dimension, CAST(list_position([{', '.join(f"'{d}'" for d in DIMENSIONS)}], dimension) AS INTEGER) AS position, count(*) AS n, string_agg(title, '|' ORDER BY rank) FILTER (rank <= 10) AS titles FROM r GROUP BY repo, dimension""")
+def dimension_groups(spark, sf):
+    return fi.dimension_groups(FINDINGS(spark, sf), DIMENSIONS)
+
+
+def _phase(i: int, p: tuple) -> str:
+    phase, severity, dimension, limit = p
+    where = f"severity = '{severity}'" if severity else f"dimension = '{dimension}' AND severity IN ('low', 'info')"
+    return f"SELECT repo, '{phase}' AS phase, dimension, severity, title, seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS rank FROM findings WHERE {where}) t{i}" + (f" WHERE rank <= {limit}" if limit else "")
+
+
+@query(f"{cte('findings')} {' UNION ALL '.join(_phase(i, p) for i, p in enumerate(fi.PHASES))}")
+def remediation_plan(spark, sf):
+    return fi.remediation_plan(FINDINGS(spark, sf))
+
+
+_WORTH = "CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
+
+
+@query(f"""{cte('findings')}, h AS (SELECT repo, {', '.join(f"CAST(100 - least(100, sum(CASE WHEN dimension IN {d} THEN {_WORTH} ELSE 0 END)) AS INTEGER) AS {a}" for a, d in (('security', "('security')"), ('reliability', "('chaos', 'unit', 'mutation')"), ('performance', "('load')"), ('accessibility', "('accessibility')")))} FROM findings GROUP BY repo)
+SELECT *, CAST(floor((security + reliability + performance + accessibility) / 4.0 + 0.5) AS INTEGER) AS overall FROM h""")
+def health_metrics(spark, sf):
+    return fi.health_metrics(FINDINGS(spark, sf))
+
+
+@query(f"""{cte('findings')} SELECT CASE WHEN dimension IN ('vision', 'scope', 'stack', 'contracts') THEN 'dimension' WHEN regexp_matches(title, 'finding (1|2|3)$') THEN 'title' END AS reason, count(*) AS n FROM findings GROUP BY 1""")
+def testable_split(spark, sf):
+    return fi.testable_split(FINDINGS(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{cte('findings')} SELECT severity, dimension, count(*) AS n FROM findings GROUP BY GROUPING SETS ((severity), (dimension), ())")
+def compare_rollup(spark, sf):
+    return fi.compare_rollup(FINDINGS(spark, sf))
+
+
+_MAP = [("AF", "A01"), ("AF", "A03"), ("NO", "A05"), ("RF", "A02"), ("NF", "A08")]
+
+
+@query(f"""{cte('findings')}, m(category, code) AS (VALUES {', '.join(str(x) for x in _MAP)}), k AS (SELECT 'A' || lpad(CAST(i AS VARCHAR), 2, '0') AS code FROM range(1, 11) r(i)),
+c AS (SELECT code, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM findings JOIN m USING (category) GROUP BY code)
+SELECT k.code, coalesce(n, 0) AS n, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(critical, 0) > 0 OR coalesce(high, 0) >= 3 AS flagged FROM k LEFT JOIN c USING (code)""")
+def owasp_rollup(spark, sf):
+    codes = spark.range(1, 11).select(F.concat(F.lit("A"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("code"))
+    return fi.owasp_rollup(FINDINGS(spark, sf), spark.createDataFrame(_MAP, "category string, code string"), codes)
+
+
+@query(f"""{cte('findings')}, t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS k FROM findings WHERE severity IN ('critical', 'high')),
+g AS (SELECT repo, count(*) AS n, {_curve(f'sum({_WEIGHT})')} AS score FROM findings GROUP BY repo)
+SELECT g.repo, n, score, t.title AS top_title, t.path AS top_path FROM g LEFT JOIN t ON g.repo = t.repo AND k = 1""")
+def digest_cards(spark, sf):
+    return fi.digest_cards(FINDINGS(spark, sf))
+
+
+@query(f"""{cte('findings')}, r AS (SELECT *, row_number() OVER (PARTITION BY repo, dimension = 'security' ORDER BY {_ORDER}) AS k FROM findings)
+SELECT repo, dimension, severity, substring(title, 1, 400) AS title, regexp_replace(path, '^[^/]*/', '') AS path, seq FROM r WHERE dimension <> 'security' OR k <= 25""")
+def distill_findings(spark, sf):
+    return fi.distill_findings(FINDINGS(spark, sf))
+
+
+@query(f"""{cte('findings')} SELECT repo, category, count(*) AS n FROM (SELECT DISTINCT repo, category, path, line, col, title FROM findings) GROUP BY repo, category""")
+def dedupe_findings(spark, sf):
+    return fi.dedupe_findings(FINDINGS(spark, sf)).groupBy("repo", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SUPPRESSED = "SELECT DISTINCT concat('repo-', CAST(l_suppkey AS varchar)) AS repo, concat('src/', CAST(l_partkey % 40 AS varchar), '.js') AS path, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_orderkey % 60 AS INTEGER) END AS line, CASE WHEN l_returnflag = 'A' THEN '*' ELSE 'NO' END AS category FROM lineitem WHERE l_partkey % 31 = 7"
+
+
+@query(f"""{cte('findings')}, s AS ({_SUPPRESSED}) SELECT seq, category FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.repo = f.repo AND s.path = f.path AND (s.line IS NULL OR s.line = f.line) AND (s.category = '*' OR s.category = f.category))""")
+def filter_suppressed(spark, sf):
+    remarks = table(spark, sf, "lineitem").where("l_partkey % 31 = 7").select(
+        F.expr("concat('repo-', CAST(l_suppkey AS string))").alias("repo"), F.expr("concat('src/', CAST(l_partkey % 40 AS string), '.js')").alias("path"),
+        F.expr("CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_orderkey % 60 AS int) END").alias("line"), F.expr("CASE WHEN l_returnflag = 'A' THEN '*' ELSE 'NO' END").alias("category"),
+    )
+    return fi.filter_suppressed(FINDINGS(spark, sf), remarks).select("seq", "category")
+
+
+_RISK = f"""{cte('findings', 'exports')}, a AS (SELECT repo, path, sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 12 WHEN 'medium' THEN 5 WHEN 'low' THEN 2 ELSE 0 END) AS security FROM findings GROUP BY ALL),
+b AS (SELECT repo, path, count(*) * 10 AS queries FROM findings WHERE rule = 'r4' GROUP BY ALL), c AS (SELECT repo, path, count(*) * 0.5 AS dead FROM exports GROUP BY ALL),
+d AS (SELECT repo, path, greatest(max(seq) % 1000 - 400, 0) * 0.05 AS length FROM findings GROUP BY ALL),
+j AS (SELECT repo, path, CAST(coalesce(security, 0) AS DOUBLE) AS security, CAST(coalesce(queries, 0) AS DOUBLE) AS queries, CAST(coalesce(dead, 0) AS DOUBLE) AS dead, CAST(coalesce(length, 0) AS DOUBLE) AS length
+ FROM a FULL JOIN b USING (repo, path) FULL JOIN c USING (repo, path) LEFT JOIN d USING (repo, path)),
+risk AS (SELECT repo, path, floor((security + queries + dead + length) * 10 + 0.5) / 10 AS risk,
+ concat_ws(',', CASE WHEN security > 0 THEN 'security' END, CASE WHEN queries > 0 THEN 'queries' END, CASE WHEN dead > 0 THEN 'dead' END, CASE WHEN length > 0 THEN 'length' END) AS reasons FROM j WHERE security + queries + dead + length > 0)"""
+
+
+def _risk(spark, sf):
+    f = FINDINGS(spark, sf)
+    sizes = f.groupBy("repo", "path").agg((F.max("seq") % 1000).alias("n_lines"))
+    return fi.file_risk(f, f.where("rule = 'r4'"), EXPORTS(spark, sf), sizes)
+
+
+@query(f"{_RISK} SELECT repo, path, risk, reasons FROM risk WHERE risk > 0")
+def file_risk(spark, sf):
+    return _risk(spark, sf)
+
+
+@query(f"""{_RISK}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY risk DESC, path) AS rank, CAST(floor(sum(risk) OVER (PARTITION BY repo) / 5) AS BIGINT) AS predicted FROM risk WHERE risk > 0)
+SELECT repo, path, risk, rank, CASE WHEN risk >= 30 THEN 'high' WHEN risk >= 12 THEN 'medium' ELSE 'low' END AS severity, predicted FROM r WHERE rank <= 5""")
+def risk_hotspots(spark, sf):
+    return fi.risk_hotspots(_risk(spark, sf))
+
+
+# ---------------------------------------------------------------- joins between facts
+
+_CANON = "regexp_replace(regexp_replace(lower(route), ':([a-z_][a-z0-9_]*)', '{\\1}', 'g'), '(.)/+$', '\\1')"
+_DIFF = f"""{cte('routes')}, e AS (SELECT repo, upper(method) AS method, {_CANON} AS canonical, bool_or(origin = 'code') AS code, bool_or(origin = 'spec') AS spec FROM routes GROUP BY 1, 2, 3),
+d AS (SELECT repo, method, canonical, CASE WHEN code AND spec THEN 'documented' WHEN code THEN 'undocumented' ELSE 'orphan' END AS state FROM e)"""
+
+
+@query(f"{_DIFF} SELECT * FROM d")
+def contract_diff(spark, sf):
+    return jo.contract_diff(ROUTES(spark, sf))
+
+
+@query(f"""{_DIFF}, c AS (SELECT repo, count(*) FILTER (state = 'documented') AS documented, count(*) FILTER (state = 'undocumented') AS undocumented, count(*) FILTER (state = 'orphan') AS orphan, count(*) FILTER (NOT regexp_matches(canonical, '/v[0-9]+(/|$)')) AS unversioned FROM d GROUP BY repo)
+SELECT *, {_curve('(undocumented + orphan + CASE WHEN unversioned > 10 THEN 1 ELSE 0 END) * 100', '8')} AS score FROM c""")
+def contract_report(spark, sf):
+    return jo.contract_report(ROUTES(spark, sf))
+
+
+@query(f"""{cte('exports', 'idents')}, u AS (SELECT repo, name, count(DISTINCT path) AS files, min(path) AS one FROM idents GROUP BY repo, name)
+SELECT DISTINCT e.repo, e.path, e.name FROM exports e LEFT JOIN u ON e.repo = u.repo AND e.name = u.name WHERE u.files IS NULL OR (u.files = 1 AND u.one = e.path)""")
+def unused_exports(spark, sf):
+    return jo.unused_exports(EXPORTS(spark, sf), IDENTS(spark, sf))
+
+
+@query("""WITH d AS (SELECT DISTINCT concat('repo-', CAST(l_suppkey AS varchar)) AS repo, concat('@org/p', CAST(l_partkey % 300 AS varchar)) AS name FROM lineitem WHERE l_linestatus = 'O'),
+i AS (SELECT DISTINCT concat('repo-', CAST(l_suppkey AS varchar)) AS repo, concat('@org/p', CAST(l_partkey % 300 AS varchar)) AS name FROM lineitem WHERE l_linestatus = 'F')
+SELECT d.repo, d.name FROM d ANTI JOIN i USING (repo, name)""")
+def unused_deps(spark, sf):
+    li = table(spark, sf, "lineitem")
+    repo, name = F.expr("concat('repo-', CAST(l_suppkey AS string))").alias("repo"), F.expr("concat('@org/p', CAST(l_partkey % 300 AS string))")
+    return jo.unused_deps(li.where("l_linestatus = 'O'").select(repo, name.alias("name")), li.where("l_linestatus = 'F'").select(repo, F.concat(name, F.lit("/lib/index")).alias("specifier")))
+
+
+_MATCHES = f"""{cte('locks', 'advisories')}, once AS (SELECT DISTINCT repo, name, version, is_direct FROM locks), n AS (SELECT name, min({_RANK}) AS worst FROM advisories GROUP BY name), x AS (SELECT name, version, min({_RANK}) AS worst FROM advisories GROUP BY ALL),
+h AS (SELECT repo, name, CASE WHEN is_direct THEN 1 ELSE 2 END AS stage, worst FROM once JOIN n USING (name) UNION ALL SELECT repo, name, 3, worst FROM once JOIN x USING (name, version)),
+m AS (SELECT repo, name, min(struct_pack(stage := stage, worst := worst)) AS m FROM h GROUP BY repo, name)"""
+
+
+@query(f"{_MATCHES} SELECT repo, name, m.stage AS stage, m.worst AS severity_rank FROM m")
+def advisory_matches(spark, sf):
+    return jo.advisory_matches(LOCKS(spark, sf), ADVISORIES(spark, sf))
+
+
+_FLAGS = "SELECT repo, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(f) AS BIGINT) AS \"foreign\", CAST(sum(u) AS BIGINT) AS unsigned, count(*) FILTER (v > 1) AS many_versions FROM (SELECT repo, name, count(*) AS n, count(DISTINCT version) AS v, count(*) FILTER (NOT starts_with(resolved, 'https://registry.')) AS f, count(*) FILTER (integrity IS NULL) AS u FROM locks GROUP BY repo, name) GROUP BY repo"
+
+
+@query(f"{cte('locks')} {_FLAGS}")
+def lock_flags(spark, sf):
+    return jo.lock_flags(LOCKS(spark, sf))
+
+
+@query(f"""{_MATCHES}, f AS ({_FLAGS}), v AS (SELECT repo, count(*) AS vulnerable FROM m GROUP BY repo)
+SELECT f.*, coalesce(vulnerable, 0) AS vulnerable, {_curve('(coalesce(vulnerable, 0) * 2 + f."foreign" + least(many_versions, 10)) * 100', '8')} AS score FROM f LEFT JOIN v USING (repo)""")
+def supply_chain_report(spark, sf):
+    return jo.supply_chain_report(LOCKS(spark, sf), ADVISORIES(spark, sf))
+
+
+@query(f"{cte('locks')} SELECT repo, name, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM locks GROUP BY repo, name HAVING count(DISTINCT version) > 1")
+def duplicate_versions(spark, sf):
+    return jo.duplicate_versions(LOCKS(spark, sf))
+
+
+_LICENSE_LINE = "regexp_extract(text, '([^\\n]*[Ll]icen[sc]e[^\\n]*)', 1)"
+_FAMILY = "CASE WHEN license = '' OR license IS NULL THEN 'unknown' " + " ".join(f"WHEN regexp_matches(license, '{p}') THEN '{n}'" for n, p in jo.LICENSES) + " ELSE 'unknown' END"
+
+
+@query(f"""WITH p AS (SELECT source AS repo, {_LICENSE_LINE} AS license FROM documents), c AS (SELECT repo, {', '.join(f"count(*) FILTER (family = '{f}') AS {f}" for f in [x for x, _ in jo.LICENSES] + ['unknown'])} FROM (SELECT repo, {_FAMILY} AS family FROM p) GROUP BY repo)
+SELECT *, {_curve('(strong * 2 + proprietary * 2 + weak) * 100', '8')} AS score FROM c""")
+def license_report(spark, sf):
+    named = F.filter(F.split("text", "\n"), lambda x: x.rlike("[Ll]icen[sc]e"))
+    line = F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
+    return jo.license_report(table(spark, sf, "documents").select(F.col("source").alias("repo"), line.alias("license")))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT concat('repo-', CAST(l_suppkey % 20 AS varchar)) AS repo, concat('src/m', CAST(l_partkey % 90 AS varchar), CASE l_linenumber % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.js' END) AS path FROM lineitem WHERE l_linestatus = 'O'),
+i AS (SELECT DISTINCT concat('repo-', CAST(l_suppkey % 20 AS varchar)) AS repo, concat('src/u', CAST(l_orderkey % 7 AS varchar), '.js') AS path, concat('./m', CAST(l_partkey % 120 AS varchar)) AS specifier FROM lineitem WHERE l_linestatus = 'F'),
+e(rank, ext) AS (VALUES (0, ''), (1, '.js'), (2, '.ts'), (3, '.tsx'), (4, '.jsx'), (5, '.mjs'), (6, '.cjs'), (7, '.json'), (8, '/index.js'), (9, '/index.ts'))
+SELECT i.repo, i.path, i.specifier, arg_min(f.path, rank) AS target FROM i, e JOIN f ON f.repo = i.repo AND f.path = concat('src/', substring(i.specifier, 3), ext) GROUP BY i.repo, i.path, i.specifier""")
+def resolve_imports(spark, sf):
+    li = table(spark, sf, "lineitem")
+    repo = F.expr("concat('repo-', CAST(l_suppkey % 20 AS string))").alias("repo")
+    files = li.where("l_linestatus = 'O'").select(repo, F.expr("concat('src/m', CAST(l_partkey % 90 AS string), CASE l_linenumber % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.js' END)").alias("path"))
+    imports = li.where("l_linestatus = 'F'").select(repo, F.expr("concat('src/u', CAST(l_orderkey % 7 AS string), '.js')").alias("path"), F.expr("concat('./m', CAST(l_partkey % 120 AS string))").alias("specifier")).distinct()
+    return jo.resolve_imports(imports, files)
+
+
+_RULES = [("eval", ["eval", "Function"], None, None, "critical"), ("sql", [], "^db\\..*", "\\+", "high"), ("exec", ["exec"], "^child_", "^req", "high")]
+_CALLS = "CASE l_linenumber WHEN 1 THEN 'eval' WHEN 2 THEN 'db.query' WHEN 3 THEN 'exec' WHEN 4 THEN 'child_process.spawn' ELSE 'log' END"
+
+
+@query(f"""WITH c AS (SELECT concat('repo-', CAST(l_suppkey AS varchar)) AS repo, concat('src/', CAST(l_partkey AS varchar)) AS path, CAST(l_orderkey AS BIGINT) AS line, {_CALLS} AS callee, CASE l_returnflag WHEN 'A' THEN 'req.body' WHEN 'N' THEN 'a + b' ELSE 'x' END AS args FROM lineitem)
+SELECT repo, path, line, 'eval' AS rule, 'critical' AS severity FROM c WHERE callee IN ('eval', 'Function') UNION ALL SELECT repo, path, line, 'sql', 'high' FROM c WHERE regexp_matches(callee, '^db\\.') AND contains(args, '+')
+UNION ALL SELECT repo, path, line, 'exec', 'high' FROM c WHERE (callee = 'exec' OR starts_with(callee, 'child_')) AND starts_with(args, 'req')""")
+def rule_findings(spark, sf):
+    calls = table(spark, sf, "lineitem").select(F.expr("concat('repo-', CAST(l_suppkey AS string))").alias("repo"), F.expr("concat('src/', CAST(l_partkey AS string))").alias("path"), F.expr("CAST(l_orderkey AS bigint)").alias("line"), F.expr(_CALLS).alias("callee"), F.expr("CASE l_returnflag WHEN 'A' THEN 'req.body' WHEN 'N' THEN 'a + b' ELSE 'x' END").alias("args_text"))
+    return jo.rule_findings(calls, spark.createDataFrame(_RULES, "rule string, callees array<string>, callee_regex string, arg_regex string, severity string"))
+
+
+# ---------------------------------------------------------------- service tables
+
+
+@query(f"{cte('runs')} SELECT user_id, id, project_id, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY completed_at DESC NULLS LAST, id DESC) AS rank FROM runs) WHERE rank <= 20")
+def run_history(spark, sf):
+    return se.run_history(RUNS(spark, sf)).select("user_id", "id", "project_id", "status", "rank")
+
+
+@query(f"""{cte('runs')} SELECT user_id, count(*) AS n_runs, count(*) FILTER (completed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND completed_at <= TIMESTAMP '{AS_OF}') AS n_recent, CAST(floor(coalesce(avg(score), 0) + 0.5) AS INTEGER) AS mean_score, CAST(sum(total_findings) AS BIGINT) AS n_findings FROM runs GROUP BY user_id""")
+def usage_stats(spark, sf):
+    return se.usage_stats(RUNS(spark, sf), as_of())
+
+
+_PLANS = ", ".join(f"('{p}', {', '.join('NULL' if x is None else str(x) for x in v)})" for p, v in se.PLANS.items())
+_QUOTA = f"""{cte('users', 'runs')}, plans(plan, max_tests, max_repos, max_iterations) AS (VALUES {_PLANS}),
+used AS (SELECT user_id, count(*) AS tests, count(DISTINCT project_id) AS repos FROM runs WHERE started_at >= date_trunc('month', TIMESTAMP '{AS_OF}') AND started_at <= TIMESTAMP '{AS_OF}' GROUP BY user_id),
+q AS (SELECT id, users.plan, coalesce(tests, 0) AS tests, coalesce(repos, 0) AS repos, CASE WHEN max_tests IS NOT NULL THEN greatest(max_tests - coalesce(tests, 0), 0) END AS tests_left, CASE WHEN max_repos IS NOT NULL THEN greatest(max_repos - coalesce(repos, 0), 0) END AS repos_left
+ FROM users LEFT JOIN plans USING (plan) LEFT JOIN used ON users.id = used.user_id)"""
+
+
+@query(f"{_QUOTA} SELECT * FROM q")
+def quota(spark, sf):
+    return se.quota(USERS(spark, sf), RUNS(spark, sf), as_of())
+
+
+@query(f"{_QUOTA} SELECT id, plan, CASE WHEN tests_left = 0 THEN 'tests' ELSE 'repos' END AS reason FROM q WHERE tests_left = 0 OR repos_left = 0")
+def quota_denials(spark, sf):
+    return se.quota_denials(se.quota(USERS(spark, sf), RUNS(spark, sf), as_of()))
+
+
+@query(f"""{cte('runs')}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY completed_at DESC NULLS FIRST, id DESC) AS k FROM runs)
+SELECT project_id, id, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score IS NOT NULL THEN 'D' END AS letter, CASE WHEN score >= 80 THEN 'green' WHEN score >= 50 THEN 'yellow' WHEN score IS NOT NULL THEN 'red' ELSE 'grey' END AS color FROM r WHERE k = 1""")
+def latest_score(spark, sf):
+    return se.latest_score(RUNS(spark, sf))
+
+
+@query(f"""{cte('findings')}, s AS (SELECT repo, dimension, count(*) FILTER (status = 'open' AND severity IN ('critical', 'high')) AS bad FROM findings GROUP BY ALL)
+SELECT repo, count(*) AS stages, count(*) FILTER (bad = 0) AS passed, CAST(floor(100.0 * count(*) FILTER (bad = 0) / count(*) + 0.5) AS INTEGER) AS percent FROM s GROUP BY repo""")
+def stage_summary(spark, sf):
+    return se.stage_summary(FINDINGS(spark, sf))
+
+
+@query(f"{cte('runs')} SELECT id, CASE WHEN completed_at IS NOT NULL THEN '1m 15s' END AS duration FROM runs")
+def run_duration(spark, sf):
+    return se.run_duration(RUNS(spark, sf))
+
+
+@query(f"""{cte('runs')}, i AS (SELECT user_id, CAST(started_at AS DATE) AS day, total_findings FROM runs WHERE CAST(started_at AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-14'),
+d AS (SELECT user_id, CAST(day AS DATE) AS day FROM (SELECT DISTINCT user_id FROM i), unnest(generate_series(TIMESTAMP '1995-03-01', TIMESTAMP '1995-03-14', INTERVAL 1 DAY)) AS g(day)), c AS (SELECT user_id, day, count(*) AS n, sum(total_findings) AS found FROM i GROUP BY ALL)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, CAST(coalesce(found, 0) AS BIGINT) AS found FROM d LEFT JOIN c USING (user_id, day)""")
+def usage_by_day(spark, sf):
+    return se.usage_by_day(RUNS(spark, sf), "1995-03-01", "1995-03-14")
+
+
+@query("""WITH b AS (SELECT c_custkey AS id, c_name AS name, 0 AS version FROM customer UNION ALL SELECT CAST(c_custkey + 50 AS BIGINT), concat('new-', c_name), 1 FROM customer WHERE c_custkey % 3 = 0)
+SELECT id, arg_max(name, version) AS name, max(version) AS version FROM b GROUP BY id""")
+def upsert(spark, sf):
+    c = table(spark, sf, "customer")
+    now = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(0).alias("version"))
+    new = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 50).alias("id"), F.concat(F.lit("new-"), "c_name").alias("name"), F.lit(1).alias("version"))
+    return se.upsert(now, new, "id", "version")
+
+
+@query("""WITH c AS (SELECT DISTINCT user_id AS k, 0 AS first_id FROM events WHERE user_id % 2 = 0), n AS (SELECT user_id AS k, CAST(min(event_id) AS INTEGER) AS first_id FROM events WHERE user_id NOT IN (SELECT k FROM c) GROUP BY 1) SELECT * FROM c UNION ALL SELECT * FROM n""")
+def insert_new(spark, sf):
+    e = table(spark, sf, "events")
+    have = e.where("user_id % 2 = 0").select(F.col("user_id").alias("k"), F.lit(0).alias("first_id")).distinct()
+    return se.insert_new(have, e.select(F.col("user_id").alias("k"), F.col("event_id").cast("int").alias("first_id")), "k", "first_id")
+
+
+@query(f"""{cte('billing')} SELECT customer, arg_max(CASE WHEN kind = 'deleted' THEN 'free' ELSE coalesce(plan, 'pro') END, struct_pack(ts := ts, id := id)) AS plan, count(*) AS n_events FROM billing WHERE kind <> 'other' GROUP BY customer""")
+def plan_from_billing(spark, sf):
+    return se.plan_from_billing(BILLING(spark, sf))
+
+
+@query(f"{cte('requests')} SELECT concat('user-', CAST(caller AS varchar)) AS owner, count(*) AS n, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_used FROM requests WHERE caller % 5 <> 0 GROUP BY caller")
+def key_usage(spark, sf):
+    r = REQUESTS(spark, sf)
+    keys = r.select("caller").distinct().select(F.sha2(F.concat(F.lit("key-"), F.col("caller").cast("string")), 256).alias("key_hash"), F.concat(F.lit("user-"), F.col("caller").cast("string")).alias("owner"), (F.col("caller") % 5 == 0).alias("revoked"))
+    return se.key_usage(r, keys)
+
+
+@query(f"""{cte('requests')}, l AS (SELECT caller, arg_max(kind, struct_pack(ts := ts, id := id)) AS kind, min(ts) AS since FROM requests WHERE kind IN ('signup', 'error') GROUP BY caller)
+SELECT caller, CAST(floor(epoch(since)) AS BIGINT) AS since FROM l WHERE kind = 'signup'""")
+def active_subscribers(spark, sf):
+    return se.active_subscribers(REQUESTS(spark, sf))
+
+
+@query(f"{cte('ledger')} SELECT title, state, n FROM (SELECT title, arg_max(state, struct_pack(entry_date := entry_date, pos := pos)) AS state, count(*) AS n FROM ledger GROUP BY title) WHERE state = 'open'")
+def open_proposals(spark, sf):
+    return se.open_proposals(LEDGER(spark, sf))
+
+
+@query(f"""{cte('ledger')}, s AS (SELECT title, arg_max(state, struct_pack(entry_date := entry_date, pos := pos)) AS state FROM ledger GROUP BY title),
+c AS (SELECT concat('idea ', CAST(p_partkey % 400 AS varchar)) AS title, max(p_size) AS weight FROM part GROUP BY 1)
+SELECT title, weight FROM c WHERE title NOT IN (SELECT title FROM s WHERE state IN ('open', 'rejected')) ORDER BY weight DESC, title LIMIT 3""")
+def new_proposals(spark, sf):
+    c = table(spark, sf, "part").groupBy(F.expr("concat('idea ', CAST(p_partkey % 400 AS string))").alias("title")).agg(F.max("p_size").alias("weight"))
+    return se.new_proposals(c, LEDGER(spark, sf))
+
+
+@query("""SELECT o_orderstatus AS stage, count(*) AS n, string_agg(CAST(o_orderkey AS varchar), ',' ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS ids FROM orders WHERE o_custkey % 50 = 1 GROUP BY 1""")
+def tasks_by_stage(spark, sf):
+    o = table(spark, sf, "orders").where("o_custkey % 50 = 1")
+    return se.tasks_by_stage(o.select(F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("id")))
+
+
+@query(f"{cte('findings', 'runs')} SELECT f.run_id, r.user_id, r.project_id, r.status AS run_status, f.severity, {_RANK} AS severity_rank, f.seq FROM findings f LEFT JOIN runs r ON r.id = f.run_id")
+def report_detail(spark, sf):
+    return se.report_detail(FINDINGS(spark, sf), RUNS(spark, sf))
+
+
+# ---------------------------------------------------------------- request logs and streams
+
+_LEVELS = "SELECT concurrency, count(*) AS attempts, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.9) AS p90, quantile_cont(latency, 0.99) AS p99, least(1.0, count(*) FILTER (status >= 300) / count(*)) AS error_rate FROM requests GROUP BY concurrency"
+
+
+@query(f"{cte('requests')} {_LEVELS}")
+def load_levels(spark, sf):
+    return lo.load_levels(REQUESTS(spark, sf))
+
+
+@query(f"{cte('requests')}, l AS ({_LEVELS}), f AS (SELECT min(concurrency) FILTER (error_rate > 0.2) AS breaks_at, max(concurrency) AS highest FROM l) SELECT breaks_at, coalesce(breaks_at, highest) AS headline FROM f")
+def breaking_point(spark, sf):
+    return lo.breaking_point(lo.load_levels(REQUESTS(spark, sf)), 0.2)
+
+
+@query(f"{cte('requests')}, l AS ({_LEVELS}) SELECT max(concurrency) FILTER (error_rate <= 0.2) AS healthy, min(concurrency) FILTER (error_rate > 0.2) AS degraded FROM l")
+def max_healthy(spark, sf):
+    return lo.max_healthy(lo.load_levels(REQUESTS(spark, sf)), 0.2)
+
+
+_HOURS = "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (status >= 500) / count(*) AS rate FROM requests GROUP BY 1"
+
+
+@query(f"{cte('requests')}, h AS ({_HOURS}) SELECT CAST(epoch(hour) AS BIGINT) AS hour, n, rate, lag(rate) OVER (ORDER BY hour) AS before FROM h")
+def phase_error_rates(spark, sf):
+    return lo.phase_error_rates(REQUESTS(spark, sf))
+
+
+@query(f"{cte('requests')}, h AS ({_HOURS}), f AS (SELECT hour AS cleared FROM h WHERE rate > 0.35) SELECT CAST(epoch(cleared) AS BIGINT) AS fault_id, CAST((SELECT min(epoch(hour)) FROM h WHERE hour >= cleared AND hour < cleared + INTERVAL 6 HOUR AND rate <= 0.1 + 0.05) - epoch(cleared) AS BIGINT) AS seconds FROM f")
+def recovery_time(spark, sf):
+    hours = REQUESTS(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("ts")).agg((F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("rate"))
+    faults = hours.where("rate > 0.35").select(F.unix_timestamp("ts").alias("fault_id"), F.col("ts").alias("cleared"), (F.col("ts") + F.expr("interval 6 hours")).alias("until"))
+    return lo.recovery_time(hours, faults, 0.1, 0.05)
+
+
+@query(f"{cte('requests')}, w AS (SELECT id, caller, count(*) OVER (PARTITION BY caller ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS n FROM requests) SELECT id, caller, n AS in_window, n <= 5 AS allowed, greatest(5 - n, 0) AS remaining FROM w")
+def rate_limit_sliding(spark, sf):
+    return lo.rate_limit_sliding(REQUESTS(spark, sf), 5, 21600)
+
+
+@query()
+def rate_limit_fixed(spark, sf):
+    return lo.rate_limit_fixed(REQUESTS(spark, sf), 5, 21600)
+
+
+@query(f"{cte('requests')}, h AS ({_HOURS}) SELECT CAST(epoch(hour) AS BIGINT) AS start, n, rate FROM h")
+def error_rate_windows(spark, sf):
+    return lo.error_rate_windows(REQUESTS(spark, sf))
+
+
+@query(f"{cte('requests')} SELECT caller, arg_max(status, id) AS status, count(*) FILTER (status = 200) AS completed FROM requests GROUP BY caller")
+def latest_state(spark, sf):
+    return lo.latest_state(REQUESTS(spark, sf), "caller", "id")
+
+
+@query("SELECT DISTINCT event_id % 1000 AS id FROM events")
+def dedupe_events(spark, sf):
+    return jobs.dedupe_events(table(spark, sf, "events").select((F.col("event_id") % 1000).alias("id")))
+
+
+@query("""SELECT concat('https://host/u', CAST(user_id AS varchar), '.git') AS repo_url, concat('b', CAST(event_id % 7 AS varchar)) AS branch, substring(md5(CAST(event_id AS varchar)), 1, 7) AS "commit" FROM events WHERE event_type = 'click'""")
+def parse_push_events(spark, sf):
+    body = F.to_json(F.struct(F.concat(F.lit("refs/heads/b"), (F.col("event_id") % 7).cast("string")).alias("ref"), F.md5(F.col("event_id").cast("string")).alias("after"), F.struct(F.concat(F.lit("https://host/u"), F.col("user_id").cast("string"), F.lit(".git")).alias("clone_url")).alias("repository")))
+    return jobs.parse_push_events(table(spark, sf, "events").select(F.when(F.col("event_type") == "click", "push").otherwise("ping").alias("event"), body.alias("body")))
+
+
+# ---------------------------------------------------------------- corpus scans
+
+
+@query(f"{cte('docs')} SELECT repo, count(*) AS files, CAST(sum(length(content) - length(replace(content, chr(10), '')) + 1) AS BIGINT) AS lines, CAST(sum(length(content)) AS BIGINT) AS chars FROM docs GROUP BY repo")
+def scan_summary(spark, sf):
+    return tx.scan_summary(DOCS(spark, sf))
+
+
+@query(rf"""{cte('docs')}, n AS (SELECT *, length(content) - length(replace(content, chr(10), '')) AS k FROM docs)
+SELECT repo, path, regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) AS ext, regexp_matches(path, '{tx.TEST_PATH}') AS is_test, (k <= 1 AND length(content) > 5000) OR length(content) > 500 * (k + 1) AS is_minified, k + 1 AS n_lines FROM n""")
+def path_flags(spark, sf):
+    return tx.path_flags(DOCS(spark, sf))
+
+
+@query(f"""{cte('docs')}, l AS (SELECT repo, CASE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) WHEN 'en' THEN 'Prose' WHEN 'de' THEN 'Prose' ELSE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) END AS language, count(*) AS n FROM docs GROUP BY ALL)
+SELECT repo, CAST(coalesce(sum(n) FILTER (language = 'Prose'), 0) AS BIGINT) AS native, CAST(floor(100.0 * coalesce(sum(n) FILTER (language = 'Prose'), 0) / sum(n) + 0.5) AS INTEGER) AS percent, coalesce(string_agg(language, ',' ORDER BY n DESC, language) FILTER (language <> 'Prose'), '') AS unsupported FROM l GROUP BY repo""")
+def language_coverage(spark, sf):
+    return tx.language_coverage(DOCS(spark, sf))
+
+
+@query(f"{cte('docs')} SELECT repo, path, len(regexp_extract_all(content, '(?i)license|token|TODO')) AS n FROM docs WHERE regexp_matches(content, '(?i)license|token|TODO')")
+def todo_counts(spark, sf):
+    marked = DOCS(spark, sf).withColumn("content", F.regexp_replace("content", "(?i)license|token|TODO", "TODO"))
+    return tx.todo_counts(marked)
+
+
+@query(f"{cte('docs')} SELECT repo, bool_or(regexp_matches(content, '[0-9]{{13,}}')) AS numbers, bool_or(regexp_matches(content, '@[a-z0-9]+[.]')) AS mail, bool_or(regexp_matches(content, '(?i)licen[sc]e')) AS licensed FROM docs GROUP BY repo")
+def content_flags(spark, sf):
+    return tx.content_flags(DOCS(spark, sf), {"numbers": "[0-9]{13,}", "mail": "@[a-z0-9]+[.]", "licensed": "(?i)licen[sc]e"})
+
+
+@query(f"{cte('docs')} SELECT path, size FROM docs WHERE NOT regexp_matches(path, '{tx.SKIPPED}')")
+def filter_sources(spark, sf):
+    return tx.filter_sources(DOCS(spark, sf)).select("path", "size")
+
+
+@query()
+def scan_budget(spark, sf):
+    return tx.scan_budget(DOCS(spark, sf), 8000, 40_000, 20)
+
+
+_UI = """WITH u AS (SELECT p_brand AS repo, concat('ui/', CAST(p_partkey AS varchar), '.html') AS path, unnest([1, 2, 3, 4]) AS line, unnest([CASE WHEN p_size % 3 = 0 THEN '<img src=a>' ELSE '<img src=a alt=b>' END, concat('<h', CAST(p_size % 2 + 1 AS varchar), '>t'), concat('<h', CAST(p_size % 4 + 1 AS varchar), '>u'), CASE WHEN p_size % 5 = 0 THEN '<a href=x> </a>' ELSE '<input type=text>' END]) AS text FROM part)"""
+
+
+def _ui(spark, sf):
+    lines = F.expr("array(CASE WHEN p_size % 3 = 0 THEN '<img src=a>' ELSE '<img src=a alt=b>' END, concat('<h', CAST(p_size % 2 + 1 AS string), '>t'), concat('<h', CAST(p_size % 4 + 1 AS string), '>u'), CASE WHEN p_size % 5 = 0 THEN '<a href=x> </a>' ELSE '<input type=text>' END)")
+    files = table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.expr("concat('ui/', CAST(p_partkey AS string), '.html')").alias("path"), F.array_join(lines, "\n").alias("content"))
+    return fi.explode_lines(files)
+
+
+@query(rf"""{_UI}, h AS (SELECT *, CAST(regexp_extract(text, '<h([1-6])[ >]', 1) AS INTEGER) AS level FROM u WHERE regexp_matches(text, '<h([1-6])[ >]')), b AS (SELECT *, lag(level) OVER (PARTITION BY repo, path ORDER BY line) AS before FROM h)
+SELECT repo, path, line, before, level FROM b WHERE level > before + 1""")
+def heading_skips(spark, sf):
+    return tx.heading_skips(_ui(spark, sf))
+
+
+@query(rf"""{_UI} SELECT repo, path, line, 'img-alt' AS rule FROM u WHERE contains(text, '<img') AND NOT contains(text, 'alt=') UNION ALL SELECT repo, path, line, 'input-label' FROM u WHERE contains(text, '<input') UNION ALL SELECT repo, path, line, 'empty-link' FROM u WHERE regexp_matches(text, '<a\b[^>]*>\s*</a>')""")
+def accessibility_findings(spark, sf):
+    return tx.accessibility_findings(_ui(spark, sf))
+
+
+@query("""SELECT p_brand AS repo, concat('src/', CAST(p_partkey AS varchar), '.js') AS path, unnest(list_distinct(['f' || CAST(p_size AS varchar), 'g' || CAST(p_size % 7 AS varchar)])) AS name FROM part""")
+def function_names(spark, sf):
+    content = F.expr("concat('function f', CAST(p_size AS string), '(a) { return a }\nasync function g', CAST(p_size % 7 AS string), '() {}')")
+    return tx.function_names(table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.expr("concat('src/', CAST(p_partkey AS string), '.js')").alias("path"), content.alias("content")))
