@@ -22,7 +22,7 @@ from auditlake.llm.common import labelled_sample, plain_words
 THRESHOLD = 0.3
 RUN = 8
 #: bounds of the sample that the model is trained on
-SAMPLE_ROWS, SAMPLE_CHARS = 4500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3500, 20_000
 CACHE_WORDS = 300_000
 
 
@@ -83,14 +83,17 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
         return ToxicityModel(np.zeros(buckets), -20.0)
     y, doc_of_run, size_of_run = np.array(truth, float), np.array(run_docs), np.array(run_words, float)
     token, run_of_token = np.array(tokens), np.repeat(np.arange(len(run_words)), run_words)
-    grams = [subwords(w, buckets) for w in ids]
+    grams = [np.array(subwords(w, buckets), np.int32) for w in ids]
     n_grams = np.array([len(g) for g in grams], float)
-    gram, word_of_gram = np.fromiter((b for g in grams for b in g), np.int64), np.repeat(np.arange(len(grams)), n_grams.astype(int))
-    word_of_doc = np.unique(np.stack([doc_of_run[run_of_token], token], axis=1), axis=0)
-    known = np.array([len(g) for g in grams])
-    pairs = np.unique(np.repeat(word_of_doc[:, 0], known[word_of_doc[:, 1]]) * buckets + np.concatenate([grams[w] for w in word_of_doc[:, 1]]).astype(np.int64))
-    in_docs = np.bincount(pairs % buckets, minlength=buckets)
-    in_toxic = np.bincount(pairs % buckets, y[pairs // buckets], buckets)
+    gram, word_of_gram = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), n_grams.astype(int))
+    in_docs, in_toxic = np.zeros(buckets), np.zeros(buckets)
+    ends = np.searchsorted(doc_of_run[run_of_token], np.arange(len(y)), side="right")
+    for d, (begin, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):  # one document at a time: little memory
+        own = np.unique(np.concatenate([grams[w] for w in np.unique(token[begin:end])]))
+        in_docs[own] += 1
+        in_toxic[own] += y[d]
+    del grams
+    n_kinds = len(n_grams)
     used = in_docs >= min_docs
     share, whole = in_docs / len(y), y.sum()
     # the vectors start from how far each n-gram's count in toxic documents is from chance, in standard deviations
@@ -105,13 +108,13 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
     first, second = [np.zeros_like(p) for p in params], [np.zeros(1) for _ in params]
     for step in range(1, rounds + 1):
         bucket_scores = embedding @ direction
-        word_scores = np.bincount(word_of_gram, bucket_scores[gram], len(grams)) / n_grams
+        word_scores = np.bincount(word_of_gram, bucket_scores[gram], n_kinds) / n_grams
         logits = np.bincount(run_of_token, word_scores[token] * weight, n_runs) + bias[0]
         odds = np.exp(np.clip(logits, -40, 40))
         total = np.bincount(doc_of_run, odds, n_docs)
         slope = (total / (1 + total) - y) / n_docs
         run_slope = slope[doc_of_run] * odds / total[doc_of_run]
-        word_slope = np.bincount(token, run_slope[run_of_token] * weight, len(grams)) / n_grams
+        word_slope = np.bincount(token, run_slope[run_of_token] * weight, n_kinds) / n_grams
         bucket_slope = np.bincount(gram, word_slope[word_of_gram], buckets)
         bucket_slope *= used
         slopes = [np.outer(bucket_slope, direction), embedding.T @ bucket_slope, np.array([run_slope.sum()])]
