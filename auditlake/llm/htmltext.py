@@ -131,13 +131,23 @@ def _features(node: Node) -> list[str]:
     return out
 
 
+def _named_away(nodes: list[Node]) -> list[bool]:
+    """Whether an element's names say that it is no text; not so where it surrounds an <article> or <main> without such names."""
+    holds = [False] * len(nodes)
+    for node in reversed(nodes):
+        clean = not node.words & NOT_TEXT_WORDS
+        if (node.tag in TEXT_TAGS or node.words & TEXT_WORDS) and clean or holds[node.index]:
+            if node.parent is not None:
+                holds[node.parent.index] = True
+    return [n.hidden or (n.tag in NOT_TEXT_TAGS or bool(n.words & NOT_TEXT_WORDS)) and not holds[n.index] for n in nodes]
+
+
 def self_labels(nodes: list[Node]) -> list[int] | None:
     """1 for elements within the part that the page itself marks as its text, else 0; None if it marks none."""
-    labels, marked = [0] * len(nodes), False
+    labels, marked, away = [0] * len(nodes), False, _named_away(nodes)
     for node in nodes[1:]:
         up = labels[node.parent.index]
-        bad = node.hidden or node.tag in NOT_TEXT_TAGS or node.words & NOT_TEXT_WORDS
-        if up == -1 or bad:
+        if up == -1 or away[node.index]:
             labels[node.index] = -1  # not text, nor is what it contains
         elif node.tag in TEXT_TAGS or node.words & TEXT_WORDS:
             labels[node.index], marked = 1, True
@@ -212,7 +222,7 @@ def main_text(page: str | None, model: DomModel) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    content = [m > 0.5 for m in model.marginals(nodes)]
+    content, away = [m > 0.5 for m in model.marginals(nodes)], _named_away(nodes)
     blocks: list[list[str]] = [[]]
     stack: list = [(nodes[0], iter(nodes[0].items))]
     while stack:
@@ -225,7 +235,7 @@ def main_text(page: str | None, model: DomModel) -> str:
             if item.tag == "br" or item.tag == "hr":
                 blocks.append([]) if item.tag == "hr" else blocks[-1].append("\n")
                 continue
-            if item.tag in RAW or item.hidden or (item.tag in NOT_TEXT_TAGS and not content[item.index]):
+            if item.tag in RAW or item.hidden or (away[item.index] and not content[item.index]):
                 continue
             if item.tag not in INLINE:
                 blocks.append([])
