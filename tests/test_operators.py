@@ -56,7 +56,7 @@ def test_push_events(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, 7, 200, 0), (1, 7, 200, 0), (2, 7, 500, 5)]
+    rows = [(1, 7, 200, 1_700_000_100), (1, 7, 200, 1_700_000_100), (2, 7, 500, 1_700_000_105)]
     spark.createDataFrame(rows, "id long, caller long, status int, s long").select("id", "caller", "status", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, caller long, status int, ts timestamp").parquet(str(tmp_path / "in"))
 
