@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
@@ -13,30 +11,17 @@ from auditlake.operators import joins as jo
 from auditlake.operators import loadlog as lo
 from auditlake.operators import service as se
 from auditlake.operators import text as tx
+from auditlake.plans import code_queries  # noqa: F401 - registers its queries
 from auditlake.plans.bindings import bound, cte, table
+from auditlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from auditlake.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 FINDINGS, RUNS, USERS, REQUESTS, LOCKS, ADVISORIES = map(bound, ("findings", "runs", "users", "requests", "locks", "advisories"))
 EXPORTS, IDENTS, ROUTES, DOCS, LEDGER, BILLING = map(bound, ("exports", "idents", "routes", "docs", "ledger", "billing"))
 AS_OF = "1997-06-15 00:00:00"
 DIMENSIONS = ["security", "unit", "accessibility", "load", "chaos", "contracts", "mutation"]
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
