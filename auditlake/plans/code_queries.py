@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators import config as co
 from auditlake.operators import detectors as de
 from auditlake.operators import facts as fa
 from auditlake.plans.bindings import table
@@ -223,3 +224,56 @@ SELECT repo, feature, bool_or(doc) AS documented, bool_or(NOT doc) AS implemente
 def scope_features(spark, sf):
     files = table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.expr("CASE WHEN p_size % 4 = 0 THEN 'README.md' ELSE 'src/a.js' END").alias("path"), F.col("p_name").alias("content"))
     return de.scope_features(files, {"widget": "widget", "metal": "bolt|nut"})
+
+
+@query("SELECT p_brand AS repo, count(*) AS endpoints, 0 AS middleware FROM part GROUP BY p_brand")
+def endpoint_counts(spark, sf):
+    return co.endpoint_counts(_code(spark, sf, _CODE, "js"))
+
+
+@query("""WITH p AS (SELECT concat('p', p_partkey) AS repo, p_size AS z FROM part)
+SELECT repo, 0 AS doc_no, 'privileged' AS rule, 'critical' AS severity FROM p WHERE z % 2 = 0 UNION ALL SELECT repo, 0, 'no-resources', 'medium' FROM p WHERE z % 3 = 0 UNION ALL SELECT repo, 0, 'no-probes', 'low' FROM p
+UNION ALL SELECT repo, 0, 'mutable-image', 'medium' FROM p WHERE z % 5 < 2 UNION ALL SELECT repo, 1, 'wildcard-rbac', 'high' FROM p WHERE z % 7 = 0 UNION ALL SELECT repo, NULL, 'no-network-policy', 'medium' FROM p""")
+def k8s_findings(spark, sf):
+    text = """concat('kind: Deployment\nmetadata:\n  name: d\nspec:\n  containers:\n    - image: app', CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN ':latest' ELSE ':1.2' END, '\n      privileged: ', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '\n',
+CASE WHEN p_size % 3 = 0 THEN '' ELSE '      resources: {}\n' END, '---\nkind: ClusterRole\nmetadata:\n  name: r\nrules:\n  - verbs: [', CASE WHEN p_size % 7 = 0 THEN '"*"' ELSE 'get' END, ']\n')"""
+    return co.k8s_findings(co.k8s_docs(_project(spark, sf, k8s__all_DOT_yaml=text))).select("repo", "doc_no", "rule", "severity")
+
+
+@query("""SELECT concat('p', p_partkey) AS repo, unnest(['GET', 'POST', 'DELETE']) AS method, unnest([concat('/a', p_size % 9), concat('/a', p_size % 9), concat('/b/{id}/', p_size % 4)]) AS route FROM part
+UNION ALL SELECT concat('p', p_partkey), 'GET', concat('/j', p_size % 6) FROM part""")
+def openapi_endpoints(spark, sf):
+    files = _project(
+        spark, sf,
+        api__openapi_DOT_yaml="concat('openapi: 3.0.0\npaths:\n  /a', CAST(p_size % 9 AS string), ':\n    get:\n      x: 1\n    post:\n      x: 1\n  /b/{id}/', CAST(p_size % 4 AS string), ':\n    delete:\n      x: 1\ncomponents:\n    get:\n')",
+        api__swagger_DOT_json="""concat('{"swagger":"2.0","paths":{"/j', CAST(p_size % 6 AS string), '":{"get":{"x":1},"parameters":[]}}}')""",
+    )
+    return co.openapi_endpoints(files).select("repo", "method", "route")
+
+
+@query("""SELECT concat('p', p_partkey) AS repo, unnest(['build', 'ship']) AS job, unnest([false, p_size % 2 = 0]) AS deploys, unnest([p_size % 3 = 0, false]) AS type_checks FROM part""")
+def ci_jobs(spark, sf):
+    text = "concat('on: push\njobs:\n  build:\n    steps:\n      - run: ', CASE WHEN p_size % 3 = 0 THEN 'npx tsc --noEmit' ELSE 'make' END, '\n  ship:\n    steps:\n      - run: ', CASE WHEN p_size % 2 = 0 THEN 'make deploy' ELSE 'make' END, '\n')"
+    made = table(spark, sf, "part").select(F.expr(_OWN).alias("repo"), F.lit(".github/workflows/ci.yml").alias("path"), F.expr(text).alias("content"))
+    return co.ci_jobs(made).select("repo", "job", "deploys", "type_checks")
+
+
+_JSX = """concat('<img src={a} ', CASE WHEN p_size % 2 = 0 THEN '' ELSE 'alt="x" ' END, '/>\n<a href="u" target="_blank" ', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'rel="noopener" ' END, '>t</a>\n<div onClick={() => go(1)} ', CASE WHEN p_size % 5 = 0 THEN '' ELSE 'role="button"' END, '>x</div>')"""
+
+
+def _jsx(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.expr("concat('ui/', CAST(p_partkey AS string), '.jsx')").alias("path"), F.expr(_JSX).alias("content"))
+
+
+_JSX_SQL = """SELECT p_brand AS repo, concat('ui/', p_partkey, '.jsx') AS path, rule, 1 AS n FROM part, (VALUES ('img-no-alt', 2), ('blank-no-opener', 3), ('click-no-role', 5)) AS r(rule, m) WHERE p_size % m = 0"""
+
+
+@query(_JSX_SQL)
+def jsx_findings(spark, sf):
+    return co.jsx_a11y_findings(_jsx(spark, sf))
+
+
+@query(f"""WITH i AS ({_JSX_SQL}), u AS (SELECT p_brand AS repo, count(*) AS ui FROM part GROUP BY p_brand), c AS (SELECT repo, count(*) AS n FROM i GROUP BY repo)
+SELECT u.repo, greatest(5, CAST(floor(100.0 / (1.0 + coalesce(n, 0) / sqrt(ui) / 8.0) + 0.5) AS INTEGER)) AS score FROM u LEFT JOIN c ON u.repo = c.repo""")
+def a11y_scores(spark, sf):
+    return co.a11y_score(co.jsx_a11y_findings(_jsx(spark, sf)), _jsx(spark, sf))
