@@ -1,11 +1,12 @@
 """Line dedup as an exact set-similarity self-join, in DataFrame operations only.
 
-A line is a set of words. Words are ordered by rarity (a byte table of corpus counts by hash bucket gives the level,
-the hash breaks ties) and two sets of Jaccard similarity 0.8 share one of their rarest words: those in a prefix of
-n - ceil(0.8 n) + 1 words. Postings (word, line) of distinct lines are shuffled once by word. Each is first compared
-with the earliest line of its word: in a large group of variants nearly all are settled there. Postings that the
-earliest line doesn't settle meet all earlier ones of their word. The size, positional and bitmap filters stand in the
-join condition; survivors are verified on their words. A line goes if an earlier line is equal or similar.
+A line is a set of words. Words are ordered by rarity (a table of corpus counts by hash bucket gives the level, the hash
+breaks ties). Each word that only one of two lines has breaks at most two pairs of neighbours in its own line's order
+and one in the other's, so lines of Jaccard similarity 0.8 share a pair of neighbours among the first 0.4 n + 1: these
+pairs are the prefix. Postings (pair, line) of distinct lines are shuffled once; those whose pair has company are kept.
+Each is first compared with the earliest line of its pair: in a large group of variants nearly all are settled there.
+Postings that the earliest line doesn't settle meet all earlier ones of their pair. Size and positional filters stand in
+the join condition; survivors are verified on their words. A line goes if an earlier line is equal or similar.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from auditlake.llm.common import row_id, written
 
 TENTHS = 8  # similarity in tenths
 BUCKETS = 1 << 15
-SETTLED_BOUND = 200_000  # rows of (word, line, size, ...) that may be broadcast
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -38,33 +38,35 @@ def _key(body: Column) -> Column:
     return F.xxhash64(body, F.length(body))
 
 
-def _words(body: Column) -> Column:
-    return F.filter(F.split(body, " "), lambda w: w != "")
-
-
-def rarity_table(lines: DataFrame) -> bytearray:
+def rarity_table(lines: DataFrame) -> list[int]:
     """For each hash bucket of words a level from 1 to 127: four times the logarithm of its count over all lines."""
     words = lines.select(F.explode(F.split("body", " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
-    table = bytearray(b"\x01" * BUCKETS)
+    table = [1] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
         table[row["b"]] = min(127, 1 + int(4 * math.log2(row["count"])))
     return table
 
 
-def _ranked(words: Column, table: bytearray) -> Column:
+def _hashes(body: Column) -> Column:
+    return F.array_remove(F.transform(F.split(body, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+
+
+def _ranked(body: Column, table: list[int]) -> Column:
     """The distinct words of a line as numbers whose order is by rarity, then by hash."""
-    level = lambda h: F.ascii(F.substring(F.lit(table), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, 1).cast("string"))
-    low = F.lit((1 << 56) - 1)
-    pack = lambda w: F.shiftleft(level(F.xxhash64(w)).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
-    return F.sort_array(F.array_distinct(F.transform(words, pack)))
+    levels = F.split(F.lit(",".join(str(level << 56) for level in table)), ",").cast("array<bigint>")  # folded to a literal
+    mask, low = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
+    return F.sort_array(F.array_distinct(F.transform(_hashes(body), lambda h: F.get(levels, h.bitwiseAND(mask).cast("int")).bitwiseOR(h.bitwiseAND(low)))))
 
 
-def _bits(ranked: Column, half: int) -> Column:
-    """Half of a 128-bit map of a set of numbers: one bit of a number says which half it is in, six others where."""
-    mine = lambda x: F.shiftright(x, 21).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(half))
-    bit = lambda x: F.call_function("shiftleft", mine(x).cast("long"), F.shiftright(x, 15).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+def _prefix(ranked: Column) -> Column:
+    """Hashes of the first pairs of neighbours, at least one of which any similar line has among its own first ones.
+
+    With o common words of n and m, at most 2 (n - o) + (m - o) <= (2 n - m) / 3 <= 0.4 n pairs are broken. A line of
+    one word has that word for a pair.
+    """
+    first = F.slice(ranked, 1, F.floor(F.size(ranked) * 2 / 5).cast("int") + 1)
+    return F.transform(first, lambda x, i: F.xxhash64(x, F.get(ranked, i + 1)))
 
 
 def _need(nx: Column, ny: Column) -> Column:
@@ -73,67 +75,56 @@ def _need(nx: Column, ny: Column) -> Column:
 
 
 def _may_match(x: Column, y: Column) -> Column:
-    """Size, positional and bitmap filters for a common prefix word at positions x.i and y.i."""
-    need = _need(x["n"], y["n"])
-    room = F.least(x["i"], y["i"]) + 1 + F.least(x["n"] - x["i"], y["n"] - y["i"]) - 1
-    apart = lambda a, b: F.bit_count(a["b0"].bitwiseAND(F.bitwise_not(b["b0"]))) + F.bit_count(a["b1"].bitwiseAND(F.bitwise_not(b["b1"])))
-    return (
-        (10 * x["n"] >= TENTHS * y["n"]) & (10 * y["n"] >= TENTHS * x["n"]) & (room >= need)
-        & (apart(x, y) <= x["n"] - need) & (apart(y, x) <= y["n"] - need)
-    )
+    """Size and positional filters for a common pair of neighbours at x.i and y.i."""
+    room = F.least(x["i"], y["i"]) + F.least(x["n"] - x["i"], y["n"] - y["i"])
+    return (10 * x["n"] >= TENTHS * y["n"]) & (10 * y["n"] >= TENTHS * x["n"]) & (room >= _need(x["n"], y["n"]))
 
 
-def distinct_lines(lines: DataFrame, table: bytearray) -> DataFrame:
-    """One row for each line text: key, its first place (doc, line), n words, prefix and bitmaps."""
-    ranked = lines.select("doc", "line", _key(F.col("body")).alias("key"), _ranked(_words(F.col("body")), table).alias("r"))
-    prefix = F.slice("r", 1, F.size("r") - F.ceil(F.size("r") * TENTHS / 10).cast("int") + 1)
-    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), prefix.alias("prefix"), _bits(F.col("r"), 0).alias("b0"), _bits(F.col("r"), 1).alias("b1"))
-    return slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", "b0", "b1")])
+def postings(lines: DataFrame, table: list[int]) -> DataFrame:
+    """(t, doc, line, n, i): pair of neighbours t at i among n words, for the first place of each line text; t has company."""
+    ranked = lines.select("doc", "line", _key(F.col("body")).alias("key"), _ranked(F.col("body"), table).alias("r"))
+    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), _prefix(F.col("r")).alias("prefix"))
+    firsts = slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    posts = firsts.select("at.doc", "at.line", "n", F.posexplode("prefix").alias("i", "t"))
+    together = posts.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1")
+    return together.select("t", "doc", "line", "n", "i")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Those (x, y) places whose lines have Jaccard similarity 0.8 or more; words are compared, not maps."""
+    """Those (x, y) places whose lines have Jaccard similarity 0.8 or more; words are compared, not pairs."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
-    wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line").alias("lines"))
-    texts = docs.select(row_id(doc_id, text).alias("doc"), _spaced(F.col(text)).alias("_t"))
-    bodies = F.transform(F.col("lines"), lambda k: F.struct(k.alias("line"), F.element_at(F.split("_t", "\n", -1), k + 1).alias("body")))
-    found = texts.join(wanted, "doc").select("doc", F.explode(bodies).alias("b"))
-    sets = written(found.select(F.struct("doc", F.col("b.line").alias("line")).alias("at"), F.array_distinct(F.transform(_words(F.col("b.body")), lambda w: F.xxhash64(w))).alias("s")).dropDuplicates(["at"]))
+    wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line").alias("wanted"))
+    texts = docs.select(row_id(doc_id, text).alias("doc"), _spaced(F.col(text)).alias("_t")).join(wanted, "doc")
+    found = texts.select("doc", "wanted", F.posexplode(F.split("_t", "\n", -1)).alias("line", "body")).where(F.array_contains("wanted", F.col("line")))
+    sets = written(found.select(F.struct("doc", "line").alias("at"), F.array_distinct(_hashes(F.col("body"))).alias("s")).dropDuplicates(["at"]))
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("at").alias("y"), F.col("s").alias("sy")), "y")
     return both.where(F.size(F.array_intersect("sx", "sy")) >= _need(F.size("sx"), F.size("sy"))).select("x", "y")
 
 
-def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place `at`, and (x, y): x a first place, y a similar one before it).
+def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(x, y): x the first place of a line text, y that of a similar one before it.
 
     Every x that has a similar line before it occurs; not all of its y do.
     """
-    table = rarity_table(_lines(docs, text, doc_id))
-    firsts = written(distinct_lines(_lines(docs, text, doc_id), table))
-    # one shuffle for all three uses: each takes all columns, so that the exchange is the same
-    posts = firsts.select("at", "n", "b0", "b1", F.posexplode("prefix").alias("i", "t")).where(" and ".join(f"{c} is not null" for c in ("t", "at", "n", "b0", "b1", "i"))).repartition("t")
-    fields = F.struct("at", "n", "i", "b0", "b1")
-    w = Window.partitionBy("t").orderBy("at")
-    seen = posts.select("t", fields.alias("p"), F.first(fields).over(w).alias("head"))
-    later = seen.where(F.col("p.at") > F.col("head.at"))
-    settled = _may_match(F.col("p"), F.col("head"))
-    x, y = later.where(~settled).select("t", "p").alias("x"), posts.select("t", fields.alias("p")).alias("y")
-    meets = (F.col("x.t") == F.col("y.t")) & (F.col("x.p.at") > F.col("y.p.at")) & _may_match(F.col("x.p"), F.col("y.p"))
-    rest = x.join(y, meets).select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y"), F.lit(False).alias("by_head"))
-    heads = later.where(settled).select(F.col("p.at").alias("x"), F.col("head.at").alias("y"), F.lit(True).alias("by_head"))
-    pairs = written(rest.union(heads).groupBy("x", "y").agg(F.max("by_head").alias("by_head")))
+    lines = _lines(docs, text, doc_id)
+    posts = written(postings(lines, rarity_table(lines))).select("t", F.struct(F.struct("doc", "line").alias("at"), "n", "i").alias("p"))
+    heads = posts.groupBy("t").agg(F.min("p").alias("head"))
+    later = written(posts.join(heads, "t").where(F.col("p.at") > F.col("head.at")).withColumn("settled", _may_match(F.col("p"), F.col("head"))))
+
+    def met(some: DataFrame) -> DataFrame:
+        a, b = some.alias("a"), posts.alias("b")
+        earlier = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.p.at") > F.col("b.p.at")) & _may_match(F.col("a.p"), F.col("b.p")))
+        return earlier.select(F.col("a.p.at").alias("x"), F.col("b.p.at").alias("y"))
+
+    by_head = later.where("settled").select(F.col("p.at").alias("x"), F.col("head.at").alias("y"), F.lit(True).alias("by_head"))
+    rest = met(later.where("not settled").select("t", "p")).withColumn("by_head", F.lit(False))
+    pairs = written(rest.union(by_head).groupBy("x", "y").agg(F.max("by_head").alias("by_head")))
     good = written(_verified(docs, pairs.select("x", "y"), text, doc_id))
-    # lines that only an earliest line had settled, wrongly: they meet all earlier lines of their words after all
+    # lines that only an earliest line had settled, wrongly: they meet all earlier lines of their pairs after all
     again = written(pairs.where("by_head").select("x").distinct().join(good.select("x").distinct(), "x", "left_anti"))
-    n = again.count()
-    if n:
-        small = (lambda df: F.broadcast(df)) if n <= SETTLED_BOUND else (lambda df: df)
-        left = posts.join(small(again.withColumnRenamed("x", "at")), "at", "left_semi")
-        a, b = left.select("t", fields.alias("p")).alias("a"), posts.select("t", fields.alias("p")).alias("b")
-        more = b.join(small(a), (F.col("a.t") == F.col("b.t")) & (F.col("a.p.at") > F.col("b.p.at")) & _may_match(F.col("a.p"), F.col("b.p")))
-        late = written(more.select(F.col("a.p.at").alias("x"), F.col("b.p.at").alias("y")).distinct())
-        good = good.union(_verified(docs, late, text, doc_id))
-    return firsts, good
+    missed = later.where("settled").join(again, F.col("p.at") == F.col("x"), "left_semi").select("t", "p")
+    late = written(met(missed).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
+    return good.union(_verified(docs, late, text, doc_id))
 
 
 def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -141,12 +132,11 @@ def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     doc is row_id(): documents without an id count by their text. Earlier: smaller doc, then smaller line number.
     """
-    firsts, near = similar_earlier(docs, text, doc_id)
-    marks = near.groupBy(F.col("x").alias("at")).agg(F.min("y").alias("like"))
-    status = firsts.select("key", "at").join(marks, "at", "left").select("key", "at", "like")
-    lines = _lines(docs, text, doc_id).select("doc", "line", _key(F.col("body")).alias("key"))
+    near = similar_earlier(docs, text, doc_id).groupBy(F.col("x").alias("at")).agg(F.min("y").alias("like"))
+    places = written(_lines(docs, text, doc_id).select("doc", "line", _key(F.col("body")).alias("key")))
+    status = places.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at")).join(near, "at", "left")
     verdict = F.when(F.struct("doc", "line") != F.col("at"), "copy").when(F.col("like").isNotNull(), "similar").otherwise("keep")
-    return lines.join(status, "key").select("doc", "line", verdict.alias("verdict"))
+    return places.join(status, "key").select("doc", "line", verdict.alias("verdict"))
 
 
 def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
