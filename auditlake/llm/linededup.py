@@ -5,8 +5,8 @@ breaks ties). Each word that only one of two lines has breaks at most two pairs
 and one in the other's, so lines of Jaccard similarity 0.8 share a pair of neighbours among the first 0.4 n + 1: these
 pairs are the prefix. Postings (pair, line) of distinct lines are shuffled once; those whose pair has company are kept.
 Each is first compared with the earliest line of its pair: in a large group of variants nearly all are settled there.
-Postings that the earliest line doesn't settle meet all earlier ones of their pair. Size and positional filters stand in
-the join condition; survivors are verified on their words. A line goes if an earlier line is equal or similar.
+Postings that the earliest line doesn't settle meet all earlier ones of their pair. Size, positional and bitmap filters
+stand in the join condition; survivors are verified on their words. A line goes if an earlier line is equal or similar.
 """
 
 from __future__ import annotations
@@ -69,25 +69,33 @@ def _prefix(ranked: Column) -> Column:
     return F.transform(first, lambda x, i: F.xxhash64(x, F.get(ranked, i + 1)))
 
 
+def _map(ranked: Column) -> Column:
+    """A 64-bit map of a set of numbers in which each number turns one bit over: two maps differ in no more bits than the sets in numbers."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _need(nx: Column, ny: Column) -> Column:
     """The least number of common words: ceil(t / (1 + t) * (nx + ny))."""
     return F.ceil(F.lit(TENTHS) * (nx + ny) / F.lit(10 + TENTHS)).cast("int")
 
 
 def _may_match(x: Column, y: Column) -> Column:
-    """Size and positional filters for a common pair of neighbours at x.i and y.i."""
+    """Size, positional and bitmap filters for a common pair of neighbours at x.i and y.i."""
+    need = _need(x["n"], y["n"])
     room = F.least(x["i"], y["i"]) + F.least(x["n"] - x["i"], y["n"] - y["i"])
-    return (10 * x["n"] >= TENTHS * y["n"]) & (10 * y["n"] >= TENTHS * x["n"]) & (room >= _need(x["n"], y["n"]))
+    near = F.bit_count(x["b"].bitwiseXOR(y["b"])) <= x["n"] + y["n"] - 2 * need
+    return (10 * x["n"] >= TENTHS * y["n"]) & (10 * y["n"] >= TENTHS * x["n"]) & (room >= need) & near
 
 
 def postings(lines: DataFrame, table: list[int]) -> DataFrame:
-    """(t, doc, line, n, i): pair of neighbours t at i among n words, for the first place of each line text; t has company."""
+    """(t, doc, line, n, i, b): pair of neighbours t at i among n words with map b, for the first place of each line text; t has company."""
     ranked = lines.select("doc", "line", _key(F.col("body")).alias("key"), _ranked(F.col("body"), table).alias("r"))
-    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), _prefix(F.col("r")).alias("prefix"))
-    firsts = slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = firsts.select("at.doc", "at.line", "n", F.posexplode("prefix").alias("i", "t"))
+    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), _map(F.col("r")).alias("b"), _prefix(F.col("r")).alias("prefix"))
+    firsts = slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "b", "prefix")])
+    posts = firsts.select("at.doc", "at.line", "n", "b", F.posexplode("prefix").alias("i", "t"))
     together = posts.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1")
-    return together.select("t", "doc", "line", "n", "i")
+    return together.select("t", "doc", "line", "n", "i", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -107,7 +115,7 @@ def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Every x that has a similar line before it occurs; not all of its y do.
     """
     lines = _lines(docs, text, doc_id)
-    posts = written(postings(lines, rarity_table(lines))).select("t", F.struct(F.struct("doc", "line").alias("at"), "n", "i").alias("p"))
+    posts = written(postings(lines, rarity_table(lines))).select("t", F.struct(F.struct("doc", "line").alias("at"), "n", "i", "b").alias("p"))
     heads = posts.groupBy("t").agg(F.min("p").alias("head"))
     later = written(posts.join(heads, "t").where(F.col("p.at") > F.col("head.at")).withColumn("settled", _may_match(F.col("p"), F.col("head"))))
 
