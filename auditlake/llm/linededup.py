@@ -89,13 +89,17 @@ def _may_match(x: Column, y: Column) -> Column:
 
 
 def postings(lines: DataFrame, table: list[int]) -> DataFrame:
-    """(t, doc, line, n, i, b): pair of neighbours t at i among n words with map b, for the first place of each line text; t has company."""
+    """(t, p, head): pair of neighbours t at i among n words with map b, for the first place of each line text; t has company.
+
+    p and head are (at, n, i, b), head being the earliest of its t.
+    """
     ranked = lines.select("doc", "line", _key(F.col("body")).alias("key"), _ranked(F.col("body"), table).alias("r"))
     slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), _map(F.col("r")).alias("b"), _prefix(F.col("r")).alias("prefix"))
     firsts = slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "b", "prefix")])
-    posts = firsts.select("at.doc", "at.line", "n", "b", F.posexplode("prefix").alias("i", "t"))
-    together = posts.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1")
-    return together.select("t", "doc", "line", "n", "i", "b")
+    flat = firsts.select("at.doc", "at.line", "n", "b", F.posexplode("prefix").alias("i", "t")).repartition("t")  # structs would be shuffled with their padding
+    posts = flat.select("t", F.struct(F.struct("doc", "line").alias("at"), "n", "i", "b").alias("p"))
+    of_t = Window.partitionBy("t")
+    return posts.select("t", "p", F.min("p").over(of_t).alias("head"), F.count(F.lit(1)).over(of_t).alias("lines")).where("lines > 1").drop("lines")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -115,12 +119,11 @@ def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Every x that has a similar line before it occurs; not all of its y do.
     """
     lines = _lines(docs, text, doc_id)
-    posts = written(postings(lines, rarity_table(lines))).select("t", F.struct(F.struct("doc", "line").alias("at"), "n", "i", "b").alias("p"))
-    heads = posts.groupBy("t").agg(F.min("p").alias("head"))
-    later = written(posts.join(heads, "t").where(F.col("p.at") > F.col("head.at")).withColumn("settled", _may_match(F.col("p"), F.col("head"))))
+    posts = written(postings(lines, rarity_table(lines)))
+    later = posts.where(F.col("p.at") > F.col("head.at")).withColumn("settled", _may_match(F.col("p"), F.col("head")))
 
     def met(some: DataFrame) -> DataFrame:
-        a, b = some.alias("a"), posts.alias("b")
+        a, b = some.alias("a"), posts.select("t", "p").alias("b")
         earlier = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.p.at") > F.col("b.p.at")) & _may_match(F.col("a.p"), F.col("b.p")))
         return earlier.select(F.col("a.p.at").alias("x"), F.col("b.p.at").alias("y"))
 
@@ -153,7 +156,7 @@ def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     n_lines counts lines with a word. Null and empty texts have none. Rows of one id and equal texts are one document
     and get equal results. An empty table gives no rows. Other columns are ignored.
     """
-    lines = line_verdicts(docs, text, doc_id).distinct()
+    lines = line_verdicts(docs, text, doc_id).repartition("doc").distinct()
     by = lines.groupBy("doc").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("verdict") == "copy").alias("n_copies"), F.count_if(F.col("verdict") == "similar").alias("n_similar"),
         F.array_sort(F.collect_list(F.when(F.col("verdict") != "keep", F.col("line")))).alias("gone"),
