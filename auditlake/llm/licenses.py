@@ -1,8 +1,10 @@
 """License scans with a positional rare-token index.
 
-The index maps each word of the license templates to the places where it stands. A document's rarest license words (by
-inverse document frequency in this corpus) are looked up; postings whose relative positions agree vote for a template
-at an offset; an alignment counts if enough of the template's rarity agrees and its mandatory phrases are there.
+The index maps each word of the license templates to the places where it stands. A template whose mandatory phrases
+stand in a document is looked up by its own words, the rarest (by inverse document frequency in this corpus) first; each
+posting gives an offset, and an alignment counts if enough of the template's rarity agrees and its mandatory phrases are
+there. The lookups of a template end when an alignment that holds only the words not yet looked up could neither give
+its label nor the best agreement, so the result is that of trying every offset.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("proprietary", "copyright all rights reserved unauthorized copying of this file via any medium is strictly prohibited", ["unauthorized copying"]),
 ]
-LOOKUPS = 24
 AGREE = 0.75
+ROUNDING = 1e-9
 
 
 class TemplateIndex:
@@ -51,32 +53,45 @@ class TemplateIndex:
         self.top = max(idf.values(), default=1.0)
         self.weight = {w: idf.get(w, self.top) for ws in self.words for w in ws}
         self.total = [sum(self.weight[w] for w in ws) for ws in self.words]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.words):
+        self.postings: list[list[tuple[bytes, list[int]]]] = []  # of each template: its words and their positions, rarest first
+        for ws in self.words:
+            at: dict[bytes, list[int]] = defaultdict(list)
             for p, w in enumerate(ws):
-                self.postings[w].append((t, p))
+                at[w].append(p)
+            self.postings.append(sorted(at.items(), key=lambda x: (-self.weight[x[0]], x[0])))
         self.needed = [[p.encode() for p in phrases] for _, _, phrases in TEMPLATES]
+        self.needed_words = [{w for p in phrases for w in p.split()} for phrases in self.needed]
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
-        """Labels of templates that align with the words, and the best agreement."""
+        """Labels of templates that align with the words, and the best agreement, as if every offset were tried."""
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w in self.postings:
+            if w in self.weight:
                 places[w].append(i)
-        rare = sorted(places, key=lambda w: (-self.weight[w], w))[:LOOKUPS]
-        offsets = {(t, i - p) for w in rare[: max(1, len(rare) // 2)] for i in places[w] for t, p in self.postings[w]}
-        labels, best = set(), 0.0
-        for t, offset in offsets:
-            own = self.words[t]
-            same = sum(self.weight[w] for p, w in enumerate(own) if 0 <= p + offset < len(words) and words[p + offset] == w)
-            agree = same / self.total[t]
-            if agree <= best and agree < AGREE:
+        labels, best, joined = set(), 0.0, b""
+        for t, own in enumerate(self.words):
+            if not self.needed_words[t] <= places.keys():
                 continue
-            near = b" " + b" ".join(words[max(0, offset - 2) : offset + len(own) + 2]) + b" "
-            if all(b" " + n + b" " in near for n in self.needed[t]):
-                best = max(best, agree)
-                if agree >= AGREE:
-                    labels.add(TEMPLATES[t][0])
+            joined = joined or b" " + b" ".join(words) + b" "
+            if not all(b" " + n + b" " in joined for n in self.needed[t]):
+                continue
+            left, tried = self.total[t], set()
+            for w, positions in self.postings[t]:
+                if left / self.total[t] < min(AGREE, best) - ROUNDING:
+                    break
+                left -= self.weight[w] * len(positions)
+                offsets = {i - p for i in places.get(w, ()) for p in positions} - tried
+                tried |= offsets
+                for offset in offsets:
+                    same = sum(self.weight[w] for p, w in enumerate(own) if 0 <= p + offset < len(words) and words[p + offset] == w)
+                    agree = same / self.total[t]
+                    if agree <= best and agree < AGREE:
+                        continue
+                    near = b" " + b" ".join(words[max(0, offset - 2) : offset + len(own) + 2]) + b" "
+                    if all(b" " + n + b" " in near for n in self.needed[t]):
+                        best = max(best, agree)
+                        if agree >= AGREE:
+                            labels.add(TEMPLATES[t][0])
         return labels, best
 
 
