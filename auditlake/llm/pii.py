@@ -1,9 +1,10 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what stands beside them.
 
 DataFrame functions only. Spans come from splitting a text at a pattern: the pieces and the matches alternate, so their
-lengths give the positions. Terms next to protected entities are counted against their counts in the whole corpus; a
-term discloses an entity if most of its occurrences stand beside one and its pointwise mutual information with "an
-entity is near" is high. Such terms are generalised where they accompany an entity.
+lengths give the positions. Terms on lines that hold protected entities are counted against their counts in the whole
+corpus; a term discloses an entity if most of its occurrences stand on such lines and its pointwise mutual information
+with "an entity is on the line" is high. Both are estimated with one occurrence at the corpus's rate added, so that
+names that occur once count too. Such terms are generalised wherever they stand, in every text.
 """
 
 from __future__ import annotations
@@ -26,19 +27,19 @@ SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 TERM = len(KINDS)
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-REACH = 40
-SUPPORT, DISCLOSURE, BITS = 5, 0.5, 3.0
+PRIOR, DISCLOSURE, BITS = 1.0, 0.5, 3.0
+HASHES = 1 << 22  # most rows of the table that keeps other words out of the join with the terms
 
 
-def _spans(text: Column, matches: Column, pattern: str, kind: int, shift: Column | int = 0) -> Column:
-    """The matches of one pattern in a text as spans; shift is added to the positions."""
+def _spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
+    """The matches of one pattern in a text as spans."""
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), (begin + shift).alias("start"), (end + shift).alias("stop"), x["hit"].alias("value"))
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("stop"), x["hit"].alias("value"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
     return F.when(F.size(matches) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
@@ -82,33 +83,44 @@ def base_spans(docs: DataFrame, text: str = "text", into: str = "_spans") -> Dat
     return docs.withColumn(into, F.concat(*made)).drop(*[f"_m_{k}" for k in KINDS])
 
 
-def _neighbours(text: Column, spans: Column) -> Column:
-    """Whole words that lie within REACH characters of a span and overlap none, as spans of kind TERM."""
+def _line_words(text: Column, spans: Column) -> Column:
+    """Lower-cased words of the lines that hold a span, those of the spans among them; each line counts once."""
+    begins = F.array_distinct(F.transform(spans, lambda s: s["start"] - F.length(F.substring_index(F.substring(text, F.lit(1), s["start"]), "\n", -1))))
+    lines = F.transform(begins, lambda b: F.substring_index(F.substring(text, b + 1, F.length(text)), "\n", 1))
+    return F.filter(F.flatten(F.transform(lines, lambda x: F.split(F.lower(x), GAPS))), lambda w: w != "")
 
-    def around(s: Column) -> Column:
-        begin = F.greatest(s["start"] - REACH, F.lit(0))
-        piece = F.substring(text, begin + 1, s["stop"] + REACH - begin)
-        hits = F.regexp_extract_all(piece, F.lit(LETTERS), F.lit(0))
-        inner = _spans(piece, hits, LETTERS, TERM, begin)
-        return F.filter(inner, lambda w: ((w["start"] > begin) | (begin == 0)) & ((w["stop"] < s["stop"] + REACH) | (w["stop"] == F.length(text))))
 
-    every = F.array_distinct(F.flatten(F.transform(spans, around)))
-    return F.filter(every, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["stop"]) & (s["start"] < w["stop"])))
+def disclosing_terms(docs: DataFrame, near: DataFrame, text: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
+    """(term, bits): words of which at least a share of `disclosure` of the occurrences in docs is in near.
 
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
-    """(term, bits): words of which at least `disclosure` of the occurrences in docs, and `support` of them, are in near.
-
-    near holds one row (term) for each word beside an entity. All words of all texts are counted.
+    near holds one row (term) for each word on a line with an entity. All words of all texts are counted. The share is
+    estimated with `prior` occurrences at the rate of all words added.
     """
     total = docs.select(F.explode(F.split(F.lower(F.col(text)), GAPS)).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    close = near.groupBy("term").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= support)
+    close = near.groupBy("term").agg(F.count(F.lit(1)).alias("k"))
     sums = total.agg(F.sum("n").alias("all_n"))
     sums_near = near.agg(F.count(F.lit(1)).alias("all_k"))
-    both = close.join(total, "term").where(F.col("k") >= disclosure * F.col("n"))
-    whole = sums.join(F.broadcast(sums_near))  # one row each
-    gain = F.log2(F.col("k") / F.col("n") / (F.col("all_k") / F.col("all_n")))
-    return both.join(F.broadcast(whole)).select("term", gain.alias("bits")).where(F.col("bits") >= bits)
+    whole = sums.join(F.broadcast(sums_near)).select((F.col("all_k") / F.col("all_n")).alias("rate"))  # one row each
+    share = (F.col("k") + prior * F.col("rate")) / (F.col("n") + prior)
+    both = close.join(total, "term").join(F.broadcast(whole)).withColumn("share", share).where(F.col("share") >= disclosure)
+    return both.select("term", F.log2(F.col("share") / F.col("rate")).alias("bits")).where(F.col("bits") >= bits)
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(key, span): spans of kind TERM of every term in every text of docs (key, text), however it is written.
+
+    Words whose hash no term has are dropped before the join; the table of hashes is broadcast, of at most HASHES rows.
+    Each character between words becomes a space, so that the number of spaces before a word leads to its position.
+    """
+    hash_of = F.pmod(F.xxhash64("term"), F.lit(HASHES)).alias("hash")
+    spaced = docs.select("key", F.regexp_replace(text, GAPS[:-1], " ").alias("spaced"))
+    words = spaced.select("key", "spaced", F.posexplode(F.split("spaced", " ")).alias("i", "word")).where("word <> ''")
+    words = words.withColumn("term", F.lower("word")).withColumn("hash", hash_of)
+    likely = words.join(F.broadcast(terms.select(hash_of).distinct()), "hash", "left_semi")
+    start = F.when(F.col("i") == 0, 0).otherwise(F.expr("length(substring_index(spaced, ' ', i)) + 1"))
+    placed = likely.select("key", "term", "word", start.alias("start"))
+    span = F.struct(F.lit(TERM).alias("kind"), "start", (F.col("start") + F.length("word")).alias("stop"), F.col("word").alias("value"))
+    return placed.join(terms.select("term"), "term").select("key", span.alias("span"))
 
 
 def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -120,12 +132,12 @@ def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("hash"))
     slim = docs.select(key.alias("key"), F.col(text).alias("_text"))
     found = base_spans(slim, "_text")
-    near = F.when(F.size("_spans") > 0, _neighbours(F.col("_text"), F.col("_spans"))).otherwise(F.array().cast(SPAN))
+    near = F.when(F.size("_spans") > 0, _line_words(F.col("_text"), F.col("_spans"))).otherwise(F.array().cast("array<string>"))
     found = written(found.select("key", F.col("_spans").alias("base"), near.alias("near")))
-    words = found.where(F.size("near") > 0).select("key", F.explode("near").alias("w")).withColumn("term", F.lower("w.value"))
-    terms = written(disclosing_terms(docs, words.select("term"), text))
-    extra = words.join(terms.select("term"), "term").groupBy("key").agg(F.array_sort(F.collect_set("w")).alias("extra"))
-    spans = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))
+    terms = written(disclosing_terms(docs, found.select(F.explode("near").alias("term")), text))
+    extra = term_spans(slim, terms, "_text").groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("extra"))
+    free = F.filter("extra", lambda w: ~F.exists("base", lambda s: (w["start"] < s["stop"]) & (s["start"] < w["stop"])))
+    spans = F.concat("base", F.coalesce(free, F.array().cast(SPAN)))
     return found.join(extra, "key", "left").select(F.col("key.id").alias("doc_id"), F.col("key.hash").alias("text_hash"), "base", spans.alias("spans"))
 
 
