@@ -20,7 +20,6 @@ SCHEMA = (
     "in_loop boolean, in_all boolean, in_try boolean, func string, cc int"
 )
 JS_PATH = r"\.(js|jsx|mjs|cjs|ts|tsx)$"
-MAX_ARGUMENT = 400  # characters of a call's arguments that a row carries
 
 # Names that make a value safe, array methods whose callback repeats, sources of a request's data.
 SANITIZERS = {
@@ -152,7 +151,7 @@ def js_rows(text: str) -> Iterator[dict]:
                 calls = [p for p in stack if p.kind == "call"]
                 line_start = starts[o.line - 1]
                 yield {
-                    "kind": "call", "line": o.line, "col": max(0, o.pos - 1 - len(o.name) - line_start), "name": o.name, "value": args[:MAX_ARGUMENT], "n_args": 0 if not args.strip() else o.commas + 1,
+                    "kind": "call", "line": o.line, "col": max(0, o.pos - 1 - len(o.name) - line_start), "name": o.name, "value": args, "n_args": 0 if not args.strip() else o.commas + 1,
                     "arg_kind": _argument_kind(first), "taint": dirty, "sanitized": any(c in SANITIZERS for c in re.findall(r"([A-Za-z_$][\w$.]*)\s*\(", first)),
                     "in_loop": any(p.kind == "loop" for p in stack) or any(p.name.rsplit(".", 1)[-1] in REPEATING and "." in p.name for p in calls), "in_all": any(p.name == "Promise.all" for p in calls),
                     "in_try": any(p.kind == "try" for p in stack), "func": near.name,
