@@ -117,10 +117,14 @@ def missing_controls(deps: DataFrame) -> DataFrame:
 
 
 def table_header_findings(files: DataFrame) -> DataFrame:
-    """(repo, path, n): tables without a header cell before their close."""
-    tables = F.regexp_extract_all("content", F.lit(r"(?is)(<table\b.{0,40000}?</table>)"), F.lit(1))
-    bare = F.size(F.filter(tables, lambda t: ~t.rlike(r"(?i)<th\b|role=.?columnheader")))
-    return files.where(F.contains(F.lower("content"), F.lit("<table"))).select("repo", "path", bare.cast("long").alias("n")).where("n > 0")
+    """(repo, path, n): tables without a header cell before the first close after them, or the text's end.
+
+    In a text between two closes, these are the tables that open after the last header cell.
+    """
+    after = lambda part: F.element_at(F.split(part, r"(?i)<th\b|role=.?columnheader", -1), -1)
+    bare = F.transform(F.split("content", "(?i)</table>", -1), lambda part: F.regexp_count(after(part), F.lit(r"(?i)<table\b")).cast("long"))
+    n = F.aggregate(bare, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return files.where(F.contains(F.lower("content"), F.lit("<table"))).select("repo", "path", n.alias("n")).where("n > 0")
 
 
 def visual_flags(files: DataFrame) -> DataFrame:

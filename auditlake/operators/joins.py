@@ -102,10 +102,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def rule_findings(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """User rules as data: the callee is listed, or matches the rule's pattern; arguments match the rule's, if it has one.
 
-    rules is a table of a few rows that users write; it is broadcast behind that bound.
+    Listed callees are an equi join, patterns a join of every call with the rules that have one; all rules are used.
     """
-    r = F.broadcast(rules.limit(1000))
-    listed = F.array_contains(F.col("callees"), F.col("callee"))
-    pattern = F.col("callee_regex").isNotNull() & F.expr("callee rlike callee_regex")
     argument = F.col("arg_regex").isNull() | F.expr("args_text rlike arg_regex")
-    return calls.join(r, (listed | pattern) & argument).select("repo", "path", "line", "rule", "severity")
+    listed = F.coalesce(F.array_contains(F.col("callees"), F.col("callee")), F.lit(False))
+    by_name = calls.join(rules.withColumn("callee", F.explode(F.array_distinct("callees"))), "callee").where(argument)
+    by_pattern = calls.join(rules.where("callee_regex is not null"), F.expr("callee rlike callee_regex") & ~listed & argument)
+    out = ["repo", "path", "line", "rule", "severity"]
+    return by_name.select(*out).unionByName(by_pattern.select(*out))
