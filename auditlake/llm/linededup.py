@@ -1,12 +1,15 @@
 """Line dedup as an exact set-similarity self-join, in DataFrame operations only.
 
 A line is a set of words. Words are ordered by rarity (a table of corpus counts by hash bucket gives the level, the hash
-breaks ties). Each word that only one of two lines has breaks at most two pairs of neighbours in its own line's order
-and one in the other's, so lines of Jaccard similarity 0.8 share a pair of neighbours among the first 0.4 n + 1: these
-pairs are the prefix. Postings (pair, line) of distinct lines are shuffled once; those whose pair has company are kept.
-Each is first compared with the earliest line of its pair: in a large group of variants nearly all are settled there.
-Postings that the earliest line doesn't settle meet all earlier ones of their pair. Size, positional and bitmap filters
-stand in the join condition; survivors are verified on their words. A line goes if an earlier line is equal or similar.
+breaks ties). Each word that only one of two lines has breaks at most three runs of three neighbours in its own line's
+order and two in the other's, so lines of Jaccard similarity 0.8 share a run of three among the first 0.6 n + 1: these
+runs are the prefix. Runs of three have no company by chance where single words and pairs of a fixed vocabulary have, so
+that candidates follow the number of similar lines and not the square of the input.
+
+Postings (run, line) of distinct lines are shuffled once; those whose run has company are kept. Of the earliest lines of
+its runs, each line is first compared with the one that most of its runs have: in a large group of variants nearly all
+are settled there. Lines that this does not settle meet all earlier lines of their runs. Size and positional filters
+stand before each comparison; what is left is verified on its words. A line goes if an earlier line is equal or similar.
 """
 
 from __future__ import annotations
@@ -20,12 +23,8 @@ from auditlake.llm.common import row_id, written
 
 TENTHS = 8  # similarity in tenths
 BUCKETS = 1 << 15
-
-
-def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, line, body): every line that holds a word, numbered from 0 in its document."""
-    lines = docs.select(row_id(doc_id, text).alias("doc"), F.posexplode(F.split(_spaced(F.col(text)), "\n", -1)).alias("line", "body"))
-    return lines.where(F.trim("body") != "")
+MARKS = 1 << 20  # most rows of the tables of hashes that keep lines out of a shuffle
+FULL = (1 << 16) - 1  # sizes and positions of that and more are not told apart; the filters let such lines pass
 
 
 def _spaced(text: Column) -> Column:
@@ -34,13 +33,40 @@ def _spaced(text: Column) -> Column:
     return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
 
 
-def _key(body: Column) -> Column:
-    return F.xxhash64(body, F.length(body))
+def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc, variant, hash, body), one row for each id and text of docs; doc is row_id(), hash the text's.
+
+    Different texts of one id are told apart by variant, their rank by hash. Where no id occurs twice (a count by id
+    tells), all variants are 0 and no text is shuffled.
+    """
+    rows = docs.select(row_id(doc_id, text).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("body"))
+    zero = F.lit(0).cast("long")
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+        return rows.withColumn("variant", zero)
+    slim = rows.groupBy("doc", "hash").count()
+    several = slim.groupBy("doc").count().where("count > 1").select("doc")
+    ranks = slim.join(several, "doc").select("doc", "hash", (F.dense_rank().over(Window.partitionBy("doc").orderBy("hash")) - 1).cast("long").alias("variant"))
+    return written(rows.groupBy("doc", "hash").agg(F.first("body").alias("body")).join(ranks, ["doc", "hash"], "left").withColumn("variant", F.coalesce("variant", zero)))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc, variant, k, line): every line that holds a word; k is its number in the text, from 0."""
+    lines = rows.select("doc", "variant", F.posexplode(F.split(_spaced(F.col("body")), "\n", -1)).alias("k", "line"))
+    return lines.where(F.trim("line") != "")
 
 
-def rarity_table(lines: DataFrame) -> list[int]:
-    """For each hash bucket of words a level from 1 to 127: four times the logarithm of its count over all lines."""
-    words = lines.select(F.explode(F.split("body", " ")).alias("w")).where("w <> ''")
+def _keys(line: Column) -> list[Column]:
+    """128 bits that stand for a line's text."""
+    return [F.xxhash64(line).alias("key"), F.xxhash64(F.lit(1), line).alias("key2")]
+
+
+def _marks(*cols: Column | str) -> Column:
+    return F.xxhash64(*cols).bitwiseAND(F.lit(MARKS - 1)).alias("mark")
+
+
+def rarity_table(rows: DataFrame) -> list[int]:
+    """For each hash bucket of words a level from 1 to 127: four times the logarithm of its count over all texts."""
+    words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("body")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     table = [1] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
@@ -48,31 +74,15 @@ def rarity_table(lines: DataFrame) -> list[int]:
     return table
 
 
-def _hashes(body: Column) -> Column:
-    return F.array_remove(F.transform(F.split(body, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+def _hashes(line: Column) -> Column:
+    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def _ranked(body: Column, table: list[int]) -> Column:
+def _ranked(line: Column, table: list[int]) -> Column:
     """The distinct words of a line as numbers whose order is by rarity, then by hash."""
     levels = F.split(F.lit(",".join(str(level << 56) for level in table)), ",").cast("array<bigint>")  # folded to a literal
-    mask, low = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
-    return F.sort_array(F.array_distinct(F.transform(_hashes(body), lambda h: F.get(levels, h.bitwiseAND(mask).cast("int")).bitwiseOR(h.bitwiseAND(low)))))
-
-
-def _prefix(ranked: Column) -> Column:
-    """Hashes of the first pairs of neighbours, at least one of which any similar line has among its own first ones.
-
-    With o common words of n and m, at most 2 (n - o) + (m - o) <= (2 n - m) / 3 <= 0.4 n pairs are broken. A line of
-    one word has that word for a pair.
-    """
-    first = F.slice(ranked, 1, F.floor(F.size(ranked) * 2 / 5).cast("int") + 1)
-    return F.transform(first, lambda x, i: F.xxhash64(x, F.get(ranked, i + 1)))
-
-
-def _map(ranked: Column) -> Column:
-    """A 64-bit map of a set of numbers in which each number turns one bit over: two maps differ in no more bits than the sets in numbers."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
 def _need(nx: Column, ny: Column) -> Column:
@@ -81,103 +91,139 @@ def _need(nx: Column, ny: Column) -> Column:
 
 
 def _may_match(x: Column, y: Column) -> Column:
-    """Size, positional and bitmap filters for a common pair of neighbours at x.i and y.i."""
-    need = _need(x["n"], y["n"])
-    room = F.least(x["i"], y["i"]) + F.least(x["n"] - x["i"], y["n"] - y["i"])
-    near = F.bit_count(x["b"].bitwiseXOR(y["b"])) <= x["n"] + y["n"] - 2 * need
-    return (10 * x["n"] >= TENTHS * y["n"]) & (10 * y["n"] >= TENTHS * x["n"]) & (room >= need) & near
-
+    """Size and positional filters for a common run of three; the low 32 bits of x and y are size and position, 16 bits each."""
+    nx, ny = (F.shiftright(c, 16).bitwiseAND(F.lit(FULL)) for c in (x, y))
+    ix, iy = (c.bitwiseAND(F.lit(FULL)) for c in (x, y))
+    room = F.least(ix, iy) + F.least(nx - ix, ny - iy)
+    return (F.greatest(nx, ny) == FULL) | (10 * nx >= TENTHS * ny) & (10 * ny >= TENTHS * nx) & (room >= _need(nx, ny))
 
-def postings(lines: DataFrame, table: list[int]) -> DataFrame:
-    """(t, p, head): pair of neighbours t at i among n words with map b, for the first place of each line text; t has company.
 
-    p and head are (at, n, i, b), head being the earliest of its t.
-    """
-    ranked = lines.select("doc", "line", _key(F.col("body")).alias("key"), _ranked(F.col("body"), table).alias("r"))
-    slim = ranked.select("key", "doc", "line", F.size("r").alias("n"), _map(F.col("r")).alias("b"), _prefix(F.col("r")).alias("prefix"))
-    firsts = slim.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "b", "prefix")])
-    flat = firsts.select("at.doc", "at.line", "n", "b", F.posexplode("prefix").alias("i", "t")).repartition("t")  # structs would be shuffled with their padding
-    posts = flat.select("t", F.struct(F.struct("doc", "line").alias("at"), "n", "i", "b").alias("p"))
-    of_t = Window.partitionBy("t")
-    return posts.select("t", "p", F.min("p").over(of_t).alias("head"), F.count(F.lit(1)).over(of_t).alias("lines")).where("lines > 1").drop("lines")
+def _before(a: str, b: str) -> Column:
+    """Whether line a comes before line b."""
+    place = lambda x: F.struct(f"{x}.doc", f"{x}.variant", F.shiftright(f"{x}.at", 32).alias("k"))
+    return place(a) < place(b)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Those (x, y) places whose lines have Jaccard similarity 0.8 or more; words are compared, not pairs."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
-    wanted = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.line").alias("wanted"))
-    texts = docs.select(row_id(doc_id, text).alias("doc"), _spaced(F.col(text)).alias("_t")).join(wanted, "doc")
-    found = texts.select("doc", "wanted", F.posexplode(F.split("_t", "\n", -1)).alias("line", "body")).where(F.array_contains("wanted", F.col("line")))
-    sets = written(found.select(F.struct("doc", "line").alias("at"), F.array_distinct(_hashes(F.col("body"))).alias("s")).dropDuplicates(["at"]))
-    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("at").alias("y"), F.col("s").alias("sy")), "y")
-    return both.where(F.size(F.array_intersect("sx", "sy")) >= _need(F.size("sx"), F.size("sy"))).select("x", "y")
+def _place(x: str = "") -> Column:
+    """(doc, variant, k) of a posting."""
+    return F.struct(F.col(f"{x}doc").alias("doc"), F.col(f"{x}variant").alias("variant"), F.shiftright(f"{x}at", 32).cast("int").alias("k"))
 
 
-def similar_earlier(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(x, y): x the first place of a line text, y that of a similar one before it.
+def postings(lines: DataFrame, places: DataFrame, table: list[int]) -> DataFrame:
+    """(t, doc, variant, at): the runs of three t in the prefix of the first place of each line text.
 
-    Every x that has a similar line before it occurs; not all of its y do.
+    at holds the line's number, its number of words and the position of the run: 32, 16 and 16 bits. With o common words
+    of n and m, at most 3 (n - o) + 2 (m - o) <= (7 n - 2 m) / 9 <= 0.6 n runs of n are broken; runs at the end are
+    shorter. Only lines whose text may stand elsewhere, going by a broadcast table of at most MARKS hashes, are shuffled
+    by text to find the first place; once that table is full, all lines are.
     """
-    lines = _lines(docs, text, doc_id)
-    posts = written(postings(lines, rarity_table(lines)))
-    later = posts.where(F.col("p.at") > F.col("head.at")).withColumn("settled", _may_match(F.col("p"), F.col("head")))
-
-    def met(some: DataFrame) -> DataFrame:
-        a, b = some.alias("a"), posts.select("t", "p").alias("b")
-        earlier = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.p.at") > F.col("b.p.at")) & _may_match(F.col("a.p"), F.col("b.p")))
-        return earlier.select(F.col("a.p.at").alias("x"), F.col("b.p.at").alias("y"))
-
-    by_head = later.where("settled").select(F.col("p.at").alias("x"), F.col("head.at").alias("y"), F.lit(True).alias("by_head"))
-    rest = met(later.where("not settled").select("t", "p")).withColumn("by_head", F.lit(False))
-    pairs = written(rest.union(by_head).groupBy("x", "y").agg(F.max("by_head").alias("by_head")))
-    good = written(_verified(docs, pairs.select("x", "y"), text, doc_id))
-    # lines that only an earliest line had settled, wrongly: they meet all earlier lines of their pairs after all
-    again = written(pairs.where("by_head").select("x").distinct().join(good.select("x").distinct(), "x", "left_anti"))
-    missed = later.where("settled").join(again, F.col("p.at") == F.col("x"), "left_semi").select("t", "p")
-    late = written(met(missed).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
-    return good.union(_verified(docs, late, text, doc_id))
+    copied = F.broadcast(places.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_marks("key")).distinct())
+    keyed = lines.select("doc", "variant", "k", "line", *_keys(F.col("line"))).withColumn("mark", _marks("key"))
+    alone = keyed.join(copied, "mark", "left_anti").select("doc", "variant", "k", "line")
+    firsts = keyed.join(copied, "mark", "left_semi").groupBy("key", "key2").agg(F.min(F.struct("doc", "variant", "k")).alias("p"), F.first("line").alias("line"))
+    ranked = alone.union(firsts.select("p.*", "line")).select("doc", "variant", "k", _ranked(F.col("line"), table).alias("r"))
+    last = F.floor(F.col("n") * 3 / 5).cast("int")
+    slim = ranked.select("doc", "variant", "k", F.size("r").alias("n"), "r").select("doc", "variant", "k", "n", F.slice("r", 1, last + 3).alias("r"))
+    runs = slim.select("doc", "variant", "k", "n", "r", F.explode(F.sequence(F.lit(0), F.least(last, F.col("n") - 1))).alias("i"))
+    t = F.xxhash64(*[F.get("r", F.col("i") + j) for j in range(3)])
+    at = F.shiftleft(F.col("k").cast("long"), 32) + F.shiftleft(F.least("n", F.lit(FULL)), 16) + F.least("i", F.lit(FULL))
+    return runs.select("variant", at.alias("at"), t.alias("t"), "doc")
+
+
+def in_company(posts: DataFrame) -> DataFrame:
+    """posts whose run another line has too, each with the earliest posting of its run: (t, doc, variant, at, head)."""
+    of_t = Window.partitionBy("t")
+    some = posts.withColumn("lines", F.count(F.lit(1)).over(of_t)).where("lines > 1").drop("lines")
+    return some.withColumn("head", F.min(F.struct("doc", "variant", "at")).over(of_t))
+
+
+def _word_sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p, words) of the lines at the wanted places p. A broadcast table of at most MARKS hashes keeps most others out of the shuffle."""
+    at = ["doc", "variant", "k"]
+    likely = lines.withColumn("mark", _marks(*at)).join(F.broadcast(wanted.select(_marks("p.doc", "p.variant", "p.k")).distinct()), "mark", "left_semi")
+    found = likely.join(wanted.select("p.*"), at, "left_semi")
+    return found.select(F.struct(*at).alias("p"), F.array_distinct(_hashes(F.col("line"))).alias("words"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The x of those (x, y) whose lines have Jaccard similarity 0.8 or more, one row each."""
+    both = pairs.join(sets.select(F.col("p").alias("x"), F.col("words").alias("sx")), "x").join(sets.select(F.col("p").alias("y"), F.col("words").alias("sy")), "y")
+    need, nx, ny = _need(F.size("sx"), F.size("sy")), F.size("sx"), F.size("sy")
+    return both.where((F.least(nx, ny) >= need) & (F.size(F.array_intersect("sx", "sy")) >= need)).select("x").distinct()
+
+
+def similar_to_earlier(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(x): the first place (doc, variant, k) of every line text to which a different line text before it is similar."""
+    lines = _lines(rows)
+    company = written(in_company(postings(lines, places, rarity_table(rows))))
+    sets = written(_word_sets(lines, company.select(_place().alias("p")).distinct()))
+    later = company.alias("a").where(_before("head", "a"))
+    heads = later.where(_may_match(F.col("at"), F.col("head.at"))).groupBy(_place().alias("x"), _place("head.").alias("y")).count()
+    first = heads.groupBy("x").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("y"))  # of equal counts the earliest
+    settled = written(_verified(first, sets))
+    rest = later.withColumn("x", _place()).join(settled, "x", "left_anti")
+    met = rest.alias("a").join(company.alias("b"), (F.col("a.t") == F.col("b.t")) & _before("b", "a") & _may_match(F.col("a.at"), F.col("b.at")))
+    pairs = met.select("x", _place("b.").alias("y")).distinct()
+    return settled.union(_verified(pairs, sets))
+
+
+def _verdicts(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: numbered(docs); places: (doc, variant, k, key, key2) of every line with a word; gone: (doc, variant, k, verdict) of lines that go."""
+    rows = numbered(docs, text, doc_id)
+    places = written(_lines(rows).select("doc", "variant", "k", *_keys(F.col("line"))))
+    similar = similar_to_earlier(rows, places).select("x.*", F.lit("similar").alias("verdict"))
+    place = F.struct("doc", "variant", "k")
+    firsts = places.groupBy("key", "key2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = places.join(firsts, ["key", "key2"]).where(place != F.col("p")).select("doc", "variant", "k", F.lit("copy").alias("verdict"))
+    return rows, places, written(similar.union(copies))
 
 
 def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc, line, verdict) for every line with a word: 'keep', 'copy' (equal to an earlier line) or 'similar'.
+    """(doc, variant, k, verdict) for every line k with a word: 'keep', 'copy' (equal to an earlier line) or 'similar'.
 
-    doc is row_id(): documents without an id count by their text. Earlier: smaller doc, then smaller line number.
+    doc is row_id(): documents without an id count by their text. Earlier: smaller doc, then smaller line number. Of
+    different texts with one id, the one of smaller hash comes first; their lines stay apart (variant 0, 1, ...).
     """
-    near = similar_earlier(docs, text, doc_id).groupBy(F.col("x").alias("at")).agg(F.min("y").alias("like"))
-    places = written(_lines(docs, text, doc_id).select("doc", "line", _key(F.col("body")).alias("key")))
-    status = places.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at")).join(near, "at", "left")
-    verdict = F.when(F.struct("doc", "line") != F.col("at"), "copy").when(F.col("like").isNotNull(), "similar").otherwise("keep")
-    return places.join(status, "key").select("doc", "line", verdict.alias("verdict"))
+    _, places, gone = _verdicts(docs, text, doc_id)
+    return places.join(gone, ["doc", "variant", "k"], "left").select("doc", "variant", "k", F.coalesce("verdict", F.lit("keep")).alias("verdict"))
+
+
+def _by_text(gone: DataFrame) -> DataFrame:
+    """(doc, variant, n_copies, n_similar, gone): line numbers in order; no text has more than its lines."""
+    return gone.groupBy("doc", "variant").agg(
+        F.count_if(F.col("verdict") == "copy").alias("n_copies"), F.count_if(F.col("verdict") == "similar").alias("n_similar"), F.array_sort(F.collect_list("k")).alias("gone")
+    )
 
 
 def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_lines, n_copies, n_similar, removed) for each row of docs; removed: line numbers, sorted, comma-joined.
 
     n_lines counts lines with a word. Null and empty texts have none. Rows of one id and equal texts are one document
-    and get equal results. An empty table gives no rows. Other columns are ignored.
+    and get equal results; different texts of one id are judged each for itself. An empty table gives no rows. Other
+    columns are ignored.
     """
-    lines = line_verdicts(docs, text, doc_id).repartition("doc").distinct()
-    by = lines.groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("verdict") == "copy").alias("n_copies"), F.count_if(F.col("verdict") == "similar").alias("n_similar"),
-        F.array_sort(F.collect_list(F.when(F.col("verdict") != "keep", F.col("line")))).alias("gone"),
-    )
-    ids = docs.select(F.col(doc_id).alias("doc_id"), row_id(doc_id, text).alias("doc"))
+    rows, places, gone = _verdicts(docs, text, doc_id)
+    lines = places.groupBy("doc", "variant").agg(F.count(F.lit(1)).alias("n_lines"))
+    by = rows.select("doc", "hash", "variant").join(lines, ["doc", "variant"], "left").join(_by_text(gone), ["doc", "variant"], "left")
+    ids = docs.select(F.col(doc_id).alias("doc_id"), row_id(doc_id, text).alias("doc"), F.xxhash64(text).alias("hash"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return ids.join(by, "doc", "left").select(
-        "doc_id", zero("n_lines"), zero("n_copies"), zero("n_similar"), F.coalesce(F.concat_ws(",", F.col("gone").cast("array<string>")), F.lit("")).alias("removed")
-    )
+    removed = F.coalesce(F.concat_ws(",", F.col("gone").cast("array<string>")), F.lit("")).alias("removed")
+    return ids.join(by, ["doc", "hash"], "left").select("doc_id", zero("n_lines"), zero("n_copies"), zero("n_similar"), removed)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with the lines that line_verdicts() rejects cut from text; n_chars follows. All columns stay.
+    """docs with the lines that line_verdicts() rejects cut from text; n_chars follows. All columns stay, whatever their names.
 
     Lines without a word stay as they are unless a neighbour's removal leaves the text without words: then it is ''.
+    Null and empty texts stay. Rows of one id and equal texts are one document and lose the same lines; different texts
+    of one id are judged each for itself. An empty table gives no rows.
     """
-    gone = line_verdicts(docs).where("verdict <> 'keep'").groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("doc"))
+    rows, _, gone = _verdicts(docs, "text", "doc_id")
+    cut = rows.select("doc", "hash", "variant").join(_by_text(gone), ["doc", "variant"]).select("doc", "hash", "gone")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("doc"), F.xxhash64("text").alias("hash"))
     kept = F.filter(F.split("row.text", "\n", -1), lambda s, k: ~F.array_contains("gone", k))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.concat_ws("\n", kept))
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return whole.join(gone, "doc", "left").select(row.alias("row")).select("row.*")
+    return whole.join(cut, ["doc", "hash"], "left").select(row.alias("row")).select("row.*")

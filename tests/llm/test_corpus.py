@@ -154,10 +154,32 @@ def test_licenses():
     assert "mit" in index.scan(licenses.plain_words("Released under the MIT License."))[0]
 
 
+def brute_verdicts(rows):
+    """(doc, variant, line number) to verdict, for rows (doc, text) in the order of the documents."""
+    seen, want, texts = [], {}, {}
+    for d, text in rows:
+        v = texts.setdefault(d, []).index(text) if text in texts.setdefault(d, []) else len(texts[d])
+        if v < len(texts[d]):
+            continue
+        texts[d].append(text)
+        for i, line in enumerate((text or "").split("\n")):
+            s = set(re.sub(r"[\t\r\x0b\x0c]", " ", line).split(" ")) - {""}
+            if s:
+                near = any(10 * len(s & t) >= 8 * len(s | t) for t, _ in seen)
+                want[d, v, i] = "copy" if any(x == line for _, x in seen) else "similar" if near else "keep"
+                seen.append((s, line))
+    return want
+
+
+def verdicts(spark, rows):
+    got = linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {(r.doc, r.variant, r.k): r.verdict for r in got.collect()}
+
+
 def test_line_dedup_is_exact(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"v{i}" for i in range(60)]
-    bases = [list(rng.choice(vocabulary, rng.integers(3, 25))) for _ in range(12)]
+    bases = [list(rng.choice(vocabulary, rng.integers(1, 25))) for _ in range(14)]
     rows = []
     for d in range(40):
         lines = []
@@ -165,17 +187,35 @@ def test_line_dedup_is_exact(spark):
             w = list(bases[rng.integers(0, len(bases))])
             for _ in range(rng.integers(0, 3)):
                 w[rng.integers(0, len(w))] = str(rng.choice(vocabulary))
-            lines.append(" ".join(w))
+            lines.append(" ".join(w[: len(w) - rng.integers(0, 3)] or w))
         rows.append((d, "\n".join(lines)))
-    got = {(r.doc, r.line): r.verdict for r in linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    seen, want = [], {}
-    for d, text in rows:
-        for i, line in enumerate(text.split("\n")):
-            s = set(line.split())
-            near = any(10 * len(s & t) >= 8 * len(s | t) for t, _ in seen)
-            want[d, i] = "copy" if any(x == line for _, x in seen) else "similar" if near else "keep"
-            seen.append((s, line))
-    assert got == want
+    assert verdicts(spark, rows) == brute_verdicts(rows)
+
+
+def test_line_dedup_of_a_hot_line(spark):
+    """Hundreds of variants of one line, most of them too far from each other, among them a base that comes late."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(20)]
+    rows = []
+    for d in range(300):
+        w = list(base)
+        for _ in range(rng.integers(1, 4)):
+            w[rng.integers(0, 20)] = f"n{rng.integers(0, 400)}"
+        rows.append((d, " ".join(base if d == 150 else w) + "\nthe hot line of all texts"))
+    assert verdicts(spark, rows) == brute_verdicts(rows)
+
+
+def test_line_dedup_of_one_id_with_several_texts(spark):
+    texts = ["wholly other opening words here\ntail one", "a shared line of five words\ntail two", "a shared line of five words\ntail two"]
+    by_hash = sorted(set(texts), key=lambda t: xxhash.xxh64(t.encode(), 42).intdigest() - (1 << 64) * (xxhash.xxh64(t.encode(), 42).intdigest() >> 63))
+    rows = [(1, "a shared line of five words\nfirst text"), *[(2, t) for t in by_hash], (2, by_hash[0]), (3, None), (3, "")]
+    assert {k: v for k, v in verdicts(spark, rows).items() if k[0] < 3} == brute_verdicts(rows[:4])
+    out = linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("x")).withColumn("variant", F.lit(1)))
+    assert out.columns == ["doc_id", "text", "hash", "variant"]
+    got = sorted((r.doc_id, r.text or "", r.hash) for r in out.collect())
+    assert (2, texts[0], "x") in got and got.count((2, "tail two", "x")) + got.count((2, texts[1], "x")) >= 1 and len(got) == len(rows)
+    report = linededup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines) for r in report) == [(1, 2), (2, 2), (2, 2), (2, 2), (3, 0), (3, 0)]
 
 
 def test_mixing_targets(spark):
