@@ -1,17 +1,19 @@
 """HTML main text by sum-product inference on the DOM tree.
 
-A page becomes a tree of elements. Each element has a hidden state, content or not; features of the element (tag, words
-of class and id, length of its own text, share of link text) give unary potentials, parent and child a pairwise one.
-Messages passed up and down the tree give exact marginals. Potentials are counts over pages that label themselves: those
-that say with <article> or <main> where the text is, and with names of elements and classes what isn't part of it.
+A page becomes a tree of elements. Each element has a hidden state: furniture (menus, adverts, comments, ...), content, or
+wrapper (what surrounds both). Features of the element (tag, each name of class, id and role and its parts, length of its
+own text, share of link text) give it a likelihood under each state; a potential connects each parent's state with the
+child's, one table for containers and one for elements of text. Messages passed up and down the tree give exact
+marginals. All tables are counts over labelled pages: those that say with <article> or <main> where their text is.
+Elements whose whole name says that they are a menu, an advert, a form or the like are observed as furniture.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,47 +21,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES, SAMPLE_CHARS = 2000, 200_000
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_WORD = re.compile(r"[a-z]+")
+#: Possessive, so that no piece of a page is read more than a few times, whatever is left open in it. An unfinished tag
+#: ends at the next "<" or with the page; quotes count only after "=".
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?=[^A-Za-z]))[^>]*+(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)(?:>|(?=<)|\Z)",
+    re.S,
+)
+NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+MAX_DEPTH = 512  # as in browsers: what is nested deeper becomes a child of the element at that depth; no text is lost
 # Element names of the HTML standard by how they take part in text.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video", "title", "head"}
-TEXT_ONLY = {"script", "style", "textarea", "title", "iframe", "noscript"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+RAW = {"script", "style", "head", "title", "iframe", "template", "textarea", "select"}
+TEXT_ONLY = {"script", "style", "textarea", "title", "iframe"}
+VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "aside", "nav", "footer", "header", "blockquote"}
-NOT_TEXT_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"} | RAW
-NOT_TEXT_WORDS = {
-    "ad", "ads", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "header",
-    "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar",
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | dict.fromkeys(ENDS_P, ("p",))
+CONTAINERS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "html", "body", "aside", "nav", "footer", "header", "blockquote"}
+# Tags and names that say that an element is no part of a page's text, and names that say it is.
+FURNITURE_TAGS = {"nav", "aside", "footer", "form", "button", "dialog", "menu"}
+FURNITURE_NAMES = {
+    "ad", "ads", "advert", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form",
+    "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar",
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-TEXT_TAGS, TEXT_WORDS = {"article", "main"}, {"article", "main"}
+HEADER_NAMES = {"header", "banner", "masthead"}  # furniture of the page, but not within its text
+NEUTRAL_PARTS = {"area", "articles", "bar", "block", "bottom", "box", "container", "global", "inner", "item", "items", "left", "links", "list", "page", "panel", "posts", "right", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
+TEXT_NAMES = {"article", "main"}
+FURNITURE, CONTENT, WRAPPER = range(3)
+#: What the transition tables believe before any page is counted, with the weight of PRIOR_ROWS elements of each state.
+PRIOR_ROWS = 20.0
+TO_CONTAINER = np.array([[0.995, 0.001, 0.004], [0.03, 0.97, 0.0], [0.5, 0.3, 0.2]])
+TO_TEXT = np.array([[0.998, 0.002, 0.0], [0.03, 0.97, 0.0], [0.6, 0.35, 0.05]])
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "hidden", "items", "own", "linked", "index")
+    __slots__ = ("tag", "names", "parent", "items", "own", "linked", "index", "block")
 
-    def __init__(self, tag: str, words: set[str], parent: Node | None, hidden: bool = False):
-        self.tag, self.words, self.parent, self.hidden = tag, words, parent, hidden
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, index: int):
+        self.tag, self.names, self.parent, self.index = tag, names, parent, index
         self.items: list[str | Node] = []
         self.own = self.linked = 0
-        self.index = 0
+        self.block: Node = parent.block if parent is not None and tag in INLINE else self  # the element that decides for its text
 
 
 def parse(page: str) -> list[Node]:
-    """Elements in page order, the root first. Unclosed and stray tags are mended the way browsers mend the common ones."""
-    root = Node("#root", set(), None)
-    nodes, now, at, size = [root], root, 0, len(page)
-    open_tags = Counter()
+    """Elements in page order, the root first. Unclosed and stray tags are mended the way browsers mend the common ones.
+
+    The time grows in proportion to the page.
+    """
+    root = Node("#root", (), None, 0)
+    nodes, stack, scopes, at, size = [root], [root], [0], 0, len(page)
+    opened: dict[str, list[int]] = defaultdict(list)
+    too_deep: Counter = Counter()
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if tag in CONTAINERS:
+                scopes.pop()
+
     while at < size:
         m = TOKEN.search(page, at)
         end = m.start() if m else size
         if end > at:
-            now.items.append(page[at:end])
+            stack[-1].items.append(page[at:end])
         if not m:
             break
         at = m.end()
@@ -68,51 +97,42 @@ def parse(page: str) -> list[Node]:
             continue
         tag = name.lower()
         if m.group(1):
-            if open_tags[tag]:
-                while True:
-                    closed, now = now, now.parent
-                    open_tags[closed.tag] -= 1
-                    if closed.tag == tag:
-                        break
+            if too_deep[tag]:
+                too_deep[tag] -= 1
+            elif opened[tag] and (tag not in INLINE or opened[tag][-1] > scopes[-1]):
+                close(opened[tag][-1])
             continue
         if tag == "br" or tag == "hr":
-            now.items.append(Node(tag, set(), now))
+            if tag == "hr" and opened["p"] and opened["p"][-1] > scopes[-1]:
+                close(opened["p"][-1])
+            stack[-1].items.append(Node(tag, (), stack[-1], -1))
             continue
         if tag in VOID:
             continue
-        closing = {"p"} if tag in ENDS_P and open_tags["p"] else SELF_CLOSING.get(tag, ())
-        if closing and any(open_tags[c] for c in closing):
-            up = now
-            while up is not root and up.tag not in closing and up.tag not in SCOPES:
-                up = up.parent
-            if up.tag in closing:
-                while True:
-                    closed, now = now, now.parent
-                    open_tags[closed.tag] -= 1
-                    if closed is up:
-                        break
-        words, hidden = set(), False
-        if m.group(3):
-            for key, a, b, c in ATTRIBUTE.findall(m.group(3)):
-                key, value = key.lower(), (a or b or c).lower()
-                if key in ("class", "id", "role"):
-                    words.update(NAME_WORD.findall(value))
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                    hidden = True
-        node = Node(tag, words, now, hidden)
-        node.index = len(nodes)
+        ends = max((opened[c][-1] for c in CLOSES.get(tag, ()) if opened[c]), default=0)
+        if ends > scopes[-1]:
+            close(ends)
+        attributes, names = m.group(3), ()
+        if attributes and not attributes.isspace():
+            names = tuple(sorted({w for groups in NAMES.findall(attributes) for w in (groups[0] or groups[1] or groups[2]).lower().split()}))
+        now = stack[-1]
+        node = Node(tag, names, now, len(nodes))
         nodes.append(node)
         now.items.append(node)
         if tag in TEXT_ONLY:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
-            continue
-        if not m.group(3).endswith("/") or tag not in ("svg", "math"):
-            now = node
-            open_tags[tag] += 1
+            closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            at = closing.end() if closing else size
+        elif attributes.endswith("/") and tag in ("svg", "math", "path", "circle", "rect", "use"):
+            pass
+        elif len(stack) > MAX_DEPTH:
+            too_deep[tag] += 1
+        else:
+            opened[tag].append(len(stack))
+            if tag in CONTAINERS:
+                scopes.append(len(stack))
+            stack.append(node)
     for node in reversed(nodes):
-        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
-        node.own += own
+        node.own += sum(len(x.strip()) for x in node.items if isinstance(x, str))
         if node.tag == "a":
             node.linked = node.own
         up = node.parent
@@ -122,99 +142,135 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _features(node: Node) -> list[str]:
-    out = [f"t:{node.tag}", f"n:{min(8, node.own.bit_length())}"]
-    out.append(f"l:{4 * node.linked // node.own if node.own else 9}")
-    bad = node.words & NOT_TEXT_WORDS
-    out.append("w:bad" if bad else "w:some" if node.words else "w:none")
-    out.extend(f"c:{w}" for w in sorted(node.words)[:6])
-    return out
+def _says(names: tuple[str, ...], words: set[str]) -> bool:
+    """Whether a whole name is one of the words, alone or together with parts that say nothing (comment-list)."""
+    for name in names:
+        if name in words:
+            return True
+        parts = set(PARTS.findall(name))
+        if parts & words and parts <= words | NEUTRAL_PARTS:
+            return True
+    return False
 
 
-def _named_away(nodes: list[Node]) -> list[bool]:
-    """Whether an element's names say that it is no text; not so where it surrounds an <article> or <main> without such names."""
-    holds = [False] * len(nodes)
-    for node in reversed(nodes):
-        clean = not node.words & NOT_TEXT_WORDS
-        if (node.tag in TEXT_TAGS or node.words & TEXT_WORDS) and clean or holds[node.index]:
-            if node.parent is not None:
-                holds[node.parent.index] = True
-    return [n.hidden or (n.tag in NOT_TEXT_TAGS or bool(n.words & NOT_TEXT_WORDS)) and not holds[n.index] for n in nodes]
+def observed(nodes: list[Node]) -> tuple[list[bool], list[int]]:
+    """(furniture, marked) of each element: whether it is observed as furniture, and whether it is in (1) or holds (2) the
+    part that the page itself marks as its text."""
+    furniture, marked = [False] * len(nodes), [0] * len(nodes)
+    for node in nodes[1:]:
+        i, up = node.index, node.parent.index
+        inside = marked[up] == 1
+        away = node.tag in FURNITURE_TAGS or node.names and _says(node.names, FURNITURE_NAMES) or not inside and (node.tag == "header" or node.names and _says(node.names, HEADER_NAMES))
+        furniture[i] = bool(away)
+        marked[i] = int(inside or not away and (node.tag in TEXT_NAMES or not TEXT_NAMES.isdisjoint(node.names)))
+    for node in reversed(nodes[1:]):
+        if marked[node.index] and not furniture[node.index] and marked[node.parent.index] != 1:
+            marked[node.parent.index] = 2
+    for i, m in enumerate(marked):
+        furniture[i] &= m != 2  # what surrounds the marked text is no furniture, whatever its name
+    return furniture, marked
 
 
 def self_labels(nodes: list[Node]) -> list[int] | None:
-    """1 for elements within the part that the page itself marks as its text, else 0; None if it marks none."""
-    labels, marked, away = [0] * len(nodes), False, _named_away(nodes)
+    """The state of each element of a page that marks its text, else None."""
+    furniture, marked = observed(nodes)
+    if 1 not in marked:
+        return None
+    labels = [WRAPPER] * len(nodes)
     for node in nodes[1:]:
-        up = labels[node.parent.index]
-        if up == -1 or away[node.index]:
-            labels[node.index] = -1  # not text, nor is what it contains
-        elif node.tag in TEXT_TAGS or node.words & TEXT_WORDS:
-            labels[node.index], marked = 1, True
-        else:
-            labels[node.index] = up
-    return [max(0, x) for x in labels] if marked else None
+        i = node.index
+        gone = furniture[i] or labels[node.parent.index] == FURNITURE and marked[i] != 2
+        labels[i] = FURNITURE if gone else (FURNITURE, CONTENT, WRAPPER)[marked[i]]
+    return labels
+
+
+def _features(node: Node) -> tuple:
+    """What tells about an element: tag, length of own text, share of link text, names."""
+    return node.tag, min(8, node.own.bit_length()), 4 * node.linked // node.own if node.own else 9, node.names
+
+
+def _split(features: tuple) -> list[str]:
+    tag, length, linked, names = features
+    return [f"t:{tag}", f"n:{length}", f"l:{linked}", *[f"c:{n}" for n in names], *{f"p:{p}" for n in names for p in PARTS.findall(n) if p != n}]
 
 
 @dataclass
 class DomModel:
-    unary: dict[str, float]  # log odds of content that a feature adds
-    pair: np.ndarray  # potential of (parent state, child state)
-
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """P(content) of each element by messages up and down the tree."""
-        n, unary = len(nodes), self.unary
-        (p00, p01), (p10, p11) = self.pair.tolist()
-        own = []
-        for node in nodes:
-            x = sum(unary.get(f, 0.0) for f in _features(node))
-            own.append(1 / (1 + np.exp(-max(-30.0, min(30.0, x)))) if node.parent is not None else 1e-9)
-        up0, up1 = [1 - p for p in own], list(own)
-        to_parent: list[tuple[float, float]] = [(1.0, 1.0)] * n
+    seen: dict[str, np.ndarray]  # how often a feature was seen in each state
+    states: np.ndarray  # elements of each state
+    container: np.ndarray  # P(child's state | parent's state)
+    text: np.ndarray
+    known: dict = field(default_factory=dict, repr=False)
+
+    def likelihood(self, features: tuple) -> tuple[float, float, float]:
+        """In proportion to P(features | state), the largest is 1. Kept for each combination met, up to a bound."""
+        got = self.known.get(features)
+        if got is None:
+            logs = np.zeros(3)
+            for f in _split(features):
+                if f in self.seen:
+                    logs += np.log((self.seen[f] + 0.5) / (self.states + 1))
+            got = tuple(np.exp(np.maximum(logs - logs.max(), -60.0)).tolist())
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[features] = got
+        return got
+
+    def marginals(self, nodes: list[Node], furniture: list[bool]) -> list[float]:
+        """P(content) of each element by messages up and down the tree, given which elements are observed as furniture."""
+        n, tables = len(nodes), {k: tuple(map(tuple, t.tolist())) for k, t in ((True, self.container), (False, self.text))}
+        up = [(1.0, 0.0, 0.0) if furniture[node.index] else self.likelihood(_features(node)) for node in nodes]
+        up[0] = (0.0, 0.0, 1.0)
+        pair = [tables[node.tag in CONTAINERS] for node in nodes]
+        message = [(1.0, 1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
-            a, b = up0[i], up1[i]
-            m0, m1 = p00 * a + p01 * b, p10 * a + p11 * b
-            s = m0 + m1
-            to_parent[i] = (m0 / s, m1 / s)
+            a, b, c = up[i]
+            (p, q, r), (s, t, u), (v, w, x) = pair[i]
+            m0, m1, m2 = p * a + q * b + r * c, s * a + t * b + u * c, v * a + w * b + x * c
+            top = max(m0, m1, m2) or 1.0
+            m0, m1, m2 = max(m0 / top, 1e-9), max(m1 / top, 1e-9), max(m2 / top, 1e-9)
+            message[i] = (m0, m1, m2)
             j = nodes[i].parent.index
-            a, b = up0[j] * to_parent[i][0], up1[j] * to_parent[i][1]
-            s = a + b or 1.0
-            up0[j], up1[j] = max(a / s, 1e-300), max(b / s, 1e-300)
-        down0, down1, out = [1.0] * n, [1.0] * n, [0.0] * n
+            d, e, f = up[j]
+            d, e, f = d * m0, e * m1, f * m2
+            top = max(d, e, f) or 1.0
+            up[j] = (d / top, e / top, f / top)
+        down, out = [(1.0, 1.0, 1.0)] * n, [0.0] * n
         for i in range(n):
             if i:
                 j = nodes[i].parent.index
-                c0, c1 = up0[j] * down0[j] / max(to_parent[i][0], 1e-300), up1[j] * down1[j] / max(to_parent[i][1], 1e-300)
-                s = c0 + c1
-                c0, c1 = c0 / s, c1 / s
-                down0[i], down1[i] = p00 * c0 + p10 * c1, p01 * c0 + p11 * c1
-            a, b = up0[i] * down0[i], up1[i] * down1[i]
-            out[i] = b / (a + b) if a + b else 0.0
+                (a, b, c), (d, e, f), (g, h, k) = up[j], down[j], message[i]
+                a, b, c = a * d / g, b * e / h, c * f / k
+                (p, q, r), (s, t, u), (v, w, x) = pair[i]
+                d, e, f = a * p + b * s + c * v, a * q + b * t + c * w, a * r + b * u + c * x
+                top = max(d, e, f) or 1.0
+                down[i] = (d / top, e / top, f / top)
+            (a, b, c), (d, e, f) = up[i], down[i]
+            whole = a * d + b * e + c * f
+            out[i] = b * e / whole if whole else 0.0
         return out
 
 
 def train(pages: list[str]) -> DomModel:
-    """Counts over the pages that label themselves; without such pages the potentials follow the fixed names alone."""
-    seen, states, pair = (Counter(), Counter()), [1.0, 1.0], np.ones((2, 2))
+    """Counts over the pages that mark their text. Without any, common text and link tags stand for content and furniture."""
+    seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
+    states, pairs = np.zeros(3), {True: PRIOR_ROWS * TO_CONTAINER, False: PRIOR_ROWS * TO_TEXT}
     for page in pages:
         nodes = parse(page)
         labels = self_labels(nodes)
-        if labels is None:
-            continue
-        for node in nodes[1:]:
+        for node in nodes[1:] if labels else ():
             y = labels[node.index]
             states[y] += 1
-            seen[y].update(_features(node))
-            pair[labels[node.parent.index], y] += 1
-    unary = {f: float(np.log((seen[1][f] + 0.5) / (states[1] + 1)) - np.log((seen[0][f] + 0.5) / (states[0] + 1))) for f in seen[0].keys() | seen[1].keys()}
-    for tag in NOT_TEXT_TAGS:
-        unary[f"t:{tag}"] = min(unary.get(f"t:{tag}", -8.0), -8.0)
-    for tag in TEXT_TAGS:
-        unary[f"t:{tag}"] = max(unary.get(f"t:{tag}", 8.0), 8.0)
-    unary["w:bad"] = min(unary.get("w:bad", -8.0), -8.0)
-    if sum(states) < 3:
-        unary |= {"t:p": 3.0, "n:8": 2.0, "n:7": 1.0}
-    return DomModel(unary, pair / pair.sum(axis=1, keepdims=True))
+            for f in _split(_features(node)):
+                seen[f][y] += 1
+            pairs[node.tag in CONTAINERS][labels[node.parent.index], y] += 1
+    if not states.any():
+        states += 20
+        for tags, state in ((("p", "h1", "h2", "h3", "pre", "article"), CONTENT), (("a", "li"), FURNITURE), (("body", "html"), WRAPPER)):
+            for tag in tags:
+                seen[f"t:{tag}"][state] += 20
+    container, text = (pairs[k] / pairs[k].sum(axis=1, keepdims=True) for k in (True, False))
+    return DomModel(dict(seen), states, container, text)
 
 
 def main_text(page: str | None, model: DomModel) -> str:
@@ -222,20 +278,21 @@ def main_text(page: str | None, model: DomModel) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    content, away = [m > 0.5 for m in model.marginals(nodes)], _named_away(nodes)
+    furniture, _ = observed(nodes)
+    content = [m > 0.5 for m in model.marginals(nodes, furniture)]
     blocks: list[list[str]] = [[]]
     stack: list = [(nodes[0], iter(nodes[0].items))]
     while stack:
         node, items = stack[-1]
         for item in items:
             if isinstance(item, str):
-                if content[_block(node).index]:
+                if content[node.block.index]:
                     blocks[-1].append(item)
                 continue
             if item.tag == "br" or item.tag == "hr":
                 blocks.append([]) if item.tag == "hr" else blocks[-1].append("\n")
                 continue
-            if item.tag in RAW or item.hidden or (away[item.index] and not content[item.index]):
+            if item.tag in RAW or furniture[item.index]:
                 continue
             if item.tag not in INLINE:
                 blocks.append([])
@@ -245,34 +302,30 @@ def main_text(page: str | None, model: DomModel) -> str:
             stack.pop()
             if node.tag not in INLINE:
                 blocks.append([])
-    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
+    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks if b)
     return "\n".join(t for t in texts if t)
 
 
-def _block(node: Node) -> Node:
-    """The element that decides for text: the nearest that isn't inline."""
-    while node.tag in INLINE and node.parent is not None:
-        node = node.parent
-    return node
-
-
-def fit(pages: DataFrame, rows: int = SAMPLE_PAGES, max_chars: int = SAMPLE_CHARS) -> DomModel:
+def fit(pages: DataFrame, page: str = "html", rows: int = SAMPLE_PAGES, max_chars: int = SAMPLE_CHARS) -> DomModel:
     """Trains on at most `rows` pages of at most max_chars characters, those whose texts have the smallest hashes."""
-    picked = pages.where(F.length("html") <= max_chars).select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(rows)
-    texts = pages.select("html", F.xxhash64("html").alias("h")).where(F.length("html") <= max_chars).join(F.broadcast(picked), "h").groupBy("h").agg(F.min("html").alias("html"))
+    short = pages.select(F.col(page).alias("html"), F.xxhash64(page).alias("h")).where(F.length("html") <= max_chars)
+    picked = short.select("h").distinct().orderBy("h").limit(rows)
+    texts = short.join(F.broadcast(picked), "h").groupBy("h").agg(F.min("html").alias("html"))
     return train([r["html"] for r in texts.orderBy("h").collect()])
 
 
-def extracted(pages: DataFrame, into: str = "_text") -> DataFrame:
-    """pages with the main text of `html` in the column `into`.
+def extracted(pages: DataFrame, into: str = "_text", page: str = "html") -> DataFrame:
+    """pages with the main text of the column `page` in the column `into`, which must be a name that pages doesn't have.
 
     Null and empty pages, and pages without content, give ''. Repeated pages give equal texts; other columns stay; an
-    empty table gives no rows. Pages are never cut.
+    empty table gives no rows. Pages are never cut, and the time for one grows in proportion to its length.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(fit(pages))
+    if into in pages.columns:
+        raise ValueError(f"pages has a column {into} already")
+    shared = pages.sparkSession.sparkContext.broadcast(fit(pages, page))
 
     @F.pandas_udf("string")
     def extract(texts: pd.Series) -> pd.Series:
         return pd.Series([main_text(t, shared.value) for t in texts], dtype=object)
 
-    return pages.withColumn(into, extract(F.col("html")))
+    return pages.withColumn(into, extract(F.col(page)))

@@ -2,12 +2,15 @@
 
 Each document of a source gets the same fractional number of copies, target / source size. Its whole part is taken;
 the fractions are rounded in pairs: words move from one document to the other, in a random direction that keeps both
-expectations, until one of the two is integral. A chunk's unrounded rest goes up a reduction tree whose groups are
-bounded, until one document of each source is left and is rounded to the nearer whole.
+expectations, until one of the two is integral. Each meeting draws a number of its own, a hash of the seed, the level of
+the tree, the round and the two documents. A chunk's unrounded rest goes up a reduction tree whose groups are bounded,
+until one document of each source is left; it is taken with the probability that is left.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,36 +45,53 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def round_pairs(size: np.ndarray, part: np.ndarray, chance: np.ndarray) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that leaves no trace of order (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn(seed: int, level: int, meeting: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1), one for each meeting of the documents with the hashes i and j."""
+    key = _mixed(np.array([(seed << 32) ^ (level << 16) ^ meeting], np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (_mixed(_mixed(_mixed(i ^ key) + j) + key) >> np.uint64(11)) / float(1 << 53)
+
+
+def round_pairs(size: np.ndarray, part: np.ndarray, tie: np.ndarray, seed: int = 0, level: int = 0) -> np.ndarray:
     """Fractions after a tournament of pairings of neighbours: all but at most one end at 0 or 1.
 
-    The sum of size * part stays (up to rounding error); part of each row keeps its expectation. Rows come sorted by
-    size, so that the two of a pair are about as large and one of them is settled at the first meeting.
+    The sum of size * part stays (up to rounding error); part of each row keeps its expectation over the seeds. Rows
+    come sorted by size, so that the two of a pair are about as large and one of them is settled at the first meeting.
+    tie: a hash of each row.
     """
-    out, tiny = part.astype(float).copy(), 1e-9
+    out, tiny, tie = part.astype(float).copy(), 1e-9, tie.astype(np.int64).view(np.uint64)
     out[size <= 0] = 0.0
-    left = np.flatnonzero((out > tiny) & (out < 1 - tiny))
+    left, meeting = np.flatnonzero((out > tiny) & (out < 1 - tiny)), 0
     while len(left) > 1:
         odd, pairs = left[len(left) // 2 * 2 :], left[: len(left) // 2 * 2].reshape(-1, 2)
         i, j = pairs[:, 0], pairs[:, 1]
         ratio = size[j] / size[i]
         up, down = np.minimum(1 - out[i], ratio * out[j]), np.minimum(out[i], ratio * (1 - out[j]))
-        move = np.where(chance[j] * (up + down) < down, up, -down)
+        move = np.where(_drawn(seed, level, meeting, tie[i], tie[j]) * (up + down) < down, up, -down)
         out[i] += move
         out[j] -= move / ratio
         left = np.concatenate([pairs.ravel(), odd])
         left = left[(out[left] > tiny) & (out[left] < 1 - tiny)]
+        meeting += 1
     near = (out <= tiny) | (out >= 1 - tiny)
     out[near] = np.round(out[near])
     return out
 
 
-def _reduce_group(last: bool):
+def _reduce_group(seed: int, level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], ignore_index=True)
-        part = round_pairs(rows["size"].to_numpy(), rows["part"].to_numpy(), rows["chance"].to_numpy())
+        tie = rows["tie"].to_numpy()
+        part = round_pairs(rows["size"].to_numpy(), rows["part"].to_numpy(), tie, seed, level)
         if last:
-            part = np.floor(part + 0.5)
+            hashes = tie.view(np.uint64)
+            part = np.where((part > 0) & (part < 1), _drawn(seed, level + 1, 0, hashes, hashes) < part, part).astype(float)
         return rows.assign(part=part)
 
     return run
@@ -86,7 +106,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     however the rows are partitioned. No group of rows is larger than CHUNK or FAN_IN on average.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text, F.lit(seed)).alias("tie")))
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("tie")))
     sources = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     hash_of = lambda n: F.xxhash64("tie", F.lit(n))
@@ -95,14 +115,13 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         .withColumn("copies", copies).withColumn("whole", F.floor(F.col("copies") + 1e-9))
         .withColumn("part", F.greatest(F.col("copies") - F.col("whole"), F.lit(0.0)))
         .withColumn("chunk", F.pmod(hash_of(1), F.greatest(F.ceil(F.col("source_rows") / CHUNK), F.lit(1))))
-        .withColumn("chance", F.shiftrightunsigned(hash_of(2), 11) / F.lit(float(1 << 53)))
-        .select("doc_id", "source", "size", "source_size", "target", "tie", "whole", "part", "chunk", "chance")
+        .select("doc_id", "source", "size", "source_size", "target", "tie", "whole", "part", "chunk")
     )
     chunks = sources.agg(F.max(F.ceil(F.col("source_rows") / CHUNK))).first()[0] or 1
     done, now = None, start
-    while True:
+    for depth in itertools.count():
         last = chunks <= 1
-        level = written(now.groupBy("source", "chunk").applyInPandas(_reduce_group(last), now.schema))
+        level = written(now.groupBy("source", "chunk").applyInPandas(_reduce_group(seed, depth, last), now.schema))
         whole = (F.col("part") == 0) | (F.col("part") == 1)
         ended = level.where(whole)
         done = ended if done is None else done.union(ended)
