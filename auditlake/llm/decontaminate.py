@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import plain_words
+from auditlake.llm.common import plain_words, written
 
 WINDOW = 10
 #: benchmark text that one scan's tables are built from; a larger benchmark is scanned for in several blocks
@@ -99,8 +99,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     Null or empty texts have no words and no hits; items with null text or id, or without words, match nothing; an item
     id that occurs in several rows is one item. Repeated documents give repeated results. An empty benchmark hits
-    nothing. Only tables built from a block of at most about block_chars characters of the benchmark are broadcast;
-    a larger benchmark means several scans, one after another.
+    nothing; an empty table gives no rows. Other columns stay; one named `into` is replaced. Only tables built from a block of at most about block_chars characters of the benchmark are broadcast;
+    a larger benchmark means several scans, one after another, each written to the shared folder.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item is not null and text is not null")
@@ -109,10 +109,17 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
         tables = spark.sparkContext.broadcast(search_tables([(r.item, r.text) for r in rows]))
         docs = docs.withColumn(into, _scan(tables, F.col(text), F.col(into) if k else None))
+        if k < n - 1:  # one block's tables are on the executors at a time
+            docs = written(docs)
+            tables.unpersist()
     return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark window. All columns stay."""
+    """docs without those that hold a benchmark window. All columns stay, whatever their names.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; an empty benchmark rejects nothing; an
+    empty table gives no rows.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("_text"))
     return contaminated_words(whole, benchmark, "_text").where("_found.n_hit = 0").select("row.*")

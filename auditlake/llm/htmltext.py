@@ -58,12 +58,12 @@ TO_TEXT = np.array([[0.998, 0.002, 0.0], [0.03, 0.97, 0.0], [0.6, 0.35, 0.05]])
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "items", "own", "linked", "index", "block")
+    __slots__ = ("tag", "names", "parent", "items", "own", "whole", "linked", "index", "block")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, index: int):
         self.tag, self.names, self.parent, self.index = tag, names, parent, index
         self.items: list[str | Node] = []
-        self.own = self.linked = 0
+        self.own = self.whole = self.linked = 0  # characters of text: of the block, of all that is inside, of all links inside
         self.block: Node = parent.block if parent is not None and tag in INLINE else self  # the element that decides for its text
 
 
@@ -132,13 +132,17 @@ def parse(page: str) -> list[Node]:
                 scopes.append(len(stack))
             stack.append(node)
     for node in reversed(nodes):
-        node.own += sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        here = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        node.own += here
+        node.whole += here
         if node.tag == "a":
-            node.linked = node.own
+            node.linked = node.whole
         up = node.parent
-        if up is not None and node.tag in INLINE:
-            up.own += node.own
+        if up is not None:
+            up.whole += node.whole
             up.linked += node.linked
+            if node.tag in INLINE:
+                up.own += node.own
     return nodes
 
 
@@ -186,12 +190,13 @@ def self_labels(nodes: list[Node]) -> list[int] | None:
 
 def _features(node: Node) -> tuple:
     """What tells about an element: tag, length of own text, share of link text, names."""
-    return node.tag, min(8, node.own.bit_length()), 4 * node.linked // node.own if node.own else 9, node.names
+    return node.tag, min(8, node.own.bit_length()), 4 * node.linked // node.whole if node.whole else 9, node.names
 
 
 def _split(features: tuple) -> list[str]:
     tag, length, linked, names = features
-    return [f"t:{tag}", f"n:{length}", f"l:{linked}", *[f"c:{n}" for n in names], *{f"p:{p}" for n in names for p in PARTS.findall(n) if p != n}]
+    # tag and length are taken with the share of links: a list of links says nothing about a list of text
+    return [f"t:{tag} {linked}", f"n:{length} {linked}", *[f"c:{n}" for n in names], *{f"p:{p}" for n in names for p in PARTS.findall(n) if p != n}]
 
 
 @dataclass
@@ -266,9 +271,9 @@ def train(pages: list[str]) -> DomModel:
             pairs[node.tag in CONTAINERS][labels[node.parent.index], y] += 1
     if not states.any():
         states += 20
-        for tags, state in ((("p", "h1", "h2", "h3", "pre", "article"), CONTENT), (("a", "li"), FURNITURE), (("body", "html"), WRAPPER)):
-            for tag in tags:
-                seen[f"t:{tag}"][state] += 20
+        for kinds, state in ((("p 0", "p 1", "h1 0", "h2 0", "pre 0", "article 0"), CONTENT), (("a 4", "li 4"), FURNITURE), (("body 0", "html 0"), WRAPPER)):
+            for kind in kinds:
+                seen[f"t:{kind}"][state] += 20
     container, text = (pairs[k] / pairs[k].sum(axis=1, keepdims=True) for k in (True, False))
     return DomModel(dict(seen), states, container, text)
 
@@ -315,13 +320,11 @@ def fit(pages: DataFrame, page: str = "html", rows: int = SAMPLE_PAGES, max_char
 
 
 def extracted(pages: DataFrame, into: str = "_text", page: str = "html") -> DataFrame:
-    """pages with the main text of the column `page` in the column `into`, which must be a name that pages doesn't have.
+    """pages with the main text of the column `page` in the column `into`; a column of that name is replaced, others stay.
 
-    Null and empty pages, and pages without content, give ''. Repeated pages give equal texts; other columns stay; an
-    empty table gives no rows. Pages are never cut, and the time for one grows in proportion to its length.
+    Null and empty pages, and pages without content, give ''. Repeated pages give equal texts; an empty table
+    gives no rows. Pages are never cut, and the time for one grows in proportion to its length.
     """
-    if into in pages.columns:
-        raise ValueError(f"pages has a column {into} already")
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages, page))
 
     @F.pandas_udf("string")

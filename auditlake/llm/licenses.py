@@ -143,7 +143,8 @@ def license_scan(docs: DataFrame, text: str = "text", into: str = "_found") -> D
     """docs with a struct `into`: n_words, places (starts of base phrases), base and all labels (sorted), score (0 to 1).
 
     The score is the best share of a template's rarity that aligns, 1 where a base phrase stands. Null and empty texts
-    have no words, no labels and score 0. Repeated rows get equal results; other columns stay. An empty corpus has no
+    have no words, no labels and score 0. Repeated rows get equal results; other columns stay, one
+    named `into` is replaced. An empty corpus has no
     document frequencies; the result is empty. The index is made of fixed templates and is broadcast.
     """
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(idf_table(docs, text)))

@@ -2,14 +2,14 @@
 
 A line is a set of words. Words are ordered by rarity (a table of corpus counts by hash bucket gives the level, the hash
 breaks ties). Each word that only one of two lines has breaks at most three runs of three neighbours in its own line's
-order and two in the other's, so lines of Jaccard similarity 0.8 share a run of three among the first 0.6 n + 1: these
-runs are the prefix. Runs of three have no company by chance where single words and pairs of a fixed vocabulary have, so
-that candidates follow the number of similar lines and not the square of the input.
+order and two in the other's, so lines of Jaccard similarity 0.8 share two runs of three among the first 0.6 n + 2: these
+runs are the prefix. Two runs in common are rare by chance, also where the vocabulary is small.
 
 Postings (run, line) of distinct lines are shuffled once; those whose run has company are kept. Of the earliest lines of
 its runs, each line is first compared with the one that most of its runs have: in a large group of variants nearly all
 are settled there. Lines that this does not settle meet all earlier lines of their runs. Size and positional filters
-stand before each comparison; what is left is verified on its words. A line goes if an earlier line is equal or similar.
+stand before each meeting, pairs that meet once only go, maps of 256 bits rule out most others, and what is left is
+verified on its words. A line goes if an earlier line is equal or similar.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from auditlake.llm.common import row_id, written
 
 TENTHS = 8  # similarity in tenths
 BUCKETS = 1 << 15
-MARKS = 1 << 20  # most rows of the tables of hashes that keep lines out of a shuffle
-FULL = (1 << 16) - 1  # sizes and positions of that and more are not told apart; the filters let such lines pass
+MARKS = 1 << 24  # bits of the tables that keep lines out of a shuffle; each is broadcast as MARKS / 64 rows at most
+DENSE = 8  # in runs of more lines, the lines' maps are compared where they meet
+FULL = 255  # sizes and positions of that and more are not told apart; the filters let such lines pass
 
 
 def _spaced(text: Column) -> Column:
@@ -41,7 +42,7 @@ def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
     rows = docs.select(row_id(doc_id, text).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("body"))
     zero = F.lit(0).cast("long")
-    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+    if docs.groupBy(doc_id).count().where(f"count > 1 or `{doc_id}` is null").isEmpty():
         return rows.withColumn("variant", zero)
     slim = rows.groupBy("doc", "hash").count()
     several = slim.groupBy("doc").count().where("count > 1").select("doc")
@@ -51,8 +52,8 @@ def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc, variant, k, line): every line that holds a word; k is its number in the text, from 0."""
-    lines = rows.select("doc", "variant", F.posexplode(F.split(_spaced(F.col("body")), "\n", -1)).alias("k", "line"))
-    return lines.where(F.trim("line") != "")
+    lines = rows.select("doc", "variant", F.posexplode(F.split("body", "\n", -1)).alias("k", "line"))
+    return lines.where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "")
 
 
 def _keys(line: Column) -> list[Column]:
@@ -60,13 +61,40 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("key"), F.xxhash64(F.lit(1), line).alias("key2")]
 
 
-def _marks(*cols: Column | str) -> Column:
-    return F.xxhash64(*cols).bitwiseAND(F.lit(MARKS - 1)).alias("mark")
+def _table(rows: DataFrame, *cols: str) -> DataFrame:
+    """(word, bits): a table of MARKS bits in which those are set that the hashes of cols have in some row."""
+    mark = F.xxhash64(*cols).bitwiseAND(F.lit(MARKS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mark.bitwiseAND(F.lit(63)).cast("int"))
+    return rows.select(F.shiftright(mark, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _marked(rows: DataFrame, table: DataFrame, *cols: str, there: bool = True) -> DataFrame:
+    """The rows whose bit in the (broadcast) table is set, or isn't. Many rows that were not put in have theirs set once the table fills."""
+    mark = F.xxhash64(*cols).bitwiseAND(F.lit(MARKS - 1))
+    found = rows.withColumn("mark", mark).withColumn("word", F.shiftright("mark", 6)).join(F.broadcast(table), "word", "inner" if there else "left")
+    is_set = F.coalesce(F.getbit("bits", F.col("mark").bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    return found.where(is_set if there else ~is_set).select(*rows.columns)
+
+
+def _packed(k: Column, n: Column, i: Column) -> Column:
+    """A line's number, its number of words and the position of a run in one number.
+
+    The bytes that change from row to row are the upper ones, beside those of the next column: shuffled rows compress
+    to three quarters of what they take as columns of their own.
+    """
+    k = k.cast("long")
+    low = F.shiftleft(k.bitwiseAND(F.lit(255)), 40) + F.shiftleft(F.shiftright(k, 8), 8)
+    return F.shiftleft(F.least(i, F.lit(FULL)).cast("long"), 56).bitwiseOR(F.shiftleft(F.least(n, F.lit(FULL)).cast("long"), 48)).bitwiseOR(low)
+
+
+def _line_number(at: Column) -> Column:
+    byte = F.shiftrightunsigned(at, 40).bitwiseAND(F.lit(255))
+    return (F.shiftleft(F.shiftrightunsigned(at, 8).bitwiseAND(F.lit((1 << 24) - 1)), 8) + byte).cast("int")
 
 
 def rarity_table(rows: DataFrame) -> list[int]:
     """For each hash bucket of words a level from 1 to 127: four times the logarithm of its count over all texts."""
-    words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("body")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = rows.select(F.explode(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     table = [1] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
@@ -75,7 +103,7 @@ def rarity_table(rows: DataFrame) -> list[int]:
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.array_remove(F.transform(F.split(_spaced(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _ranked(line: Column, table: list[int]) -> Column:
@@ -91,80 +119,134 @@ def _need(nx: Column, ny: Column) -> Column:
 
 
 def _may_match(x: Column, y: Column) -> Column:
-    """Size and positional filters for a common run of three; the low 32 bits of x and y are size and position, 16 bits each."""
-    nx, ny = (F.shiftright(c, 16).bitwiseAND(F.lit(FULL)) for c in (x, y))
-    ix, iy = (c.bitwiseAND(F.lit(FULL)) for c in (x, y))
+    """Size and positional filters for a common run of three in two lines; x and y are _packed()."""
+    nx, ny = (F.shiftrightunsigned(c, 48).bitwiseAND(F.lit(FULL)) for c in (x, y))
+    ix, iy = (F.shiftrightunsigned(c, 56) for c in (x, y))
     room = F.least(ix, iy) + F.least(nx - ix, ny - iy)
     return (F.greatest(nx, ny) == FULL) | (10 * nx >= TENTHS * ny) & (10 * ny >= TENTHS * nx) & (room >= _need(nx, ny))
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether line a comes before line b."""
-    place = lambda x: F.struct(f"{x}.doc", f"{x}.variant", F.shiftright(f"{x}.at", 32).alias("k"))
-    return place(a) < place(b)
-
-
 def _place(x: str = "") -> Column:
     """(doc, variant, k) of a posting."""
-    return F.struct(F.col(f"{x}doc").alias("doc"), F.col(f"{x}variant").alias("variant"), F.shiftright(f"{x}at", 32).cast("int").alias("k"))
+    return F.struct(F.col(f"{x}doc").alias("doc"), F.col(f"{x}variant").alias("variant"), _line_number(F.col(f"{x}at")).alias("k"))
 
 
 def postings(lines: DataFrame, places: DataFrame, table: list[int]) -> DataFrame:
-    """(t, doc, variant, at): the runs of three t in the prefix of the first place of each line text.
+    """(t, doc, variant, at): the runs of three t in the prefix of the first place of each line text; at is _packed().
 
-    at holds the line's number, its number of words and the position of the run: 32, 16 and 16 bits. With o common words
-    of n and m, at most 3 (n - o) + 2 (m - o) <= (7 n - 2 m) / 9 <= 0.6 n runs of n are broken; runs at the end are
-    shorter. Only lines whose text may stand elsewhere, going by a broadcast table of at most MARKS hashes, are shuffled
-    by text to find the first place; once that table is full, all lines are.
+    With o common words of n and m, at most 3 (n - o) + 2 (m - o) <= (7 n - 2 m) / 9 <= 0.6 n runs of n are broken, so
+    two that are not are among the first 0.6 n + 2, in both lines (of one or two words: one, as such lines are equal
+    sets); runs at the end are shorter. Only lines whose text may stand elsewhere, going by a broadcast table of bits, are
+    shuffled by text to find the first place; once that table is full, all lines are.
     """
-    copied = F.broadcast(places.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_marks("key")).distinct())
-    keyed = lines.select("doc", "variant", "k", "line", *_keys(F.col("line"))).withColumn("mark", _marks("key"))
-    alone = keyed.join(copied, "mark", "left_anti").select("doc", "variant", "k", "line")
-    firsts = keyed.join(copied, "mark", "left_semi").groupBy("key", "key2").agg(F.min(F.struct("doc", "variant", "k")).alias("p"), F.first("line").alias("line"))
-    ranked = alone.union(firsts.select("p.*", "line")).select("doc", "variant", "k", _ranked(F.col("line"), table).alias("r"))
+    place = ["doc", "variant", "k"]
+    copied = _table(places.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    keyed = lines.withColumn("key", F.xxhash64("line"))
+    alone = _marked(keyed, copied, "key", there=False).select(*place, "line")
+    several = _marked(keyed, copied, "key").select(*place, "line", *_keys(F.col("line")))
+    firsts = several.groupBy("key", "key2").agg(F.min(F.struct(*place)).alias("p"), F.first("line").alias("line"))
+    ranked = alone.union(firsts.select("p.*", "line")).select(*place, _ranked(F.col("line"), table).alias("r"))
     last = F.floor(F.col("n") * 3 / 5).cast("int")
-    slim = ranked.select("doc", "variant", "k", F.size("r").alias("n"), "r").select("doc", "variant", "k", "n", F.slice("r", 1, last + 3).alias("r"))
-    runs = slim.select("doc", "variant", "k", "n", "r", F.explode(F.sequence(F.lit(0), F.least(last, F.col("n") - 1))).alias("i"))
+    slim = ranked.select(*place, F.size("r").alias("n"), "r").select(*place, "n", F.slice("r", 1, last + 4).alias("r"))
+    runs = slim.select(*place, "n", "r", F.explode(F.sequence(F.lit(0), F.least(last + 1, F.col("n") - 1))).alias("i"))
     t = F.xxhash64(*[F.get("r", F.col("i") + j) for j in range(3)])
-    at = F.shiftleft(F.col("k").cast("long"), 32) + F.shiftleft(F.least("n", F.lit(FULL)), 16) + F.least("i", F.lit(FULL))
-    return runs.select("variant", at.alias("at"), t.alias("t"), "doc")
+    return runs.select("variant", _packed(F.col("k"), F.col("n"), F.col("i")).alias("at"), t.alias("t"), "doc")
 
 
 def in_company(posts: DataFrame) -> DataFrame:
-    """posts whose run another line has too, each with the earliest posting of its run: (t, doc, variant, at, head)."""
+    """(t, doc, variant, at, later, head, lines): postings whose run other lines have too, of how many lines.
+
+    later says whether an earlier posting has the run; head is the earliest one, if this one is later and the two pass
+    the filters. Of runs of two lines, only the later posting stays, without t, and only with a head: nothing else can
+    come of them.
+    """
     of_t = Window.partitionBy("t")
-    some = posts.withColumn("lines", F.count(F.lit(1)).over(of_t)).where("lines > 1").drop("lines")
-    return some.withColumn("head", F.min(F.struct("doc", "variant", "at")).over(of_t))
+    some = posts.withColumn("lines", F.count(F.lit(1)).over(of_t)).where("lines > 1")
+    first = F.struct("doc", "variant", _line_number(F.col("at")).alias("k"), "at")
+    some = some.withColumn("head", F.min(first).over(of_t).dropFields("k")).withColumn("later", _place() != _place("head."))
+    some = some.withColumn("head", F.when(F.col("later") & _may_match(F.col("at"), F.col("head.at")), F.col("head"))).where("lines > 2 or head is not null")
+    return some.select(F.when(F.col("lines") > 2, F.col("t")).alias("t"), "doc", "variant", "at", "later", "head", "lines")
 
 
-def _word_sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(p, words) of the lines at the wanted places p. A broadcast table of at most MARKS hashes keeps most others out of the shuffle."""
+def _map(hashes: Column) -> list[Column]:
+    """A map of 256 bits in which each number turns one bit over: two maps differ in no more bits than the sets in numbers."""
+    one = F.lit(1).cast("long")
+    turned = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
+    return [F.aggregate(F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), turned).alias(f"b{j}") for j in range(4)]  # noqa: B023
+
+
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p, line, n, b0, b1, b2, b3) at the wanted places p (distinct): the line, its number of words and its map. A broadcast table of bits keeps most other lines out of the shuffle."""
     at = ["doc", "variant", "k"]
-    likely = lines.withColumn("mark", _marks(*at)).join(F.broadcast(wanted.select(_marks("p.doc", "p.variant", "p.k")).distinct()), "mark", "left_semi")
-    found = likely.join(wanted.select("p.*"), at, "left_semi")
-    return found.select(F.struct(*at).alias("p"), F.array_distinct(_hashes(F.col("line"))).alias("words"))
+    likely = _marked(lines, _table(wanted.select("p.*"), *at), *at)
+    # not a semi-join: that would be moved before the one with the table
+    found = likely.join(wanted.select("p.*"), at).select(F.struct(*at).alias("p"), "line", F.array_distinct(_hashes(F.col("line"))).alias("h"))
+    return found.select("p", "line", F.size("h").alias("n"), *_map(F.col("h")))
+
+
+def _apart(x: str, y: str) -> Column:
+    """In how many bits the maps of two lines differ."""
+    return sum((F.bit_count(F.col(f"{x}b{j}").bitwiseXOR(F.col(f"{y}b{j}"))) for j in range(4)), F.lit(0))
+
+
+def _close(x: str, y: str) -> Column:
+    """Size and bitmap filters."""
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    return (F.least(nx, ny) >= _need(nx, ny)) & (_apart(x, y) <= nx + ny - 2 * _need(nx, ny))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The x of those (x, y) whose lines have Jaccard similarity 0.8 or more, one row each; texts has all their lines.
+
+    The maps are compared first; only lines of pairs that pass are compared word by word.
+    """
+    side = lambda c: texts.select(F.col("p").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in ("n", "b0", "b1", "b2", "b3")])
+    close = written(pairs.join(side("x"), "x").join(side("y"), "y").where(_close("x_", "y_")).select("x", "y"))
+    ends = _table(close.select(F.explode(F.array("x", "y")).alias("p")).select("p.*"), "doc", "variant", "k")
+    words = _marked(texts.select("p.*", "line"), ends, "doc", "variant", "k").select(F.struct("doc", "variant", "k").alias("p"), "line")
+    both = close.join(words.select(F.col("p").alias("x"), F.col("line").alias("lx")), "x").join(words.select(F.col("p").alias("y"), F.col("line").alias("ly")), "y")
+    both = both.select("x", *[F.array_distinct(_hashes(F.col(c))).alias(c) for c in ("lx", "ly")])
+    return both.where(F.size(F.array_intersect("lx", "ly")) >= _need(F.size("lx"), F.size("ly"))).select("x").distinct()
+
+
+def _small(at: str) -> Column:
+    """Whether a posting is of a line of one or two words."""
+    return F.shiftrightunsigned(at, 48).bitwiseAND(F.lit(FULL)) < 3
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The x of those (x, y) whose lines have Jaccard similarity 0.8 or more, one row each."""
-    both = pairs.join(sets.select(F.col("p").alias("x"), F.col("words").alias("sx")), "x").join(sets.select(F.col("p").alias("y"), F.col("words").alias("sy")), "y")
-    need, nx, ny = _need(F.size("sx"), F.size("sy")), F.size("sx"), F.size("sy")
-    return both.where((F.least(nx, ny) >= need) & (F.size(F.array_intersect("sx", "sy")) >= need)).select("x").distinct()
+def _met_twice(met: DataFrame) -> DataFrame:
+    """(x, y, count) of (x, y, small) for pairs that meet in two runs at least, or are small."""
+    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.bool_or("small").alias("small"))
+    return pairs.where("count > 1 or small").drop("small")
 
 
 def similar_to_earlier(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(x): the first place (doc, variant, k) of every line text to which a different line text before it is similar."""
     lines = _lines(rows)
     company = written(in_company(postings(lines, places, rarity_table(rows))))
-    sets = written(_word_sets(lines, company.select(_place().alias("p")).distinct()))
-    later = company.alias("a").where(_before("head", "a"))
-    heads = later.where(_may_match(F.col("at"), F.col("head.at"))).groupBy(_place().alias("x"), _place("head.").alias("y")).count()
-    first = heads.groupBy("x").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("y"))  # of equal counts the earliest
-    settled = written(_verified(first, sets))
-    rest = later.withColumn("x", _place()).join(settled, "x", "left_anti")
-    met = rest.alias("a").join(company.alias("b"), (F.col("a.t") == F.col("b.t")) & _before("b", "a") & _may_match(F.col("a.at"), F.col("b.at")))
-    pairs = met.select("x", _place("b.").alias("y")).distinct()
-    return settled.union(_verified(pairs, sets))
+    by_head = company.where("head is not null").select(_place().alias("x"), _place("head.").alias("y"), _small("at").alias("small"), "t")
+    first = written(_met_twice(by_head).groupBy("x").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("y")))  # of equal counts the earliest
+    first_ends = first.select(F.explode(F.array("x", "y")).alias("p"))
+    crowd = company.where("t is not null").select("t", "at", "later", "lines", _place().alias("p"))
+    dense, thin = crowd.where(F.col("lines") > DENSE), crowd.where(F.col("lines") <= DENSE)
+    texts = written(_texts(lines, written(first_ends.union(dense.select("p")).distinct())))
+    settled = written(_verified(first, texts))
+    open_ = lambda some: some.where("later").join(settled.select(F.col("x").alias("p")), "p", "left_anti")
+    pair = (F.col("a.t") == F.col("b.t")) & (F.col("b.p") < F.col("a.p")) & _may_match(F.col("a.at"), F.col("b.at"))
+    met_as = [F.col("a.p").alias("x"), F.col("b.p").alias("y"), _small("a.at").alias("small")]
+    mapped = written(dense.join(texts.drop("line"), "p").select("t", "at", "later", "lines", "p", "n", "b0", "b1", "b2", "b3"))
+    # a line of a dense group is settled most often by its nearest neighbour in the two smallest of its dense runs
+    smallest = F.row_number().over(Window.partitionBy("p").orderBy("lines", "t"))
+    few = open_(mapped).withColumn("rank", smallest).where("rank <= 2")
+    nearest = few.alias("a").join(mapped.alias("b"), pair & _close("a.", "b.")).groupBy(F.col("a.p").alias("x")).agg(F.min_by("b.p", F.struct(_apart("a.", "b."), "b.p")).alias("y"))
+    settled = written(settled.union(_verified(written(nearest), texts)))
+    met = open_(thin).alias("a").join(thin.alias("b"), pair).select(*met_as)
+    met_dense = open_(mapped).alias("a").join(mapped.alias("b"), pair & _close("a.", "b.")).select(*met_as)
+    alone = by_head.where("t is null").select("x", "y", "small").join(settled, "x", "left_anti")
+    more = _met_twice(alone.union(met).union(met_dense)).select("x", "y").join(first, ["x", "y"], "left_anti")
+    more = written(more)
+    more_texts = written(_texts(lines, written(more.select(F.explode(F.array("x", "y")).alias("p")).distinct())))
+    return settled.union(_verified(more, more_texts))
 
 
 def _verdicts(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ names that occur once count too. Such terms are generalised wherever they stand,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +25,52 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
+SPAN = "array<struct<kind:int,start:int,stop:int,value:string,line:int>>"
 TERM = len(KINDS)
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 PRIOR, DISCLOSURE, BITS = 1.0, 0.5, 3.0
+CHUNK = 64
 HASHES = 1 << 22  # most rows of the table that keeps other words out of the join with the terms
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row, however often the functions in body go over it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _folded(values: Column) -> Column:
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"] + x).alias("out"))
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array of int. Appending copies an array, so sums are made by chunks and then shifted: the time is in proportion to CHUNK * n."""
+
+    def of(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: _folded(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+        return _let(chunks, shifted)
+
+    def shifted(local: Column) -> Column:
+        sums = F.transform(local, lambda a: F.element_at(a, -1))
+        before = F.zip_with(_folded(sums), sums, lambda x, y: x - y)
+        return F.flatten(F.zip_with(local, before, lambda a, b: F.transform(a, lambda x: x + b)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
-    """The matches of one pattern in a text as spans."""
+    """The matches of one pattern in a text as spans; line is the number of line breaks before one."""
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("stop"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def made(parts: Column) -> Column:
+        stops = _running(F.transform(parts, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        lines = _running(F.transform(parts, lambda x: F.length(x["gap"]) - F.length(F.replace(x["gap"], F.lit("\n"), F.lit("")))))
+        at = F.arrays_zip(stops.alias("stop"), lines.alias("line"), F.transform(parts, lambda x: x["hit"]).alias("hit"))
+        return F.transform(at, lambda x: F.struct(F.lit(kind).alias("kind"), (x["stop"] - F.length(x["hit"])).alias("start"), x["stop"].alias("stop"), x["hit"].alias("value"), x["line"].alias("line")))
 
-    return F.when(F.size(matches) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(matches) > 0, _let(parts, made)).otherwise(F.array().cast(SPAN))
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,9 +113,9 @@ def base_spans(docs: DataFrame, text: str = "text", into: str = "_spans") -> Dat
 
 def _line_words(text: Column, spans: Column) -> Column:
     """Lower-cased words of the lines that hold a span, those of the spans among them; each line counts once."""
-    begins = F.array_distinct(F.transform(spans, lambda s: s["start"] - F.length(F.substring_index(F.substring(text, F.lit(1), s["start"]), "\n", -1))))
-    lines = F.transform(begins, lambda b: F.substring_index(F.substring(text, b + 1, F.length(text)), "\n", 1))
-    return F.filter(F.flatten(F.transform(lines, lambda x: F.split(F.lower(x), GAPS))), lambda w: w != "")
+    lines = F.array_distinct(F.transform(spans, lambda s: s["line"]))
+    texts = _let(F.split(text, "\n", -1), lambda every: F.transform(lines, lambda i: F.get(every, i)))
+    return F.filter(F.flatten(F.transform(texts, lambda x: F.split(F.lower(x), GAPS))), lambda w: w != "")
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, text: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
@@ -119,10 +147,18 @@ def term_spans(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFra
     likely = words.join(F.broadcast(terms.select(hash_of).distinct()), "hash", "left_semi")
     start = F.when(F.col("i") == 0, 0).otherwise(F.expr("length(substring_index(spaced, ' ', i)) + 1"))
     placed = likely.select("key", "term", "word", start.alias("start"))
-    span = F.struct(F.lit(TERM).alias("kind"), "start", (F.col("start") + F.length("word")).alias("stop"), F.col("word").alias("value"))
+    span = F.struct(F.lit(TERM).alias("kind"), "start", (F.col("start") + F.length("word")).alias("stop"), F.col("word").alias("value"), F.lit(None).cast("int").alias("line"))
     return placed.join(terms.select("term"), "term").select("key", span.alias("span"))
 
 
+def outside(words: DataFrame, found: DataFrame) -> DataFrame:
+    """The (key, span) of words that share no character with a base span of their text; found: (key, base). Compared by character, so that the work grows with the spans' lengths."""
+    here = found.join(words.select("key").distinct(), "key", "left_semi").select("key", F.explode("base").alias("s")).where("s.start < s.stop")
+    covered = here.select("key", F.explode(F.sequence(F.col("s.start"), F.col("s.stop") - 1)).alias("at")).distinct()
+    touched = words.select("key", "span", F.explode(F.sequence(F.col("span.start"), F.col("span.stop") - 1)).alias("at")).join(covered, ["key", "at"], "left_semi")
+    return words.withColumn("begin", F.col("span.start")).join(touched.select("key", F.col("span.start").alias("begin")).distinct(), ["key", "begin"], "left_anti").drop("begin")
+
+
 def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, spans) for each row of docs; spans: base spans, then those of disclosing terms (kind TERM), sorted.
 
@@ -135,14 +171,17 @@ def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     near = F.when(F.size("_spans") > 0, _line_words(F.col("_text"), F.col("_spans"))).otherwise(F.array().cast("array<string>"))
     found = written(found.select("key", F.col("_spans").alias("base"), near.alias("near")))
     terms = written(disclosing_terms(docs, found.select(F.explode("near").alias("term")), text))
-    extra = term_spans(slim, terms, "_text").groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("extra"))
-    free = F.filter("extra", lambda w: ~F.exists("base", lambda s: (w["start"] < s["stop"]) & (s["start"] < w["stop"])))
-    spans = F.concat("base", F.coalesce(free, F.array().cast(SPAN)))
+    extra = outside(term_spans(slim, terms, "_text"), found).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("extra"))
+    spans = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))
     return found.join(extra, "key", "left").select(F.col("key.id").alias("doc_id"), F.col("key.hash").alias("text_hash"), "base", spans.alias("spans"))
 
 
 def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text): texts with base spans replaced by their kind and disclosing terms by [TERM]. spans: personal_spans()."""
+    """(doc_id, text): texts with base spans replaced by their kind and disclosing terms by [TERM]. spans: personal_spans().
+
+    Null texts stay null, texts without spans stay as they are. Rows are matched by id and text, so repeated rows, rows
+    without id and several texts of one id get their own results. An empty table gives no rows.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     one = spans.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("j")).agg(F.first("spans").alias("spans"))
     both = keyed.join(one, keyed["doc_id"].eqNullSafe(one["i"]) & (keyed["h"] == one["j"]), "left")

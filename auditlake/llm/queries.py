@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = rules.judged(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in rules.STATS[:5]], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return out.select("doc_id", *[F.col(f"_judged.stats.{c}").alias(c) for c in rules.STATS[:5]], "_judged.base_failed", "_judged.kept")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = weaklabel.quality_scores(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("kept"))
+    return weaklabel.quality_scores(table(spark, sf_dir, "documents")).select("doc_id", "_quality.posterior", "_quality.score", "_quality.kept")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

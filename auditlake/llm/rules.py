@@ -174,12 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars:
     return learn(np.array([[r[s] for s in STATS] for r in got]), np.array([r["_label"] == 0 for r in got]))
 
 
-def judged(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """docs with columns _stats, _base_failed and _kept.
+def judged(docs: DataFrame, rules: DecisionList, text: str = "text", into: str = "_judged") -> DataFrame:
+    """docs with a struct column `into`: stats (a struct of STATS), base_failed and kept.
 
     Base rule: fewer than 10 words, or more than 20 % of them in repeated windows. Null and empty texts have no words
-    and fail it. Repeated rows get equal verdicts. Without labels the list is empty and only the base rule decides.
+    and fail it. Repeated rows get equal verdicts. Without labels the list is empty and only the base rule decides. An
+    empty table gives no rows. Other columns stay; one named `into` is replaced.
     """
-    s = F.col("_stats")
+    s = F.col(into)
     failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-    return docs.withColumn("_stats", text_stats(F.col(text))).withColumn("_base_failed", failed).withColumn("_kept", ~failed & rules.keeps(s))
+    return docs.withColumn(into, text_stats(F.col(text))).withColumn(into, F.struct(s.alias("stats"), failed.alias("base_failed"), (~failed & rules.keeps(s)).alias("kept")))

@@ -130,7 +130,9 @@ def fingerprint_links(fps: DataFrame, block: int = 2048) -> DataFrame:
     of its own, so no cell's rows meet in one task. Within a cell the links form a spanning forest, not all pairs.
     """
     emb = embed(F.col("fp"))
-    cells = fps.select("fp", F.posexplode(F.array(*[emb.bitwiseAND(F.lit(m)) for m in grid_masks()])).alias("grid", "cell"))
+    # a small table's few files would make few tasks, each of which unfolds a row into one for each grid
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = spread.select("fp", F.posexplode(F.array(*[emb.bitwiseAND(F.lit(m)) for m in grid_masks()])).alias("grid", "cell"))
     counts = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -144,8 +146,10 @@ def fingerprint_links(fps: DataFrame, block: int = 2048) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    marked = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("_rid"), fingerprint(F.col(text)).alias("fp")))
-    fps = written(marked.groupBy("fp").agg(F.min("_rid").alias("first")))
+    """(doc_id, row, fp, component) of each row of docs; row is (row_id(), hash of the text), component the least row of its group."""
+    row = F.struct(row_id(doc_id, text).alias("id"), F.xxhash64(text).alias("hash"))
+    marked = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), fingerprint(F.col(text)).alias("fp")))
+    fps = written(marked.groupBy("fp").agg(F.min("row").alias("first")))
     roots = components(fingerprint_links(fps.select("fp")))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
@@ -160,16 +164,18 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     columns are ignored. fingerprint: 16 lower-case hex digits.
     """
     return _grouped(docs, doc_id, text).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id(F.col("component")).alias("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id(F.col("component.id")).alias("component_id")
     )
 
 
 def keep_first_of_groups(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id. All columns stay.
+    """docs with one document of each near-duplicate group: the one with the smallest doc_id. All columns stay, whatever their names.
 
-    Repeated rows of one id count as one document. Rows without an id stay only if no row of their group has one; then
-    one of them stays.
+    A document is an id with a text: repeated rows of both count as one, and of several texts of one id in one group the
+    one of the smallest hash stays, while texts of one id in different groups all stay. Rows without an id stay only if
+    no row of their group has one; then one of them stays. Null and empty texts are a group like any other. An empty
+    table gives no rows.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("_rid"))
-    first = _grouped(docs, "doc_id", "text").where("_rid = component").select("_rid").distinct()
-    return whole.join(first, "_rid", "left_semi").dropDuplicates(["_rid"]).select("row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("id"), F.xxhash64("text").alias("hash"))
+    first = _grouped(docs, "doc_id", "text").where("row = component").select("row.id", "row.hash").distinct()
+    return whole.join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -9,7 +9,7 @@ contributes one number at prediction time; words not seen in training get theirs
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +23,44 @@ THRESHOLD = 0.3
 RUN = 8
 #: bounds of the sample that the model is trained on
 SAMPLE_ROWS, SAMPLE_CHARS = 3500, 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS, CHUNK_CHARS = 300_000, 500_000
+GRAMS = (3, 4, 5, 6)
+BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(word: bytes, buckets: int) -> list[int]:
-    marked = b"<" + word + b">"
-    grams = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return [zlib.crc32(g) % buckets for g in sorted(grams)]
+def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every character n-gram of the words, and of the words themselves; word is an index into words.
+
+    All words are hashed together: a polynomial in the bytes of an n-gram, one vector operation for each length.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    letters = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64) if words else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = ends[owner] - np.arange(len(letters))  # letters from here to the end of the word
+    hashed, found, owners = letters + np.uint64(1), [], []
+    for n in range(2, max(GRAMS) + 1):
+        hashed = hashed[: max(0, len(letters) - n + 1)] * BASE + letters[n - 1 :]
+        if n in GRAMS:
+            whole = np.flatnonzero(left[: len(hashed)] >= n)
+            found.append(hashed[whole] + np.uint64(n))
+            owners.append(owner[whole])
+    found.append(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+    owners.append(np.arange(len(words)))
+    return ((np.concatenate(found) * SPREAD) >> np.uint64(33)).astype(np.int64) % buckets, np.concatenate(owners)
+
+
+def _chunks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lists of at most about CHUNK_CHARS characters, so that few word lists are held at a time."""
+    now, size = [], 0
+    for t in texts:
+        if now and size + len(t or "") > CHUNK_CHARS:
+            yield now
+            now, size = [], 0
+        now.append(t)
+        size += len(t or "")
+    if now:
+        yield now
 
 
 @dataclass
@@ -39,17 +69,12 @@ class ToxicityModel:
     bias: float
 
     def scorer(self):
-        """A function from a text to a score; it keeps the scores of words that it has met, up to a bound."""
-        buckets, table, known = len(self.word_scores), self.word_scores, {}
+        """A function from texts to their scores; it keeps the scores of words that it has met, up to a bound."""
+        table, known = self.word_scores, {}
 
-        def score(text: str | None) -> float:
-            words = plain_words(text)
+        def score(words: list[bytes]) -> float:
             if not words:
                 return 0.0
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = float(table[subwords(w, buckets)].mean())
             values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
             starts = np.arange(0, len(values), RUN)
             sizes = np.minimum(RUN, len(values) - starts)
@@ -58,7 +83,20 @@ class ToxicityModel:
             logit = top + np.log(np.exp(logits - top).sum())
             return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
-        return score
+        def scores(texts: Iterable[str | None]) -> list[float]:
+            out = []
+            for some in _chunks(texts):
+                words = [plain_words(t) for t in some]
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                new = sorted(set().union(*words).difference(known))
+                if new:
+                    bucket, owner = subwords(new, len(table))
+                    known.update(zip(new, (np.bincount(owner, table[bucket], len(new)) / np.bincount(owner, minlength=len(new))).tolist()))
+                out += map(score, words)
+            return out
+
+        return scores
 
 
 def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, dim: int = 10, rounds: int = 100, rate: float = 0.3, min_docs: int = 4, shrink: float = 0.03, seed: int = 7) -> ToxicityModel:
@@ -83,9 +121,11 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
         return ToxicityModel(np.zeros(buckets), -20.0)
     y, doc_of_run, size_of_run = np.array(truth, float), np.array(run_docs), np.array(run_words, float)
     token, run_of_token = np.array(tokens), np.repeat(np.arange(len(run_words)), run_words)
-    grams = [np.array(subwords(w, buckets), np.int32) for w in ids]
-    n_grams = np.array([len(g) for g in grams], float)
-    gram, word_of_gram = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), n_grams.astype(int))
+    gram, word_of_gram = (x.astype(np.int32) for x in subwords(list(ids), buckets))
+    order = np.argsort(word_of_gram, kind="stable")
+    gram, word_of_gram = gram[order], word_of_gram[order]
+    n_grams = np.bincount(word_of_gram, minlength=len(ids)).astype(float)
+    grams = np.split(gram, np.cumsum(n_grams[:-1]).astype(int))
     in_docs, in_toxic = np.zeros(buckets), np.zeros(buckets)
     ends = np.searchsorted(doc_of_run[run_of_token], np.arange(len(y)), side="right")
     for d, (begin, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):  # one document at a time: little memory
@@ -137,7 +177,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", into:
 
     Null and empty texts score 0. Documents without a label are scored like others; labels without a document, null
     labels and null ids are not learned from; of several labels for one id the higher counts. Repeated rows get equal
-    scores. With empty tables or labels of one kind only, every score is near 0. Other columns stay as they are.
+    scores. With empty tables or labels of one kind only, every score is near 0. Other columns stay as they are; one
+    named `into` is replaced.
     """
     return score_with(fit(docs, labels), docs, text, into)
 
@@ -149,13 +190,17 @@ def score_with(model: ToxicityModel, docs: DataFrame, text: str = "text", into:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = shared.value.scorer()
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=float)
+            yield pd.Series(one(texts), dtype=float)
 
     return docs.withColumn(into, score(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score at least `threshold`. All columns stay."""
+    """docs without those that score at least `threshold`. All columns stay, whatever their names.
+
+    Null and empty texts score 0 and stay; repeated rows go or stay together; without labels of both kinds nothing is
+    rejected; an empty table gives no rows.
+    """
     model = fit(docs, labels)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("_text"))
     return score_with(model, whole, "_text", "_score").where(F.col("_score") < threshold).select("row.*")
