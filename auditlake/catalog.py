@@ -11,12 +11,12 @@ from auditlake.operators import joins as jo
 from auditlake.operators import loadlog as lo
 from auditlake.operators import service as se
 from auditlake.operators import text as tx
-from auditlake.plans import code_queries  # noqa: F401 - registers its queries
+from auditlake.plans import code_queries, report_queries  # noqa: F401 - register their queries
 from auditlake.plans.bindings import bound, cte, table
 from auditlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from auditlake.streaming import jobs
 
-FINDINGS, RUNS, USERS, REQUESTS, LOCKS, ADVISORIES = map(bound, ("findings", "runs", "users", "requests", "locks", "advisories"))
+FINDINGS, RUNS, USERS, REQUESTS, LOCKS, ADVISORIES, ITERATIONS = map(bound, ("findings", "runs", "users", "requests", "locks", "advisories", "iterations"))
 EXPORTS, IDENTS, ROUTES, DOCS, LEDGER, BILLING = map(bound, ("exports", "idents", "routes", "docs", "ledger", "billing"))
 AS_OF = "1997-06-15 00:00:00"
 DIMENSIONS = ["security", "unit", "accessibility", "load", "chaos", "contracts", "mutation"]
@@ -114,9 +114,15 @@ def health_metrics(spark, sf):
     return fi.health_metrics(FINDINGS(spark, sf))
 
 
-@query(f"""{cte('findings')} SELECT CASE WHEN dimension IN ('vision', 'scope', 'stack', 'contracts') THEN 'dimension' WHEN regexp_matches(title, 'finding (1|2|3)$') THEN 'title' END AS reason, count(*) AS n FROM findings GROUP BY 1""")
+_TITLES = ["No rate limiting on routes", "Estimated mutation score is low", "Low test file coverage", "Images without alt attribute", "SQL injection in query", "Missing rate of change", "12 Unchained Promise Calls", "Query built from input"]
+
+
+@query(f"""{cte('findings')}, t AS (SELECT CASE WHEN line % 4 > 0 THEN dimension END AS dimension, seq // 10 % 8 AS k FROM findings)
+SELECT CASE WHEN dimension IN ('load', 'accessibility', 'chaos', 'mutation') THEN 'dimension' WHEN dimension IS NULL AND k IN (0, 1, 2, 3, 6) THEN 'title' END AS reason, count(*) AS n FROM t GROUP BY 1""")
 def testable_split(spark, sf):
-    return fi.testable_split(FINDINGS(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.floor(F.col("seq") / 10) % 8 + 1).cast("int"))
+    given = FINDINGS(spark, sf).withColumn("title", title).withColumn("dimension", F.when(F.col("line") % 4 > 0, F.col("dimension")))
+    return fi.testable_split(given).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{cte('findings')} SELECT severity, dimension, count(*) AS n FROM findings GROUP BY GROUPING SETS ((severity), (dimension), ())")
@@ -165,19 +171,22 @@ def filter_suppressed(spark, sf):
     return fi.filter_suppressed(FINDINGS(spark, sf), remarks).select("seq", "category")
 
 
-_RISK = f"""{cte('findings', 'exports')}, a AS (SELECT repo, path, sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 12 WHEN 'medium' THEN 5 WHEN 'low' THEN 2 ELSE 0 END) AS security FROM findings GROUP BY ALL),
+_RISK = f"""{cte('findings', 'exports')}, a AS (SELECT repo, path, sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 12 WHEN 'medium' THEN 5 WHEN 'low' THEN 2 ELSE 0 END) AS security FROM findings WHERE rule <> 'r2' GROUP BY ALL),
 b AS (SELECT repo, path, count(*) * 10 AS queries FROM findings WHERE rule = 'r4' GROUP BY ALL), c AS (SELECT repo, path, count(*) * 0.5 AS dead FROM exports GROUP BY ALL),
-d AS (SELECT repo, path, greatest(max(seq) % 1000 - 400, 0) * 0.05 AS length FROM findings GROUP BY ALL),
-j AS (SELECT repo, path, CAST(coalesce(security, 0) AS DOUBLE) AS security, CAST(coalesce(queries, 0) AS DOUBLE) AS queries, CAST(coalesce(dead, 0) AS DOUBLE) AS dead, CAST(coalesce(length, 0) AS DOUBLE) AS length
- FROM a FULL JOIN b USING (repo, path) FULL JOIN c USING (repo, path) LEFT JOIN d USING (repo, path)),
-risk AS (SELECT repo, path, floor((security + queries + dead + length) * 10 + 0.5) / 10 AS risk,
- concat_ws(',', CASE WHEN security > 0 THEN 'security' END, CASE WHEN queries > 0 THEN 'queries' END, CASE WHEN dead > 0 THEN 'dead' END, CASE WHEN length > 0 THEN 'length' END) AS reasons FROM j WHERE security + queries + dead + length > 0)"""
+d AS (SELECT repo, path, greatest(max(seq) % 1000 - 400, 0) * 0.05 AS length FROM findings GROUP BY ALL), e AS (SELECT repo, path, greatest(max(seq % 31) - 15, 0) AS complexity FROM findings WHERE rule = 'r2' GROUP BY ALL),
+t AS (SELECT repo, path, CASE WHEN sum(seq % 3) > 3 THEN sum(seq % 3) ELSE 0 END AS todos FROM findings WHERE rule = 'r3' GROUP BY ALL), k AS (SELECT repo, path FROM findings UNION SELECT repo, path FROM exports),
+j AS (SELECT repo, path, {', '.join(f'CAST(coalesce({x}, 0) AS DOUBLE) AS {x}' for x in ('security', 'queries', 'complexity', 'length', 'todos', 'dead'))}
+ FROM k {' '.join(f'LEFT JOIN {x} USING (repo, path)' for x in 'abcdet')}),
+risk AS (SELECT repo, path, floor((security + queries + complexity + length + todos + dead) * 10 + 0.5) / 10 AS risk,
+ concat_ws(',', {', '.join(f"CASE WHEN {x} > 0 THEN '{x}' END" for x in ('security', 'queries', 'complexity', 'length', 'todos', 'dead'))}) AS reasons FROM j)"""
 
 
 def _risk(spark, sf):
     f = FINDINGS(spark, sf)
     sizes = f.groupBy("repo", "path").agg((F.max("seq") % 1000).alias("n_lines"))
-    return fi.file_risk(f, f.where("rule = 'r4'"), EXPORTS(spark, sf), sizes)
+    functions = f.where("rule = 'r2'").select("repo", "path", (F.col("seq") % 31).cast("int").alias("cc"))
+    todos = f.where("rule = 'r3'").select("repo", "path", (F.col("seq") % 3).alias("n"))
+    return fi.file_risk(f.where("rule <> 'r2'"), f.where("rule = 'r4'"), EXPORTS(spark, sf), sizes, functions, todos)
 
 
 @query(f"{_RISK} SELECT repo, path, risk, reasons FROM risk WHERE risk > 0")
@@ -185,8 +194,8 @@ def file_risk(spark, sf):
     return _risk(spark, sf)
 
 
-@query(f"""{_RISK}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY risk DESC, path) AS rank, CAST(floor(sum(risk) OVER (PARTITION BY repo) / 5) AS BIGINT) AS predicted FROM risk WHERE risk > 0)
-SELECT repo, path, risk, rank, CASE WHEN risk >= 30 THEN 'high' WHEN risk >= 12 THEN 'medium' ELSE 'low' END AS severity, predicted FROM r WHERE rank <= 5""")
+@query(f"""{_RISK}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY risk DESC, path) AS rank, CAST(floor(sum(risk) OVER (PARTITION BY repo) / 5) AS BIGINT) AS predicted, max(risk) OVER (PARTITION BY repo) AS top FROM risk WHERE risk > 0)
+SELECT repo, path, risk, rank, CASE WHEN risk >= 30 THEN 'high' WHEN risk >= 12 THEN 'medium' ELSE 'low' END AS severity, predicted, CASE WHEN top >= 30 THEN 'high' WHEN top >= 12 THEN 'medium' ELSE 'low' END AS level FROM r WHERE rank <= 5""")
 def risk_hotspots(spark, sf):
     return fi.risk_hotspots(_risk(spark, sf))
 
@@ -224,12 +233,12 @@ def unused_deps(spark, sf):
     return jo.unused_deps(li.where("l_linestatus = 'O'").select(repo, name.alias("name")), li.where("l_linestatus = 'F'").select(repo, F.concat(name, F.lit("/lib/index")).alias("specifier")))
 
 
-_MATCHES = f"""{cte('locks', 'advisories')}, once AS (SELECT DISTINCT repo, name, version, is_direct FROM locks), n AS (SELECT name, min({_RANK}) AS worst FROM advisories GROUP BY name), x AS (SELECT name, version, min({_RANK}) AS worst FROM advisories GROUP BY ALL),
-h AS (SELECT repo, name, CASE WHEN is_direct THEN 1 ELSE 2 END AS stage, worst FROM once JOIN n USING (name) UNION ALL SELECT repo, name, 3, worst FROM once JOIN x USING (name, version)),
-m AS (SELECT repo, name, min(struct_pack(stage := stage, worst := worst)) AS m FROM h GROUP BY repo, name)"""
+_MATCHES = f"""{cte('locks', 'advisories')}, once AS (SELECT DISTINCT repo, ecosystem, name, version, is_direct FROM locks), n AS (SELECT ecosystem, name, min({_RANK}) AS worst FROM advisories GROUP BY ALL), x AS (SELECT ecosystem, name, version, min({_RANK}) AS worst FROM advisories GROUP BY ALL),
+h AS (SELECT repo, ecosystem, name, CASE WHEN is_direct THEN 1 ELSE 2 END AS stage, worst FROM once JOIN n USING (ecosystem, name) UNION ALL SELECT repo, ecosystem, name, 3, worst FROM once JOIN x USING (ecosystem, name, version)),
+m AS (SELECT repo, ecosystem, name, min(struct_pack(stage := stage, worst := worst)) AS m FROM h GROUP BY repo, ecosystem, name)"""
 
 
-@query(f"{_MATCHES} SELECT repo, name, m.stage AS stage, m.worst AS severity_rank FROM m")
+@query(f"{_MATCHES} SELECT repo, ecosystem, name, m.stage AS stage, m.worst AS severity_rank FROM m")
 def advisory_matches(spark, sf):
     return jo.advisory_matches(LOCKS(spark, sf), ADVISORIES(spark, sf))
 
@@ -253,40 +262,47 @@ def duplicate_versions(spark, sf):
     return jo.duplicate_versions(LOCKS(spark, sf))
 
 
-_LICENSE_LINE = "regexp_extract(text, '([^\\n]*[Ll]icen[sc]e[^\\n]*)', 1)"
+_LICENSE_LINES = "unnest(regexp_extract_all(text, '[^\\n]*[Ll]icen[sc]e[^\\n]*'))"
 _FAMILY = "CASE WHEN license = '' OR license IS NULL THEN 'unknown' " + " ".join(f"WHEN regexp_matches(license, '{p}') THEN '{n}'" for n, p in jo.LICENSES) + " ELSE 'unknown' END"
 
 
-@query(f"""WITH p AS (SELECT source AS repo, {_LICENSE_LINE} AS license FROM documents), c AS (SELECT repo, {', '.join(f"count(*) FILTER (family = '{f}') AS {f}" for f in [x for x, _ in jo.LICENSES] + ['unknown'])} FROM (SELECT repo, {_FAMILY} AS family FROM p) GROUP BY repo)
+@query(f"""WITH p AS (SELECT source AS repo, {_LICENSE_LINES} AS license FROM documents), c AS (SELECT repo, {', '.join(f"count(*) FILTER (family = '{f}') AS {f}" for f in [x for x, _ in jo.LICENSES] + ['unknown'])} FROM (SELECT repo, {_FAMILY} AS family FROM p) GROUP BY repo)
 SELECT *, {_curve('(strong * 2 + proprietary * 2 + weak) * 100', '8')} AS score FROM c""")
 def license_report(spark, sf):
     named = F.filter(F.split("text", "\n"), lambda x: x.rlike("[Ll]icen[sc]e"))
-    line = F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
-    return jo.license_report(table(spark, sf, "documents").select(F.col("source").alias("repo"), line.alias("license")))
+    return jo.license_report(table(spark, sf, "documents").select(F.col("source").alias("repo"), F.explode(named).alias("license")))
+
 
+_MODULES = "concat('src/', CASE WHEN l_partkey % 2 = 0 THEN 'lib/' ELSE '' END, 'm', CAST(l_partkey % 90 AS string), CASE l_linenumber % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' WHEN 2 THEN '.mjs' ELSE '/index.js' END)"
+_SPECIFIERS = "concat(CASE l_partkey % 4 WHEN 0 THEN './lib/m' WHEN 1 THEN './m' WHEN 2 THEN '../src/./lib/m' ELSE 'm' END, CAST(l_partkey % 120 AS string), CASE l_linenumber % 5 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '' END)"
+_BASES = "concat(CASE l_partkey % 4 WHEN 1 THEN 'src/m' ELSE 'src/lib/m' END, CAST(l_partkey % 120 AS varchar))"
+_WRITTEN = "CASE l_linenumber % 5 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '' END"
+_REPO20 = "concat('repo-', CAST(l_suppkey % 20 AS string))"
 
-@query(f"""WITH f AS (SELECT DISTINCT concat('repo-', CAST(l_suppkey % 20 AS varchar)) AS repo, concat('src/m', CAST(l_partkey % 90 AS varchar), CASE l_linenumber % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.js' END) AS path FROM lineitem WHERE l_linestatus = 'O'),
-i AS (SELECT DISTINCT concat('repo-', CAST(l_suppkey % 20 AS varchar)) AS repo, concat('src/u', CAST(l_orderkey % 7 AS varchar), '.js') AS path, concat('./m', CAST(l_partkey % 120 AS varchar)) AS specifier FROM lineitem WHERE l_linestatus = 'F'),
-e(rank, ext) AS (VALUES (0, ''), (1, '.js'), (2, '.ts'), (3, '.tsx'), (4, '.jsx'), (5, '.mjs'), (6, '.cjs'), (7, '.json'), (8, '/index.js'), (9, '/index.ts'))
-SELECT i.repo, i.path, i.specifier, arg_min(f.path, rank) AS target FROM i, e JOIN f ON f.repo = i.repo AND f.path = concat('src/', substring(i.specifier, 3), ext) GROUP BY i.repo, i.path, i.specifier""")
+
+@query(f"""WITH f AS (SELECT DISTINCT {_REPO20.replace('string', 'varchar')} AS repo, {_MODULES.replace('string', 'varchar')} AS path FROM lineitem WHERE l_linestatus = 'O'),
+i AS (SELECT DISTINCT {_REPO20.replace('string', 'varchar')} AS repo, concat('src/u', CAST(l_orderkey % 7 AS varchar), '.js') AS path, {_SPECIFIERS.replace('string', 'varchar')} AS specifier, {_BASES} AS base, {_WRITTEN} AS ext FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 4 < 3),
+e(rank, ext) AS (SELECT unnest(range(1, 9)), unnest({jo.EXTENSIONS})),
+t AS (SELECT repo, path, specifier, 0 AS rank, concat(base, ext) AS target FROM i UNION ALL SELECT repo, path, specifier, rank, concat(base, i.ext, e.ext) FROM i, e
+      UNION ALL SELECT repo, path, specifier, 10 + rank, concat(base, i.ext, '/index', e.ext) FROM i, e UNION ALL SELECT repo, path, specifier, 20 + rank, concat(base, e.ext) FROM i, e WHERE i.ext <> '')
+SELECT t.repo, t.path, specifier, arg_min(target, rank) AS target FROM t JOIN f ON f.repo = t.repo AND f.path = target GROUP BY ALL""")
 def resolve_imports(spark, sf):
-    li = table(spark, sf, "lineitem")
-    repo = F.expr("concat('repo-', CAST(l_suppkey % 20 AS string))").alias("repo")
-    files = li.where("l_linestatus = 'O'").select(repo, F.expr("concat('src/m', CAST(l_partkey % 90 AS string), CASE l_linenumber % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.js' END)").alias("path"))
-    imports = li.where("l_linestatus = 'F'").select(repo, F.expr("concat('src/u', CAST(l_orderkey % 7 AS string), '.js')").alias("path"), F.expr("concat('./m', CAST(l_partkey % 120 AS string))").alias("specifier")).distinct()
+    li, repo = table(spark, sf, "lineitem"), F.expr(_REPO20).alias("repo")
+    files = li.where("l_linestatus = 'O'").select(repo, F.expr(_MODULES).alias("path"))
+    imports = li.where("l_linestatus = 'F'").select(repo, F.expr("concat('src/u', CAST(l_orderkey % 7 AS string), '.js')").alias("path"), F.expr(_SPECIFIERS).alias("specifier")).distinct()
     return jo.resolve_imports(imports, files)
 
 
-_RULES = [("eval", ["eval", "Function"], None, None, "critical"), ("sql", [], "^db\\..*", "\\+", "high"), ("exec", ["exec"], "^child_", "^req", "high")]
+_RULES = [("eval", ["eval", "Function"], None, None, "critical", False), ("sql", [], "^db\\..*", "\\+", "high", None), ("exec", ["exec"], "^child_", "^req", "high", True)]
 _CALLS = "CASE l_linenumber WHEN 1 THEN 'eval' WHEN 2 THEN 'db.query' WHEN 3 THEN 'exec' WHEN 4 THEN 'child_process.spawn' ELSE 'log' END"
 
 
 @query(f"""WITH c AS (SELECT concat('repo-', CAST(l_suppkey AS varchar)) AS repo, concat('src/', CAST(l_partkey AS varchar)) AS path, CAST(l_orderkey AS BIGINT) AS line, {_CALLS} AS callee, CASE l_returnflag WHEN 'A' THEN 'req.body' WHEN 'N' THEN 'a + b' ELSE 'x' END AS args FROM lineitem)
 SELECT repo, path, line, 'eval' AS rule, 'critical' AS severity FROM c WHERE callee IN ('eval', 'Function') UNION ALL SELECT repo, path, line, 'sql', 'high' FROM c WHERE regexp_matches(callee, '^db\\.') AND contains(args, '+')
-UNION ALL SELECT repo, path, line, 'exec', 'high' FROM c WHERE (callee = 'exec' OR starts_with(callee, 'child_')) AND starts_with(args, 'req')""")
+UNION ALL SELECT repo, path, line, 'exec', 'high' FROM c WHERE (callee = 'exec' OR starts_with(callee, 'child_')) AND starts_with(args, 'req') AND line % 2 = 0""")
 def rule_findings(spark, sf):
-    calls = table(spark, sf, "lineitem").select(F.expr("concat('repo-', CAST(l_suppkey AS string))").alias("repo"), F.expr("concat('src/', CAST(l_partkey AS string))").alias("path"), F.expr("CAST(l_orderkey AS bigint)").alias("line"), F.expr(_CALLS).alias("callee"), F.expr("CASE l_returnflag WHEN 'A' THEN 'req.body' WHEN 'N' THEN 'a + b' ELSE 'x' END").alias("args_text"))
-    return jo.rule_findings(calls, spark.createDataFrame(_RULES, "rule string, callees array<string>, callee_regex string, arg_regex string, severity string"))
+    calls = table(spark, sf, "lineitem").select(F.expr("concat('repo-', CAST(l_suppkey AS string))").alias("repo"), F.expr("concat('src/', CAST(l_partkey AS string))").alias("path"), F.expr("CAST(l_orderkey AS bigint)").alias("line"), F.expr(_CALLS).alias("callee"), F.expr("CASE l_returnflag WHEN 'A' THEN 'req.body' WHEN 'N' THEN 'a + b' ELSE 'x' END").alias("args_text"), F.expr("l_orderkey % 2 = 0").alias("taint"))
+    return jo.rule_findings(calls, spark.createDataFrame(_RULES, "rule string, callees array<string>, callee_regex string, arg_regex string, severity string, needs_taint boolean"))
 
 
 # ---------------------------------------------------------------- service tables
@@ -303,20 +319,22 @@ def usage_stats(spark, sf):
 
 
 _PLANS = ", ".join(f"('{p}', {', '.join('NULL' if x is None else str(x) for x in v)})" for p, v in se.PLANS.items())
-_QUOTA = f"""{cte('users', 'runs')}, plans(plan, max_tests, max_repos, max_iterations) AS (VALUES {_PLANS}),
-used AS (SELECT user_id, count(*) AS tests, count(DISTINCT project_id) AS repos FROM runs WHERE started_at >= date_trunc('month', TIMESTAMP '{AS_OF}') AND started_at <= TIMESTAMP '{AS_OF}' GROUP BY user_id),
-q AS (SELECT id, users.plan, coalesce(tests, 0) AS tests, coalesce(repos, 0) AS repos, CASE WHEN max_tests IS NOT NULL THEN greatest(max_tests - coalesce(tests, 0), 0) END AS tests_left, CASE WHEN max_repos IS NOT NULL THEN greatest(max_repos - coalesce(repos, 0), 0) END AS repos_left
- FROM users LEFT JOIN plans USING (plan) LEFT JOIN used ON users.id = used.user_id)"""
+_QUOTA = f"""{cte('users', 'runs', 'iterations')}, u AS (SELECT id, CASE lower(plan) WHEN 'pro' THEN 'pro' WHEN 'team' THEN 'team' WHEN 'premium' THEN 'team' WHEN 'forge' THEN 'team' WHEN 'enterprise' THEN 'enterprise' ELSE 'free' END AS plan FROM users),
+p(plan, max_tests, max_repos, max_iterations) AS (VALUES ('free', 5, 1, 0), ('pro', 100, 10, 20), ('team', 500, 50, 200), ('enterprise', NULL, NULL, NULL)),
+r AS (SELECT user_id AS id, count(*) AS tests, count(DISTINCT project_id) AS repos FROM runs WHERE started_at BETWEEN date_trunc('month', TIMESTAMP '{AS_OF}') AND TIMESTAMP '{AS_OF}' GROUP BY 1),
+i AS (SELECT user_id AS id, count(*) AS iterations FROM iterations WHERE created_at BETWEEN date_trunc('month', TIMESTAMP '{AS_OF}') AND TIMESTAMP '{AS_OF}' GROUP BY 1),
+q AS (SELECT u.id, u.plan, coalesce(tests, 0) AS tests, coalesce(repos, 0) AS repos, coalesce(iterations, 0) AS iterations, CASE WHEN max_tests IS NOT NULL THEN greatest(max_tests - coalesce(tests, 0), 0) END AS tests_left,
+ CASE WHEN max_repos IS NOT NULL THEN greatest(max_repos - coalesce(repos, 0), 0) END AS repos_left, CASE WHEN max_iterations IS NOT NULL THEN greatest(max_iterations - coalesce(iterations, 0), 0) END AS iterations_left FROM u JOIN p USING (plan) LEFT JOIN r USING (id) LEFT JOIN i USING (id))"""
 
 
 @query(f"{_QUOTA} SELECT * FROM q")
 def quota(spark, sf):
-    return se.quota(USERS(spark, sf), RUNS(spark, sf), as_of())
+    return se.quota(USERS(spark, sf), RUNS(spark, sf), ITERATIONS(spark, sf), as_of())
 
 
-@query(f"{_QUOTA} SELECT id, plan, CASE WHEN tests_left = 0 THEN 'tests' ELSE 'repos' END AS reason FROM q WHERE tests_left = 0 OR repos_left = 0")
+@query(f"{_QUOTA} SELECT id, plan, gate FROM (SELECT id, plan, unnest([CASE WHEN tests_left = 0 THEN 'tests' END, CASE WHEN iterations_left = 0 THEN 'iterations' END, CASE WHEN iterations_left IS NOT NULL AND iterations >= 50 AND iterations_left = 0 THEN 'personal-key' END]) AS gate FROM q) WHERE gate IS NOT NULL")
 def quota_denials(spark, sf):
-    return se.quota_denials(se.quota(USERS(spark, sf), RUNS(spark, sf), as_of()))
+    return se.quota_denials(se.quota(USERS(spark, sf), RUNS(spark, sf), ITERATIONS(spark, sf), as_of()))
 
 
 @query(f"""{cte('runs')}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY completed_at DESC NULLS FIRST, id DESC) AS k FROM runs)
@@ -331,16 +349,16 @@ def stage_summary(spark, sf):
     return se.stage_summary(FINDINGS(spark, sf))
 
 
-@query(f"{cte('runs')} SELECT id, CASE WHEN completed_at IS NOT NULL THEN '1m 15s' END AS duration FROM runs")
+@query(f"{cte('runs')} SELECT id, CASE WHEN status <> 'running' THEN CASE WHEN id % 300 < 60 THEN concat(id % 300, 's') ELSE concat(id % 300 // 60, 'm ', id % 60, 's') END END AS duration FROM runs")
 def run_duration(spark, sf):
     return se.run_duration(RUNS(spark, sf))
 
 
-@query(f"""{cte('runs')}, i AS (SELECT user_id, CAST(started_at AS DATE) AS day, total_findings FROM runs WHERE CAST(started_at AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-14'),
-d AS (SELECT user_id, CAST(day AS DATE) AS day FROM (SELECT DISTINCT user_id FROM i), unnest(generate_series(TIMESTAMP '1995-03-01', TIMESTAMP '1995-03-14', INTERVAL 1 DAY)) AS g(day)), c AS (SELECT user_id, day, count(*) AS n, sum(total_findings) AS found FROM i GROUP BY ALL)
+@query(f"""{cte('runs')}, c AS (SELECT user_id, CAST(started_at AS DATE) AS day, count(*) AS n, sum(total_findings) AS found FROM runs GROUP BY ALL), m AS (SELECT user_id, min(day) AS a, max(day) AS b FROM c GROUP BY user_id),
+d AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM m)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, CAST(coalesce(found, 0) AS BIGINT) AS found FROM d LEFT JOIN c USING (user_id, day)""")
 def usage_by_day(spark, sf):
-    return se.usage_by_day(RUNS(spark, sf), "1995-03-01", "1995-03-14")
+    return se.usage_by_day(RUNS(spark, sf))
 
 
 @query("""WITH b AS (SELECT c_custkey AS id, c_name AS name, 0 AS version FROM customer UNION ALL SELECT CAST(c_custkey + 50 AS BIGINT), concat('new-', c_name), 1 FROM customer WHERE c_custkey % 3 = 0)
@@ -366,15 +384,15 @@ def plan_from_billing(spark, sf):
 
 @query(f"{cte('requests')} SELECT concat('user-', CAST(caller AS varchar)) AS owner, count(*) AS n, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_used FROM requests WHERE caller % 5 <> 0 GROUP BY caller")
 def key_usage(spark, sf):
-    r = REQUESTS(spark, sf)
-    keys = r.select("caller").distinct().select(F.sha2(F.concat(F.lit("key-"), F.col("caller").cast("string")), 256).alias("key_hash"), F.concat(F.lit("user-"), F.col("caller").cast("string")).alias("owner"), (F.col("caller") % 5 == 0).alias("revoked"))
+    r = REQUESTS(spark, sf).withColumn("presented", F.concat(F.lit("key-"), F.col("caller").cast("string")))
+    keys = r.select("caller", "presented").distinct().select(F.sha2("presented", 256).alias("key_hash"), F.concat(F.lit("user-"), F.col("caller").cast("string")).alias("owner"), (F.col("caller") % 5 == 0).alias("revoked"))
     return se.key_usage(r, keys)
 
 
-@query(f"""{cte('requests')}, l AS (SELECT caller, arg_max(kind, struct_pack(ts := ts, id := id)) AS kind, min(ts) AS since FROM requests WHERE kind IN ('signup', 'error') GROUP BY caller)
-SELECT caller, CAST(floor(epoch(since)) AS BIGINT) AS since FROM l WHERE kind = 'signup'""")
+@query(f"""{cte('requests')}, l AS (SELECT caller AS who, arg_max(kind, struct_pack(ts := ts, id := id)) AS kind, min(ts) AS since FROM requests WHERE kind IN ('signup', 'error') GROUP BY caller)
+SELECT who, CAST(floor(epoch(since)) AS BIGINT) AS since FROM l WHERE kind = 'signup'""")
 def active_subscribers(spark, sf):
-    return se.active_subscribers(REQUESTS(spark, sf))
+    return se.active_subscribers(REQUESTS(spark, sf).withColumnRenamed("caller", "who"), "signup", "error")
 
 
 @query(f"{cte('ledger')} SELECT title, state, n FROM (SELECT title, arg_max(state, struct_pack(entry_date := entry_date, pos := pos)) AS state, count(*) AS n FROM ledger GROUP BY title) WHERE state = 'open'")
@@ -390,10 +408,20 @@ def new_proposals(spark, sf):
     return se.new_proposals(c, LEDGER(spark, sf))
 
 
-@query("""SELECT o_orderstatus AS stage, count(*) AS n, string_agg(CAST(o_orderkey AS varchar), ',' ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS ids FROM orders WHERE o_custkey % 50 = 1 GROUP BY 1""")
+@query("SELECT o_orderstatus AS stage, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS position, CAST(o_orderkey AS BIGINT) AS id FROM orders")
 def tasks_by_stage(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 50 = 1")
-    return se.tasks_by_stage(o.select(F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("id")))
+    o = table(spark, sf, "orders")
+    return se.tasks_by_stage(o.select(F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created"), F.col("o_orderkey").cast("bigint").alias("id")))
+
+
+@query(f"{cte('runs')} SELECT id, started_at AS created_at, score FROM runs ORDER BY started_at DESC, id DESC LIMIT 20")
+def top_reports(spark, sf):
+    return se.top_reports(RUNS(spark, sf).select("id", F.col("started_at").alias("created_at"), "score"))
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS run_id, max(CAST(l_shipdate AS TIMESTAMP)) AS created_at, count(*) AS tests, count(*) FILTER (l_returnflag = 'N') AS passed FROM lineitem GROUP BY 1 ORDER BY created_at DESC, run_id DESC LIMIT 20")
+def top_generations(spark, sf):
+    return se.top_generations(table(spark, sf, "lineitem").select(F.expr("CAST(l_orderkey AS bigint)").alias("run_id"), F.col("l_shipdate").cast("timestamp").alias("created_at"), F.expr("l_returnflag = 'N'").alias("passed")))
 
 
 @query(f"{cte('findings', 'runs')} SELECT f.run_id, r.user_id, r.project_id, r.status AS run_status, f.severity, {_RANK} AS severity_rank, f.seq FROM findings f LEFT JOIN runs r ON r.id = f.run_id")
@@ -424,9 +452,16 @@ def max_healthy(spark, sf):
 _HOURS = "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (status >= 500) / count(*) AS rate FROM requests GROUP BY 1"
 
 
-@query(f"{cte('requests')}, h AS ({_HOURS}) SELECT CAST(epoch(hour) AS BIGINT) AS hour, n, rate, lag(rate) OVER (ORDER BY hour) AS before FROM h")
+_FAULTS = f"{cte('requests')}, h AS ({_HOURS}), f AS (SELECT CAST(epoch(hour) AS BIGINT) AS phase_id, hour - INTERVAL 5000 SECOND AS baseline, hour AS start, hour + INTERVAL 2900 SECOND AS stop FROM h WHERE rate > 0.25)"
+
+
+@query(f"""{_FAULTS} SELECT phase_id, count(*) FILTER (ts < start AND status >= 500) / nullif(count(*) FILTER (ts < start), 0) AS before, count(*) FILTER (ts >= start AND status >= 500) / nullif(count(*) FILTER (ts >= start), 0) AS during
+FROM f LEFT JOIN requests ON ts >= baseline AND ts < stop GROUP BY phase_id""")
 def phase_error_rates(spark, sf):
-    return lo.phase_error_rates(REQUESTS(spark, sf))
+    r = REQUESTS(spark, sf)
+    hours = r.groupBy(F.date_trunc("hour", "ts").alias("start")).agg((F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("rate")).where("rate > 0.25")
+    phases = hours.select(F.unix_timestamp("start").alias("phase_id"), F.expr("start - interval 5000 seconds").alias("baseline"), "start", F.expr("start + interval 2900 seconds").alias("end"))
+    return lo.phase_error_rates(r, phases)
 
 
 @query(f"{cte('requests')}, h AS ({_HOURS}), f AS (SELECT hour AS cleared FROM h WHERE rate > 0.35) SELECT CAST(epoch(cleared) AS BIGINT) AS fault_id, CAST((SELECT min(epoch(hour)) FROM h WHERE hour >= cleared AND hour < cleared + INTERVAL 6 HOUR AND rate <= 0.1 + 0.05) - epoch(cleared) AS BIGINT) AS seconds FROM f")
@@ -441,7 +476,10 @@ def rate_limit_sliding(spark, sf):
     return lo.rate_limit_sliding(REQUESTS(spark, sf), 5, 21600)
 
 
-@query()
+@query(f"""{cte('requests')}, o AS (SELECT id, caller, epoch_us(ts) AS t, row_number() OVER (PARTITION BY caller ORDER BY epoch_us(ts), id) AS k FROM requests),
+w AS (WITH RECURSIVE step AS (SELECT id, caller, k, t + 21600000000 AS ends, 1 AS n FROM o WHERE k = 1
+ UNION ALL SELECT o.id, o.caller, o.k, CASE WHEN o.t > step.ends THEN o.t + 21600000000 ELSE step.ends END, CASE WHEN o.t > step.ends THEN 1 ELSE step.n + 1 END FROM step JOIN o ON o.caller = step.caller AND o.k = step.k + 1) SELECT * FROM step)
+SELECT id, caller, CAST(n AS BIGINT) AS count, n <= 5 AS allowed FROM w""")
 def rate_limit_fixed(spark, sf):
     return lo.rate_limit_fixed(REQUESTS(spark, sf), 5, 21600)
 
@@ -451,9 +489,9 @@ def error_rate_windows(spark, sf):
     return lo.error_rate_windows(REQUESTS(spark, sf))
 
 
-@query(f"{cte('requests')} SELECT caller, arg_max(status, id) AS status, count(*) FILTER (status = 200) AS completed FROM requests GROUP BY caller")
+@query(f"{cte('requests')} SELECT caller, arg_max(kind, id) AS status, count(*) FILTER (kind = 'purchase') AS completed FROM requests GROUP BY caller")
 def latest_state(spark, sf):
-    return lo.latest_state(REQUESTS(spark, sf), "caller", "id")
+    return lo.latest_state(REQUESTS(spark, sf).select("caller", "id", F.col("kind").alias("status")), "caller", "id", "purchase")
 
 
 @query("SELECT DISTINCT event_id % 1000 AS id FROM events")
@@ -481,16 +519,25 @@ def path_flags(spark, sf):
     return tx.path_flags(DOCS(spark, sf))
 
 
-@query(f"""{cte('docs')}, l AS (SELECT repo, CASE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) WHEN 'en' THEN 'Prose' WHEN 'de' THEN 'Prose' ELSE regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1) END AS language, count(*) AS n FROM docs GROUP BY ALL)
-SELECT repo, CAST(coalesce(sum(n) FILTER (language = 'Prose'), 0) AS BIGINT) AS native, CAST(floor(100.0 * coalesce(sum(n) FILTER (language = 'Prose'), 0) / sum(n) + 0.5) AS INTEGER) AS percent, coalesce(string_agg(language, ',' ORDER BY n DESC, language) FILTER (language <> 'Prose'), '') AS unsupported FROM l GROUP BY repo""")
+_EXT = "CASE lang WHEN 'en' THEN 'py' WHEN 'de' THEN 'rb' WHEN 'fr' THEN 'go' ELSE CASE WHEN doc_id % 3 = 0 THEN 'java' WHEN doc_id % 3 = 1 THEN 'cpp' ELSE 'md' END END"
+
+
+@query(f"""WITH l AS (SELECT source AS repo, {_EXT} AS ext, count(*) AS n FROM documents GROUP BY ALL), m(ext, language) AS (VALUES ('rb', 'Ruby'), ('java', 'Java'), ('cpp', 'C++')), g AS (SELECT repo, sum(n) FILTER (ext IN ('py', 'go')) AS own, sum(n) FILTER (language IS NOT NULL) AS other, string_agg(language, ',' ORDER BY n DESC, language) AS u FROM l LEFT JOIN m USING (ext) GROUP BY repo)
+SELECT repo, CAST(coalesce(own, 0) AS BIGINT) AS native, CASE WHEN own IS NULL AND other IS NULL THEN 100 ELSE CAST(floor(100.0 * coalesce(own, 0) / (coalesce(own, 0) + coalesce(other, 0)) + 0.5) AS INTEGER) END AS percent, coalesce(u, '') AS unsupported FROM g""")
 def language_coverage(spark, sf):
-    return tx.language_coverage(DOCS(spark, sf))
+    d = table(spark, sf, "documents")
+    return tx.language_coverage(d.select(F.col("source").alias("repo"), F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit("."), F.expr(_EXT)).alias("path")))
+
+
+_MARKS = [("license", "FIXME"), ("token", "HACK"), (" und ", " XXX "), (" the ", " WORKAROUND "), (" la ", " TODO ")]
 
 
-@query(f"{cte('docs')} SELECT repo, path, len(regexp_extract_all(content, '(?i)license|token|TODO')) AS n FROM docs WHERE regexp_matches(content, '(?i)license|token|TODO')")
+@query(f"WITH d AS (SELECT source AS repo, concat('doc/', CAST(doc_id AS varchar), '.', lang) AS path, {' + '.join(f'(length(text) - length(replace(text, {chr(39)}{a}{chr(39)}, {chr(39)}{chr(39)}))) // {len(a)}' for a, _ in _MARKS)} + len(regexp_extract_all(text, 'TODO|FIXME|HACK|XXX|WORKAROUND')) AS n FROM documents) SELECT repo, path, n FROM d WHERE n > 0")
 def todo_counts(spark, sf):
-    marked = DOCS(spark, sf).withColumn("content", F.regexp_replace("content", "(?i)license|token|TODO", "TODO"))
-    return tx.todo_counts(marked)
+    content = F.col("content")
+    for a, b in _MARKS:
+        content = F.replace(content, F.lit(a), F.lit(b))
+    return tx.todo_counts(DOCS(spark, sf).withColumn("content", content))
 
 
 @query(f"{cte('docs')} SELECT repo, bool_or(regexp_matches(content, '[0-9]{{13,}}')) AS numbers, bool_or(regexp_matches(content, '@[a-z0-9]+[.]')) AS mail, bool_or(regexp_matches(content, '(?i)licen[sc]e')) AS licensed FROM docs GROUP BY repo")
@@ -503,7 +550,11 @@ def filter_sources(spark, sf):
     return tx.filter_sources(DOCS(spark, sf)).select("path", "size")
 
 
-@query()
+@query(f"""{cte('docs')}, o AS (SELECT repo, path, size, row_number() OVER (PARTITION BY repo ORDER BY path) AS k FROM docs WHERE size <= 8000),
+w AS (WITH RECURSIVE step AS (SELECT repo, path, size, k, size <= 40000 AS kept, CASE WHEN size <= 40000 THEN size ELSE 0 END AS total, CASE WHEN size <= 40000 THEN 1 ELSE 0 END AS files FROM o WHERE k = 1
+ UNION ALL SELECT o.repo, o.path, o.size, o.k, step.files < 20 AND step.total + o.size <= 40000, CASE WHEN step.files < 20 AND step.total + o.size <= 40000 THEN step.total + o.size ELSE step.total END, CASE WHEN step.files < 20 AND step.total + o.size <= 40000 THEN step.files + 1 ELSE step.files END
+ FROM step JOIN o ON o.repo IS NOT DISTINCT FROM step.repo AND o.k = step.k + 1) SELECT * FROM step)
+SELECT repo, path, size FROM w WHERE kept""")
 def scan_budget(spark, sf):
     return tx.scan_budget(DOCS(spark, sf), 8000, 40_000, 20)
 

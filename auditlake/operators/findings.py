@@ -12,7 +12,13 @@ SECRET_ASSIGNMENT = r"(?i)(api_?key|secret|password|passwd|token|auth_?token|pri
 TOKEN_SHAPES = r"(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,})"
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]?|xxxx|dummy|sample|<[^>]+>|\$\{)"
 VISIBLE = 10
-ADVISORY_DIMENSIONS = ["vision", "scope", "stack"]
+# Dimensions whose findings are advice, and how titles of such findings read, for findings without a dimension.
+ADVISORY_DIMENSIONS = ["load", "accessibility", "chaos", "mutation", "predictive"]
+ADVISORY_TITLES = [
+    "no observability", "estimated mutation|mutation score|mutation testing", r"(low|moderate|unit) test\b.*(coverage|ratio)|test-to-source", "unchained promise calls", "load analysis",
+    "no (rate limiting|caching|response compression|circuit breaker|input validation|database connection pooling)", "missing (health check|rate limiting)",
+    r"accessible name|visible label association|without alt attribute|low contrast|onclick|skipped heading|table without headers|role\+tabindex",
+]
 PHASES = [("P0", "critical", None, None), ("P1", "high", None, 10), ("P2", "medium", None, 8), ("P3", None, "unit", 5), ("P3", None, "mutation", 3), ("P3", None, "load", 5), ("P3", None, "accessibility", 5), ("P3", None, "chaos", 3)]
 
 
@@ -39,14 +45,11 @@ def suppressions(lines: DataFrame) -> DataFrame:
 
 
 def filter_suppressed(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """findings without those that a remark covers: two equi anti joins, for whole files and for lines."""
-    named = rules.withColumn("category", F.when(F.col("category") == "*", F.lit(None)).otherwise(F.col("category")))
-    every, some = named.where("category is null"), named.where("category is not null")
-    out = findings
-    for part, keys in ((every, ["repo", "path"]), (some, ["repo", "path", "category"])):
-        out = out.join(part.where("line is null").select(*keys).distinct(), keys, "left_anti")
-        out = out.join(part.where("line is not null").select(*keys, "line").distinct(), [*keys, "line"], "left_anti")
-    return out
+    """findings without those that a remark covers; line null: the whole file, category '*': every one. One anti join on the file."""
+    r = rules.select(F.col("repo").alias("r_repo"), F.col("path").alias("r_path"), F.col("line").alias("r_line"), F.col("category").alias("r_category")).distinct()
+    same = (F.col("repo") == F.col("r_repo")) & (F.col("path") == F.col("r_path"))
+    covers = same & (F.col("r_line").isNull() | (F.col("r_line") == F.col("line"))) & ((F.col("r_category") == "*") | (F.col("r_category") == F.col("category")))
+    return findings.join(r, covers, "left_anti")
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
@@ -92,13 +95,14 @@ def dimension_groups(findings: DataFrame, order: list[str], cap: int = VISIBLE)
 
 def remediation_plan(findings: DataFrame, run: str = "repo") -> DataFrame:
     """(repo, phase, dimension, severity, title, rank): what to mend first, each group with its limit."""
-    parts = []
-    for phase, severity, dimension, limit in PHASES:
-        taken = findings.where(F.col("severity") == severity if severity else (F.col("dimension") == dimension) & F.col("severity").isin("low", "info"))
-        w = Window.partitionBy(run).orderBy(*_order(S.severity_rank(F.col("severity"))))
-        ranked = taken.withColumn("rank", F.row_number().over(w))
-        parts.append((ranked.where(F.col("rank") <= limit) if limit else ranked).select(run, F.lit(phase).alias("phase"), "dimension", "severity", "title", "seq", "rank"))
-    return union_findings(*parts)
+    group, phase, limit = F.lit(None), F.lit(None), F.lit(None)
+    for i, (name, severity, dimension, most) in reversed(list(enumerate(PHASES))):
+        belongs = F.col("severity") == severity if severity else (F.col("dimension") == dimension) & F.col("severity").isin("low", "info")
+        group, phase, limit = (F.when(belongs, v).otherwise(c) for v, c in ((i, group), (name, phase), (most, limit)))
+    taken = findings.withColumn("group", group).where("group is not null")
+    w = Window.partitionBy(run, "group").orderBy(*_order(S.severity_rank(F.col("severity"))))
+    ranked = taken.select("*", F.row_number().over(w).alias("rank"), phase.alias("phase"), limit.cast("int").alias("most"))
+    return ranked.where("most is null or rank <= most").select(run, "phase", "dimension", "severity", "title", "seq", "rank")
 
 
 def health_metrics(findings: DataFrame, run: str = "repo") -> DataFrame:
@@ -111,10 +115,11 @@ def health_metrics(findings: DataFrame, run: str = "repo") -> DataFrame:
 
 
 def testable_split(findings: DataFrame) -> DataFrame:
-    """findings with `kept` and `reason`: advisory dimensions and advisory titles can't be tested."""
-    by_dimension = F.col("dimension").isin(*ADVISORY_DIMENSIONS, "contracts")
-    by_title = F.col("title").rlike(r"finding (1|2|3)$")
-    return findings.withColumn("reason", F.when(by_dimension, "dimension").when(by_title, "title")).withColumn("kept", F.col("reason").isNull())
+    """findings with `kept` and `reason`: those of advisory dimensions can't be tested, nor, where a finding has no dimension, those with an advisory title."""
+    dimension = F.lower(F.trim(F.coalesce("dimension", F.lit(""))))
+    by_title = F.coalesce(F.col("title"), F.lit("")).rlike("(?i)" + "|".join(f"({t})" for t in ADVISORY_TITLES))
+    reason = F.when(dimension.isin(*ADVISORY_DIMENSIONS), "dimension").when((dimension == "") & by_title, "title")
+    return findings.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
 
 
 def compare_rollup(findings: DataFrame) -> DataFrame:
@@ -146,16 +151,24 @@ def distill_findings(findings: DataFrame, cap: int = 25, length: int = 400) -> D
     return kept.select("repo", "dimension", "severity", F.substring("title", 1, length).alias("title"), F.regexp_replace("path", r"^[^/]*/", "").alias("path"), "seq")
 
 
-def file_risk(findings: DataFrame, n_plus_one: DataFrame, dead: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(repo, path, risk, reasons): weighted signals of a file; every input is counted by file before the joins."""
+def file_risk(findings: DataFrame, n_plus_one: DataFrame, dead: DataFrame, sizes: DataFrame, functions: DataFrame, todos: DataFrame) -> DataFrame:
+    """(repo, path, risk, reasons): six weighted signals of a file; every input is counted by file before the joins.
+
+    functions: facts.js_functions (repo, path, cc), the most complex one counts from 16 on; todos: text.todo_counts
+    (repo, path, n), from 4 on. A file with a size only is not listed unless it is long.
+    """
     key = ["repo", "path"]
     worth = F.when(F.col("severity") == "critical", 25).when(F.col("severity") == "high", 12).when(F.col("severity") == "medium", 5).when(F.col("severity") == "low", 2).otherwise(0)
     a = findings.groupBy(*key).agg(F.sum(worth).alias("security"))
     b = n_plus_one.groupBy(*key).agg((F.count(F.lit(1)) * 10).alias("queries"))
     c = dead.groupBy(*key).agg((F.count(F.lit(1)) * 0.5).alias("dead"))
     d = sizes.groupBy(*key).agg((F.greatest(F.max("n_lines") - 400, F.lit(0)) * 0.05).alias("length"))
-    both = a.join(b, key, "full").join(c, key, "full").join(d, key, "left")
-    parts = ["security", "queries", "dead", "length"]
+    e = functions.groupBy(*key).agg(F.greatest(F.max("cc") - 15, F.lit(0)).alias("complexity"))
+    f = todos.groupBy(*key).agg(F.sum("n").alias("n")).select(*key, F.when(F.col("n") > 3, F.col("n")).otherwise(0).alias("todos"))
+    both = a
+    for other in (b, c, d, e, f):
+        both = both.join(other, key, "full")
+    parts = ["security", "queries", "complexity", "length", "todos", "dead"]
     filled = both.select(*key, *[F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias(p) for p in parts])
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
     reasons = F.concat_ws(",", *[F.when(F.col(p) > 0, p) for p in parts])
@@ -163,9 +176,11 @@ def file_risk(findings: DataFrame, n_plus_one: DataFrame, dead: DataFrame, sizes
 
 
 def risk_hotspots(risk: DataFrame, n: int = 5) -> DataFrame:
-    """The n riskiest files of each repo with a severity, and the repo's predicted failures and level."""
+    """The n riskiest files of each repo with a severity, and the repo's predicted failures and its level, that of its riskiest file."""
     w = Window.partitionBy("repo").orderBy(F.col("risk").desc(), "path")
     top = risk.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     level = F.when(F.col("risk") >= 30, "high").when(F.col("risk") >= 12, "medium").otherwise("low")
     sums = risk.groupBy("repo").agg(F.floor(F.sum("risk") / 5).alias("predicted"))
-    return top.join(sums, "repo").select("repo", "path", "risk", "rank", level.alias("severity"), "predicted")
+    worst = F.max(level.isin("high").cast("int") * 2 + level.isin("medium").cast("int")).over(Window.partitionBy("repo"))
+    repo_level = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.least(worst, F.lit(2)) + 1)
+    return top.join(sums, "repo").select("repo", "path", "risk", "rank", level.alias("severity"), "predicted", repo_level.alias("level"))

@@ -47,13 +47,21 @@ def unused_deps(deps: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def advisory_matches(locks: DataFrame, advisories: DataFrame) -> DataFrame:
-    """(repo, name, stage, severity): direct name hits, then transitive, then exact versions; a name once, earliest stage."""
-    once = locks.select("repo", "name", "version", "is_direct").distinct()
-    by_name = advisories.groupBy("name").agg(F.min(S.severity_rank(F.col("severity"))).alias("worst"))
-    exact = advisories.groupBy("name", "version").agg(F.min(S.severity_rank(F.col("severity"))).alias("worst"))
-    hits = once.join(by_name, "name").select("repo", "name", F.when(F.col("is_direct"), 1).otherwise(2).alias("stage"), "worst")
-    more = once.join(exact, ["name", "version"]).select("repo", "name", F.lit(3).alias("stage"), "worst")
-    return hits.union(more).groupBy("repo", "name").agg(F.min(F.struct("stage", "worst")).alias("m")).select("repo", "name", F.col("m.stage").alias("stage"), F.col("m.worst").alias("severity_rank"))
+    """(repo, ecosystem, name, stage, severity_rank): direct name hits, then transitive, then exact versions; a name once, earliest stage.
+
+    Both tables have an ecosystem; a name of one says nothing about the same name in another. Entries are reduced to
+    one row for each name and version of a repo, and shuffled by name once.
+    """
+    key = ["ecosystem", "name"]
+    once = locks.groupBy("repo", *key, "version").agg(F.bool_or("is_direct").alias("direct"), F.bool_or(~F.col("is_direct")).alias("indirect"))
+    rank = F.min(S.severity_rank(F.col("severity"))).alias("worst")
+    worst = advisories.groupBy(*key, "version").agg(rank).groupBy(*key).agg(F.min("worst").alias("worst"), F.map_from_entries(F.collect_list(F.struct(F.coalesce("version", F.lit("")).alias("v"), "worst"))).alias("exact"))
+    hits = once.join(worst, key)
+    stages = F.array_compact(F.array(
+        F.when(F.col("direct"), F.struct(F.lit(1).alias("stage"), F.col("worst").alias("rank"))), F.when(F.col("indirect"), F.struct(F.lit(2).alias("stage"), F.col("worst").alias("rank"))),
+        F.when(F.try_element_at("exact", F.col("version")).isNotNull(), F.struct(F.lit(3).alias("stage"), F.try_element_at("exact", F.col("version")).alias("rank"))),
+    ))
+    return hits.groupBy("repo", *key).agg(F.min(F.array_min(stages)).alias("m")).select("repo", *key, F.col("m.stage").alias("stage"), F.col("m.rank").alias("severity_rank"))
 
 
 def lock_flags(locks: DataFrame) -> DataFrame:
@@ -89,24 +97,42 @@ def license_report(packages: DataFrame) -> DataFrame:
     return c.withColumn("score", S.count_score(F.col("strong") * 2 + F.col("proprietary") * 2 + F.col("weak")))
 
 
+# Extensions in the order in which they are tried.
+EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]
+
+
+def joined_path(path: Column, specifier: Column) -> Column:
+    """The path that a relative specifier names, seen from the folder of `path`: '.' and '' parts go, '..' takes the part before it along."""
+    parts = F.split(F.concat(F.regexp_replace(path, r"[^/]*$", ""), specifier), "/")
+    kept = F.filter(parts, lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+    step = lambda done, p: F.when((p == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p))
+    return F.array_join(F.aggregate(kept, none, step), "/")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Relative specifiers to files: extensions, then index files, in order; the first that exists wins."""
-    ends = ["", ".js", ".ts", ".tsx", ".jsx", ".mjs", ".cjs", ".json", "/index.js", "/index.ts"]
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    base = F.concat(folder, F.regexp_replace("specifier", r"^\./", ""))
-    tries = imports.where(F.col("specifier").startswith("./")).select("repo", "path", "specifier", F.posexplode(F.array(*[F.concat(base, F.lit(e)) for e in ends])).alias("rank", "target"))
-    found = tries.join(files.select("repo", F.col("path").alias("target")).distinct(), ["repo", "target"])
+    """Specifiers that begin with '.' to files: as written, with an extension, as a folder with an index file, with another extension; the first that exists wins."""
+    base = joined_path(F.col("path"), F.col("specifier"))
+    bare = F.regexp_replace(base, r"\.([jt]sx?|[mc][jt]s)$", "")
+    tries = [base, *[F.concat(base, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/index{e}")) for e in EXTENSIONS], *[F.when(bare != base, F.concat(bare, F.lit(e))) for e in EXTENSIONS]]
+    named = imports.where(F.col("specifier").startswith(".")).select("repo", "path", "specifier", F.posexplode(F.array(*tries)).alias("rank", "target")).where("target is not null")
+    found = named.join(files.select("repo", F.col("path").alias("target")).distinct(), ["repo", "target"])
     return found.groupBy("repo", "path", "specifier").agg(F.min_by("target", "rank").alias("target"))
 
 
 def rule_findings(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """User rules as data: the callee is listed, or matches the rule's pattern; arguments match the rule's, if it has one.
+    """User rules as data: the callee is listed, or matches the rule's pattern; arguments match the rule's, if it has one,
+    and come from a request, if it says so (needs_taint, a column that rules may lack; calls then has taint).
 
-    Listed callees are an equi join, patterns a join of every call with the rules that have one; all rules are used.
+    Listed callees are an equi join. Patterns are tried on the distinct callees only, whatever the number of calls, and
+    the callees that match joined to the calls; all rules are used.
     """
     argument = F.col("arg_regex").isNull() | F.expr("args_text rlike arg_regex")
+    if "needs_taint" in rules.columns:
+        argument = argument & (~F.coalesce("needs_taint", F.lit(False)) | F.col("taint"))
     listed = F.coalesce(F.array_contains(F.col("callees"), F.col("callee")), F.lit(False))
     by_name = calls.join(rules.withColumn("callee", F.explode(F.array_distinct("callees"))), "callee").where(argument)
-    by_pattern = calls.join(rules.where("callee_regex is not null"), F.expr("callee rlike callee_regex") & ~listed & argument)
+    matching = calls.select("callee").distinct().join(rules.where("callee_regex is not null"), F.expr("callee rlike callee_regex") & ~listed)
+    by_pattern = calls.join(matching, "callee").where(argument)
     out = ["repo", "path", "line", "rule", "severity"]
     return by_name.select(*out).unionByName(by_pattern.select(*out))

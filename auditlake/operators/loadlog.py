@@ -7,10 +7,27 @@ from pyspark.sql import functions as F
 
 
 def load_levels(requests: DataFrame, by: str = "concurrency") -> DataFrame:
-    """Attempts, exact percentiles of latency and error rate of each level."""
-    p = F.percentile("latency", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    g = requests.groupBy(by).agg(F.count(F.lit(1)).alias("attempts"), p.alias("p"), F.least(F.lit(1.0), F.count_if(F.col("status") >= 300) / F.count(F.lit(1))).alias("error_rate"))
-    return g.select(by, "attempts", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "error_rate")
+    """Attempts, exact percentiles of latency (interpolated) and error rate of each level.
+
+    Latencies are counted by value before they are shuffled, and a level's values are ranked over running sums of those
+    counts; what a task holds of a level is one row at a time.
+    """
+    totals = requests.groupBy(by).agg(F.count(F.lit(1)).alias("attempts"), F.least(F.lit(1.0), F.count_if(F.col("status") >= 300) / F.count(F.lit(1))).alias("error_rate"), F.count("latency").alias("timed"))
+    values = requests.where("latency is not null").groupBy(by, "latency").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(by).orderBy("latency").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("last", F.sum("n").over(upto)).join(totals.select(by, "timed"), by)
+    here, picks = (F.col("last") - F.col("n"), F.col("last")), []
+    for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
+        at = (F.col("timed") - 1) * F.lit(p)
+        for side, k in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picks.append(F.max(F.when((k >= here[0]) & (k < here[1]), F.col("latency"))).alias(f"{name}_{side}"))
+    found = totals.join(ranked.groupBy(by).agg(*picks), by, "left")
+    made = []
+    for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
+        at = (F.col("timed") - 1) * F.lit(p)
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        made.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return found.select(by, "attempts", *made, "error_rate")
 
 
 def breaking_point(levels: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -23,22 +40,36 @@ def max_healthy(levels: DataFrame, threshold: float = 0.05) -> DataFrame:
     return levels.agg(F.max(F.when(F.col("error_rate") <= threshold, F.col("concurrency"))).alias("healthy"), F.min(F.when(F.col("error_rate") > threshold, F.col("concurrency"))).alias("degraded"))
 
 
-def phase_error_rates(requests: DataFrame, minutes: int = 60) -> DataFrame:
-    """Error rate of each hour against the hour before: what a fault's phase is compared with."""
-    hour = F.date_trunc("hour", "ts")
-    g = requests.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 500).alias("bad"))
-    w = Window.orderBy("hour")  # one row an hour
-    rate = F.col("bad") / F.col("n")
-    return g.select(F.unix_timestamp("hour").alias("hour"), "n", rate.alias("rate"), F.lag(rate).over(w).alias("before"))
+def phase_error_rates(requests: DataFrame, phases: DataFrame, bucket: int = 600) -> DataFrame:
+    """(phase_id, before, during): error rates of the requests before each fault, from baseline to start, and during it, from start to end.
 
-
-def recovery_time(checks: DataFrame, faults: DataFrame, baseline: float, margin: float = 0.15) -> DataFrame:
+    phases: (phase_id, baseline, start, end). A range join by buckets of `bucket` seconds, whose counts are made first
+    where a bucket lies wholly in one part; requests of the buckets at the edges are compared by time. A phase without
+    requests in a part has a null rate there.
+    """
+    parts = F.array(F.struct(F.lit("before").alias("part"), F.col("baseline").alias("a"), F.col("start").alias("b")), F.struct(F.lit("during").alias("part"), F.col("start").alias("a"), F.col("end").alias("b")))
+    spans = phases.select("phase_id", F.explode(parts).alias("p")).select("phase_id", "p.*")
+    index = lambda c: F.floor(F.unix_micros(c) / (bucket * 1_000_000))
+    slots = spans.where("a < b").withColumn("slot", F.explode(F.sequence(index("a"), index("b"))))
+    edge = (F.col("slot") == index("a")) | (F.col("slot") == index("b"))
+    logged = requests.select("ts", (F.col("status") >= 500).alias("bad"), index("ts").alias("slot"))
+    counts = logged.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"))
+    whole = slots.where(~edge).join(counts, "slot").select("phase_id", "part", "n", "bad")
+    near = slots.where(edge).join(logged, "slot").where("ts >= a and ts < b").select("phase_id", "part", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("bad"))
+    rates = whole.union(near).groupBy("phase_id").agg(*[(F.sum(F.when(F.col("part") == p, F.col("bad"))) / F.sum(F.when(F.col("part") == p, F.col("n")))).alias(p) for p in ("before", "during")])
+    return phases.select("phase_id").join(rates, "phase_id", "left")
+
+
+def recovery_time(checks: DataFrame, faults: DataFrame, baseline: float, margin: float = 0.15, bucket: int = 3600) -> DataFrame:
     """Seconds from each fault's clearing to the first check within baseline + margin; null when there is none.
 
-    faults (fault_id, cleared, until): the checks looked at are those from cleared to until. Few rows, broadcast.
+    faults (fault_id, cleared, until): the checks looked at are those from cleared to until. A range join by buckets of
+    `bucket` seconds, so that neither side is broadcast or compared with all of the other.
     """
-    good = checks.where(F.col("rate") <= baseline + margin)
-    met = good.join(F.broadcast(faults), (good["ts"] >= faults["cleared"]) & (good["ts"] < faults["until"]))
+    index = lambda c: F.floor(F.unix_micros(c) / (bucket * 1_000_000))
+    good = checks.where(F.col("rate") <= baseline + margin).select("ts", index("ts").alias("slot"))
+    slots = faults.where("cleared < until").withColumn("slot", F.explode(F.sequence(index("cleared"), index("until"))))
+    met = slots.join(good, "slot").where("ts >= cleared and ts < until")
     first = met.groupBy("fault_id").agg(F.min("ts").alias("back"))
     return faults.join(first, "fault_id", "left").select("fault_id", (F.unix_timestamp("back") - F.unix_timestamp("cleared")).alias("seconds"))
 
@@ -80,6 +111,6 @@ def error_rate_windows(requests: DataFrame, size: str = "1 hour", late: str = "1
     return g.select(F.unix_timestamp("window.start").alias("start"), "n", (F.col("bad") / F.col("n")).alias("rate"))
 
 
-def latest_state(progress: DataFrame, key: str, order: str) -> DataFrame:
-    """Newest status of each key and how many entries have completed; the same on a stream in update mode."""
-    return progress.groupBy(key).agg(F.max_by("status", order).alias("status"), F.count_if(F.col("status") == 200).alias("completed"))
+def latest_state(progress: DataFrame, key: str, order: str, done: str = "completed") -> DataFrame:
+    """Newest status of each key and how many entries have reached `done`; the same on a stream in update mode."""
+    return progress.groupBy(key).agg(F.max_by("status", order).alias("status"), F.count_if(F.col("status") == done).alias("completed"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
 
-# Tests, repositories and iterations that a plan includes a month; None is without limit.
-PLANS = {"free": (5, 1, 3), "hobby": (50, 5, 20), "pro": (200, 20, 100), "team": (1000, 100, 500), "enterprise": (None, None, None)}
+# Tests, repositories and iterations that a plan includes a month; None is without limit. Old names of plans.
+PLANS = {"free": (5, 1, 0), "pro": (100, 10, 20), "team": (500, 50, 200), "enterprise": (None, None, None)}
+ALIASES = {"premium": "team", "forge": "team"}
 PERSONAL_KEY_CAP = 50
 
 
@@ -32,22 +33,33 @@ def plan_limits(spark) -> DataFrame:
     return spark.createDataFrame([(p, *v) for p, v in PLANS.items()], "plan string, max_tests int, max_repos int, max_iterations int")
 
 
-def quota(users: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
-    """Used and remaining tests and repositories since the month began; each side is aggregated before it is joined."""
+def quota(users: DataFrame, runs: DataFrame, iterations: DataFrame, as_of: Column) -> DataFrame:
+    """Used and remaining tests, repositories and iterations since the month began (UTC); null: without limit.
+
+    Old plan names count as the plan they became, unknown and missing ones as free. Each side is aggregated before it
+    is joined. iterations: (user_id, created_at).
+    """
     month = F.date_trunc("month", as_of)
     used = runs.where((F.col("started_at") >= month) & (F.col("started_at") <= as_of)).groupBy("user_id").agg(F.count(F.lit(1)).alias("tests"), F.count_distinct("project_id").alias("repos"))
-    plans = F.broadcast(plan_limits(users.sparkSession))  # five rows
-    both = users.join(plans, "plan", "left").join(used, users["id"] == used["user_id"], "left")
-    left = lambda most, c: F.when(F.col(most).isNotNull(), F.greatest(F.col(most) - F.coalesce(c, F.lit(0)), F.lit(0)))
-    return both.select(
-        "id", "plan", F.coalesce("tests", F.lit(0)).cast("long").alias("tests"), F.coalesce("repos", F.lit(0)).cast("long").alias("repos"),
-        left("max_tests", "tests").cast("long").alias("tests_left"), left("max_repos", "repos").cast("long").alias("repos_left"),
-    )
+    tried = iterations.where((F.col("created_at") >= month) & (F.col("created_at") <= as_of)).groupBy("user_id").agg(F.count(F.lit(1)).alias("iterations"))
+    plans = F.broadcast(plan_limits(users.sparkSession))  # four rows
+    named = F.lower("plan")
+    for old, new in ALIASES.items():
+        named = F.when(named == old, new).otherwise(named)
+    both = users.withColumn("plan", F.when(named.isin(*PLANS), named).otherwise("free")).join(plans, "plan")
+    both = both.join(used, both["id"] == used["user_id"], "left").drop("user_id").join(tried, F.col("id") == tried["user_id"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    left = lambda most, c: F.when(F.col(most).isNotNull(), F.greatest(F.col(most) - count(c), F.lit(0))).cast("long").alias(f"{c}_left")
+    names = {"tests": "max_tests", "repos": "max_repos", "iterations": "max_iterations"}
+    return both.select("id", "plan", *[count(c).alias(c) for c in names], *[left(most, c) for c, most in names.items()])
 
 
 def quota_denials(quotas: DataFrame) -> DataFrame:
-    reason = F.when(F.col("tests_left") == 0, "tests").when(F.col("repos_left") == 0, "repos")
-    return quotas.withColumn("reason", reason).where("reason is not null").select("id", "plan", "reason")
+    """(id, plan, gate) of every gate that is shut: tests, iterations, and iterations with a key of one's own, of which any plan has PERSONAL_KEY_CAP at least."""
+    most = F.col("iterations") + F.col("iterations_left")
+    spent = F.col("iterations_left").isNotNull() & (F.col("iterations") >= F.greatest(F.lit(PERSONAL_KEY_CAP), most))
+    gates = F.array(F.when(F.col("tests_left") == 0, "tests"), F.when(F.col("iterations_left") == 0, "iterations"), F.when(spent, "personal-key"))
+    return quotas.select("id", "plan", F.explode(F.array_compact(gates)).alias("gate"))
 
 
 def latest_score(runs: DataFrame) -> DataFrame:
@@ -70,12 +82,11 @@ def run_duration(runs: DataFrame) -> DataFrame:
     return runs.select("id", F.when(F.col("completed_at").isNotNull(), text).alias("duration"))
 
 
-def usage_by_day(runs: DataFrame, first: str, last: str) -> DataFrame:
-    """Runs and findings of every user that has any, for each UTC day; days without a run count 0."""
-    day = F.to_date("started_at")
-    inside = runs.where(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    counts = inside.groupBy("user_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_findings").alias("found"))
-    days = inside.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+def usage_by_day(runs: DataFrame) -> DataFrame:
+    """Runs and findings of every user for each UTC day from the user's first run to the last; days without a run count 0."""
+    counts = runs.groupBy("user_id", F.to_date("started_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_findings").alias("found"))
+    spans = counts.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = spans.select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
     return days.join(counts, ["user_id", "day"], "left").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("found", F.lit(0)).cast("long").alias("found"))
 
 
@@ -99,15 +110,15 @@ def plan_from_billing(events: DataFrame) -> DataFrame:
 
 
 def key_usage(requests: DataFrame, keys: DataFrame) -> DataFrame:
-    """Requests by known, unrevoked key: the presented key is hashed and joined; unknown and revoked keys drop out."""
-    used = requests.withColumn("key_hash", F.sha2(F.concat(F.lit("key-"), F.col("caller").cast("string")), 256)).groupBy("key_hash").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_used"))
+    """Requests (presented, ts) by known, unrevoked key (key_hash, owner, revoked): the presented key is hashed and joined; unknown and revoked keys drop out."""
+    used = requests.where("presented is not null").groupBy(F.sha2("presented", 256).alias("key_hash")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_used"))
     return used.join(keys.where("not revoked"), "key_hash").select("owner", "n", F.unix_timestamp("last_used").alias("last_used"))
 
 
-def active_subscribers(events: DataFrame, limit: int = 50000) -> DataFrame:
-    """Those whose last word isn't an opt-out, oldest first."""
-    last = events.where(F.col("kind").isin("signup", "error")).groupBy("caller").agg(F.max_by("kind", F.struct("ts", "id")).alias("kind"), F.min("ts").alias("since"))
-    return last.where("kind = 'signup'").select("caller", F.unix_timestamp("since").alias("since")).orderBy("since", "caller").limit(limit)
+def active_subscribers(events: DataFrame, opt_in: str = "subscribe", opt_out: str = "unsubscribe", limit: int = 50000) -> DataFrame:
+    """(who, since) of those whose last word (who, kind, ts, id) isn't opt_out, oldest first."""
+    last = events.where(F.col("kind").isin(opt_in, opt_out)).groupBy("who").agg(F.max_by("kind", F.struct("ts", "id")).alias("kind"), F.min("ts").alias("since"))
+    return last.where(F.col("kind") == opt_in).select("who", F.unix_timestamp("since").alias("since")).orderBy("since", "who").limit(limit)
 
 
 def open_proposals(ledger: DataFrame) -> DataFrame:
@@ -122,8 +133,31 @@ def new_proposals(candidates: DataFrame, ledger: DataFrame, n: int = 3) -> DataF
 
 
 def tasks_by_stage(tasks: DataFrame) -> DataFrame:
-    """Per stage: the tasks in order of priority (as text), then age; and how many."""
-    return tasks.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("priority", "created", "id"))), lambda x: x["id"].cast("string"))).alias("ids"))
+    """(stage, position, id): each stage's tasks in order of priority (as text), then age, then id.
+
+    The position is that of the task's group of equal stage, priority and day, from counts, and its rank in the group,
+    so that no task reads a stage.
+    """
+    group = ["stage", "priority", "day"]
+    t = tasks.withColumn("day", F.to_date("created"))
+    counts = t.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("stage").orderBy("priority", "day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("created", "id"))
+    starts = starts.select(*[F.col(c).alias(f"of_{c}") for c in group], "start")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group]
+    return t.withColumn("rank", rank).join(starts, same).select("stage", (F.col("start") + F.col("rank")).alias("position"), "id")
+
+
+def top_reports(reports: DataFrame, n: int = 20) -> DataFrame:
+    """The n newest stored reports (id, created_at, score, ...), newest first."""
+    return reports.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
+
+
+def top_generations(generations: DataFrame, n: int = 20) -> DataFrame:
+    """The n newest generation runs with how many of their tests passed; generations: one row a test (run_id, created_at, passed)."""
+    runs = generations.groupBy("run_id").agg(F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("tests"), F.count_if("passed").alias("passed"))
+    return runs.orderBy(F.col("created_at").desc(), F.col("run_id").desc()).limit(n)
 
 
 def report_detail(findings: DataFrame, runs: DataFrame) -> DataFrame:

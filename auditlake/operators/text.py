@@ -10,8 +10,11 @@ from auditlake.functions import scores as S
 # Paths that aren't a repository's own source, and languages by extension.
 SKIPPED = r"(^|/)(node_modules|\.git|dist|build|coverage|\.next|\.venv|venv|__pycache__|vendor|target|\.cache)/|(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock)$"
 TEST_PATH = r"(^|/)(tests?|__tests__|spec|e2e)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$"
-LANGUAGES = {"js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "py": "Python", "go": "Go", "en": "Prose", "de": "Prose"}
-NATIVE = ["JavaScript", "TypeScript", "Python", "Go", "Prose"]
+NATIVE = ["ts", "js", "tsx", "jsx", "mjs", "cjs", "mts", "cts", "py", "go"]
+OTHER_LANGUAGES = {
+    "rb": "Ruby", "rs": "Rust", "java": "Java", "kt": "Kotlin", "scala": "Scala", "swift": "Swift", "php": "PHP", "cs": "C#", "cpp": "C++", "cc": "C++", "cxx": "C++", "c": "C", "h": "C/C++ header",
+    "hpp": "C++ header", "ex": "Elixir", "exs": "Elixir", "erl": "Erlang", "clj": "Clojure", "ml": "OCaml", "dart": "Dart",
+}
 
 
 def filter_sources(files: DataFrame) -> DataFrame:
@@ -32,13 +35,14 @@ def scan_summary(files: DataFrame) -> DataFrame:
 
 
 def language_coverage(files: DataFrame) -> DataFrame:
-    """Share of a repo's source files in languages that are analysed, and the others, most files first."""
-    names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    ext = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
-    by = files.groupBy("repo", F.coalesce(names[ext], ext).alias("language")).agg(F.count(F.lit(1)).alias("n"))
-    native = F.col("language").isin(*NATIVE)
-    g = by.groupBy("repo").agg(F.sum(F.when(native, F.col("n")).otherwise(0)).alias("native"), F.sum("n").alias("all"), F.array_sort(F.collect_list(F.when(~native, F.struct((-F.col("n")).alias("k"), "language")))).alias("u"))
-    return g.select("repo", "native", S.round_half_up(F.lit(100.0) * F.col("native") / F.col("all")).alias("percent"), F.concat_ws(",", F.transform("u", lambda x: x["language"])).alias("unsupported"))
+    """(repo, native, percent, unsupported): share of a repo's source files in languages that are analysed (100 without source files), and the other languages, most files first."""
+    names = F.create_map(*[F.lit(x) for kv in OTHER_LANGUAGES.items() for x in kv])
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    by = files.groupBy("repo", ext.isin(*NATIVE).alias("own"), F.try_element_at(names, ext).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    other = F.col("language").isNotNull()
+    g = by.groupBy("repo").agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("native"), F.sum(F.when(F.col("own") | other, F.col("n")).otherwise(0)).alias("all"), F.array_sort(F.collect_list(F.when(other, F.struct((-F.col("n")).alias("k"), "language")))).alias("u"))
+    percent = F.when(F.col("all") == 0, 100).otherwise(S.round_half_up(F.lit(100.0) * F.col("native") / F.col("all")))
+    return g.select("repo", "native", percent.cast("int").alias("percent"), F.concat_ws(",", F.transform("u", lambda x: x["language"])).alias("unsupported"))
 
 
 def todo_counts(files: DataFrame) -> DataFrame:

@@ -50,26 +50,27 @@ BINDINGS: dict[str, tuple[str, dict[str, str], str | None]] = {
         "id": "CAST(o_orderkey AS bigint)", "user_id": "CAST(o_custkey AS bigint)", "project_id": "CAST(o_orderkey % 97 AS bigint)",
         "status": "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END",
         "score": "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(floor(o_totalprice) AS bigint) % 101 END",
-        "started_at": "CAST(o_orderdate AS timestamp)", "completed_at": "CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderdate AS timestamp) + INTERVAL 75 SECOND END",
+        "started_at": "CAST(o_orderdate AS timestamp)", "completed_at": "CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderdate AS timestamp) + INTERVAL '1' SECOND * CAST(o_orderkey % 300 AS int) END",
         "total_findings": "CAST(o_orderkey % 40 AS bigint)",
     }, None),
     "users": ("customer", {
         "id": "CAST(c_custkey AS bigint)", "login": "c_name",
-        "plan": "CASE c_mktsegment WHEN 'BUILDING' THEN 'pro' WHEN 'AUTOMOBILE' THEN 'team' WHEN 'MACHINERY' THEN 'enterprise' WHEN 'HOUSEHOLD' THEN 'hobby' ELSE 'free' END",
+        "plan": "CASE c_mktsegment WHEN 'BUILDING' THEN 'pro' WHEN 'AUTOMOBILE' THEN CASE WHEN c_custkey % 2 = 0 THEN 'Forge' ELSE 'team' END WHEN 'MACHINERY' THEN 'enterprise' WHEN 'HOUSEHOLD' THEN 'hobby' END",
     }, None),
     "requests": ("events", {
         "id": "CAST(event_id AS bigint)", "ts": "CAST(ts AS timestamp)", "caller": "CAST(user_id AS bigint)", "status": "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END",
         "latency": "CAST(value AS double)", "concurrency": "CAST(get_json_object(props, '$.k') AS int)", "kind": "event_type",
     }, None),
     "locks": ("lineitem", {
-        "repo": "concat('repo-', CAST(l_suppkey AS string))", "name": "concat('pkg-', CAST(l_partkey % 500 AS string))", "version": "concat(CAST(CAST(l_quantity AS int) % 5 AS string), '.', CAST(l_linenumber AS string))",
+        "repo": "concat('repo-', CAST(l_suppkey AS string))", "ecosystem": "CASE WHEN l_suppkey % 4 = 0 THEN 'PyPI' ELSE 'npm' END", "name": "concat('pkg-', CAST(l_partkey % 500 AS string))", "version": "concat(CAST(CAST(l_quantity AS int) % 5 AS string), '.', CAST(l_linenumber AS string))",
         "resolved": "CASE WHEN l_linestatus = 'O' THEN 'https://registry.npmjs.org/p' WHEN l_linenumber = 7 THEN 'git+ssh://host/p.git' ELSE 'https://registry.npmjs.org/q' END",
         "integrity": "CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'sha512-x' END", "is_direct": "l_linenumber = 1",
     }, None),
     "advisories": ("part", {
-        "name": "concat('pkg-', CAST(p_partkey AS string))", "version": "concat(CAST(p_size % 5 AS string), '.', CAST(p_size % 7 + 1 AS string))",
+        "name": "concat('pkg-', CAST(p_partkey % 900 AS string))", "ecosystem": "CASE WHEN p_partkey % 3 = 0 THEN 'PyPI' ELSE 'npm' END", "version": "concat(CAST(p_size % 5 AS string), '.', CAST(p_size % 7 + 1 AS string))",
         "severity": "CASE WHEN p_size > 40 THEN 'critical' WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END",
-    }, "p_partkey < 500"),
+    }, None),
+    "iterations": ("orders", {"user_id": "CAST(o_custkey AS bigint)", "created_at": "CAST(o_orderdate AS timestamp)"}, "o_orderkey % 3 = 0"),
     "exports": ("lineitem", {"repo": "concat('repo-', CAST(l_suppkey % 50 AS string))", "path": "concat('m', CAST(l_orderkey % 11 AS string), '.js')", "name": "concat('f', CAST(l_partkey AS string))"}, "l_linestatus = 'O'"),
     "idents": ("lineitem", {"repo": "concat('repo-', CAST(l_suppkey % 50 AS string))", "path": "concat('m', CAST(l_orderkey % 13 AS string), '.js')", "name": "concat('f', CAST(l_partkey AS string))"}, "l_linestatus = 'F' OR l_linenumber = 1"),
     "routes": ("orders", {

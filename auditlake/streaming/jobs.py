@@ -35,8 +35,14 @@ def findings_stream(files: DataFrame) -> DataFrame:
     return findings.secret_findings(findings.explode_lines(files))
 
 
-def anchored_windows(requests: DataFrame, most: int = 60, seconds: int = 60) -> DataFrame:
-    """rate_limit_fixed for a stream: the state of a caller is (window end, count) and expires with the window."""
+def anchored_windows(requests: DataFrame, most: int = 60, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+    """rate_limit_fixed for a stream: the state of a caller is (window end, count).
+
+    Windows and their expiry both go by event time: the state goes once the watermark has passed the window's end, so an
+    idle or slow stream keeps open windows and a backlog drops closed ones. Rows older than the watermark are dropped;
+    one that comes in a later batch and lies before the open window counts 0 and is allowed, as its own window is gone.
+    A task holds the numbers and times of one caller's requests of one micro-batch, which the source's limits bound.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,11 +54,14 @@ def anchored_windows(requests: DataFrame, most: int = 60, seconds: int = 60) ->
         for t in rows["t"]:
             if t > ends:
                 ends, n = t + seconds * 1_000_000, 0
+            elif t < ends - seconds * 1_000_000:
+                counts.append(0)
+                continue
             n += 1
             counts.append(n)
         state.update((int(ends), int(n)))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int(ends) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": rows["id"].to_numpy(), "caller": key[0], "count": counts, "allowed": [c <= most for c in counts]})
 
-    narrow = requests.select("id", "caller", F.unix_micros("ts").alias("t"))
-    return narrow.groupBy("caller").applyInPandasWithState(run, "id long, caller long, count long, allowed boolean", "ends long, n long", "append", "ProcessingTimeTimeout")
+    narrow = requests.withWatermark("ts", late).select("id", "caller", "ts", F.unix_micros("ts").alias("t"))
+    return narrow.groupBy("caller").applyInPandasWithState(run, "id long, caller long, count long, allowed boolean", "ends long, n long", "append", "EventTimeTimeout")

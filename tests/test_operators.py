@@ -8,7 +8,9 @@ from auditlake.functions import scores as S
 from auditlake.operators import findings as fi
 from auditlake.operators import joins as jo
 from auditlake.operators import loadlog as lo
+from auditlake.operators import service as se
 from auditlake.operators import text as tx
+from auditlake.sources import reports as sr
 from auditlake.streaming import jobs
 
 
@@ -67,5 +69,77 @@ def test_streams(spark, tmp_path):
 
     assert sorted(r.id for r in run(jobs.dedupe_events(stream), "append", "once")) == [1, 2]
     assert [(r.n, round(r.rate, 3)) for r in run(lo.error_rate_windows(stream), "complete", "rates")] == [(3, 0.333)]
-    assert [(r.caller, r.status) for r in run(lo.latest_state(stream, "caller", "id"), "complete", "latest")] == [(7, 500)]
+    assert [(r.caller, r.status) for r in run(lo.latest_state(stream, "caller", "id", 200), "complete", "latest")] == [(7, 500)]
     assert [r["count"] for r in sorted(run(jobs.anchored_windows(stream), "append", "anchored"))] == [1, 2, 3]
+    assert [r.n for r in run(jobs.sliding_counts(stream), "complete", "sliding")] == [3] * 6
+    files = [("r", "a.py", 'token = "abcdefgh12345"'), ("r", "b.py", None)]
+    spark.createDataFrame(files, "repo string, path string, content string").write.parquet(str(tmp_path / "files"))
+    texts = spark.readStream.schema("repo string, path string, content string").parquet(str(tmp_path / "files"))
+    assert [(r.path, r.rule) for r in run(jobs.findings_stream(texts), "append", "found")] == [("a.py", "secret-assignment")]
+
+
+def test_anchored_windows_over_batches(spark, tmp_path):
+    """A window that spans batches keeps its count, one that the watermark has passed starts anew, late rows open none."""
+    batches = [[(1, 0), (2, 30)], [(3, 50), (4, 70)], [(5, 1000)], [(6, 10)], [(7, 1030)]]
+    counts = {}
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, 1, 1_700_000_000 + s) for i, s in rows], "id long, caller long, s long").select("id", "caller", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k == 0:
+            stream = spark.readStream.schema("id long, caller long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = jobs.anchored_windows(stream, 2, 60, "10 seconds").writeStream.foreachBatch(lambda b, _: counts.update({r.id: r["count"] for r in b.collect()})).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert counts == {1: 1, 2: 2, 3: 3, 4: 1, 5: 1, 7: 2}
+
+
+def test_testable_split(spark):
+    rows = [("load", "SQL injection"), ("security", "No rate limiting"), (None, "no caching layer"), (" ", "Skipped heading"), (None, "SQL injection"), (None, None), ("Mutation", "x")]
+    got = [r.reason for r in fi.testable_split(spark.createDataFrame(rows, "dimension string, title string")).collect()]
+    assert got == ["dimension", None, "title", "title", None, None, "dimension"]
+
+
+def test_relative_imports(spark):
+    files = spark.createDataFrame([("r", p) for p in ("src/lib/a.ts", "src/b/index.js", "c.js", "src/lib/d.js", "src/lib/d.ts")], "repo string, path string")
+    wanted = {"../lib/a": "src/lib/a.ts", "./../b": "src/b/index.js", "../../c": "c.js", "../lib/a.js": "src/lib/a.ts", "../lib/d.js": "src/lib/d.js", "../lib/d": "src/lib/d.ts", "../../../c": None, "react": None}
+    imports = spark.createDataFrame([("r", "src/x/main.ts", s) for s in wanted], "repo string, path string, specifier string")
+    assert {r.specifier: r.target for r in jo.resolve_imports(imports, files).collect()} == {k: v for k, v in wanted.items() if v}
+
+
+def test_quota_and_denials(spark):
+    users = spark.createDataFrame([(1, "free"), (2, "Forge"), (3, "nonsense"), (4, None), (5, "enterprise"), (6, "pro")], "id long, plan string")
+    runs = spark.createDataFrame([(u, 9, 10) for u in (1, 3) for _ in range(5)] + [(5, p, 10) for p in range(30)] + [(2, 1, -100)], "user_id long, project_id long, s long").select("user_id", "project_id", F.timestamp_seconds("s").alias("started_at"))
+    tried = spark.createDataFrame([(6, 5)] * 60 + [(2, 5)] * 60, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("created_at"))
+    q = se.quota(users, runs, tried, F.timestamp_seconds(F.lit(1000)))
+    got = {r.id: (r.plan, r.tests, r.tests_left, r.repos_left, r.iterations_left) for r in q.collect()}
+    assert got == {1: ("free", 5, 0, 0, 0), 2: ("team", 0, 500, 50, 140), 3: ("free", 5, 0, 0, 0), 4: ("free", 0, 5, 1, 0), 5: ("enterprise", 30, None, None, None), 6: ("pro", 0, 100, 10, 0)}
+    gates = sorted((r.id, r.gate) for r in se.quota_denials(q).collect())
+    assert gates == [(1, "iterations"), (1, "tests"), (3, "iterations"), (3, "tests"), (4, "iterations"), (6, "iterations"), (6, "personal-key")]
+
+
+def test_phases(spark):
+    at = lambda s: F.timestamp_seconds(s)
+    logged = spark.createDataFrame([(s, 500 if s % 3 == 0 else 200) for s in range(0, 5000, 7)], "s long, status int").select(at("s").alias("ts"), "status")
+    spans = {1: (100, 1000, 1300), 2: (0, 3000, 4999), 3: (9000, 9100, 9200)}
+    phases = spark.createDataFrame([(k, *v) for k, v in spans.items()], "phase_id long, a long, b long, c long").select("phase_id", at("a").alias("baseline"), at("b").alias("start"), at("c").alias("end"))
+    rate = lambda a, b: (lambda x: sum(s % 3 == 0 for s in x) / len(x) if x else None)([s for s in range(0, 5000, 7) if a <= s < b])
+    assert {r.phase_id: (r.before, r.during) for r in lo.phase_error_rates(logged, phases, 600).collect()} == {k: (rate(a, b), rate(b, c)) for k, (a, b, c) in spans.items()}
+
+
+def test_load_levels_interpolate(spark):
+    import numpy as np
+
+    values = [float(x) for x in np.random.default_rng(1).integers(0, 40, 73)]
+    r = lo.load_levels(spark.createDataFrame([(1, 200, v) for v in values] + [(1, 200, None), (2, 200, None)], "concurrency int, status int, latency double")).where("concurrency = 1").first()
+    assert [round(x, 9) for x in (r.p50, r.p90, r.p99)] == [round(float(np.quantile(values, p)), 9) for p in (0.5, 0.9, 0.99)] and r.attempts == 74
+
+
+def test_advisories_by_ecosystem(spark):
+    locks = spark.createDataFrame([("r", "npm", "a", "1", True), ("r", "PyPI", "a", "1", False), ("r", "npm", "b", "2", False)], "repo string, ecosystem string, name string, version string, is_direct boolean")
+    found = jo.advisory_matches(locks, spark.createDataFrame([("npm", "a", "9", "high"), ("npm", "b", None, "low")], "ecosystem string, name string, version string, severity string"))
+    assert sorted((r.ecosystem, r.name, r.stage, r.severity_rank) for r in found.collect()) == [("npm", "a", 1, 1), ("npm", "b", 2, 3)]
+
+
+def test_ledger_lines(spark):
+    lines = ["- 2024-01-02 | open | An idea | low | seen", "* 2024-02-30 | open | bad day | low | x", "- four | parts | only | here", "## head | a | b | c | d", None]
+    got = sr.read_ledger(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(str(r.entry_date), r.state, r.title, r.risk, r.evidence) for r in got] == [("2024-01-02", "open", "An idea", "low", "seen")]
