@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import row_id, written
 
 TENTHS = 8  # similarity in tenths
-BUCKETS = 1 << 15
-MARKS = 1 << 24  # bits of the tables that keep lines out of a shuffle; each is broadcast as MARKS / 64 rows at most
+BUCKETS = 1 << 14
+MARKS = 1 << 22  # bits of the tables that keep lines out of a shuffle; each is broadcast as MARKS / 64 rows at most
 DENSE = 8  # in runs of more lines, the lines' maps are compared where they meet
 FULL = 255  # sizes and positions of that and more are not told apart; the filters let such lines pass
 
@@ -108,8 +108,8 @@ def _hashes(line: Column) -> Column:
 
 def _ranked(line: Column, table: list[int]) -> Column:
     """The distinct words of a line as numbers whose order is by rarity, then by hash."""
-    levels = F.split(F.lit(",".join(str(level << 56) for level in table)), ",").cast("array<bigint>")  # folded to a literal
-    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0))
+    levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a literal, which plans show
+    level = lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), 56)
     return F.sort_array(F.array_distinct(F.transform(_hashes(line), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
@@ -215,7 +215,7 @@ def _small(at: str) -> Column:
 
 
 def _met_twice(met: DataFrame) -> DataFrame:
-    """(x, y, count) of (x, y, small) for pairs that meet in two runs at least, or are small."""
+    """(x, y, count) of (x, y, small) for pairs that meet in two runs at least, or for which one will do (small)."""
     pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.bool_or("small").alias("small"))
     return pairs.where("count > 1 or small").drop("small")
 
@@ -227,21 +227,30 @@ def similar_to_earlier(rows: DataFrame, places: DataFrame) -> DataFrame:
     by_head = company.where("head is not null").select(_place().alias("x"), _place("head.").alias("y"), _small("at").alias("small"), "t")
     first = written(_met_twice(by_head).groupBy("x").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("y")))  # of equal counts the earliest
     first_ends = first.select(F.explode(F.array("x", "y")).alias("p"))
-    crowd = company.where("t is not null").select("t", "at", "later", "lines", _place().alias("p"))
+    # lines that stand in one run only meet no other line twice
+    both = F.when(F.col("t").isNull(), F.array(_place(), _place("head."))).otherwise(F.array(_place()))
+    ends = company.select(F.explode(both).alias("p"), _small("at").alias("small")).groupBy("p").agg(F.count(F.lit(1)).alias("runs"), F.bool_or("small").alias("small"))
+    busy = written(ends.where("runs > 1 or small").select("p"))
+    crowd = company.where("t is not null").select("t", "at", "later", _place().alias("p")).join(busy, "p", "left_semi")
+    crowd = written(crowd.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1"))
     dense, thin = crowd.where(F.col("lines") > DENSE), crowd.where(F.col("lines") <= DENSE)
     texts = written(_texts(lines, written(first_ends.union(dense.select("p")).distinct())))
     settled = written(_verified(first, texts))
     open_ = lambda some: some.where("later").join(settled.select(F.col("x").alias("p")), "p", "left_anti")
     pair = (F.col("a.t") == F.col("b.t")) & (F.col("b.p") < F.col("a.p")) & _may_match(F.col("a.at"), F.col("b.at"))
     met_as = [F.col("a.p").alias("x"), F.col("b.p").alias("y"), _small("a.at").alias("small")]
-    mapped = written(dense.join(texts.drop("line"), "p").select("t", "at", "later", "lines", "p", "n", "b0", "b1", "b2", "b3"))
+    in_line = Window.partitionBy("p").orderBy(F.shiftrightunsigned("at", 56), "t")
+    maps = dense.withColumn("prev", F.lag("t").over(in_line)).join(texts.drop("line"), "p")
+    mapped = written(maps.select("t", "prev", "at", "later", "lines", "p", "n", "b0", "b1", "b2", "b3"))
     # a line of a dense group is settled most often by its nearest neighbour in the two smallest of its dense runs
     smallest = F.row_number().over(Window.partitionBy("p").orderBy("lines", "t"))
     few = open_(mapped).withColumn("rank", smallest).where("rank <= 2")
     nearest = few.alias("a").join(mapped.alias("b"), pair & _close("a.", "b.")).groupBy(F.col("a.p").alias("x")).agg(F.min_by("b.p", F.struct(_apart("a.", "b."), "b.p")).alias("y"))
     settled = written(settled.union(_verified(written(nearest), texts)))
     met = open_(thin).alias("a").join(thin.alias("b"), pair).select(*met_as)
-    met_dense = open_(mapped).alias("a").join(mapped.alias("b"), pair & _close("a.", "b.")).select(*met_as)
+    # two lines whose runs before this one are the same have met there
+    anew = F.col("a.prev").isNull() | ~F.col("a.prev").eqNullSafe(F.col("b.prev"))
+    met_dense = open_(mapped).alias("a").join(mapped.alias("b"), pair & anew & _close("a.", "b.")).select(*met_as[:2], F.lit(True).alias("small"))
     alone = by_head.where("t is null").select("x", "y", "small").join(settled, "x", "left_anti")
     more = _met_twice(alone.union(met).union(met_dense)).select("x", "y").join(first, ["x", "y"], "left_anti")
     more = written(more)

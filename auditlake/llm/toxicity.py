@@ -28,6 +28,10 @@ GRAMS = (3, 4, 5, 6)
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
+def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    return (((hashed * SPREAD) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
 def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of every character n-gram of the words, and of the words themselves; word is an index into words.
 
@@ -36,18 +40,19 @@ def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     letters = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64) if words else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    left = ends[owner] - np.arange(len(letters))  # letters from here to the end of the word
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    left = (ends[owner] - np.arange(len(letters))).astype(np.int32)  # letters from here to the end of the word
     hashed, found, owners = letters + np.uint64(1), [], []
     for n in range(2, max(GRAMS) + 1):
         hashed = hashed[: max(0, len(letters) - n + 1)] * BASE + letters[n - 1 :]
         if n in GRAMS:
             whole = np.flatnonzero(left[: len(hashed)] >= n)
-            found.append(hashed[whole] + np.uint64(n))
+            found.append(_bucket(hashed[whole] + np.uint64(n), buckets))
             owners.append(owner[whole])
-    found.append(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
-    owners.append(np.arange(len(words)))
-    return ((np.concatenate(found) * SPREAD) >> np.uint64(33)).astype(np.int64) % buckets, np.concatenate(owners)
+    whole_words = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    found.append(_bucket(whole_words, buckets))
+    owners.append(np.arange(len(words), dtype=np.int32))
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _chunks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
@@ -120,8 +125,9 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
     if len(set(truth)) < 2:
         return ToxicityModel(np.zeros(buckets), -20.0)
     y, doc_of_run, size_of_run = np.array(truth, float), np.array(run_docs), np.array(run_words, float)
-    token, run_of_token = np.array(tokens), np.repeat(np.arange(len(run_words)), run_words)
-    gram, word_of_gram = (x.astype(np.int32) for x in subwords(list(ids), buckets))
+    token, run_of_token = np.array(tokens, np.int32), np.repeat(np.arange(len(run_words), dtype=np.int32), run_words)
+    del tokens
+    gram, word_of_gram = subwords(list(ids), buckets)
     order = np.argsort(word_of_gram, kind="stable")
     gram, word_of_gram = gram[order], word_of_gram[order]
     n_grams = np.bincount(word_of_gram, minlength=len(ids)).astype(float)
@@ -133,6 +139,7 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 17, di
         in_docs[own] += 1
         in_toxic[own] += y[d]
     del grams
+    del order
     n_kinds = len(n_grams)
     used = in_docs >= min_docs
     share, whole = in_docs / len(y), y.sum()
