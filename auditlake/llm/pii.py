@@ -171,7 +171,8 @@ def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     near = F.when(F.size("_spans") > 0, _line_words(F.col("_text"), F.col("_spans"))).otherwise(F.array().cast("array<string>"))
     found = written(found.select("key", F.col("_spans").alias("base"), near.alias("near")))
     terms = written(disclosing_terms(docs, found.select(F.explode("near").alias("term")), text))
-    extra = outside(term_spans(slim, terms, "_text"), found).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("extra"))
+    words = written(term_spans(slim, terms, "_text"))  # else the joins of outside() are moved before those that leave few words
+    extra = outside(words, found).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("extra"))
     spans = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))
     return found.join(extra, "key", "left").select(F.col("key.id").alias("doc_id"), F.col("key.hash").alias("text_hash"), "base", spans.alias("spans"))
 
