@@ -348,7 +348,7 @@ def test_html_text_keeps_the_article():
         "</p><ul class='related-work'><li>One</li><li>Two</li></ul><h2 id='search-and-rescue'>Rescue</h2><p hidden>Kept</p><p aria-hidden=true>Too</p><div class='comment-list'><p>A reader says</p></div><aside>Side</aside>"
         "<form><label>Name</label></form></article><div id='sidebar-left'><p>Left</p></div><footer>End</footer></body></html>"
     )
-    plain = "<html><body><nav><ul><li><a href=/x>Menu</a></li></ul></nav><div class=ad>Buy</div><article><h1>Title</h1><p>Some words of text</p><p>Yes.</p><p>And some more words</p></article><footer>Copyright of the site</footer></body></html>"
+    plain = "<html><body><nav><ul><li><a href=/x>Menu</a></li></ul></nav><div class=ad>Buy this thing now</div><article><h1>Title</h1><p>Some words of text</p><p>Yes.</p><p>No</p><p>And some more words</p></article><footer>Copyright of the site</footer></body></html>"
     model = htmltext.train([plain] * 40)
     assert htmltext.main_text(page, model) == "Title\nFirst x=2.\nOne\nTwo\nRescue\nKept\nToo"
     unmarked = "<body><div class=content><h1>Title</h1><p>Some text is here, and it is long.</p></div><div class=sidebar><p>Side text</p></div></body>"
