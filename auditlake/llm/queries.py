@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import chat, decontaminate, htmltext, licenses, linededup, mixing, pii, rules, simhash, toxicity, weaklabel
+from auditlake.llm import chat, decontaminate, htmltext, licenses, linededup, mixing, pii, rules, simhash, spelling, toxicity, weaklabel, whitening
 from auditlake.llm.common import held_out, table
 
 
@@ -80,13 +80,23 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), read=spelling.slipped)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = out.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "of"))
+    return each.select("row.vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_simhash, op4_pii, op5_license_scan, op6_decontamination, op7_line_dedup, op8_quality_classifier, op9_mixing, op10_html_text, op11_chat_format, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_simhash, op4_pii, op5_license_scan, op6_decontamination, op7_line_dedup, op8_quality_classifier, op9_mixing, op10_html_text, op11_chat_format, op12_spelling_variants, op13_whitening, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -107,6 +117,27 @@ said AS (
     FROM talk GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(under) AS BIGINT) AS loss_chars, sha256(under) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM said""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE step(i, c, k) AS (
+    SELECT i, i, 0 FROM range(256) AS r(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+run AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL),
+coded AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+          lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM run),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+word AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+         FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM word, unnest(range(length(word))) AS r(i)),
+shorter AS (SELECT DISTINCT l.word AS x, l.n AS nx, w.word AS y, w.n AS ny FROM less l JOIN word w ON l.a || l.b = w.word),
+near AS (SELECT p.word, q.word AS y, q.n AS ny FROM less p JOIN less q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word
+         UNION ALL SELECT x, y, ny FROM shorter UNION ALL SELECT y, x, nx FROM shorter),
+best AS (SELECT word, count(*) AS n_near, arg_min(y, (-ny, y)) AS y, max(ny) AS ny FROM near GROUP BY word),
+form AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN ny >= 2 * n THEN y END AS form, CASE WHEN ny >= 2 * n THEN ny END AS form_n FROM word LEFT JOIN best USING (word)),
+chain(word, top, k) AS (SELECT word, word, 0 FROM form UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN form f ON c.top = f.word WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(top, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN root USING (word)""",
     "op6_decontamination": rf"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS words
