@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from auditlake.functions import scores as S
 
 # Which callees query a database, which packages are known to be vulnerable and below which major version.
-STRONG_QUERY = r"(?i)(^|\.)(query|exec|execute|raw|findOne|findMany|findUnique|findFirst|aggregate|queryRaw|executeRaw)$"
-WEAK_QUERY = r"(?i)(^|\.)(find|get|all|run|count)$"
-DB_RECEIVER = r"(?i)\b(db|database|conn|connection|client|pool|knex|prisma|sequelize|collection|coll|model|models|repository|repo|mongoose|mongo|sql|cursor|tx|trx|trans|transaction|queryrunner|datasource|orm|dao|pg|pgp|sqlite|d1|drizzle|stmt|statement|prepared)\b.*\."
+QUERY_METHODS = {"query", "exec", "execute", "raw", "findone", "findmany", "findunique", "findfirst", "aggregate", "queryraw", "executeraw"}
+STORE_METHODS = {"find", "get", "all", "run", "count"}  # of a database only if an object before them says so
+STORES = {
+    "db", "database", "conn", "connection", "client", "pool", "knex", "prisma", "sequelize", "collection", "coll", "model", "models", "repository", "repo", "mongoose", "mongo", "sql", "cursor", "tx",
+    "trx", "trans", "transaction", "queryrunner", "datasource", "orm", "dao", "pg", "pgp", "sqlite", "d1", "drizzle", "stmt", "statement", "prepared",
+}
 VULNERABLE = {"lodash": ("medium", 4), "minimist": ("medium", 1), "axios": ("medium", 0), "jsonwebtoken": ("high", 9), "express": ("medium", 4), "node-fetch": ("low", 2), "semver": ("high", 7), "word-wrap": ("medium", 1)}
 PYTHON_SEVERITY = {
     "sql-string-interpolation": "high", "mutable-default-arg": "medium", "int-coercion-unchecked": "medium", "requests-no-timeout": "medium", "bare-except": "low", "eq-none": "low", "assert-for-validation": "low",
@@ -29,44 +32,62 @@ _FINDING = ["repo", "path", "line", "col", "rule", "category", "severity", "titl
 
 
 def is_db_query(callee: Column) -> Column:
-    return callee.rlike(STRONG_QUERY) | (callee.rlike(WEAK_QUERY) & callee.rlike(DB_RECEIVER))
+    """A callee whose last segment queries, or is a plain method of something that is named like a database; case doesn't matter."""
+    parts = F.split(F.lower(callee), r"\??\.")
+    last, before = F.element_at(parts, -1), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    of_store = F.arrays_overlap(before, F.array(*map(F.lit, sorted(STORES))))
+    return last.isin(*QUERY_METHODS) | (last.isin(*STORE_METHODS) & of_store)
 
 
-def _first_rule(df: DataFrame, rules: list[tuple[Column, str, str, Column | str, str]]) -> DataFrame:
+def _first_rule(df: DataFrame, rules: list[tuple[Column, str, str, Column | str, str]], *more: Column) -> DataFrame:
     """One finding for each rule that a row meets: (condition, rule, category, severity, title)."""
     as_col = lambda s: s if isinstance(s, Column) else F.lit(s)
     hits = F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(cat).alias("category"), as_col(sev).alias("severity"), F.lit(title).alias("title"))) for c, r, cat, sev, title in rules])
-    return df.select("repo", "path", "line", "col", F.explode(F.array_compact(hits)).alias("h")).select("repo", "path", "line", "col", "h.*").select(*_FINDING)
+    found = df.select("repo", "path", "line", "col", *more, F.explode(F.array_compact(hits)).alias("h"))
+    return found.select("*", "h.*").drop("h").select(*_FINDING, *[c for c in found.columns if c not in ("repo", "path", "line", "col", "h")])
 
 
 def injection_findings(calls: DataFrame) -> DataFrame:
-    """Calls whose first argument is built from parts or comes from a request; a name that made it safe clears it."""
+    """Calls whose first argument is built from parts or comes from a request; a name that made it safe clears it.
+
+    confidence: high for data of a request as they are, medium if they went through a call, low without proof of any.
+    """
     n, kind = F.col("name"), F.col("arg_kind")
     dirty = F.col("taint") & ~F.col("sanitized")
     built, moving = kind.isin("template", "concat"), ~kind.isin("literal", "none")
     by = lambda high: F.when(dirty, high).otherwise("low")
     return _first_rule(calls, [
         (is_db_query(n) & ~n.rlike(r"\.(get|all|find)$") & (built | (dirty & moving)) & ~F.col("sanitized"), "sql-injection", "SQL Injection", "critical", "query text built from parts"),
-        ((n == "eval") & moving, "eval", "Dangerous Functions", "critical", "text run as code"),
+        (n.isin("eval", "Function") & moving, "eval", "Dangerous Functions", "critical", "text run as code"),
         (n.isin("exec", "execSync", "child_process.exec", "child_process.execSync", "cp.exec", "cp.execSync") & moving, "shell", "Dangerous Functions", "critical", "shell command from parts"),
-        (n.isin("setTimeout", "setInterval") & kind.isin("literal", "template", "concat") & F.col("value").rlike(r"^\s*[\"'`]"), "string-timer", "Dangerous Functions", "high", "timer given text"),
+        (n.isin("setTimeout", "setInterval") & kind.isin("literal", "template", "concat") & F.col("value").rlike(r"^[\"'`]"), "string-timer", "Dangerous Functions", "high", "timer given text"),
         (n.rlike(r"^fs\.|(^|\.)(readFile|readFileSync|writeFile|writeFileSync|createReadStream|createWriteStream|unlink|sendFile)$") & moving & (dirty | built), "path-traversal", "Path Traversal", by("high"), "path from input"),
         (n.rlike(r"(^|\.)redirect$") & moving, "open-redirect", "Open Redirect", by("medium"), "redirect target from input"),
         (n.rlike(r"^res\.(send|write|end)$") & moving & (dirty | built), "reflected-xss", "XSS", by("high"), "input sent back as markup"),
-    ])
+    ], _confidence())
+
+
+def markup_findings(facts: DataFrame) -> DataFrame:
+    """Assignments to innerHTML and outerHTML of what moves and nothing makes safe; high severity if it comes from a request."""
+    moving = ~F.col("arg_kind").isin("literal", "none", "ident") | F.col("taint")
+    set_ = facts.where("kind = 'misc' and name = 'markup'")
+    return _first_rule(set_, [(moving & ~F.col("sanitized"), "inner-html", "XSS", F.when(F.col("taint"), "high").otherwise("low"), "markup set from input")], _confidence())
+
+
+def _confidence() -> Column:
+    return F.when(F.col("level") == "direct", "high").when(F.col("level").isNotNull(), "medium").otherwise("low").alias("confidence")
 
 
 def route_findings(calls: DataFrame) -> DataFrame:
     """Routes that change data without a guard among their arguments, open cross-origin settings, secrets in responses."""
-    n, v = F.col("name"), F.col("value")
-    route = n.rlike(r"^(app|router|server|fastify)\.(post|put|patch|delete)$") & v.rlike(r"^\s*[\"'`]/")
-    guarded = v.rlike(r"(?i)^\s*[\"'`][^\"'`]*[\"'`]\s*,[^=>{]*(auth|guard|protect|verify|session|passport|require\w+|csrf)")
-    wild, creds = v.rlike(r"origin\s*:\s*([\"']\*|true)"), v.rlike(r"credentials\s*:\s*true")
+    n, has = F.col("name"), lambda m: F.array_contains("marks", m)
+    route = n.rlike(r"^(app|router|server|fastify)\.(post|put|patch|delete)$") & F.col("value").rlike(r"^[\"'`]/")
+    guarded, wild, creds = has("guarded"), has("wild-origin"), has("credentials")
     return _first_rule(calls, [
         (route & ~guarded, "route-without-auth", "Authentication Bypass", "medium", "route without inline auth"),
-        ((n == "cors") & (F.trim("value") == ""), "cors-default", "CORS Misconfiguration", "medium", "cross-origin default"),
+        ((n == "cors") & (F.col("n_args") == 0), "cors-default", "CORS Misconfiguration", "medium", "cross-origin default"),
         ((n == "cors") & wild, "cors-wildcard", "CORS Misconfiguration", F.when(creds, "high").otherwise("medium"), "cross-origin for everyone"),
-        (n.rlike(r"^(res|reply)\.(json|send)$") & v.rlike(r"(?i)\b(password|passwordHash|secret|apiKey|privateKey|ssn)\b"), "sensitive-response", "Sensitive Data Exposure", "high", "secret field in a response"),
+        (n.rlike(r"^(res|reply)\.(json|send)$") & has("secret"), "sensitive-response", "Sensitive Data Exposure", "high", "secret field in a response"),
     ])
 
 
@@ -80,12 +101,11 @@ def n_plus_one_findings(calls: DataFrame) -> DataFrame:
 
 def edge_case_counts(facts: DataFrame) -> DataFrame:
     """Counts of each edge rule for each repo with any."""
-    n, v = F.col("name"), F.col("value")
-    call = F.col("kind") == "call"
+    n, call = F.col("name"), F.col("kind") == "call"
     rule = (
         F.when(call & n.isin("parseInt", "Number.parseInt") & (F.col("n_args") == 1), "parse-int-radix")
         .when(call & (n == "JSON.parse") & ~F.col("in_try"), "json-parse-unguarded")
-        .when(call & (n == "Number") & ~v.rlike("isNaN") & (F.col("arg_kind") != "literal"), "number-unchecked")
+        .when(call & (n == "Number") & ~F.array_contains("marks", "nan") & (F.col("arg_kind") != "literal"), "number-unchecked")
         .when((F.col("kind") == "misc") & n.isin("new-date", "loose-equality", "switch-no-default"), n)
     )
     names = ["parse-int-radix", "json-parse-unguarded", "number-unchecked", "new-date", "loose-equality", "switch-no-default"]
@@ -197,6 +217,7 @@ def coverage_estimate(tested: DataFrame, counts: DataFrame, measured: DataFrame)
 
 def load_report(flags: DataFrame) -> DataFrame:
     """flags (repo, one boolean for each capability, sync_io long) to (repo, score, users)."""
+    # Points and users that each capability stands for.
     points = {"rate_limit": 12, "cache": 12, "pool": 10, "health": 8, "timeout": 8, "breaker": 5, "compression": 5, "balancer": 5, "cdn": 5}
     users = {"pool": 200, "cache": 300, "rate_limit": 100, "balancer": 500, "compression": 100, "cdn": 400}
     add = lambda table, base: reduce(lambda a, kv: a + F.when(F.col(kv[0]), kv[1]).otherwise(0), table.items(), F.lit(base))
@@ -206,6 +227,7 @@ def load_report(flags: DataFrame) -> DataFrame:
 
 def load_flags(files: DataFrame, calls: DataFrame) -> DataFrame:
     """The capabilities of load_report() from texts, and blocking file calls outside loops' and tests' files from calls."""
+    # Words of packages and settings that show a capability.
     patterns = {
         "rate_limit": r"rate-?limit|SlowAPIMiddleware|@limiter\.limit|Limiter\(", "cache": r"ioredis|redis|memcached|node-cache|cachetools", "pool": r"prisma|drizzle-orm|sequelize|pg-pool|create_engine|pool_size|QueuePool",
         "health": r"/healthz?\b", "timeout": r"timeout\s*[:=]|setTimeout\(", "breaker": r"opossum|circuit-?[bB]reaker", "compression": r"compression|GZipMiddleware|BrotliMiddleware", "balancer": r"[cC]luster|worker|WORKERS|pm2", "cdn": r"CloudFront|Cloudflare|CDN|static",
@@ -241,18 +263,3 @@ def scope_features(files: DataFrame, features: dict[str, str]) -> DataFrame:
     marks = F.array_compact(F.array(*[F.when(F.col("content").rlike(rf"(?i)\b({p})\b"), F.lit(f)) for f, p in features.items()]))
     hits = files.select("repo", readme.alias("doc"), F.explode(marks).alias("feature"))
     return hits.groupBy("repo", "feature").agg(F.bool_or("doc").alias("documented"), F.bool_or(~F.col("doc")).alias("implemented"))
-
-
-def cross_file_taint(calls: DataFrame, imports: DataFrame, exports: DataFrame, paths: DataFrame) -> DataFrame:
-    """Call sites that pass a request's data to an imported function in whose body a sink takes a moving argument.
-
-    Imports are resolved to files first (joins.resolve_imports), then two equi joins: (repo, target, name) to exported
-    functions with sinks, and (repo, path, local name) to the calls.
-    """
-    sinks = calls.where((is_db_query(F.col("name")) | F.col("name").isin("eval", "exec", "execSync")) & ~F.col("arg_kind").isin("literal", "none") & ~F.col("sanitized")).where("func <> ''")
-    bad = sinks.select("repo", F.col("path").alias("target"), F.col("func").alias("callee"), F.col("name").alias("sink")).distinct()
-    bad = bad.join(exports.select("repo", F.col("path").alias("target"), F.col("name").alias("callee")).distinct(), ["repo", "target", "callee"], "left_semi")
-    names = F.regexp_extract_all("imported", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))
-    local = imports.select("repo", "path", "specifier", F.explode(names).alias("callee")).join(paths.select("repo", "path", "specifier", "target"), ["repo", "path", "specifier"])
-    used = local.join(bad, ["repo", "target", "callee"]).select("repo", "path", F.col("callee").alias("name"), "target", "sink").distinct()
-    return calls.where("taint and not sanitized").select("repo", "path", "line", "name").join(used, ["repo", "path", "name"])

@@ -1,184 +1,28 @@
 """Facts of code: one pass over each file's tokens in Arrow batches gives a tagged frame; all else is built on its columns.
 
-A row is (repo, path, line, kind, name, value, context...). Kinds of JavaScript and TypeScript: call, import, export,
-ident, function, test, misc. Kinds of Python: rule (edge cases and taint), endpoint, test. The scan reads tokens and a
-stack of open brackets, no grammar: code that a compiler would reject still gives the rows that can be told.
+A row is (repo, path, line, kind, name, value, context...). Kinds of JavaScript and TypeScript (see scan.py): call, flow,
+import, export, ident, function, test, misc. Kinds of Python: rule (edge cases and taint), endpoint, test. Code that a
+compiler would reject still gives the rows that can be told.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.scan import js_rows, module_rows
+
 SCHEMA = (
     "repo string, path string, line int, col int, kind string, name string, value string, n_args int, arg_kind string, taint boolean, sanitized boolean, "
-    "in_loop boolean, in_all boolean, in_try boolean, func string, cc int"
+    "in_loop boolean, in_all boolean, in_try boolean, func string, cc int, pos int, end int, marks array<string>, arg int, param int, level string"
 )
 JS_PATH = r"\.(js|jsx|mjs|cjs|ts|tsx)$"
 
-# Names that make a value safe, array methods whose callback repeats, sources of a request's data.
-SANITIZERS = {
-    "sanitize", "sanitizeHtml", "sanitize_html", "purify", "DOMPurify.sanitize", "escape", "escapeHtml", "escape_html", "he.encode", "xss", "path.normalize", "path.basename",
-    "parseInt", "parseFloat", "Number", "Math.floor", "Math.ceil", "Math.round", "encodeURIComponent", "encodeURI",
-}
-REPEATING = {"forEach", "map", "filter", "reduce", "some", "every", "find", "flatMap"}
-SOURCE = re.compile(r"\b(?:req|request|ctx\.request|ctx)\.(?:body|query|params|headers|cookies)\b|\bevent\.(?:body|queryStringParameters|pathParameters)\b|\bprocess\.argv\b|\b(?:window|document)\.location\b|\bsearchParams\b")
-
-TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|[A-Za-z_$][\w$]*(?:(?:\?\.|\.)[A-Za-z_$][\w$]*)*|\d[\w.]*|=>|===|!==|==|!=|&&|\|\||\?\?|\?\.|[^\s]", re.S)
-IMPORTS = [
-    (re.compile(r"\bimport\s+(?:type\s+)?([^'\";]*?)\s*from\s*['\"]([^'\"]+)['\"]"), "esm"), (re.compile(r"\bimport\s*()['\"]([^'\"]+)['\"]"), "esm"),
-    (re.compile(r"(?:\b(?:const|let|var)\s+([^=;]+?)\s*=\s*)?\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"), "cjs"), (re.compile(r"\bimport\(\s*()['\"]([^'\"]+)['\"]\s*\)"), "dynamic"),
-]
-EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)|\b(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*=|\bexport\s*\{([^}]*)\}|\bmodule\.exports\s*=\s*\{([^}]*)\}")
-WORDS_BEFORE_PAREN = {"if", "for", "while", "switch", "catch", "return", "typeof", "function", "await", "new", "in", "of", "case", "with", "do", "else", "void", "delete", "throw", "yield", "async"}
-TESTS = {"it", "test", "it.only", "test.only", "it.skip", "test.skip", "xit", "xtest", "fit"}
-
-
-class _Open:
-    """An open bracket: what it is, where it began, and what a call or function has gathered so far."""
-
-    __slots__ = ("char", "kind", "name", "pos", "commas", "cc", "line", "tainted")
-
-    def __init__(self, char, kind, name, pos, line):
-        self.char, self.kind, self.name, self.pos, self.line = char, kind, name, pos, line
-        self.commas, self.cc, self.tainted = 0, 1, set()
-
-
-def _argument_kind(text: str) -> str:
-    t = text.strip()
-    if not t:
-        return "none"
-    if t[0] == "`":
-        return "template" if "${" in t else "literal"
-    if re.search(r"""["'`]\s*\+|\+\s*["'`]""", t):
-        return "concat"
-    if t[0] in "\"'" or t[0].isdigit():
-        return "literal"
-    return "ident" if re.fullmatch(r"[\w$.]+", t) else "other"
-
-
-def _first_argument(text: str) -> str:
-    depth = 0
-    for m in TOKEN.finditer(text):
-        t = m.group()
-        depth += (t in "([{") - (t in ")]}") if len(t) == 1 else 0
-        if t == "," and depth == 0:
-            return text[: m.start()]
-    return text
-
-
-def js_rows(text: str) -> Iterator[dict]:
-    """Rows of one JavaScript or TypeScript text."""
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
-    row_of = _line_finder(starts)
-    for pattern, kind in IMPORTS:
-        for m in pattern.finditer(text):
-            yield {"kind": "import", "line": row_of(m.start(2)), "name": m.group(2), "value": (m.group(1) or "").strip(), "arg_kind": kind}
-    for m in EXPORT.finditer(text):
-        names = [m.group(1) or m.group(2)] if m.group(1) or m.group(2) else re.findall(r"(?:\bas\s+)?([A-Za-z_$][\w$]*)\s*(?:,|$|:[^,]*)", m.group(3) or m.group(4) or "")
-        for n in names:
-            yield {"kind": "export", "line": row_of(m.start()), "name": n}
-    tokens = [m for m in TOKEN.finditer(text) if not m.group().startswith(("//", "/*"))]
-    seen, stack, pending, assigned = set(), [], None, None
-    outer = _Open("", "function", "", 0, 1)
-    for k, m in enumerate(tokens):
-        t, before = m.group(), tokens[k - 1].group() if k else ""
-        after = tokens[k + 1].group() if k + 1 < len(tokens) else ""
-        here = next((o for o in reversed(stack) if o.kind == "function"), outer)
-        if t[0].isalpha() or t[0] in "_$":
-            seen.update(re.split(r"\?\.|\.", t))
-            if t in ("if", "for", "while", "catch", "case"):
-                here.cc += 1
-            if t in ("try", "for", "while", "do", "switch", "catch", "function"):
-                pending = {"for": "loop", "while": "loop", "do": "loop"}.get(t, t)
-            if after == "=" and before in ("const", "let", "var", ";", "{", "}"):
-                assigned = (t, m.end())
-            if t in ("Date",) and before == "new" and after == "(" and k + 2 < len(tokens) and tokens[k + 2].group() != ")":
-                yield {"kind": "misc", "line": row_of(m.start()), "name": "new-date", "value": tokens[k + 2].group()[:80]}
-            if t == "typeof" or t in ("Array.isArray", "Number.isFinite", "Number.isInteger", "Number.isNaN", "isNaN"):
-                yield {"kind": "misc", "line": row_of(m.start()), "name": "guard", "value": t, "func": here.name}
-        elif t in ("&&", "||", "??", "?", "?."):
-            here.cc += 1
-        elif t in ("==", "!=") and "null" not in (before, after) and "undefined" not in (before, after):
-            yield {"kind": "misc", "line": row_of(m.start()), "name": "loose-equality", "value": f"{before[:30]} {t} {after[:30]}"}
-        elif t == "," and stack and stack[-1].kind == "call":
-            stack[-1].commas += 1
-        if "?." in t:
-            here.cc += t.count("?.")
-        if t == "(":
-            name = before if before and (before[0].isalpha() or before[0] in "_$") else ""
-            declared = k > 1 and tokens[k - 2].group() in ("function", "*")
-            if name and declared:
-                pending = ("function", name)
-                stack.append(_Open("(", "params", name, m.end(), row_of(m.start())))
-            elif name and name not in WORDS_BEFORE_PAREN:
-                stack.append(_Open("(", "call", name, m.end(), row_of(tokens[k - 1].start())))
-                if name.rsplit(".", 1)[-1].startswith("to") and k > 1 and tokens[k - 2].group() == ".":  # expect(x).toBe(, expect(x).not.toBe(
-                    yield {"kind": "misc", "line": row_of(m.start()), "name": "matcher", "value": name.rsplit(".", 1)[-1]}
-            elif before == ")" or not name:
-                stack.append(_Open("(", "group", "", m.end(), row_of(m.start())))
-            else:
-                stack.append(_Open("(", "head", name, m.end(), row_of(m.start())))
-        elif t == "{":
-            if before == "=>" or isinstance(pending, tuple) or pending == "function":
-                name = pending[1] if isinstance(pending, tuple) else (assigned[0] if assigned else "")
-                o = _Open("{", "function", name, m.start(), row_of(m.start()))
-                o.tainted = set(here.tainted)
-            elif before == ")" and pending is None and stack and stack[-1].kind == "class":
-                o = _Open("{", "function", "", m.start(), row_of(m.start()))
-            else:
-                kind = pending if isinstance(pending, str) else "class" if k > 1 and "class" in (tokens[k - 2].group(), tokens[max(0, k - 4)].group()) else "block"
-                o = _Open("{", kind, "", m.start(), row_of(m.start()))
-            stack.append(o)
-            pending = None
-        elif t == "[":
-            stack.append(_Open("[", "list", "", m.end(), row_of(m.start())))
-        elif t in ")]}" and stack:
-            want = {")": "(", "]": "[", "}": "{"}[t]
-            while len(stack) > 1 and stack[-1].char != want:  # an unclosed bracket of another kind
-                stack.pop()
-            o = stack.pop()
-            if o.kind == "call":
-                args = text[o.pos : m.start()]
-                first = _first_argument(args)
-                near = next((f for f in reversed(stack) if f.kind == "function"), outer)
-                dirty = bool(SOURCE.search(first)) or any(w in near.tainted for w in re.findall(r"[A-Za-z_$][\w$]*", first))
-                calls = [p for p in stack if p.kind == "call"]
-                line_start = starts[o.line - 1]
-                yield {
-                    "kind": "call", "line": o.line, "col": max(0, o.pos - 1 - len(o.name) - line_start), "name": o.name, "value": args, "n_args": 0 if not args.strip() else o.commas + 1,
-                    "arg_kind": _argument_kind(first), "taint": dirty, "sanitized": any(c in SANITIZERS for c in re.findall(r"([A-Za-z_$][\w$.]*)\s*\(", first)),
-                    "in_loop": any(p.kind == "loop" for p in stack) or any(p.name.rsplit(".", 1)[-1] in REPEATING and "." in p.name for p in calls), "in_all": any(p.name == "Promise.all" for p in calls),
-                    "in_try": any(p.kind == "try" for p in stack), "func": near.name,
-                }
-                if o.name in TESTS:
-                    title = re.match(r"""\s*["'`]([^"'`]*)""", args)
-                    body = args[args.find("{") + 1 : args.rfind("}")] if "{" in args else ""
-                    yield {"kind": "test", "line": o.line, "name": title.group(1) if title else "", "value": o.name, "taint": bool(re.search(r"\b(expect|assert|should)\b", args)), "sanitized": not re.sub(r"//[^\n]*|\s", "", body) and "=>" in args}
-            elif o.kind == "function":
-                yield {"kind": "function", "line": o.line, "name": o.name, "cc": o.cc}
-            elif o.kind == "switch" and "default" not in text[o.pos : m.start()]:
-                yield {"kind": "misc", "line": o.line, "name": "switch-no-default", "value": ""}
-        if assigned and t in (";", "}") or assigned and k + 1 == len(tokens):
-            said = text[assigned[1] : m.start()]
-            near = next((f for f in reversed(stack) if f.kind == "function"), outer)
-            safe = any(c in SANITIZERS for c in re.findall(r"([A-Za-z_$][\w$.]*)\s*\(", said))
-            if not safe and (SOURCE.search(said) or any(w in near.tainted for w in re.findall(r"[A-Za-z_$][\w$]*", said))):
-                near.tainted.add(assigned[0])
-            assigned = None
-    for w in sorted(seen):
-        yield {"kind": "ident", "line": 0, "name": w}
-
-
-def _line_finder(starts: list[int]):
-    return lambda pos: bisect_right(starts, pos)
-
-
 def _called(node: ast.AST) -> str:
     try:
         return ast.unparse(node)
@@ -267,41 +111,53 @@ def _py_taint(fn: ast.AST, rule) -> Iterator[dict]:
 
 
 def code_facts(files: DataFrame) -> DataFrame:
-    """The tagged frame of all JavaScript, TypeScript and Python files; other files and null contents give no rows."""
-    fields = [c.split()[0] for c in SCHEMA.split(", ")][2:]
+    """The tagged frame of all JavaScript, TypeScript and Python files; other files and null contents give no rows.
 
-    def run(batches):
-        import pandas as pd
+    A file is read by one task, and a task reads its files one after the other. Rows stay where their file is: spread
+    files that lie in few partitions before their contents are read.
+    """
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")]
+
+    def frame(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kind) for c, kind in fields], names=[c for c, _ in fields])
 
-        for rows in batches:
+    def run(batches):
+        for batch in batches:
             out = []
-            for repo, path, content in zip(rows["repo"], rows["path"], rows["content"]):
-                for r in (py_rows if path.endswith(".py") else js_rows)(content):
-                    out.append([repo, path, *[r.get(c) for c in fields]])
+            for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = py_rows(content) if path.endswith(".py") else [*module_rows(content), *js_rows(content)]
+                out.extend({"repo": repo, "path": path} | r for r in found)
                 if len(out) > 20_000:
-                    yield _frame(pd, out, fields)
+                    yield frame(out)
                     out = []
-            yield _frame(pd, out, fields)
+            yield frame(out)
 
     code = files.where((F.col("path").rlike(JS_PATH) | F.col("path").endswith(".py")) & F.col("content").isNotNull())
-    return code.select("repo", "path", "content").mapInPandas(run, SCHEMA)
+    return code.select("repo", "path", "content").mapInArrow(run, SCHEMA)
 
 
-def _frame(pd, rows, fields):
-    f = pd.DataFrame(rows, columns=["repo", "path", *fields])
-    return f.astype({c: "Int32" for c in ("line", "col", "n_args", "cc")} | {c: "boolean" for c in ("taint", "sanitized", "in_loop", "in_all", "in_try")})
+def js_calls(facts: DataFrame) -> DataFrame:
+    return facts.where("kind = 'call'").drop("kind", "cc", "arg", "param")
 
 
-def js_calls(facts: DataFrame) -> DataFrame:
-    return facts.where("kind = 'call'").drop("kind", "cc")
+def with_arguments(calls: DataFrame, files: DataFrame) -> DataFrame:
+    """calls with args_text, the whole text of their arguments, cut from the contents of files."""
+    texts = files.select("repo", "path", "content")
+    return calls.join(texts, ["repo", "path"]).withColumn("args_text", F.expr("substring(content, pos + 1, end - pos)")).drop("content")
+
+
+def js_flows(facts: DataFrame) -> DataFrame:
+    """(repo, path, line, col, callee, n_args, arg, func, param, level): what reaches an argument of a call, data of a request (func null) or a parameter of an enclosing function, and how: direct, derived or safe."""
+    return facts.where("kind = 'flow'").select("repo", "path", "line", "col", F.col("name").alias("callee"), "n_args", "arg", "func", "param", "level")
 
 
 def js_imports(facts: DataFrame) -> DataFrame:
-    return facts.where("kind = 'import'").select("repo", "path", "line", F.col("name").alias("specifier"), F.col("value").alias("imported"), F.col("arg_kind").alias("form"))
+    return facts.where("kind = 'import'").select("repo", "path", "line", F.col("name").alias("specifier"), F.col("value").alias("imported"), F.col("arg_kind").alias("form"), F.col("func").alias("property"))
 
 
 def js_exports(facts: DataFrame) -> DataFrame:
-    return facts.where("kind = 'export'").select("repo", "path", "line", "name")
+    return facts.where("kind = 'export'").select("repo", "path", "line", "name", F.col("value").alias("local"))
 
 
 def js_idents(facts: DataFrame) -> DataFrame:

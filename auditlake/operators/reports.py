@@ -106,12 +106,12 @@ def chaos_signals(facts: DataFrame) -> DataFrame:
     own = facts.where(~F.col("path").rlike(TEST_OR_EXAMPLE))
     call, name, first = F.col("kind") == "call", F.col("name"), F.regexp_extract("value", r"^\s*[\"'`]([^\"'`]*)[\"'`]", 1)
     listens = call & name.isin("process.on", "process.once")
-    four = F.col("value").rlike(r"^\s*(async\s*)?(function\s*\w*\s*)?\(\s*\w+\s*,\s*\w+\s*,\s*\w+\s*,\s*\w+\s*\)")
+    four = F.array_contains("marks", "four")
     return own.groupBy("repo").agg(
         F.bool_or(listens & first.isin("SIGTERM", "SIGINT", "SIGQUIT")).alias("shutdown"), F.bool_or(listens & first.isin("unhandledRejection", "uncaughtException", "beforeExit")).alias("guards"),
         F.bool_or(call & (name.rlike(r"(?i)^(app|server|router|api|express)\.use$") & four | name.rlike(r"(^|\.)setErrorHandler$"))).alias("handler"),
         F.bool_or(call & (name.isin(*RETRY_CALLS) | (name == "require") & first.isin(*RETRY_PACKAGES)) | (F.col("kind") == "import") & name.isin(*RETRY_PACKAGES)).alias("retry"),
-        F.bool_or(call & F.lower("value").contains("idempotency-key")).alias("idempotency"),
+        F.bool_or(call & F.array_contains("marks", "idempotency")).alias("idempotency"),
     )
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from auditlake.operators import config as co
 from auditlake.operators import detectors as de
 from auditlake.operators import facts as fa
+from auditlake.operators import taint as ta
 from auditlake.plans.bindings import table
 from auditlake.plans.registry import query
+from auditlake.sources.store import stored
 from auditlake.sources import manifests as ma
 
 _CODE = [
@@ -32,8 +34,13 @@ _OWN = "concat('p', CAST(p_partkey AS string))"
 _AT = "p_brand AS repo, concat('src/', CAST(p_partkey AS varchar), '.js') AS path"
 
 
+def _parts(spark, sf) -> DataFrame:
+    """The table's few files spread over the cores before contents grow from its rows."""
+    return table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def _code(spark, sf, lines: list[str], ext: str, repo: str = "p_brand") -> DataFrame:
-    parts = table(spark, sf, "part")
+    parts = _parts(spark, sf)
     return parts.select(F.expr(repo).alias("repo"), F.expr(f"concat('src/', CAST(p_partkey AS string), '.{ext}')").alias("path"), F.array_join(F.array(*map(F.expr, lines)), "\n").alias("content"))
 
 
@@ -131,6 +138,38 @@ def injection_findings(spark, sf):
     return de.injection_findings(fa.js_calls(_facts(spark, sf))).select("repo", "path", "line", "rule", "severity")
 
 
+# Helpers f0, f1, ...: each hands one of its two parameters to the one before it, in one of four ways to import it; every
+# fifth hands it to a sink instead. Routes call them with data of a request, with a text built from parts or with a constant.
+_OWN_PARAM, _NEXT_ARG, _SAFE = "p_size % 2", "(p_size DIV 2) % 2", "p_size % 7 = 0"
+_PARAM = f"CASE WHEN {_OWN_PARAM} = 0 THEN 'a' ELSE 'b' END"
+_SINK = "CASE p_size % 5 WHEN 0 THEN 'db.query(' WHEN 1 THEN 'eval(' WHEN 2 THEN 'res.redirect(302, ' WHEN 3 THEN 'fs.readFile(' ELSE 'res.send(' END"
+_BEFORE = "CAST(p_partkey - 1 AS string)"
+_HELPER = [
+    f"CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CASE p_size % 4 WHEN 0 THEN concat('import {{ f', {_BEFORE}, ' as g }} from \"./m', {_BEFORE}, '.js\";') WHEN 1 THEN concat('import * as lib from \"./m', {_BEFORE}, '\";')"
+    f" WHEN 2 THEN concat('const {{ f', {_BEFORE}, ': g }} = require(\"./m', {_BEFORE}, '\");') ELSE concat('import g from \"./m', {_BEFORE}, '.js\";') END END",
+    "concat('export default function f', CAST(p_partkey AS string), '(a, b) {')",
+    f"concat('  const v = ', CASE WHEN {_SAFE} THEN concat('escape(', {_PARAM}, ')') ELSE concat({_PARAM}, ' + \"x\"') END, ';')",
+    f"CASE WHEN p_partkey % 5 = 0 THEN concat('  return ', {_SINK}, 'v)') ELSE concat('  return ', CASE WHEN p_size % 4 = 1 THEN concat('lib.f', {_BEFORE}) ELSE 'g' END, CASE WHEN {_NEXT_ARG} = 0 THEN '(v, 1)' ELSE '(1, v)' END) END",
+    "'}'",
+    "concat('export { f', CAST(p_partkey AS string), ' }')",
+    "concat('app.get(\"/\", (req, res) => { f', CAST(p_partkey AS string), CASE p_size % 3 WHEN 0 THEN '(req.query.a, 1)' WHEN 1 THEN '(1, req.body.b)' ELSE '(`t ${x}`, \"c\")' END, ' })')",
+]
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS z, p_size % 2 AS own, (p_size // 2) % 2 AS next, p_size % 7 = 0 AS safe FROM part),
+sink(k, own, category, cleaned) AS (
+    SELECT k, own, CASE z % 5 WHEN 0 THEN 'SQL Injection' WHEN 1 THEN 'Dangerous Functions' WHEN 2 THEN 'Open Redirect' WHEN 3 THEN 'Path Traversal' ELSE 'XSS' END, safe FROM p WHERE k % 5 = 0
+    UNION ALL SELECT p.k, p.own, category, cleaned OR p.safe FROM sink s JOIN p ON p.k = s.k + 1 AND p.k % 5 > 0 AND p.next = s.own)
+SELECT concat('r', k // 20) AS repo, concat('src/m', k, '.js') AS path, concat('f', k) AS callee, category,
+       CASE WHEN cleaned THEN 'medium' WHEN z % 3 = 2 THEN 'low' ELSE 'high' END AS confidence,
+       CASE category WHEN 'SQL Injection' THEN 'critical' WHEN 'Dangerous Functions' THEN 'critical' WHEN 'Open Redirect' THEN 'medium' ELSE 'high' END AS severity
+FROM sink s JOIN p USING (k) WHERE s.own = CASE WHEN z % 3 = 1 THEN 1 ELSE 0 END""")
+def cross_file_taint(spark, sf):
+    at = [F.expr("concat('r', CAST(p_partkey DIV 20 AS string))").alias("repo"), F.expr("concat('src/m', CAST(p_partkey AS string), '.js')").alias("path")]
+    files = _parts(spark, sf).select(*at, F.array_join(F.array(*map(F.expr, _HELPER)), "\n").alias("content"))
+    return ta.cross_file_taint(stored(fa.code_facts(files)), files).select("repo", "path", "callee", "category", "confidence", "severity")
+
+
 @query(f"SELECT {_AT}, 3 AS line, 'route-without-auth' AS rule, 'medium' AS severity FROM part WHERE p_size % 2 = 0")
 def route_findings(spark, sf):
     return de.route_findings(fa.js_calls(_facts(spark, sf))).select("repo", "path", "line", "rule", "severity")

@@ -4,7 +4,6 @@ import pytest
 
 from auditlake.operators import detectors as de
 from auditlake.operators import facts as fa
-from auditlake.operators import joins as jo
 
 JS = """import a, {b as c} from "./x";
 const q = require('pg');
@@ -54,13 +53,3 @@ def test_python(facts):
     assert got == [(1, "mutable-default-arg"), (3, "mutable-default-arg"), (7, "py-taint-sqli"), (7, "sql-string-interpolation"), (11, "requests-no-timeout"), (12, "bare-except"), (13, "assert-for-validation"), (13, "eq-none")]
     assert "py-taint-sqli" not in [r for _, r in rows(de.python_findings(f).where("path <> 'a.py'"), "line", "rule")]
     assert rows(f.where("kind = 'endpoint' and path = 'a.py'"), "name", "value") == [("/a", "POST")]
-
-
-def test_cross_file(facts, spark):
-    lib = "export function run(x) { db.query(x) }\nexport function ok(x) { db.query('a', x) }"
-    use = "import { run, ok } from './lib.js';\napp.get('/', (req, res) => { run(req.query.a); ok(req.query.a); run('lit') });"
-    f = facts(("s/lib.js", lib), ("s/use.js", use))
-    files = spark.createDataFrame([("r", "s/lib.js"), ("r", "s/use.js")], "repo string, path string")
-    paths = jo.resolve_imports(fa.js_imports(f), files)
-    got = de.cross_file_taint(fa.js_calls(f), fa.js_imports(f), fa.js_exports(f), paths)
-    assert rows(got, "path", "line", "name", "sink") == [("s/use.js", 2, "run", "db.query")]
