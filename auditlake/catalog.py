@@ -382,6 +382,26 @@ def plan_from_billing(spark, sf):
     return se.plan_from_billing(BILLING(spark, sf))
 
 
+# Events that bring a user, a customer, both or neither; customers change hands. Users start with a plan, some with a customer.
+_BILLS = {
+    "id": "CAST(event_id AS bigint)", "ts": "CAST(ts AS timestamp)", "kind": "CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'updated' WHEN 'error' THEN 'deleted' ELSE 'other' END",
+    "user_id": "CASE WHEN event_id % 3 > 0 AND event_type <> 'error' THEN CAST(user_id AS bigint) END", "customer": "CASE WHEN event_id % 5 > 0 THEN (user_id * 7 + event_id % 4) % 97 END", "plan": "CASE WHEN event_id % 4 = 0 THEN 'team' WHEN event_id % 4 = 1 THEN 'enterprise' END",
+}
+_BUYERS = {"id": "CAST(c_custkey AS bigint)", "plan": "CASE WHEN c_custkey % 2 = 0 THEN 'free' END", "customer": "CASE WHEN c_custkey % 3 = 0 THEN (CAST(c_custkey AS bigint) * 5) % 97 END"}
+
+
+@query(f"""WITH e AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _BILLS.items())} FROM events), u AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _BUYERS.items())} FROM customer),
+o AS (SELECT * REPLACE (CASE WHEN kind = 'deleted' THEN 'free' ELSE coalesce(plan, 'pro') END AS plan), row_number() OVER (ORDER BY ts, id) AS k FROM e WHERE kind <> 'other'),
+link AS (SELECT id AS user_id, customer, CAST(0 AS BIGINT) AS k FROM u WHERE customer IS NOT NULL UNION ALL SELECT user_id, customer, k FROM o WHERE user_id IS NOT NULL AND customer IS NOT NULL),
+asked AS (SELECT DISTINCT l.user_id, o.k, o.plan, o.customer FROM o JOIN link l ON l.customer = o.customer WHERE o.user_id IS NULL),
+done AS (SELECT user_id, k, plan FROM o WHERE user_id IS NOT NULL UNION ALL SELECT a.user_id, a.k, a.plan FROM asked a ASOF JOIN link l ON l.user_id = a.user_id AND l.k <= a.k WHERE l.customer = a.customer),
+now AS (SELECT user_id, arg_max(plan, k) AS plan, count(*) AS n FROM done GROUP BY user_id), last AS (SELECT user_id, arg_max(customer, k) AS customer FROM link GROUP BY user_id)
+SELECT u.id AS user_id, coalesce(now.plan, u.plan, 'free') AS plan, last.customer, coalesce(n, 0) AS n_events FROM u LEFT JOIN now ON now.user_id = u.id LEFT JOIN last ON last.user_id = u.id""")
+def plan_of_users(spark, sf):
+    made = lambda name, columns: table(spark, sf, name).select(*[F.expr(x).alias(c) for c, x in columns.items()])
+    return se.plan_of_users(made("events", _BILLS), made("customer", _BUYERS))
+
+
 @query(f"{cte('requests')} SELECT concat('user-', CAST(caller AS varchar)) AS owner, count(*) AS n, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_used FROM requests WHERE caller % 5 <> 0 GROUP BY caller")
 def key_usage(spark, sf):
     r = REQUESTS(spark, sf).withColumn("presented", F.concat(F.lit("key-"), F.col("caller").cast("string")))
@@ -479,9 +499,9 @@ def rate_limit_sliding(spark, sf):
 @query(f"""{cte('requests')}, o AS (SELECT id, caller, epoch_us(ts) AS t, row_number() OVER (PARTITION BY caller ORDER BY epoch_us(ts), id) AS k FROM requests),
 w AS (WITH RECURSIVE step AS (SELECT id, caller, k, t + 21600000000 AS ends, 1 AS n FROM o WHERE k = 1
  UNION ALL SELECT o.id, o.caller, o.k, CASE WHEN o.t > step.ends THEN o.t + 21600000000 ELSE step.ends END, CASE WHEN o.t > step.ends THEN 1 ELSE step.n + 1 END FROM step JOIN o ON o.caller = step.caller AND o.k = step.k + 1) SELECT * FROM step)
-SELECT id, caller, CAST(n AS BIGINT) AS count, n <= 5 AS allowed FROM w""")
+SELECT id, caller, CAST(n AS BIGINT) AS count, n <= 2 AS allowed FROM w""")
 def rate_limit_fixed(spark, sf):
-    return lo.rate_limit_fixed(REQUESTS(spark, sf), 5, 21600)
+    return lo.rate_limit_fixed(REQUESTS(spark, sf), 2, 21600)
 
 
 @query(f"{cte('requests')}, h AS ({_HOURS}) SELECT CAST(epoch(hour) AS BIGINT) AS start, n, rate FROM h")

@@ -1,12 +1,17 @@
 """Configuration and markup: Kubernetes documents, API descriptions, workflow files, tags, and counts of endpoints.
 
-YAML is read by lines and by blocks between '---', in built-in functions; anchors and flow mappings over several lines
+API descriptions and workflow files are read by the path of keys that every line of YAML has, whatever its indent;
+Kubernetes documents by blocks between '---'. Aliases take the lines of their anchor; flow mappings over several lines
 are not followed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
@@ -59,28 +64,110 @@ def k8s_findings(docs: DataFrame) -> DataFrame:
     return each.unionByName(open_net.select("repo", F.lit("no-network-policy").alias("rule"), F.lit("medium").alias("severity")), allowMissingColumns=True)
 
 
-def openapi_endpoints(files: DataFrame, max_chars: int = 2_000_000) -> DataFrame:
-    """(repo, path, method, route) of API descriptions with an openapi or swagger root: JSON by schema, YAML by indent of paths and verbs."""
-    f = files.where(F.col("path").rlike(r"(?i)(openapi|swagger)[^/]*\.(json|ya?ml)$") & (F.length("content") <= max_chars))
+KEY = re.compile(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#"'\[\]{},&*!|>%@`-][^#]*?|-[^\s#:][^#:]*))\s*:(?=\s|$)\s*""")
+
+
+def _key_lines(text: str) -> Iterator[tuple]:
+    """(line, doc, keys, value, anchor, alias) of each line of YAML that says something; items of lists are numbered keys.
+
+    A line's keys are those of the stack of lines that enclose it, each deeper than the one before. Lines of a block
+    scalar (| or >) have its keys and their own text.
+    """
+    stack: list[list] = []  # [indent, key, number of the last item below]
+    doc, scalar = 0, None
+    for n, raw in enumerate(text.split("\n"), 1):
+        line = raw.rstrip()
+        body = line.lstrip(" \t")
+        indent = len(line) - len(body)
+        if scalar is not None and (not body or indent > scalar):
+            if body:
+                yield n, doc, [k for _, k, _ in stack], body, None, None
+            continue
+        scalar = None
+        if body == "---" or body.startswith("--- "):
+            doc, stack = doc + 1, []
+            continue
+        if not body or body[0] == "#":
+            continue
+        while body == "-" or body.startswith("- "):
+            while stack and (stack[-1][0] > indent or stack[-1][0] == indent and stack[-1][1].isdigit() and stack[-1][2] is None):
+                stack.pop()
+            above = stack[-1] if stack else [-1, "", -1]
+            above[2] = -1 if above[2] is None else above[2]
+            above[2] += 1
+            stack.append([indent, str(above[2]), None])
+            rest = body[1:].lstrip(" ")
+            indent, body = indent + len(body) - len(rest), rest
+        m = KEY.match(body)
+        if m:
+            while stack and stack[-1][0] >= indent:
+                stack.pop()
+            stack.append([indent, next(g for g in m.groups() if g is not None), -1])
+            body = body[m.end() :]
+        anchor = re.match(r"&(\S+)\s*", body)
+        body = body[anchor.end() :] if anchor else body
+        if re.match(r"[|>][+-]?\d?\s*(#.*)?$", body):
+            scalar, body = stack[-1][0] if stack else 0, ""
+        alias = re.match(r"\*(\S+)$", body)
+        quoted = re.match(r"""(["'])(.*)\1$""", body)
+        value = quoted[2] if quoted else re.sub(r"\s+#.*$", "", body)
+        yield n, doc, [k for _, k, _ in stack], value, anchor[1] if anchor else None, alias[1] if alias else None
+
+
+def yaml_paths(files: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(repo, path, doc, line, keys, value): the keys that lead to each line of the given YAML files; see _key_lines().
+
+    An alias, also one that is merged ('<<: *name'), brings in the lines below its anchor under the keys where it
+    stands; aliases inside those lines stay as they are. Files without contents give no rows; deeper lines than
+    max_depth keys have only the first that many.
+    """
+    kinds = [("repo", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("doc", pa.int32()), ("keys", pa.list_(pa.string())), ("value", pa.string()), ("anchor", pa.string()), ("alias", pa.string())]
+
+    def run(batches):
+        for batch in batches:
+            for repo, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rows = [(repo, path, n, doc, keys[:max_depth], *more) for n, doc, keys, *more in _key_lines(text)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=[k for k, _ in kinds])
+
+    lines = files.where("content is not null").select("repo", "path", "content").mapInArrow(run, "repo string, path string, line int, doc int, keys array<string>, value string, anchor string, alias string")
+    at = ["repo", "path", "doc"]
+    anchors = lines.where("anchor is not null").select(*at, F.col("anchor").alias("alias"), F.col("keys").alias("root"))
+    uses = lines.where("alias is not null").select(*at, "alias", F.col("line").alias("use"), F.when(F.element_at("keys", -1) == "<<", F.slice("keys", 1, F.size("keys") - 1)).otherwise(F.col("keys")).alias("under"))
+    below = lines.join(uses.join(anchors, [*at, "alias"]).drop("alias"), at).where((F.size("keys") > F.size("root")) & (F.slice("keys", 1, F.size("root")) == F.col("root")))
+    brought = below.select(*at, F.col("use").alias("line"), F.concat("under", F.slice("keys", F.size("root") + 1, max_depth)).alias("keys"), "value")
+    return lines.select(*at, "line", "keys", "value").unionByName(brought)
+
+
+def openapi_endpoints(files: DataFrame) -> DataFrame:
+    """(repo, path, method, route) of API descriptions with an openapi or swagger root: JSON by schema, YAML by the keys of its lines."""
+    f = files.where(F.col("path").rlike(r"(?i)(openapi|swagger)[^/]*\.(json|ya?ml)$"))
     j = f.where(F.col("path").endswith(".json")).select("repo", "path", F.from_json("content", "openapi string, swagger string, paths map<string,map<string,string>>").alias("j")).where("j.openapi is not null or j.swagger is not null")
     a = j.select("repo", "path", F.explode("j.paths").alias("route", "m")).select("repo", "path", "route", F.explode(F.map_keys("m")).alias("method"))
-    y = f.where(~F.col("path").endswith(".json") & F.col("content").rlike(r"(?m)^(openapi|swagger):"))
-    lines = y.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("n", "s"))
-    top = F.last(F.when(F.col("s").rlike(r"^[A-Za-z]"), F.regexp_extract("s", r"^([A-Za-z-]+):", 1)), True)
-    w = Window.partitionBy("repo", "path").orderBy("n")
-    route = F.last(F.when(F.col("s").rlike(r"^\s+[\"']?/"), F.regexp_extract("s", r"^\s+[\"']?(/[^\"':]*(?::[^\"'\s:]+)*)", 1)), True)
-    at = lines.select("repo", "path", top.over(w).alias("top"), route.over(w).alias("route"), F.regexp_extract("s", rf"^(?:  |\t){{2}}({VERBS}):", 1).alias("method"))
-    b = at.where("top = 'paths' and route is not null and method <> ''").select("repo", "path", "route", "method")
+    y = yaml_paths(f.where(~F.col("path").endswith(".json") & F.col("content").rlike(r"(?m)^[\"']?(openapi|swagger)[\"']?\s*:")))
+    b = y.where((F.size("keys") >= 3) & (F.col("keys")[0] == "paths") & F.col("keys")[1].startswith("/")).select("repo", "path", F.col("keys")[1].alias("route"), F.col("keys")[2].alias("method"))
     return a.union(b).where(F.lower("method").rlike(f"^({VERBS})$")).select("repo", "path", F.upper("method").alias("method"), "route").distinct()
 
 
+DEPLOYS, CHECKS_TYPES = r"(?i)deploy|publish|release", r"(?i)\btsc\b|type-?check|\bmypy\b|pyright"
+
+
+def _workflow_lines(files: DataFrame) -> DataFrame:
+    y = yaml_paths(files.where(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$"))).where((F.size("keys") >= 2) & (F.col("keys")[0] == "jobs"))
+    last = F.element_at("keys", -1)
+    text = F.concat_ws(" ", F.when(~last.rlike(r"^\d+$"), last), "value")
+    return y.select("repo", "path", F.col("keys")[1].alias("job"), "keys", "value", F.col("line").alias("line"), text.rlike(DEPLOYS).alias("deploys"), text.rlike(CHECKS_TYPES).alias("type_checks"))
+
+
 def ci_jobs(files: DataFrame) -> DataFrame:
-    """(repo, path, job, deploys, type_checks) of workflow files: one row for each key two spaces under jobs."""
-    f = files.where(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$"))
-    body = F.regexp_extract("content", r"(?s)(?:^|\n)jobs:[^\n]*\n(.*)", 1)
-    parts = f.select("repo", "path", F.explode(F.split(body, r"(?m)^(?=  [A-Za-z_])")).alias("s"))
-    named = parts.select("repo", "path", F.regexp_extract("s", r"^  ([A-Za-z_][\w-]*):", 1).alias("job"), "s").where("job <> ''")
-    return named.select("repo", "path", "job", F.col("s").rlike(r"(?i)deploy|publish|release").alias("deploys"), F.col("s").rlike(r"(?i)\btsc\b|type-?check|\bmypy\b|pyright").alias("type_checks"))
+    """(repo, path, job, deploys, type_checks) of workflow files: whether any line of the job says so."""
+    return _workflow_lines(files).groupBy("repo", "path", "job").agg(F.bool_or("deploys").alias("deploys"), F.bool_or("type_checks").alias("type_checks"))
+
+
+def ci_steps(files: DataFrame) -> DataFrame:
+    """(repo, path, job, step, name, uses, deploys, type_checks): the steps of each job, numbered from 0, with all lines of their scripts."""
+    lines = _workflow_lines(files).where((F.size("keys") >= 4) & (F.col("keys")[2] == "steps"))
+    said = lambda key: F.max(F.when(F.element_at("keys", -1) == key, F.col("value")))
+    return lines.groupBy("repo", "path", "job", F.col("keys")[3].cast("int").alias("step")).agg(said("name").alias("name"), said("uses").alias("uses"), F.bool_or("deploys").alias("deploys"), F.bool_or("type_checks").alias("type_checks"))
 
 
 def jsx_a11y_findings(files: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
+from auditlake.operators.text import TEST_PATH
+from auditlake.sources.store import stored
 
 # Which callees query a database, which packages are known to be vulnerable and below which major version.
 QUERY_METHODS = {"query", "exec", "execute", "raw", "findone", "findmany", "findunique", "findfirst", "aggregate", "queryraw", "executeraw"}
@@ -195,11 +197,62 @@ def test_quality(tests: DataFrame) -> DataFrame:
     )
 
 
-def tested_functions(functions: DataFrame, titles: DataFrame) -> DataFrame:
-    """(repo, name, tested): the name is a word of a test title. Titles become distinct words once, so that the join is by (repo, word)."""
-    words = titles.select("repo", F.explode(F.regexp_extract_all("title", F.lit(r"([A-Za-z_$][\w$]{2,})"), F.lit(1))).alias("w")).select("repo", F.lower("w").alias("w")).distinct().withColumn("hit", F.lit(True))
-    names = functions.where("name <> ''").select("repo", "name").distinct().withColumn("w", F.lower("name"))
-    return names.join(words, ["repo", "w"], "left").select("repo", "name", F.coalesce("hit", F.lit(False)).alias("tested"))
+def test_words(titles: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(repo, w): lower-case words of test titles, from a letter on, three letters or digits at least; and, if imports of test files are given, the names that they import."""
+    said = titles.select("repo", F.explode(F.split(F.lower("title"), r"\s+")).alias("w")).where(F.col("w").rlike("^[a-z][a-z0-9]{2,}$"))
+    if imports is not None:
+        names = imports.where(F.col("path").rlike(TEST_PATH)).select("repo", F.explode(F.regexp_extract_all("imported", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))).alias("w"))
+        said = said.union(names.select("repo", F.lower("w").alias("w")).where("length(w) > 2 and w not in ('from', 'type')"))
+    return said.distinct()
+
+
+def contained_in(parts: DataFrame, wholes: DataFrame, by: str = "repo", gram: int = 3) -> DataFrame:
+    """(by, part, whole): the texts of parts that stand in texts of wholes with the same key; both are (by, text), distinct.
+
+    An index of grams: a part stands only where each of its grams does, so it is looked up by the one that the fewest
+    wholes of its key have, and what that finds is compared whole. Parts shorter than a gram are looked up as they are.
+    """
+    grams = lambda size: F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substr("text", i, F.lit(size)))
+    sizes = [F.when(F.length("text") >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in range(1, gram + 1)]
+    index = wholes.where("text <> ''").select(by, F.col("text").alias("whole"), F.explode(F.array_distinct(F.concat(*sizes))).alias("g"))
+    common = index.groupBy(by, "g").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("text") >= gram, F.array_distinct(grams(gram))).otherwise(F.array("text"))
+    asked = parts.where("text <> ''").select(by, F.col("text").alias("part"), F.explode(own).alias("g"))
+    rarest = asked.join(common, [by, "g"], "left").groupBy(by, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0")
+    return rarest.select(by, "part", F.col("r.g").alias("g")).join(index, [by, "g"]).where(F.contains("whole", F.col("part"))).select(by, "part", "whole")
+
+
+def tested_functions(functions: DataFrame, titles: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(repo, name, tested): the name, whatever its case, is a test word, holds one or stands in one; see test_words()."""
+    words = test_words(titles, imports).select("repo", F.col("w").alias("text"))
+    names = functions.where("name <> ''").select("repo", "name").distinct().withColumn("text", F.lower("name"))
+    own = names.select("repo", "text").distinct()
+    hit = contained_in(own, words).select("repo", F.col("part").alias("text")).union(contained_in(words, own).select("repo", F.col("whole").alias("text"))).distinct()
+    return names.join(hit.withColumn("hit", F.lit(True)), ["repo", "text"], "left").select("repo", "name", F.coalesce("hit", F.lit(False)).alias("tested"))
+
+
+# Packages that only run tests.
+TEST_FRAMEWORKS = r"^(vitest|jest|mocha|chai|sinon|ava|tape|node:test|node:assert|assert|@jest/.*|@testing-library/.*|@playwright/test|cypress)$"
+
+
+def tests_without_source(files: DataFrame, imports: DataFrame, paths: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(repo, path): test files from which no chain of imports through test files and helpers leads to a source or a package of use.
+
+    imports: facts.js_imports; paths: joins.resolve_imports. The files that do reach one grow backwards from the sources,
+    a join a round with what the last round found, so that cycles end and a chain of k helpers takes k rounds.
+    """
+    tests = files.select("repo", "path").distinct().where(F.col("path").rlike(TEST_PATH))
+    edges = stored(imports.select("repo", "path", "specifier").join(paths.select("repo", "path", "specifier", "target"), ["repo", "path", "specifier"]).select("repo", "path", "target").distinct())
+    packages = imports.where(~F.col("specifier").rlike(r"^[./]") & ~F.col("specifier").rlike(TEST_FRAMEWORKS)).select("repo", "path")
+    sources = edges.where(~F.col("target").rlike(TEST_PATH)).select("repo", "path")
+    new = reached = stored(packages.union(sources).distinct().join(tests, ["repo", "path"], "left_semi"))
+    for _ in range(max_rounds):
+        found = edges.join(new.select("repo", F.col("path").alias("target")), ["repo", "target"], "left_semi").select("repo", "path").distinct()
+        new = stored(found.join(tests, ["repo", "path"], "left_semi").join(reached, ["repo", "path"], "left_anti"))
+        if new.isEmpty():
+            return tests.join(reached, ["repo", "path"], "left_anti")
+        reached = stored(reached.union(new))
+    raise RuntimeError(f"chains of helpers did not end in {max_rounds} rounds")
 
 
 def coverage_estimate(tested: DataFrame, counts: DataFrame, measured: DataFrame) -> DataFrame:

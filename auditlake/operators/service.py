@@ -109,6 +109,31 @@ def plan_from_billing(events: DataFrame) -> DataFrame:
     return once.groupBy("customer").agg(F.max_by(plan, F.struct("ts", "id")).alias("plan"), F.count(F.lit(1)).alias("n_events"))
 
 
+def plan_of_users(events: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, plan, customer, n_events) after replaying billing events (id, ts, kind, user_id, customer, plan) in order.
+
+    created and updated with a user set that user's plan (pro by default) and customer (the old one if null); without a
+    user they set the plan of whoever had that customer then, and deleted frees those. Who had a customer when: the
+    spans between a user's links, from the users table's own customer on. Events are joined to spans by customer, and a
+    span holds those between its ends. Repeated ids count once; other kinds don't. users: (id, plan, customer), the plan
+    and customer they start with; events of unknown users are ignored.
+    """
+    once = events.where(F.col("kind").isin("created", "updated", "deleted")).groupBy("id").agg(F.min(F.struct("ts", "kind", "user_id", "customer", "plan")).alias("e")).select("id", "e.*")
+    order, plan = F.struct("ts", "id"), F.when(F.col("kind") == "deleted", "free").otherwise(F.coalesce("plan", F.lit("pro")))
+    once = once.withColumn("at", order).withColumn("plan", plan)
+    direct = once.where("user_id is not null and kind <> 'deleted'")
+    never = F.lit(None).cast(once.schema["at"].dataType)
+    links = users.where("customer is not null").select(F.col("id").alias("user_id"), "customer", never.alias("at")).unionByName(direct.where("customer is not null").select("user_id", "customer", "at"))
+    spans = links.withColumn("until", F.lead("at").over(Window.partitionBy("user_id").orderBy(F.asc_nulls_first("at"))))
+    others = once.where("customer is not null and (user_id is null or kind = 'deleted')").select("customer", F.col("at").alias("when"), F.col("plan"))
+    held = spans.join(others, "customer").where("(at is null or when >= at) and (until is null or when < until)").select("user_id", F.col("when").alias("at"), "plan")
+    applied = direct.select("user_id", "at", "plan").unionByName(held).groupBy("user_id").agg(F.max_by("plan", "at").alias("now"), F.count(F.lit(1)).alias("n_events"))
+    last = spans.where("until is null").select("user_id", F.col("customer").alias("linked"))
+    known = users.select(F.col("id").alias("user_id"), F.coalesce("plan", F.lit("free")).alias("had"))
+    out = known.join(applied, "user_id", "left").join(last, "user_id", "left")
+    return out.select("user_id", F.coalesce("now", "had").alias("plan"), F.col("linked").alias("customer"), F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"))
+
+
 def key_usage(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests (presented, ts) by known, unrevoked key (key_hash, owner, revoked): the presented key is hashed and joined; unknown and revoked keys drop out."""
     used = requests.where("presented is not null").groupBy(F.sha2("presented", 256).alias("key_hash")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_used"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,53 @@ def accessibility_findings(lines: DataFrame) -> DataFrame:
     }
     hits = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
     return lines.select("repo", "path", "line", F.explode(hits).alias("rule"))
+
+
+# Light colour names, keys beside which a colour is no lone text colour, the luminance above which text is light.
+LIGHT_NAMES = {"lightgray": "d3d3d3", "lightgrey": "d3d3d3", "white": "ffffff", "silver": "c0c0c0", "gainsboro": "dcdcdc", "whitesmoke": "f5f5f5", "yellow": "ffff00"}
+SIBLINGS = r"(?i)\b(?:text|name|value|label|title|bg|background|backgroundColor|fill|stroke)\s*:"
+LIGHT = 0.55
+
+
+def luminance(hex_digits: Column) -> Column:
+    """Relative luminance, from 0 to 1, of a colour of three or six hex digits; null for anything else."""
+    h = F.when(hex_digits.rlike("^[0-9a-fA-F]{3}$"), F.regexp_replace(hex_digits, "(.)", "$1$1")).when(hex_digits.rlike("^[0-9a-fA-F]{6}$"), hex_digits)
+
+    def linear(at: int) -> Column:
+        c = F.conv(F.substring(h, at, 2), 16, 10).cast("double") / 255
+        return F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+    return 0.2126 * linear(1) + 0.7152 * linear(3) + 0.0722 * linear(5)
+
+
+def text_color(line: Column) -> Column:
+    """The hex digits of the first `color:` of a line: hex as it is, rgb() and light names translated; null without one."""
+    said = lambda p: F.nullif(F.regexp_extract(line, p, 1), F.lit(""))
+    channel = lambda i: F.regexp_extract(line, r"(?i)\bcolor\s*:\s*['\"]?rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)", i).try_cast("int")
+    part = lambda i: F.lpad(F.hex(F.when(channel(i) > 255, 255).otherwise(channel(i))), 2, "0")
+    names = F.create_map(*[F.lit(x) for kv in LIGHT_NAMES.items() for x in kv])
+    named = F.lower(said(r"(?i)\bcolor\s*:\s*['\"]?([a-z]+)\b(?!\()"))
+    return F.coalesce(said(r"(?i)\bcolor\s*:\s*['\"]?#([a-f0-9]{6}|[a-f0-9]{3})\b"), F.concat(part(1), part(2), part(3)), F.try_element_at(names, named))
+
+
+def a11y_line_findings(lines: DataFrame) -> DataFrame:
+    """(repo, path, line, rule, severity): contrast, focus, keyboard, names, loading states and semantics, each line for itself.
+
+    One projection makes all rules of a line, without a shuffle. A null text meets none.
+    """
+    t = F.col("text")
+    has = lambda *words: reduce(lambda a, w: a & F.contains(t, F.lit(w)), words, F.lit(True))
+    lacks = lambda *words: reduce(lambda a, w: a & ~F.contains(t, F.lit(w)), words, F.lit(True))
+    element, clickable = has("<div") | has("<span"), has("onClick", "div")
+    rules = [
+        ("low-contrast", "medium", ~t.rlike(SIBLINGS) & (luminance(text_color(t)) > LIGHT)), ("low-contrast-class", "medium", t.rlike(r"text-gray-[34]00\b")),
+        ("focus-removed", "medium", has("outline", "none") & lacks("focus")), ("positive-tabindex", "medium", t.rlike(r"tabindex\s*=\s*['\"][1-9]['\"]")),
+        ("no-keyboard-handler", "medium", clickable & lacks("onKeyDown", "onKeyPress")), ("click-without-role", "medium", clickable & lacks("role=")),
+        ("role-without-name", "medium", (has('role="button"') | has('role="link"')) & lacks("aria-label")),
+        ("loading-without-aria", "low", (has("loading") | (has("setState") | has("useState")) & (has("spinner") | has("Skeleton"))) & has("&&") & lacks("aria-live", "aria-busy")),
+        ("image-without-alt", "high", (has("<img") | has("<Image")) & lacks("alt=", "{...")), ("empty-alt", "low", has("<img", 'alt=""') & lacks('role="presentation"', "aria-hidden")),
+        ("input-without-label", "high", (has("<input") | has("<textarea") | has("<select")) & lacks("aria-label", "placeholder", "hidden", 'type="button"', 'type="submit"', 'type="reset"')),
+        ("use-nav", "low", has('role="navigation"') & element), ("use-main", "low", has('role="main"') & element),
+    ]
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, c in rules]))
+    return lines.select("repo", "path", "line", F.explode(hits).alias("h")).select("repo", "path", "line", "h.*")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from auditlake.operators import config as co
 from auditlake.operators import detectors as de
 from auditlake.operators import facts as fa
+from auditlake.operators import joins as jo
+from auditlake.operators import findings as fi
 from auditlake.operators import taint as ta
+from auditlake.operators import text as tx
 from auditlake.plans.bindings import table
 from auditlake.plans.registry import query
 from auditlake.sources.store import stored
@@ -16,15 +19,20 @@ from auditlake.sources import manifests as ma
 
 _CODE = [
     "'import { f0 } from \"./lib.js\";'",
-    "concat('export function fn', CAST(p_partkey AS string), '(x) { if (x && x.y) { return 1 } return 0 }')",
+    "concat('export function fn', CAST(p_partkey AS string), '(x) { if (x && x.y) { return 1 }', repeat(' if (x) { y() }', p_size % 5), ' return 0 }')",
     "concat('app.', CASE WHEN p_size % 2 = 0 THEN 'post' ELSE 'get' END, '(\"/r', CAST(p_size % 5 AS string), '\", async (req, res) => { const id = req.query.id; db.query(', "
     "CASE p_size % 3 WHEN 0 THEN '\"select \" + id' WHEN 1 THEN concat('`select $', '{id}`') ELSE '\"select ?\", [id]' END, '); });')",
-    "CASE WHEN p_size % 4 = 0 THEN 'for (const r of rows) { db.find(r) }' ELSE 'rows.forEach(r => log(r));' END",
+    "CASE p_size % 4 WHEN 0 THEN 'for (const r of rows) { db.find(r) }' WHEN 1 THEN 'rows.map(r => db.query(r));' WHEN 2 THEN 'Promise.all(rows.map(r => db.query(r)));' ELSE 'rows.forEach(r => log(r));' END",
     "CASE WHEN p_size % 2 = 0 THEN 'if (a == b) { parseInt(z) }' ELSE 'if (a === b) { parseInt(z, 10) }' END",
     "CASE WHEN p_size % 7 = 0 THEN 'switch (k) { case 1: break; }' ELSE 'switch (k) { case 1: break; default: break; }' END",
-    "concat('it(\"works fn', CAST(p_partkey - p_partkey % 3 AS string), '\", () => { ', CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'g()' ELSE CASE WHEN p_size % 2 = 0 THEN 'expect(1).toBe(1)' ELSE 'expect(1).toBeTruthy()' END END, ' });')",
+    "concat(CASE p_size % 9 WHEN 0 THEN 'it.skip' WHEN 1 THEN 'it.only' ELSE 'it' END, '(\"works fn', CAST(p_partkey - p_partkey % 3 AS string), '\", () => { ', CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN 'g()' WHEN p_size % 8 = 7 THEN repeat('expect(2).toMatchSnapshot(); ', 1 + p_size % 3)"
+    " ELSE concat(CASE WHEN p_size % 2 = 0 THEN 'expect(1).toBe(1); ' ELSE 'expect(1).toBeTruthy(); ' END, repeat('expect(2).toMatchSnapshot(); ', p_size % 3), repeat('expect(3).toBeDefined(); ', p_size % 4), CASE WHEN p_size % 6 = 0 THEN 'expect(4).toEqual(4); ' ELSE '' END) END, ' });')",
     "CASE p_size % 4 WHEN 0 THEN '// redis' WHEN 1 THEN '// Cloudflare' WHEN 2 THEN '// pool_size' ELSE '' END",
     "CASE WHEN p_size % 6 = 0 THEN 'fs.readFileSync(p);' ELSE '' END",
+    "concat(CASE WHEN p_size % 3 = 0 THEN 'JSON.parse(s); ' ELSE 'try { JSON.parse(s) } catch (e) {} ' END, repeat('Number(z); ', p_size % 5), repeat('new Date(s); ', p_size % 6), CASE WHEN p_size % 7 = 3 THEN 'app.use(mw); ' ELSE '' END)",
+    "concat(CASE WHEN p_size % 3 = 1 THEN concat('router.put(\"/x\", ', CASE WHEN p_size % 2 = 0 THEN 'requireAuth, ' ELSE '' END, 'h); ') ELSE '' END, CASE p_size % 13 WHEN 0 THEN 'cors(); ' WHEN 1 THEN 'cors({ origin: \"*\", credentials: true }); ' WHEN 2 THEN 'cors({ origin: true }); ' WHEN 3 THEN 'res.json({ password: p }); ' ELSE '' END)",
+    "concat(CASE WHEN p_size % 4 = 1 THEN 'fc.property(g); ' ELSE '' END, repeat('invariant(x); ', p_size % 4), repeat('typeof y; ', p_size % 6))",
+    "CASE p_size % 6 WHEN 0 THEN 'eval(w);' WHEN 1 THEN 'setInterval(\"x\", 1);' WHEN 2 THEN 'res.redirect(w);' WHEN 3 THEN 'res.send(\"<b>\" + w);' WHEN 4 THEN 'fs.readFile(\"a\" + w);' ELSE 'exec(w);' END",
 ]
 _PYTHON = [
     "concat('def a(x=', CASE WHEN p_size % 2 = 0 THEN '[]' ELSE 'None' END, '):')", "'    q = request.args[\"q\"]'",
@@ -128,14 +136,17 @@ def workspace_members(spark, sf):
     return ma.workspace_members(files.where("content is not null"))
 
 
-@query(f"SELECT {_AT}, 3 AS max_cc, 5 AS total_cc, 3 AS n, concat('fn', p_partkey, ':3,(anonymous):1,(anonymous):1') AS hottest FROM part")
+@query(f"""SELECT {_AT}, 3 + p_size % 5 AS max_cc, 5 + p_size % 5 + CAST(p_size % 4 > 0 AS INTEGER) AS total_cc, 3 + CAST(p_size % 4 > 0 AS INTEGER) AS n,
+concat('fn', p_partkey, ':', 3 + p_size % 5, ',(anonymous):1,(anonymous):1') AS hottest FROM part""")
 def code_complexity(spark, sf):
     return de.complexity_by_file(fa.js_functions(_facts(spark, sf)))
 
 
-@query(f"SELECT {_AT}, 3 AS line, 'sql-injection' AS rule, 'critical' AS severity FROM part WHERE p_size % 3 < 2")
+@query(f"""SELECT {_AT}, 3 AS line, 'sql-injection' AS rule, 'critical' AS severity, 'high' AS confidence FROM part WHERE p_size % 3 < 2
+UNION ALL SELECT {_AT}, 13, CASE p_size % 6 WHEN 0 THEN 'eval' WHEN 1 THEN 'string-timer' WHEN 2 THEN 'open-redirect' WHEN 3 THEN 'reflected-xss' WHEN 4 THEN 'path-traversal' ELSE 'shell' END,
+CASE p_size % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 5 THEN 'critical' ELSE 'low' END, 'low' FROM part""")
 def injection_findings(spark, sf):
-    return de.injection_findings(fa.js_calls(_facts(spark, sf))).select("repo", "path", "line", "rule", "severity")
+    return de.injection_findings(fa.js_calls(_facts(spark, sf))).select("repo", "path", "line", "rule", "severity", "confidence")
 
 
 # Helpers f0, f1, ...: each hands one of its two parameters to the one before it, in one of four ways to import it; every
@@ -152,7 +163,7 @@ _HELPER = [
     f"CASE WHEN p_partkey % 5 = 0 THEN concat('  return ', {_SINK}, 'v)') ELSE concat('  return ', CASE WHEN p_size % 4 = 1 THEN concat('lib.f', {_BEFORE}) ELSE 'g' END, CASE WHEN {_NEXT_ARG} = 0 THEN '(v, 1)' ELSE '(1, v)' END) END",
     "'}'",
     "concat('export { f', CAST(p_partkey AS string), ' }')",
-    "concat('app.get(\"/\", (req, res) => { f', CAST(p_partkey AS string), CASE p_size % 3 WHEN 0 THEN '(req.query.a, 1)' WHEN 1 THEN '(1, req.body.b)' ELSE '(`t ${x}`, \"c\")' END, ' })')",
+    "concat('app.get(\"/\", (req, res) => { f', CAST(p_partkey AS string), CASE p_size % 3 WHEN 0 THEN '(req.query.a, 1)' WHEN 1 THEN '(1, req.body.b)' ELSE concat('(`t $', '{x}`, \"c\")') END, ' })')",
 ]
 
 
@@ -170,48 +181,70 @@ def cross_file_taint(spark, sf):
     return ta.cross_file_taint(stored(fa.code_facts(files)), files).select("repo", "path", "callee", "category", "confidence", "severity")
 
 
-@query(f"SELECT {_AT}, 3 AS line, 'route-without-auth' AS rule, 'medium' AS severity FROM part WHERE p_size % 2 = 0")
+@query(f"""SELECT {_AT}, 3 AS line, 'route-without-auth' AS rule, 'medium' AS severity FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT {_AT}, 11, 'route-without-auth', 'medium' FROM part WHERE p_size % 3 = 1 AND p_size % 2 = 1
+UNION ALL SELECT {_AT}, 11, CASE p_size % 13 WHEN 0 THEN 'cors-default' WHEN 3 THEN 'sensitive-response' ELSE 'cors-wildcard' END, CASE p_size % 13 WHEN 1 THEN 'high' WHEN 3 THEN 'high' ELSE 'medium' END FROM part WHERE p_size % 13 < 4""")
 def route_findings(spark, sf):
     return de.route_findings(fa.js_calls(_facts(spark, sf))).select("repo", "path", "line", "rule", "severity")
 
 
-@query(f"SELECT * FROM (SELECT {_AT}, 4 AS line, row_number() OVER (PARTITION BY p_brand ORDER BY concat('src/', CAST(p_partkey AS varchar), '.js')) AS rank, count(*) OVER (PARTITION BY p_brand) AS total FROM part WHERE p_size % 4 = 0) WHERE rank <= 8")
+@query(f"SELECT * FROM (SELECT {_AT}, 4 AS line, row_number() OVER (PARTITION BY p_brand ORDER BY concat('src/', CAST(p_partkey AS varchar), '.js')) AS rank, count(*) OVER (PARTITION BY p_brand) AS total FROM part WHERE p_size % 4 < 2) WHERE rank <= 8")
 def n_plus_one(spark, sf):
     return de.n_plus_one_findings(fa.js_calls(_facts(spark, sf))).select("repo", "path", "line", "rank", "total")
 
 
-@query("""SELECT * FROM (SELECT p_brand AS repo, count(*) FILTER (p_size % 2 = 0) AS parse_int_radix, 0 AS json_parse_unguarded, 0 AS number_unchecked, 0 AS new_date,
-count(*) FILTER (p_size % 2 = 0) AS loose_equality, count(*) FILTER (p_size % 7 = 0) AS switch_no_default FROM part GROUP BY p_brand) WHERE parse_int_radix + switch_no_default > 0""")
+@query("""SELECT p_brand AS repo, count(*) FILTER (p_size % 2 = 0) AS parse_int_radix, count(*) FILTER (p_size % 3 = 0) AS json_parse_unguarded, CAST(sum(p_size % 5) AS BIGINT) AS number_unchecked, CAST(sum(p_size % 6) AS BIGINT) AS new_date,
+count(*) FILTER (p_size % 2 = 0) AS loose_equality, count(*) FILTER (p_size % 7 = 0) AS switch_no_default FROM part GROUP BY p_brand""")
 def edge_case_counts(spark, sf):
     return de.edge_case_counts(_facts(spark, sf))
 
 
-@query("SELECT p_brand AS repo, count(*) AS cases, 0 AS skipped, 0 AS focused, count(*) FILTER (p_size % 5 = 0) AS empty, count(*) FILTER (p_size % 5 = 1) AS assertionless FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS repo, count(*) AS cases, count(*) FILTER (p_size % 9 = 0) AS skipped, count(*) FILTER (p_size % 9 = 1) AS focused, count(*) FILTER (p_size % 5 = 0) AS empty, count(*) FILTER (p_size % 5 = 1 AND p_size % 9 > 0) AS assertionless FROM part GROUP BY p_brand")
 def test_quality(spark, sf):
     return de.test_quality(fa.tests(_facts(spark, sf)))
 
 
-@query(f"SELECT {_AT}, 1 AS n, CAST(p_size % 2 = 0 AS INTEGER) AS strong, CAST(p_size % 2 = 1 AS INTEGER) AS weak, 0 AS snapshot, CAST(p_size % 2 = 0 AS INTEGER) AS kinds, false AS weak_heavy, false AS snapshot_only FROM part WHERE p_size % 5 > 1")
+@query(f"""WITH m AS (SELECT *, p_size % 8 = 7 AS sole, CAST(p_size % 2 = 0 AS INTEGER) + CAST(p_size % 6 = 0 AS INTEGER) AS st, CAST(p_size % 2 = 1 AS INTEGER) + p_size % 4 AS we, p_size % 3 AS sn FROM part WHERE p_size % 5 > 1),
+c AS (SELECT *, CASE WHEN sole THEN 0 ELSE st END AS strong, CASE WHEN sole THEN 0 ELSE we END AS weak, sn + CAST(sole AS INTEGER) AS snapshot FROM m)
+SELECT {_AT}, strong + weak + snapshot AS n, strong, weak, snapshot, strong AS kinds, strong + weak + snapshot >= 3 AND 2 * weak > strong + weak + snapshot AS weak_heavy, strong + weak = 0 AS snapshot_only FROM c""")
 def assertion_quality(spark, sf):
     return de.assertion_quality(_facts(spark, sf))
 
 
-_TESTED = "t AS (SELECT DISTINCT p_brand AS repo, concat('fn', p_partkey - p_partkey % 3) AS name FROM part)"
+_TESTED = """n AS (SELECT p_brand AS repo, concat('fn', p_partkey) AS name FROM part), w AS (SELECT DISTINCT p_brand AS repo, unnest(['works', concat('fn', p_partkey - p_partkey % 3)]) AS word FROM part),
+t AS (SELECT repo, name, EXISTS (FROM w WHERE w.repo = n.repo AND (contains(word, name) OR contains(name, word))) AS tested FROM n)"""
 
 
-@query(f"WITH {_TESTED} SELECT p_brand AS repo, concat('fn', p_partkey) AS name, t.name IS NOT NULL AS tested FROM part LEFT JOIN t ON t.repo = p_brand AND t.name = concat('fn', p_partkey)")
+@query(f"WITH {_TESTED} SELECT * FROM t")
 def tested_functions(spark, sf):
     facts = _facts(spark, sf)
     return de.tested_functions(fa.js_functions(facts), fa.tests(facts))
 
 
-@query(f"""WITH {_TESTED}, s AS (SELECT p_brand AS repo, CAST(floor(100.0 * count(t.name) / count(*) + 0.5) AS INTEGER) AS share, count(*) AS n FROM part LEFT JOIN t ON t.repo = p_brand AND t.name = concat('fn', p_partkey) GROUP BY p_brand)
-SELECT repo, CAST(CASE WHEN share < 10 AND n >= 10 THEN 95 ELSE share END AS DOUBLE) AS pct, 'estimated' AS origin FROM s""")
+@query(f"""WITH {_TESTED}, s AS (SELECT repo, CAST(floor(100.0 * count(*) FILTER (tested) / count(*) + 0.5) AS INTEGER) AS share, count(*) AS n FROM t GROUP BY repo)
+SELECT repo, CAST(CASE WHEN CAST(substr(repo, 7) AS INTEGER) % 3 = 0 THEN n % 90 WHEN share < 10 AND n >= 10 THEN 95 ELSE share END AS DOUBLE) AS pct, CASE WHEN CAST(substr(repo, 7) AS INTEGER) % 3 = 0 THEN 'measured' ELSE 'estimated' END AS origin FROM s""")
 def coverage_estimate(spark, sf):
     facts = _facts(spark, sf)
     counts = table(spark, sf, "part").groupBy(F.col("p_brand").alias("repo")).agg(F.count(F.lit(1)).alias("source_files"), F.count(F.lit(1)).alias("test_files"))
-    none = counts.where("false").select("repo", F.lit(0.0).alias("pct"))
-    return de.coverage_estimate(de.tested_functions(fa.js_functions(facts), fa.tests(facts)), counts, none)
+    measured = counts.where("CAST(substr(repo, 7) AS INT) % 3 = 0").select("repo", (F.col("source_files") % 90).cast("double").alias("pct"))
+    return de.coverage_estimate(de.tested_functions(fa.js_functions(facts), fa.tests(facts)), counts, measured)
+
+
+# Test files in chains of seven; the first of a chain imports a source, a package, only a test framework or, in a circle, the last.
+_CHAIN = "p_partkey DIV 7"
+_TEST_FILE = ["'import { it } from \"vitest\";'", f"""CASE WHEN p_partkey % 7 > 0 THEN concat('import {{ h }} from "./t', CAST(p_partkey - 1 AS string), '.test.js";') WHEN {_CHAIN} % 4 = 0 THEN 'const s = require("../src/s");'
+WHEN {_CHAIN} % 4 = 1 THEN 'import axios from "axios";' WHEN {_CHAIN} % 4 = 2 THEN concat('import {{ h }} from "./t', CAST(p_partkey + 6 AS string), '.test";') ELSE '' END""", "CASE WHEN p_size % 10 = 0 THEN 'import { z } from \"../src/s.js\";' ELSE '' END"]
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS z, p_partkey // 7 AS c FROM part),
+reached(k) AS (SELECT k FROM p WHERE z % 10 = 0 OR (k % 7 = 0 AND c % 4 < 2) UNION
+    SELECT p.k FROM reached r JOIN p ON (p.k % 7 > 0 AND p.k - 1 = r.k) OR (p.k % 7 = 0 AND p.c % 4 = 2 AND p.k + 6 = r.k))
+SELECT 'r' AS repo, concat('tests/t', k, '.test.js') AS path FROM p WHERE k NOT IN (SELECT k FROM reached)""")
+def tests_without_source(spark, sf):
+    tests = _parts(spark, sf).select(F.lit("r").alias("repo"), F.expr("concat('tests/t', CAST(p_partkey AS string), '.test.js')").alias("path"), F.array_join(F.array(*map(F.expr, _TEST_FILE)), "\n").alias("content"))
+    files = tests.unionByName(_parts(spark, sf).where("p_partkey = 1").select(F.lit("r").alias("repo"), F.lit("src/s.js").alias("path"), F.lit("").alias("content")))
+    imports = stored(fa.js_imports(fa.code_facts(files)))
+    return de.tests_without_source(files, imports, jo.resolve_imports(imports, files))
 
 
 @query("""WITH p AS (SELECT p_brand AS repo, concat('src/', p_partkey, '.py') AS path, p_size AS z FROM part)
@@ -228,7 +261,7 @@ def load_report(spark, sf):
     return de.load_report(de.load_flags(files, fa.js_calls(fa.code_facts(files))))
 
 
-@query("SELECT concat('p', p_partkey) AS repo, 40 AS score FROM part")
+@query("SELECT concat('p', p_partkey) AS repo, CAST(40 + CASE WHEN p_size % 4 = 1 THEN 15 ELSE 0 END + 2 * (p_size % 4) + (p_size % 6) // 2 AS INTEGER) AS score FROM part")
 def property_report(spark, sf):
     return de.property_report(_facts(spark, sf, _OWN), ma.extract_deps(_manifests(spark, sf)))
 
@@ -265,7 +298,7 @@ def scope_features(spark, sf):
     return de.scope_features(files, {"widget": "widget", "metal": "bolt|nut"})
 
 
-@query("SELECT p_brand AS repo, count(*) AS endpoints, 0 AS middleware FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS repo, count(*) + count(*) FILTER (p_size % 3 = 1) AS endpoints, count(*) FILTER (p_size % 7 = 3) AS middleware FROM part GROUP BY p_brand")
 def endpoint_counts(spark, sf):
     return co.endpoint_counts(_code(spark, sf, _CODE, "js"))
 
@@ -279,12 +312,14 @@ CASE WHEN p_size % 3 = 0 THEN '' ELSE '      resources: {}\n' END, '---\nkind: C
     return co.k8s_findings(co.k8s_docs(_project(spark, sf, k8s__all_DOT_yaml=text))).select("repo", "doc_no", "rule", "severity")
 
 
-@query("""SELECT concat('p', p_partkey) AS repo, unnest(['GET', 'POST', 'DELETE']) AS method, unnest([concat('/a', p_size % 9), concat('/a', p_size % 9), concat('/b/{id}/', p_size % 4)]) AS route FROM part
+@query("""SELECT concat('p', p_partkey) AS repo, unnest(['GET', 'POST', 'DELETE', 'PATCH', 'HEAD', 'HEAD']) AS method,
+unnest([concat('/a', p_size % 9), concat('/a', p_size % 9), concat('/b/{id}/', p_size % 4), concat('/q', p_size % 9), '/same/', concat('/alias', p_size % 3)]) AS route FROM part
 UNION ALL SELECT concat('p', p_partkey), 'GET', concat('/j', p_size % 6) FROM part""")
 def openapi_endpoints(spark, sf):
     files = _project(
         spark, sf,
         api__openapi_DOT_yaml="concat('openapi: 3.0.0\npaths:\n  /a', CAST(p_size % 9 AS string), ':\n    get:\n      x: 1\n    post:\n      x: 1\n  /b/{id}/', CAST(p_size % 4 AS string), ':\n    delete:\n      x: 1\ncomponents:\n    get:\n')",
+        api2__swagger_DOT_yml="concat('swagger: \"2.0\"\n\"paths\":\n    \"/q', CAST(p_size % 9 AS string), '\":\n        parameters:\n        - name: get\n        \\'patch\\':\n            x: 1\n    /same/: &one\n        head:\n            x: |\n                get:\n                    no\n    /alias', CAST(p_size % 3 AS string), ': *one\n')",
         api__swagger_DOT_json="""concat('{"swagger":"2.0","paths":{"/j', CAST(p_size % 6 AS string), '":{"get":{"x":1},"parameters":[]}}}')""",
     )
     return co.openapi_endpoints(files).select("repo", "method", "route")
@@ -297,6 +332,38 @@ def ci_jobs(spark, sf):
     return co.ci_jobs(made).select("repo", "job", "deploys", "type_checks")
 
 
+@query("""SELECT concat('p', p_partkey) AS repo, unnest(['build', 'build', 'ship']) AS job, unnest([0, 1, 0]) AS step, unnest([CASE WHEN p_size % 4 = 0 THEN 'get' END, NULL, 'go']) AS name, unnest(['actions/checkout@v4', NULL, NULL]) AS uses,
+unnest([false, false, p_size % 2 = 0]) AS deploys, unnest([false, p_size % 3 = 0, p_size % 5 = 0]) AS type_checks FROM part""")
+def ci_steps(spark, sf):
+    text = """concat('jobs:\n    build:\n        steps:\n        - uses: actions/checkout@v4\n', CASE WHEN p_size % 4 = 0 THEN '          name: "get"\n' ELSE '' END, '        - run: |\n            make\n            ', CASE WHEN p_size % 3 = 0 THEN 'npx tsc --noEmit' ELSE 'make all' END,
+'\n    "ship":\n        needs: [build]\n        steps:\n            -\n                name: go\n                run: ', CASE WHEN p_size % 2 = 0 THEN 'make deploy' ELSE 'make' END, CASE WHEN p_size % 5 = 0 THEN ' && mypy .' ELSE '' END, '\n')"""
+    made = table(spark, sf, "part").select(F.expr(_OWN).alias("repo"), F.lit(".github/workflows/ci.yaml").alias("path"), F.expr(text).alias("content"))
+    return co.ci_steps(made).select("repo", "job", "step", "name", "uses", "deploys", "type_checks")
+
+
+# Lines of a page by part: a colour whose three channels come from the part, as hex or rgb(), alone or beside a background; and attributes.
+_CHANNELS = ["(p_size * 5) % 256", "(p_partkey * 7) % 256", "(p_size * p_partkey) % 256"]
+_SHADE = "CASE WHEN p_size % 2 = 0 THEN concat('#', " + ", ".join(f"lpad(hex({c}), 2, '0')" for c in _CHANNELS) + ") ELSE concat('rgb(', " + ", ', ', ".join(f"CAST({c} AS string)" for c in _CHANNELS) + ", ')') END"
+_A11Y = [
+    f"concat('p {{ color: ', {_SHADE}, CASE WHEN p_partkey % 5 = 0 THEN '; background: black' ELSE '' END, ' }}')",
+    "concat('a { outline: none', CASE WHEN p_size % 3 = 0 THEN '; } a:focus { top: 0' ELSE '' END, ' }')",
+    "concat('<div onClick={go} ', CASE WHEN p_size % 4 = 0 THEN 'role=\"button\" ' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN 'aria-label=\"x\" ' ELSE '' END, CASE WHEN p_size % 6 = 0 THEN 'onKeyDown={go} ' ELSE '' END, '>')",
+    "concat('{loading && <Spin ', CASE WHEN p_size % 7 < 3 THEN 'aria-busy' ELSE '' END, '/>}')",
+]
+
+
+def _linear(c: str) -> str:
+    return f"CASE WHEN {c} / 255.0 <= 0.03928 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"
+
+
+@query(f"""WITH p AS (SELECT p_brand AS repo, concat('ui/', p_partkey, '.jsx') AS path, p_partkey AS k, p_size AS z, 0.2126 * {_linear(_CHANNELS[0])} + 0.7152 * {_linear(_CHANNELS[1])} + 0.0722 * {_linear(_CHANNELS[2])} AS lum FROM part)
+SELECT repo, path, 1 AS line, 'low-contrast' AS rule, 'medium' AS severity FROM p WHERE lum > 0.55 AND k % 5 > 0 UNION ALL SELECT repo, path, 2, 'focus-removed', 'medium' FROM p WHERE z % 3 > 0
+UNION ALL SELECT repo, path, 3, 'no-keyboard-handler', 'medium' FROM p WHERE z % 6 > 0 UNION ALL SELECT repo, path, 3, 'click-without-role', 'medium' FROM p WHERE z % 4 > 0
+UNION ALL SELECT repo, path, 3, 'role-without-name', 'medium' FROM p WHERE z % 4 = 0 AND z % 5 > 0 UNION ALL SELECT repo, path, 4, 'loading-without-aria', 'low' FROM p WHERE z % 7 > 2""")
+def a11y_lines(spark, sf):
+    return tx.a11y_line_findings(fi.explode_lines(_code(spark, sf, _A11Y, "jsx").withColumn("path", F.regexp_replace("path", "^src", "ui"))))
+
+
 _JSX = """concat('<img src={a} ', CASE WHEN p_size % 2 = 0 THEN '' ELSE 'alt="x" ' END, '/>\n<a href="u" target="_blank" ', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'rel="noopener" ' END, '>t</a>\n<div onClick={() => go(1)} ', CASE WHEN p_size % 5 = 0 THEN '' ELSE 'role="button"' END, '>x</div>')"""
 
 

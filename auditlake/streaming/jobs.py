@@ -65,3 +65,44 @@ def anchored_windows(requests: DataFrame, most: int = 60, seconds: int = 60, lat
 
     narrow = requests.withWatermark("ts", late).select("id", "caller", "ts", F.unix_micros("ts").alias("t"))
     return narrow.groupBy("caller").applyInPandasWithState(run, "id long, caller long, count long, allowed boolean", "ends long, n long", "append", "EventTimeTimeout")
+
+
+def sliding_limits(requests: DataFrame, most: int = 60, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+    """rate_limit_sliding for a stream, row for row: (id, caller, in_window, allowed, remaining).
+
+    A caller's requests wait in its state until the watermark has passed them, so that those which come late, but not
+    later than `late`, are counted where they belong; then they are judged in order against the times of the trailing
+    window, and times that fell out of it go. The state holds a caller's requests of the last window and lateness. Rows
+    later than that are dropped by the watermark; what waits when a stream is stopped comes out once it goes on.
+    """
+    size = seconds * 1_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times, waiting, ids = state.get if state.exists else ([], [], [])
+        came = [] if state.hasTimedOut else [(int(t), int(i)) for rows in batches for t, i in zip(rows["t"], rows["id"])]
+        queue = sorted([*zip(map(int, waiting), map(int, ids)), *came])
+        passed = state.getCurrentWatermarkMs() * 1000
+        due = [q for q in queue if q[0] < passed]
+        queue, seen, counts = queue[len(due) :], list(map(int, times)), []
+        # requests at one time count each other, as the batch form's range does
+        every = sorted([*seen, *(t for t, _ in due)])
+        low = high = 0
+        for t, _ in due:
+            while high < len(every) and every[high] <= t:
+                high += 1
+            while every[low] <= t - size:
+                low += 1
+            counts.append(high - low)
+        keep = [t for t in every if t > passed - size]
+        if queue or keep:
+            state.update((keep, [t for t, _ in queue], [i for _, i in queue]))
+            ends = queue[0][0] if queue else keep[-1] + size
+            state.setTimeoutTimestamp(max(ends // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if due:
+            yield pd.DataFrame({"id": [i for _, i in due], "caller": key[0], "in_window": counts, "allowed": [n <= most for n in counts], "remaining": [max(most - n, 0) for n in counts]})
+
+    narrow = requests.withWatermark("ts", late).select("id", "caller", "ts", F.unix_micros("ts").alias("t"))
+    kinds = "id long, caller long, in_window long, allowed boolean, remaining long"
+    return narrow.groupBy("caller").applyInPandasWithState(run, kinds, "times array<long>, waiting array<long>, ids array<long>", "append", "EventTimeTimeout")
