@@ -5,7 +5,7 @@ wrapper (what surrounds both). Features of the element (tag, each name of class,
 own text, share of link text) give it a likelihood under each state; a potential connects each parent's state with the
 child's, one table for containers and one for elements of text. Messages passed up and down the tree give exact
 marginals. All tables are counts over labelled pages: those that say with <article> or <main> where their text is.
-Elements whose whole name says that they are a menu, an advert, a form or the like are observed as furniture.
+Tags that are never text (nav, aside, form, ...) are observed as furniture; names that say so are evidence.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 MAX_DEPTH = 512  # as in browsers: what is nested deeper becomes a child of the element at that depth; no text is lost
 # Element names of the HTML standard by how they take part in text.
-RAW = {"script", "style", "head", "title", "iframe", "template", "textarea", "select"}
+RAW = {"script", "style", "head", "title", "iframe", "template", "textarea", "select", "noscript"}
+HEAD_TAGS = {"head", "title", "meta", "link", "style", "script", "base", "noscript", "template"}  # any other ends the head, whose end tag may be left out
 TEXT_ONLY = {"script", "style", "textarea", "title", "iframe"}
 VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -50,6 +51,8 @@ FURNITURE_NAMES = {
 HEADER_NAMES = {"header", "banner", "masthead"}  # furniture of the page, but not within its text
 NEUTRAL_PARTS = {"area", "articles", "bar", "block", "bottom", "box", "container", "global", "inner", "item", "items", "left", "links", "list", "page", "panel", "posts", "right", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
 TEXT_NAMES = {"article", "main"}
+TOLD_ABOUT = {"section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "figure", "table", "pre", "dl", "li", "a", "b", "i", "em", "strong", "code", "dfn", "cite"}
+NAME_ODDS = 1e9  # how much likelier a name like furniture's is on furniture: more than a dozen paragraphs outweigh
 FURNITURE, CONTENT, WRAPPER = range(3)
 #: What the transition tables believe before any page is counted, with the weight of PRIOR_ROWS elements of each state.
 PRIOR_ROWS = 20.0
@@ -88,6 +91,8 @@ def parse(page: str) -> list[Node]:
         m = TOKEN.search(page, at)
         end = m.start() if m else size
         if end > at:
+            if stack[-1].tag == "head" and not page[at:end].isspace():
+                close(opened["head"][-1])
             stack[-1].items.append(page[at:end])
         if not m:
             break
@@ -102,6 +107,8 @@ def parse(page: str) -> list[Node]:
             elif opened[tag] and (tag not in INLINE or opened[tag][-1] > scopes[-1]):
                 close(opened[tag][-1])
             continue
+        if tag not in HEAD_TAGS and opened["head"]:
+            close(opened["head"][-1])
         if tag == "br" or tag == "hr":
             if tag == "hr" and opened["p"] and opened["p"][-1] > scopes[-1]:
                 close(opened["p"][-1])
@@ -157,33 +164,38 @@ def _says(names: tuple[str, ...], words: set[str]) -> bool:
     return False
 
 
-def observed(nodes: list[Node]) -> tuple[list[bool], list[int]]:
-    """(furniture, marked) of each element: whether it is observed as furniture, and whether it is in (1) or holds (2) the
-    part that the page itself marks as its text."""
-    furniture, marked = [False] * len(nodes), [0] * len(nodes)
+def observed(nodes: list[Node]) -> tuple[list[bool], list[bool], list[int]]:
+    """(furniture, named, marked) of each element: whether its tag says that it is furniture, whether its name does, and
+    whether it is in (1) or holds (2) the part that the page itself marks as its text.
+
+    Within that part, the name of a section, a heading or a paragraph says nothing: it is named for what it tells about.
+    """
+    furniture, named, marked = [False] * len(nodes), [False] * len(nodes), [0] * len(nodes)
     for node in nodes[1:]:
         i, up = node.index, node.parent.index
         inside = marked[up] == 1
-        away = node.tag in FURNITURE_TAGS or node.names and _says(node.names, FURNITURE_NAMES) or not inside and (node.tag == "header" or node.names and _says(node.names, HEADER_NAMES))
-        furniture[i] = bool(away)
-        marked[i] = int(inside or not away and (node.tag in TEXT_NAMES or not TEXT_NAMES.isdisjoint(node.names)))
+        furniture[i] = node.tag in FURNITURE_TAGS or not inside and node.tag == "header"
+        telling = node.names and not (inside and node.tag in TOLD_ABOUT)
+        named[i] = bool(telling and (_says(node.names, FURNITURE_NAMES) or not inside and _says(node.names, HEADER_NAMES)))
+        marked[i] = int(inside or not furniture[i] and not named[i] and (node.tag in TEXT_NAMES or not TEXT_NAMES.isdisjoint(node.names)))
     for node in reversed(nodes[1:]):
-        if marked[node.index] and not furniture[node.index] and marked[node.parent.index] != 1:
+        if marked[node.index] and not furniture[node.index] and not named[node.index] and marked[node.parent.index] != 1:
             marked[node.parent.index] = 2
     for i, m in enumerate(marked):
-        furniture[i] &= m != 2  # what surrounds the marked text is no furniture, whatever its name
-    return furniture, marked
+        if m == 2:  # what surrounds the marked text is no furniture, whatever its name
+            furniture[i] = named[i] = False
+    return furniture, named, marked
 
 
 def self_labels(nodes: list[Node]) -> list[int] | None:
     """The state of each element of a page that marks its text, else None."""
-    furniture, marked = observed(nodes)
+    furniture, named, marked = observed(nodes)
     if 1 not in marked:
         return None
     labels = [WRAPPER] * len(nodes)
     for node in nodes[1:]:
         i = node.index
-        gone = furniture[i] or labels[node.parent.index] == FURNITURE and marked[i] != 2
+        gone = furniture[i] or named[i] or labels[node.parent.index] == FURNITURE and marked[i] != 2
         labels[i] = FURNITURE if gone else (FURNITURE, CONTENT, WRAPPER)[marked[i]]
     return labels
 
@@ -221,10 +233,11 @@ class DomModel:
             self.known[features] = got
         return got
 
-    def marginals(self, nodes: list[Node], furniture: list[bool]) -> list[float]:
-        """P(content) of each element by messages up and down the tree, given which elements are observed as furniture."""
+    def marginals(self, nodes: list[Node], furniture: list[bool], named: list[bool]) -> list[float]:
+        """P(content) of each element by messages up and down the tree, given whose tag is furniture's; names like furniture's are evidence."""
         n, tables = len(nodes), {k: tuple(map(tuple, t.tolist())) for k, t in ((True, self.container), (False, self.text))}
         up = [(1.0, 0.0, 0.0) if furniture[node.index] else self.likelihood(_features(node)) for node in nodes]
+        up = [(f, c / NAME_ODDS, w / NAME_ODDS) if named[i] else (f, c, w) for i, (f, c, w) in enumerate(up)]
         up[0] = (0.0, 0.0, 1.0)
         pair = [tables[node.tag in CONTAINERS] for node in nodes]
         message = [(1.0, 1.0, 1.0)] * n
@@ -283,8 +296,8 @@ def main_text(page: str | None, model: DomModel) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    furniture, _ = observed(nodes)
-    content = [m > 0.5 for m in model.marginals(nodes, furniture)]
+    furniture, named, _ = observed(nodes)
+    content = [m > 0.5 for m in model.marginals(nodes, furniture, named)]
     blocks: list[list[str]] = [[]]
     stack: list = [(nodes[0], iter(nodes[0].items))]
     while stack:
@@ -297,8 +310,8 @@ def main_text(page: str | None, model: DomModel) -> str:
             if item.tag == "br" or item.tag == "hr":
                 blocks.append([]) if item.tag == "hr" else blocks[-1].append("\n")
                 continue
-            if item.tag in RAW or furniture[item.index]:
-                continue
+            if item.tag in RAW or furniture[item.index] or named[item.index] and not content[item.index]:
+                continue  # with all that is inside
             if item.tag not in INLINE:
                 blocks.append([])
             stack.append((item, iter(item.items)))

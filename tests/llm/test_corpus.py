@@ -261,17 +261,17 @@ def test_marginals_are_exact():
     seen = {f: rng.integers(0, 9, 3).astype(float) for f in ("t:p 0", "t:li 0", "t:div 0", "n:2 0")}
     container, text = (rng.dirichlet([1, 1, 1], 3) for _ in range(2))
     model = htmltext.DomModel(seen, np.array([20.0, 30.0, 9.0]), container, text)
-    furniture, _ = htmltext.observed(nodes)
-    assert [n.tag for n, f in zip(nodes, furniture) if f] == ["ul"]
+    furniture, named, _ = htmltext.observed(nodes)
+    assert [n.tag for n, f in zip(nodes, named) if f] == ["ul"] and not any(furniture)
     total, on = 0.0, np.zeros(len(nodes))
     for y in itertools.product(range(3), repeat=len(nodes)):
         w = float(y[0] == htmltext.WRAPPER)
         for node in nodes[1:]:
-            w *= float(y[node.index] == htmltext.FURNITURE) if furniture[node.index] else model.likelihood(htmltext._features(node))[y[node.index]]
+            w *= float(y[node.index] == htmltext.FURNITURE) if furniture[node.index] else model.likelihood(htmltext._features(node))[y[node.index]] / (htmltext.NAME_ODDS if named[node.index] and y[node.index] != htmltext.FURNITURE else 1.0)
             w *= (container if node.tag in htmltext.CONTAINERS else text)[y[node.parent.index], y[node.index]]
         total += w
         on += w * (np.array(y) == htmltext.CONTENT)
-    assert np.allclose(model.marginals(nodes, furniture), on / total, atol=1e-6)
+    assert np.allclose(model.marginals(nodes, furniture, named), on / total, atol=1e-6)
 
 
 def test_toxicity_generalises_to_misspellings():
