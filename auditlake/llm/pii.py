@@ -1,17 +1,18 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what stands beside them.
 
 DataFrame functions only. Spans come from splitting a text at a pattern: the pieces and the matches alternate, so their
-lengths give the positions. Terms on lines that hold protected entities are counted against their counts in the whole
-corpus; a term discloses an entity if most of its occurrences stand on such lines and its pointwise mutual information
-with "an entity is on the line" is high. Both are estimated with one occurrence at the corpus's rate added, so that
-names that occur once count too. Such terms are generalised wherever they stand, in every text.
+lengths give the positions. A term's occurrences on lines that hold a protected entity are counted against all its
+occurrences; it discloses an entity if at least half of them stand on such lines and that is much more than lines do:
+the log odds of an entity on the line, given the term, exceed those of any line by a number of bits, which no share of
+such lines puts out of reach. One occurrence at the lines' rate is added, so that names that occur once count too. Such
+terms are generalised wherever they stand, in every text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import written
@@ -29,7 +30,7 @@ SPAN = "array<struct<kind:int,start:int,stop:int,value:string,line:int>>"
 TERM = len(KINDS)
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-PRIOR, DISCLOSURE, BITS = 1.0, 0.5, 3.0
+PRIOR, DISCLOSURE, BITS = 1.0, 0.5, 2.0
 CHUNK = 64
 HASHES = 1 << 22  # most rows of the table that keeps other words out of the join with the terms
 
@@ -111,52 +112,74 @@ def base_spans(docs: DataFrame, text: str = "text", into: str = "_spans") -> Dat
     return docs.withColumn(into, F.concat(*made)).drop(*[f"_m_{k}" for k in KINDS])
 
 
+def _words(lines: Column) -> Column:
+    """Lower-cased words of lines."""
+    return F.filter(F.flatten(F.transform(lines, lambda x: F.split(F.lower(x), GAPS))), lambda w: w != "")
+
+
+def _entity_lines(text: Column, spans: Column) -> Column:
+    """The lines that hold a span."""
+    at = F.array_distinct(F.transform(spans, lambda s: s["line"]))
+    return _let(F.split(text, "\n", -1), lambda every: F.transform(at, lambda i: F.get(every, i)))
+
+
 def _line_words(text: Column, spans: Column) -> Column:
     """Lower-cased words of the lines that hold a span, those of the spans among them; each line counts once."""
-    lines = F.array_distinct(F.transform(spans, lambda s: s["line"]))
-    texts = _let(F.split(text, "\n", -1), lambda every: F.transform(lines, lambda i: F.get(every, i)))
-    return F.filter(F.flatten(F.transform(texts, lambda x: F.split(F.lower(x), GAPS))), lambda w: w != "")
+    return _words(_entity_lines(text, spans))
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, text: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
-    """(term, bits): words of which at least a share of `disclosure` of the occurrences in docs is in near.
+    """(term, bits): words of which a share of `disclosure` of the occurrences, at least, is on lines with an entity, and whose log odds are `bits` above the lines'.
 
-    near holds one row (term) for each word on a line with an entity. All words of all texts are counted. The share is
-    estimated with `prior` occurrences at the rate of all words added.
+    near: (near, lines) for each text, the words of its lines with an entity and how many these lines are. All words of
+    all texts are counted. Shares are estimated with `prior` occurrences at the rate of all lines added. A corpus whose
+    lines all hold an entity, or none, has no such terms.
     """
+    lines = F.split(F.col(text), "\n", -1)
     total = docs.select(F.explode(F.split(F.lower(F.col(text)), GAPS)).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    close = near.groupBy("term").agg(F.count(F.lit(1)).alias("k"))
-    sums = total.agg(F.sum("n").alias("all_n"))
-    sums_near = near.agg(F.count(F.lit(1)).alias("all_k"))
-    whole = sums.join(F.broadcast(sums_near)).select((F.col("all_k") / F.col("all_n")).alias("rate"))  # one row each
+    close = near.select(F.explode("near").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("k"))
+    spoken = F.size(F.filter(lines, lambda x: x.rlike(LETTERS)))
+    all_lines = docs.where(F.col(text).isNotNull()).agg(F.sum(spoken).alias("all_n"))
+    whole = all_lines.join(F.broadcast(near.agg(F.sum("lines").alias("all_k")))).select((F.col("all_k") / F.nullif("all_n", F.lit(0))).alias("rate"))  # one row each
     share = (F.col("k") + prior * F.col("rate")) / (F.col("n") + prior)
-    both = close.join(total, "term").join(F.broadcast(whole)).withColumn("share", share).where(F.col("share") >= disclosure)
-    return both.select("term", F.log2(F.col("share") / F.col("rate")).alias("bits")).where(F.col("bits") >= bits)
+    both = close.join(total, "term").join(F.broadcast(whole)).where("rate < 1").withColumn("share", share).where(F.col("share") >= disclosure)
+    odds = lambda c: F.col(c) / (1 - F.col(c))
+    return both.select("term", F.log2(odds("share") / odds("rate")).alias("bits")).where(F.col("bits") >= bits)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(key, span): spans of kind TERM of every term in every text of docs (key, text), however it is written.
 
-    Words whose hash no term has are dropped before the join; the table of hashes is broadcast, of at most HASHES rows.
-    Each character between words becomes a space, so that the number of spaces before a word leads to its position.
+    Each character between words becomes a space, and running sums of the words' lengths give their positions. Words
+    whose hash no term has are dropped before the join; the table of hashes is broadcast, of at most HASHES rows of one
+    number. Where terms are so many that it tells nothing, the join with the terms has all words to shuffle.
     """
-    hash_of = F.pmod(F.xxhash64("term"), F.lit(HASHES)).alias("hash")
-    spaced = docs.select("key", F.regexp_replace(text, GAPS[:-1], " ").alias("spaced"))
-    words = spaced.select("key", "spaced", F.posexplode(F.split("spaced", " ")).alias("i", "word")).where("word <> ''")
+    hash_of = F.pmod(F.xxhash64("term"), F.lit(HASHES)).cast("int").alias("hash")
+
+    def placed(words: Column) -> Column:
+        stops = _running(F.transform(words, lambda w: F.length(w) + 1))
+        return F.filter(F.zip_with(words, stops, lambda w, stop: F.struct(w.alias("word"), (stop - 1).alias("stop"))), lambda x: x["word"] != "")
+
+    words = docs.select("key", F.explode(_let(F.split(F.regexp_replace(text, GAPS[:-1], " "), " "), placed)).alias("w")).select("key", "w.*")
     words = words.withColumn("term", F.lower("word")).withColumn("hash", hash_of)
     likely = words.join(F.broadcast(terms.select(hash_of).distinct()), "hash", "left_semi")
-    start = F.when(F.col("i") == 0, 0).otherwise(F.expr("length(substring_index(spaced, ' ', i)) + 1"))
-    placed = likely.select("key", "term", "word", start.alias("start"))
-    span = F.struct(F.lit(TERM).alias("kind"), "start", (F.col("start") + F.length("word")).alias("stop"), F.col("word").alias("value"), F.lit(None).cast("int").alias("line"))
-    return placed.join(terms.select("term"), "term").select("key", span.alias("span"))
+    span = F.struct(F.lit(TERM).alias("kind"), (F.col("stop") - F.length("word")).alias("start"), "stop", F.col("word").alias("value"), F.lit(None).cast("int").alias("line"))
+    return likely.join(terms.select("term"), "term").select("key", span.alias("span"))
 
 
 def outside(words: DataFrame, found: DataFrame) -> DataFrame:
-    """The (key, span) of words that share no character with a base span of their text; found: (key, base). Compared by character, so that the work grows with the spans' lengths."""
-    here = found.join(words.select("key").distinct(), "key", "left_semi").select("key", F.explode("base").alias("s")).where("s.start < s.stop")
-    covered = here.select("key", F.explode(F.sequence(F.col("s.start"), F.col("s.stop") - 1)).alias("at")).distinct()
-    touched = words.select("key", "span", F.explode(F.sequence(F.col("span.start"), F.col("span.stop") - 1)).alias("at")).join(covered, ["key", "at"], "left_semi")
-    return words.withColumn("begin", F.col("span.start")).join(touched.select("key", F.col("span.start").alias("begin")).distinct(), ["key", "begin"], "left_anti").drop("begin")
+    """The (key, span) of words that share no character with a base span of their text; found: (key, base).
+
+    The spans of a text are sorted together: the furthest end of a base span that starts no later, and the nearest start
+    of one that starts no earlier, tell.
+    """
+    base = found.join(words.select("key").distinct(), "key", "left_semi").select("key", F.explode("base").alias("span")).where("span.start < span.stop")
+    rows = words.select("key", "span").unionByName(base.select("key", "span")).withColumn("at", F.col("span.start"))
+    is_base = F.col("span.kind") < TERM
+    upto = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("key").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("ends", F.max(F.when(is_base, F.col("span.stop"))).over(upto)).withColumn("begins", F.min(F.when(is_base, F.col("at"))).over(after))
+    return seen.where(~is_base & (F.coalesce("ends", F.lit(0)) <= F.col("at")) & (F.col("begins").isNull() | (F.col("begins") >= F.col("span.stop")))).select("key", "span")
 
 
 def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -168,9 +191,10 @@ def personal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("hash"))
     slim = docs.select(key.alias("key"), F.col(text).alias("_text"))
     found = base_spans(slim, "_text")
-    near = F.when(F.size("_spans") > 0, _line_words(F.col("_text"), F.col("_spans"))).otherwise(F.array().cast("array<string>"))
+    lines = F.when(F.size("_spans") > 0, _entity_lines(F.col("_text"), F.col("_spans"))).otherwise(F.array().cast("array<string>"))
+    near = _let(lines, lambda x: F.struct(_words(x).alias("near"), F.size(x).alias("lines")))
     found = written(found.select("key", F.col("_spans").alias("base"), near.alias("near")))
-    terms = written(disclosing_terms(docs, found.select(F.explode("near").alias("term")), text))
+    terms = written(disclosing_terms(docs, found.select("near.*"), text))
     words = written(term_spans(slim, terms, "_text"))  # else the joins of outside() are moved before those that leave few words
     extra = outside(words, found).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("extra"))
     spans = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))
