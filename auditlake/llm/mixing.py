@@ -20,6 +20,7 @@ from auditlake.llm.common import written
 
 CAP = 3
 CHUNK, FAN_IN = 2048, 64
+BLOCK = 1 << 16  # equal rows that one task numbers at a time
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,16 +98,28 @@ def _reduce_group(seed: int, level: int, last: bool):
     return run
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows, where equal ones have different ties: they are counted before they are shuffled, and unfolded from their count in blocks."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    one = counted.where("n = 1").drop("n")
+    blocks = counted.where("n > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).repartition("tie", "block")
+    number = F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)
+    several = blocks.withColumn("number", F.explode(number)).withColumn("tie", F.xxhash64("tie", "number"))
+    return one.unionByName(several.select(*rows.columns))
+
+
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of docs.
 
     Null texts have size 0 and take nothing; a null source is a source of its own, last in the order of weights; null
-    ids are allowed. Equal rows get the same random numbers, but may get different numbers of copies; which of them
-    gets which can't be told apart. A source without words has target 0. An empty table gives no rows. Reruns agree,
-    however the rows are partitioned. No group of rows is larger than CHUNK or FAN_IN on average.
+    ids are allowed. Equal rows are counted and numbered, so that each draws numbers of its own and they spread over
+    chunks; which of them gets which number of copies can't be told apart. A source without words has target 0. An empty
+    table gives no rows. Reruns agree, however the rows are partitioned. No group of rows is larger than CHUNK or FAN_IN
+    on average.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("tie")))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(doc_id, text).alias("tie"))
+    rows = written(_numbered(slim))
     sources = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     hash_of = lambda n: F.xxhash64("tie", F.lit(n))
