@@ -83,6 +83,49 @@ def overall_weighted(spark, sf):
     return s.select("repo", S.round_half_up(total / F.lit(100.0)).alias("overall"))
 
 
+_SCORED = {
+    "repo": "concat('p', CAST(p_partkey AS string))", "vision": "CASE WHEN p_size % 7 > 0 THEN p_size * 3 % 101 END", "stack": "p_size % 4 * 30", "unit": "CASE WHEN p_size % 5 > 0 THEN p_size * 7 % 101 END", "accessibility": "p_size * 11 % 101", "accessibility_applies": "p_size % 6 > 0",
+    "contract": "CASE WHEN p_size % 3 > 0 THEN p_size * 13 % 101 END", "chaos": "p_size * 17 % 101", "predictive": "p_size * 19 % 101", "agentic": "CASE WHEN p_size % 8 > 0 THEN p_size * 23 % 101 ELSE 0 END", "dora": "p_size * 29 % 101", "scope": "p_size * 31 % 140",
+    "critical": "p_size % 4", "high": "p_size % 9", "findings": "p_size % 10", "max_users": "CASE WHEN p_size % 11 > 0 THEN p_size * 2 END",
+}
+
+
+def _or(c: str, default: int, keep_zero: bool = False) -> str:
+    return f"coalesce({c}, {default})" if keep_zero else f"coalesce(nullif({c}, 0), {default})"
+
+
+_CRIT, _BOTH = "greatest(0, 100 - 20 * critical)", "greatest(0, 100 - 20 * critical - 5 * high)"
+_OVERALL = {
+    "cli": f"(15 * {_or('vision', 50)} + 10 * {_or('stack', 60)} + 20 * {_CRIT} + 10 * {_or('unit', 50)} + 10 * {_or('accessibility', 70)} + 10 * {_or('contract', 50)} + 10 * {_or('chaos', 50)} + 15 * {_or('predictive', 50)}) / 100.0",
+    "save": f"(25 * {_or('vision', 50)} + 15 * {_or('stack', 60)} + 10 * {_or('unit', 50)} + 10 * {_or('accessibility', 70)} + 40 * greatest(0, 100 - 5 * findings)) / 100.0",
+    "local": f"(20 * {_or('agentic', 50, True)} + 15 * {_or('stack', 60, True)} + 15 * {_or('unit', 50, True)} + 30 * {_CRIT} + 10 * {_or('accessibility', 70, True)} + 10 * {_or('dora', 50, True)}) / 100.0",
+    "dashboard": f"(30 * {_or('vision', 50)} + 20 * {_or('stack', 60)} + 30 * CASE WHEN findings > 0 THEN {_CRIT} ELSE 50 END + 20 * {_or('unit', 50)}) / 100.0",
+    "report": f"(10 * {_or('accessibility', 70)} + 15 * {_BOTH} + 10 * CASE WHEN max_users < 50 THEN 70 ELSE 100 END + 10 * {_or('unit', 50)} + 25 * {_or('vision', 50)} + 15 * {_or('scope', 30)} + 15 * {_or('stack', 60)}) / 100.0",
+    "digest": f"({_BOTH} + coalesce(unit, 0) + least(100, stack) + least(100, scope) + CASE WHEN accessibility_applies THEN accessibility ELSE 0 END) / CASE WHEN accessibility_applies THEN 5.0 ELSE 4.0 END",
+}
+
+
+@query(f"WITH s AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _SCORED.items())} FROM part) SELECT repo, {', '.join(f'CAST(floor({e} + 0.5) AS INTEGER) AS {p}' for p, e in _OVERALL.items())} FROM s")
+def overall_profiles(spark, sf):
+    wide = table(spark, sf, "part").select(*[F.expr(e).alias(c) for c, e in _SCORED.items()])
+    return wide.select("repo", *[S.overall(p).alias(p) for p in S.PROFILES])
+
+
+_CATEGORIES = [*sorted({c for names in fi.OWASP.values() for c in names}), "Other"]
+_CATEGORY = f"CASE l_partkey % {len(_CATEGORIES)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CATEGORIES)) + " END"
+_CODES = ", ".join(f"('{k}', '{c}')" for k, names in fi.OWASP.items() for c in names or ["-"])
+
+
+@query(f"""{cte('findings')}, f AS (SELECT concat('repo-', l_suppkey % 40) AS repo, {_CATEGORY} AS category, CASE WHEN l_quantity > 49 THEN 'critical' WHEN l_quantity > 44 THEN 'high' WHEN l_quantity > 20 THEN 'medium' ELSE 'low' END AS severity FROM lineitem WHERE l_linenumber > 5), m(code, category) AS (VALUES {_CODES}),
+r AS (SELECT repo, m.code, severity FROM f JOIN m USING (category)), k AS (SELECT DISTINCT repo, code FROM (SELECT DISTINCT repo FROM f), m),
+c AS (SELECT k.repo, k.code, count(severity) AS n, {', '.join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in ('critical', 'high', 'medium', 'low'))} FROM k LEFT JOIN r ON r.repo = k.repo AND r.code = k.code GROUP BY k.repo, k.code)
+SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN high >= 3 THEN 'high' END AS severity, 80 AS coverage FROM c""")
+def owasp_report(spark, sf):
+    severity = F.expr("CASE WHEN l_quantity > 49 THEN 'critical' WHEN l_quantity > 44 THEN 'high' WHEN l_quantity > 20 THEN 'medium' ELSE 'low' END").alias("severity")
+    found = table(spark, sf, "lineitem").where("l_linenumber > 5")
+    return fi.owasp_report(found.select(F.expr("concat('repo-', CAST(l_suppkey % 40 AS string))").alias("repo"), F.expr(_CATEGORY).alias("category"), severity))
+
+
 @query(f"{cte('findings')} SELECT run_id, severity, title, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_ORDER}) AS rank FROM findings WHERE severity IN ('critical', 'high')) WHERE rank <= 3")
 def top_issues(spark, sf):
     return fi.top_issues(FINDINGS(spark, sf), 3).select("run_id", "severity", "title", "path", "rank")
@@ -313,6 +356,13 @@ def run_history(spark, sf):
     return se.run_history(RUNS(spark, sf)).select("user_id", "id", "project_id", "status", "rank")
 
 
+@query(f"""{cte('runs')}, r AS (SELECT runs.*, p_name AS project_name FROM runs JOIN part ON p_partkey = project_id WHERE contains(lower(p_name), 'wi') AND status = 'completed')
+SELECT user_id, id, project_name, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY completed_at DESC NULLS LAST, id DESC) AS rank FROM r) WHERE rank <= 3""")
+def run_search(spark, sf):
+    projects = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"))
+    return se.run_history(RUNS(spark, sf), 3, "completed", projects, "Wi").select("user_id", "id", "project_name", "rank")
+
+
 @query(f"""{cte('runs')} SELECT user_id, count(*) AS n_runs, count(*) FILTER (completed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND completed_at <= TIMESTAMP '{AS_OF}') AS n_recent, CAST(floor(coalesce(avg(score), 0) + 0.5) AS INTEGER) AS mean_score, CAST(sum(total_findings) AS BIGINT) AS n_findings FROM runs GROUP BY user_id""")
 def usage_stats(spark, sf):
     return se.usage_stats(RUNS(spark, sf), as_of())
@@ -539,6 +589,20 @@ def path_flags(spark, sf):
     return tx.path_flags(DOCS(spark, sf))
 
 
+# Paths and what they are: example, vendored, generated, parseable, user interface.
+_PATHS = [
+    ("src/a.ts", 0, 0, 0, 1, 0), ("Examples/a.js", 1, 0, 0, 1, 0), ("x/demo/b.vue", 1, 0, 0, 0, 1), ("vendor/c.go", 0, 1, 1, 0, 0), ("third-party/d.jsx", 0, 1, 1, 1, 1), ("lib/e.min.js", 0, 1, 1, 1, 0), ("app/__generated__/f.TSX", 0, 0, 1, 0, 1), ("api/g.gen.ts", 0, 0, 1, 1, 0),
+    ("p/h_pb2.py", 0, 0, 1, 0, 0), ("types/i.d.ts", 0, 0, 1, 1, 0), ("samplesx/j.html", 0, 0, 0, 0, 1), ("buildings/k.mjs", 0, 0, 0, 1, 0), ("samples/dist/l.bundle.js", 1, 1, 1, 1, 0), ("notes.md", 0, 0, 0, 0, 0),
+]
+
+
+@query(f"""WITH k(i, path, e, v, g, p, u) AS (VALUES {', '.join(f'({i}, {", ".join(repr(x) for x in row)})' for i, row in enumerate(_PATHS))})
+SELECT p_brand AS repo, concat('r', p_partkey, '/', path) AS path, e = 1 AS is_example, v = 1 AS is_vendored, g = 1 AS is_generated, k.p = 1 AS is_parseable, u = 1 AS is_ui FROM part JOIN k ON i = p_size % {len(_PATHS)}""")
+def path_kinds(spark, sf):
+    path = f"CASE p_size % {len(_PATHS)} " + " ".join(f"WHEN {i} THEN '{row[0]}'" for i, row in enumerate(_PATHS)) + " END"
+    return tx.path_kinds(table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.expr(f"concat('r', CAST(p_partkey AS string), '/', {path})").alias("path")))
+
+
 _EXT = "CASE lang WHEN 'en' THEN 'py' WHEN 'de' THEN 'rb' WHEN 'fr' THEN 'go' ELSE CASE WHEN doc_id % 3 = 0 THEN 'java' WHEN doc_id % 3 = 1 THEN 'cpp' ELSE 'md' END END"
 
 

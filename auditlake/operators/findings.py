@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from auditlake.functions import scores as S
 
 # Names and shapes of credentials, and words that mark a placeholder.
-SECRET_ASSIGNMENT = r"(?i)(api_?key|secret|password|passwd|token|auth_?token|private_?key)[\"']?\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']"
-TOKEN_SHAPES = r"(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,})"
+SECRET_ASSIGNMENT = r"(?i)(api_?key|secret|password|passwd|pwd|token|auth_?token|private_?key|aws_?secret|client_?secret)[\"']?\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']"
+TOKEN_SHAPES = r"((?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,})"
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]?|xxxx|dummy|sample|<[^>]+>|\$\{)"
 VISIBLE = 10
 # Dimensions whose findings are advice, and how titles of such findings read, for findings without a dimension.
@@ -136,6 +136,30 @@ def owasp_rollup(findings: DataFrame, mapping: DataFrame, catalog: DataFrame) ->
     return out.withColumn("flagged", (F.col("critical") > 0) | (F.col("high") >= 3))
 
 
+# The ten codes of the 2021 list with the categories of findings that belong to each; codes without any have no rules yet.
+OWASP = {
+    "A01": ["Authentication Bypass", "Path Traversal"], "A02": ["Hardcoded Secrets"], "A03": ["SQL Injection", "XSS", "Dangerous Functions", "Open Redirect"], "A04": ["Rate Limiting"], "A05": ["CORS Misconfiguration", "Security Headers"],
+    "A06": ["Vulnerable Dependencies"], "A07": ["Authentication Bypass"], "A08": [], "A09": ["Sensitive Data Exposure"], "A10": [],
+}
+
+
+def owasp_report(findings: DataFrame) -> DataFrame:
+    """(repo, code, n, critical, high, medium, low, severity, coverage): all ten codes for each repo with findings.
+
+    severity: critical with one critical finding, high with three high ones, else null. coverage: the percent of codes
+    that any rule belongs to. A category counts for each of its codes; the codes come from a literal map, without a join.
+    """
+    categories = sorted({c for names in OWASP.values() for c in names})
+    codes = F.create_map(*[x for c in categories for x in (F.lit(c), F.array(*[F.lit(k) for k, names in OWASP.items() if c in names]))])
+    by = findings.groupBy("repo", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
+    every = F.array(*map(F.lit, OWASP))
+    rows = by.select("repo", "severity", "n", F.explode_outer(codes[F.col("category")]).alias("code")).unionByName(by.select("repo").distinct().select("repo", F.explode(every).alias("code")), allowMissingColumns=True).where("code is not null")
+    total = lambda s=None: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n")) if s else F.col("n")), F.lit(0)).cast("long")
+    out = rows.groupBy("repo", "code").agg(total().alias("n"), *[total(s).alias(s) for s in ("critical", "high", "medium", "low")])
+    coverage = S.round_half_up(F.lit(100.0 * sum(map(bool, OWASP.values())) / len(OWASP)))
+    return out.select("*", F.when(F.col("critical") > 0, "critical").when(F.col("high") >= 3, "high").alias("severity"), coverage.alias("coverage"))
+
+
 def digest_cards(findings: DataFrame) -> DataFrame:
     """Per repo: counts, score and the single worst critical or high finding."""
     key = F.struct(S.severity_rank(F.col("severity")).alias("r"), "path", "line", "col", "title", "seq")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
 
-# License families by pattern, tested in this order.
-LICENSES = [("proprietary", r"(?i)unlicensed|proprietary|all rights reserved"), ("strong", r"(?i)(^|[^L])A?GPL|general public license"), ("weak", r"(?i)LGPL|MPL|EPL|mozilla|lesser"), ("permissive", r"(?i)MIT|apache|BSD|ISC|CC BY|unlicense|zlib")]
+# License families in the order in which they are tried; names stand at the begin of a word.
+LICENSES = [
+    ("proprietary", r"(?i)unlicensed|see[ -]license[ -]in|proprietary|all rights reserved"),
+    ("strong", r"(?i)(^|[ (/])(a?gpl|osl)([-,v )]|$)|(^|[ (/])sspl|(^|affero |gnu )general public licen[sc]e"),
+    ("weak", r"(?i)(^|[ (/])(lgpl|mpl|epl)([-,v .)]|$)|lesser general|mozilla public|eclipse public"),
+    ("permissive", r"(?i)(^|[ (/])(mit|isc|apache|0?bsd|cc0|cc by|cc-by|unlicense|wtfpl|beerware|zlib|python-2)([-., )/]|$)"),
+]
 
 
 def canonical_route(route: Column) -> Column:

@@ -13,10 +13,17 @@ ALIASES = {"premium": "team", "forge": "team"}
 PERSONAL_KEY_CAP = 50
 
 
-def run_history(runs: DataFrame, n: int = 20, status: str | None = None) -> DataFrame:
-    """The latest n runs of every user; runs that haven't ended come last."""
-    w = Window.partitionBy("user_id").orderBy(F.col("completed_at").desc_nulls_last(), F.col("id").desc())
+def run_history(runs: DataFrame, n: int = 20, status: str | None = None, projects: DataFrame | None = None, search: str | None = None) -> DataFrame:
+    """The latest n runs of every user; runs that haven't ended come last.
+
+    projects (id, name) adds project_name, null for runs without a known project; search keeps the runs of projects
+    whose name holds it, in any case, before the n are taken.
+    """
     kept = runs.where(F.col("status") == status) if status else runs
+    if projects is not None:
+        kept = kept.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left")
+        kept = kept.where(F.contains(F.lower("project_name"), F.lit(search.lower()))) if search else kept
+    w = Window.partitionBy("user_id").orderBy(F.col("completed_at").desc_nulls_last(), F.col("id").desc())
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -30,6 +30,22 @@ def path_flags(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).alias("ext"), F.col("path").rlike(TEST_PATH).alias("is_test"), minified.alias("is_minified"), (newlines + 1).alias("n_lines"))
 
 
+# How paths tell examples, other people's code, generated files, files that are parsed and pages.
+EXAMPLES = r"(?i)(^|/)(examples?|samples?|demos?)/"
+VENDORED = r"(?i)(^|/)(node_modules|\.next|dist|build|out|coverage|__pycache__|\.venv|venv|vendor|vendored|third[-_]?party|monaco-editor|codemirror)/|\.min\.[mc]?jsx?$"
+GENERATED = r"(?i)(^|/)(generated|__generated__|\.nuxt)/|\.(gen|generated)\.[mc]?[jt]sx?$|\.gen\.(go|py|rs|kt|swift)$|(_pb2(_grpc)?\.py|\.pb\.go)$|\.(min|bundle)\.[mc]?js$|\.d\.ts$"
+PARSEABLE, PAGES = r"\.[mc]?[jt]sx?$", r"(?i)\.(html|tsx|jsx|vue|svelte)$"
+
+
+def path_kinds(files: DataFrame) -> DataFrame:
+    """(repo, path, is_example, is_vendored, is_generated, is_parseable, is_ui) by path alone; vendored and build folders hold generated files too. A null path is none of these."""
+    path = F.coalesce("path", F.lit(""))
+    vendored = path.rlike(VENDORED)
+    return files.select(
+        "repo", "path", path.rlike(EXAMPLES).alias("is_example"), vendored.alias("is_vendored"), (path.rlike(GENERATED) | vendored).alias("is_generated"), path.rlike(PARSEABLE).alias("is_parseable"), path.rlike(PAGES).alias("is_ui")
+    )
+
+
 def scan_summary(files: DataFrame) -> DataFrame:
     """Files, lines and characters of each repo; a text's lines are its newlines and one."""
     newlines = F.length("content") - F.length(F.replace("content", F.lit("\n")))
@@ -89,10 +105,11 @@ def function_names(files: DataFrame) -> DataFrame:
 
 
 def heading_skips(lines: DataFrame) -> DataFrame:
-    """Headings more than one level below the heading before, in (repo, path, line, text) with one heading a line at most."""
-    level = F.regexp_extract("text", r"<h([1-6])[ >]", 1)
-    h = lines.withColumn("level", F.when(level != "", level.cast("int"))).where("level is not null")
-    w = Window.partitionBy("repo", "path").orderBy("line")
+    """Headings more than one level below the heading before, in (repo, path, line, text): of a line the first heading tag, then the first text component with a heading's variant."""
+    level = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit("")).cast("int")
+    found = F.array_compact(F.array(level(r"<h([1-6])[ >]"), level(r"<(?:Typography|Text)[^>]*variant\s*=\s*['\"]h([1-6])['\"]")))
+    h = lines.select("repo", "path", "line", F.posexplode(found).alias("at", "level"))
+    w = Window.partitionBy("repo", "path").orderBy("line", "at")
     return h.withColumn("before", F.lag("level").over(w)).where(F.col("level") > F.col("before") + 1).select("repo", "path", "line", "before", "level")
 
 

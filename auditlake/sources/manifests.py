@@ -14,7 +14,7 @@ MEMBER_DIRS = "libs|packages|apps|services"
 STACK = {
     "express": "Express", "fastify": "Fastify", "next": "Next.js", "react": "React", "typescript": "TypeScript", "ts-node": "TypeScript", "mongoose": "MongoDB", "mongodb": "MongoDB",
     "prisma": "Prisma", "drizzle-orm": "Drizzle", "jest": "Testing", "vitest": "Testing", "stripe": "Stripe", "jsonwebtoken": "JWT", "jwt": "JWT", "passport": "Passport.js",
-    "bcrypt": "Bcrypt", "bcryptjs": "Bcrypt", "redis": "Redis", "ioredis": "Redis", "docker": "Docker", "docker-compose": "Docker", "zod": "Zod", "tailwindcss": "TailwindCSS",
+    "bcrypt": "Bcrypt", "bcryptjs": "Bcrypt", "redis": "Redis", "ioredis": "Redis", "redis-py": "Redis", "docker": "Docker", "docker-compose": "Docker", "zod": "Zod", "tailwindcss": "TailwindCSS",
     "socket.io": "Socket.IO", "bull": "Queue/Bull", "bullmq": "Queue/Bull", "playwright": "Playwright", "@playwright/test": "Playwright", "cypress": "Cypress",
     "fastapi": "FastAPI", "flask": "Flask", "django": "Django", "starlette": "Starlette", "sqlalchemy": "SQLAlchemy", "pydantic": "Pydantic", "alembic": "Alembic", "celery": "Celery",
     "pytest": "pytest", "httpx": "HTTP client (httpx/requests)", "requests": "HTTP client (httpx/requests)", "uvicorn": "Uvicorn/Gunicorn", "gunicorn": "Uvicorn/Gunicorn",

@@ -34,6 +34,19 @@ def test_license_families(spark):
     assert got == ["permissive", "strong", "weak", "proprietary", "unknown", "unknown", "unknown"]
 
 
+def test_licenses_by_word(spark):
+    want = {"Limited": "unknown", "permitted use": "unknown", "disclaimer": "unknown", "deploy": "unknown", "SSPL-1.0": "strong", "OSL-3.0": "strong", "AGPL-3.0-only": "strong", "GNU General Public License v3": "strong", "SEE LICENSE IN x": "proprietary",
+            "CC0-1.0": "permissive", "WTFPL": "permissive", "(MIT OR Apache-2.0)": "permissive", "BSD-3-Clause": "permissive", "The Unlicense": "permissive", "MPL-2.0": "weak", "GNU Lesser General Public License": "weak", "EPL-2.0": "weak", "(ISC AND GPL-2.0)": "strong"}
+    df = spark.createDataFrame([(x,) for x in want], "l string")
+    assert {r.l: r.c for r in df.select("l", jo.license_category(F.col("l")).alias("c")).collect()} == want
+
+
+def test_headings_of_text_components(spark):
+    rows = [("r", "a", 1, "<h1>x</h1>"), ("r", "a", 2, '<Typography variant="h3">'), ("r", "a", 3, "<h2 id=a><Text size=2 variant='h5'>"), ("r", "a", 4, "<Text variant='body'>")]
+    got = tx.heading_skips(spark.createDataFrame(rows, "repo string, path string, line int, text string")).collect()
+    assert [(r.line, r.before, r.level) for r in got] == [(2, 1, 3), (3, 2, 5)]
+
+
 def test_load_levels(spark):
     rows = [(10, 200, 1.0)] * 41 + [(10, 500, 2.0)]
     r = lo.load_levels(spark.createDataFrame(rows, "concurrency int, status int, latency double")).first()
