@@ -177,6 +177,20 @@ def assertion_quality(facts: DataFrame) -> DataFrame:
     return by.select("*", ((F.col("n") >= 3) & (2 * F.col("weak") > F.col("n"))).alias("weak_heavy"), (F.col("n") == F.col("snapshot")).alias("snapshot_only"))
 
 
+def mutation_summary(files: DataFrame, facts: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """What mutation_estimate() needs of each repo, from its files and the matchers among their facts; tools: (repo) of repos with a mutation tool."""
+    test, lines = F.col("path").rlike(TEST_PATH), F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1
+    by = files.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum(lines).alias("lines"), F.count_if(~test).alias("source_files"), F.count_if(test).alias("test_files"))
+    m, n = F.col("value"), F.count(F.lit(1))
+    said = facts.where("kind = 'misc' and name = 'matcher'").groupBy("repo").agg(
+        (F.count_if(m.isin(*WEAK_MATCHERS)) / n).alias("weak_ratio"), (F.count_if(m.isin(*SNAPSHOT_MATCHERS)) / n).alias("snapshot_ratio"), F.count_distinct(F.when(m.isin(*STRONG_MATCHERS), m)).alias("kinds")
+    )
+    both = by.join(said, "repo", "left").fillna(0, ["weak_ratio", "snapshot_ratio", "kinds"])
+    if tools is None:
+        return both.withColumn("has_tool", F.lit(False))
+    return both.join(tools.select("repo").distinct().withColumn("tool", F.lit(True)), "repo", "left").withColumn("has_tool", F.coalesce("tool", F.lit(False))).drop("tool")
+
+
 def mutation_estimate(summary: DataFrame) -> DataFrame:
     """summary (repo, files, lines, source_files, test_files, weak_ratio, snapshot_ratio, kinds, has_tool) to (repo, mutants, score, killed)."""
     mutants = F.floor(F.col("files") * 3 + F.col("lines") / 100)
@@ -279,14 +293,16 @@ def load_report(flags: DataFrame) -> DataFrame:
 
 
 def load_flags(files: DataFrame, calls: DataFrame) -> DataFrame:
-    """The capabilities of load_report() from texts, and blocking file calls outside loops' and tests' files from calls."""
+    """The capabilities of load_report() and load_findings() from texts, and blocking file calls in request handlers, outside tests, from calls."""
     # Words of packages and settings that show a capability.
     patterns = {
         "rate_limit": r"rate-?limit|SlowAPIMiddleware|@limiter\.limit|Limiter\(", "cache": r"ioredis|redis|memcached|node-cache|cachetools", "pool": r"prisma|drizzle-orm|sequelize|pg-pool|create_engine|pool_size|QueuePool",
         "health": r"/healthz?\b", "timeout": r"timeout\s*[:=]|setTimeout\(", "breaker": r"opossum|circuit-?[bB]reaker", "compression": r"compression|GZipMiddleware|BrotliMiddleware", "balancer": r"[cC]luster|worker|WORKERS|pm2", "cdn": r"CloudFront|Cloudflare|CDN|static",
     }
+    # Words of outgoing calls and of listeners.
+    patterns |= {"calls_out": r"\bfetch\(|\baxios\b|\bgot\(|\bsuperagent\(", "listens": r"on\(|addListener", "unlistens": r"removeListener|off\("}
     seen = files.groupBy("repo").agg(*[F.bool_or(F.col("content").rlike(p)).alias(k) for k, p in patterns.items()])
-    blocking = calls.where(F.col("name").rlike(r"(^|\.)(readFileSync|writeFileSync|execSync|existsSync|readdirSync)$") & ~F.col("path").rlike(TEST_OR_EXAMPLE))
+    blocking = calls.where("in_handler").where(F.col("name").rlike(r"(^|\.)(readFileSync|writeFileSync|execSync|existsSync|readdirSync)$") & ~F.col("path").rlike(TEST_OR_EXAMPLE))
     return seen.join(blocking.groupBy("repo").agg(F.count(F.lit(1)).alias("sync_io")), "repo", "left").fillna(0, ["sync_io"])
 
 

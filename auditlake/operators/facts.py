@@ -19,7 +19,7 @@ from auditlake.operators.scan import js_rows, module_rows
 
 SCHEMA = (
     "repo string, path string, line int, col int, kind string, name string, value string, n_args int, arg_kind string, taint boolean, sanitized boolean, "
-    "in_loop boolean, in_all boolean, in_try boolean, func string, cc int, pos int, end int, marks array<string>, arg int, param int, level string"
+    "in_loop boolean, in_all boolean, in_try boolean, in_handler boolean, func string, cc int, pos int, end int, marks array<string>, arg int, param int, level string"
 )
 JS_PATH = r"\.(js|jsx|mjs|cjs|ts|tsx)$"
 
@@ -54,8 +54,9 @@ def py_rows(text: str) -> Iterator[dict]:
                     verbs = [d.func.attr.upper()] if d.func.attr in _HTTP else []
                     if d.func.attr == "route":
                         verbs = next(([str(getattr(e, "value", "")).upper() for e in k.value.elts] for k in d.keywords if k.arg == "methods" and isinstance(k.value, ast.List | ast.Tuple)), ["GET"])
+                    shaped = any(k.arg == "response_model" for k in d.keywords)
                     for v in verbs:
-                        yield {"kind": "endpoint", "line": n.lineno, "name": d.args[0].value, "value": v}
+                        yield {"kind": "endpoint", "line": n.lineno, "name": d.args[0].value, "value": v, "sanitized": shaped}
             if n.name.startswith("test"):
                 said = list(ast.walk(n))
                 asserts = any(isinstance(x, ast.Assert) or isinstance(x, ast.Call) and re.search(r"(^|\.)(assert\w*|raises)$", _called(x.func)) for x in said)
@@ -170,3 +171,8 @@ def js_functions(facts: DataFrame) -> DataFrame:
 
 def tests(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'test'").select("repo", "path", "line", F.col("name").alias("title"), F.col("value").alias("form"), F.col("taint").alias("has_assertion"), F.col("sanitized").alias("is_empty"))
+
+
+def py_endpoints(facts: DataFrame) -> DataFrame:
+    """(repo, path, line, method, route, has_model): routes of decorated Python functions, and whether they declare a response model."""
+    return facts.where("kind = 'endpoint'").select("repo", "path", "line", F.col("value").alias("method"), F.col("name").alias("route"), F.col("sanitized").alias("has_model"))

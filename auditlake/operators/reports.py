@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
+from auditlake.operators import joins as jo
 from auditlake.operators.detectors import TEST_OR_EXAMPLE
 
 # Packages, names and file names by what their presence shows.
@@ -91,6 +92,47 @@ def quick_findings(files: DataFrame, deps: DataFrame, stack: DataFrame, endpoint
     ], "chains")
 
 
+def load_findings(flags: DataFrame) -> DataFrame:
+    """(repo, rules, score) of detectors.load_flags(): what a service lacks to take load; the score is the severities', not load_report()'s."""
+    has = F.col
+    return judged(flags, [
+        ("no-rate-limit", "high", ~has("rate_limit")), ("no-cache", "medium", ~has("cache")), ("no-pool", "medium", ~has("pool")), ("no-compression", "low", ~has("compression")), ("no-balancer", "low", ~has("balancer")),
+        ("no-health-check", "medium", ~has("health")), ("no-timeout", "medium", ~has("timeout")), ("no-breaker", "low", has("calls_out") & ~has("breaker")), ("sync-io-in-handlers", "high", has("sync_io") > 0),
+        ("listener-leak", "medium", has("listens") & ~has("unlistens")),
+    ])
+
+
+def contract_findings(files: DataFrame, endpoints: DataFrame, py_routes: DataFrame, specs: DataFrame, deps: DataFrame) -> DataFrame:
+    """(repo, rules, score, endpoints, documented): what is wrong between a repo's routes and its descriptions of them.
+
+    endpoints: (repo, method, route, origin), origin code or spec; py_routes: facts.py_endpoints; specs: (repo, path,
+    valid), files that look like descriptions. Projects with a web framework that makes its description from response
+    models need no file; other kinds of schemas count by dependency. A repo without any of these scores 100.
+    """
+    e = jo.contract_diff(endpoints)
+    versioned = F.col("canonical").rlike(r"/v\d+\b")
+    diff = e.groupBy("repo").agg(
+        F.count_if(F.col("state") != "orphan").alias("endpoints"), F.count_if(F.col("state") == "undocumented").alias("undocumented"), F.count_if(F.col("state") == "orphan").alias("orphans"), F.bool_or(versioned).alias("versioned")
+    )
+    models = py_routes.groupBy("repo").agg(F.count(F.lit(1)).alias("py_routes"), F.count_if("has_model").alias("modelled"), F.count_if(F.col("method").isin("GET", "POST", "PUT", "PATCH") & ~F.col("has_model")).alias("unmodelled"))
+    spec = specs.groupBy("repo").agg(F.bool_or("valid").alias("has_spec"), F.count_if(~F.col("valid")).alias("invalid"))
+    text = files.where(~F.col("path").contains("node_modules")).groupBy("repo").agg(
+        F.bool_or(F.col("path").endswith(".py") & F.col("content").rlike(r"\bfrom\s+fastapi\b|\bimport\s+fastapi\b|FastAPI\s*\(")).alias("own_spec"),
+        F.count_if(F.contains("content", F.lit("reply.send(")) & F.contains("content", F.lit("res.send(")) & ~F.contains("content", F.lit("res.json("))).alias("mixed"),
+    )
+    s = together(files, diff, models, spec, text, dependency_signals(deps, schema=r"graphql|apollo|grpc|protobuf"))
+    has, n = F.col, F.col("endpoints")
+    documented = F.when(~has("has_spec") & has("own_spec"), has("modelled")).otherwise(n - has("undocumented"))
+    models_missing = has("own_spec") & (has("unmodelled") > 0)
+    undocumented = has("has_spec") & (has("undocumented") > 0)
+    return judged(s, [
+        ("no-response-model", "medium", models_missing & (2 * has("unmodelled") > has("py_routes"))), ("few-response-models-missing", "low", models_missing & (2 * has("unmodelled") <= has("py_routes"))),
+        ("no-specification", "high", ~has("has_spec") & ~has("schema") & ~has("own_spec") & (n > 5)), ("invalid-specification", "medium", has("invalid") > 0),
+        ("mostly-undocumented", "high", undocumented & (2 * has("undocumented") > n)), ("undocumented-routes", "medium", undocumented & (2 * has("undocumented") <= n)),
+        ("spec-only-routes", "medium", (has("orphans") > 0) & (n > 0)), ("no-versioning", "medium", has("has_spec") & (n > 10) & ~has("versioned")), ("mixed-responses", "low", has("mixed") > 0),
+    ], n.cast("long").alias("endpoints"), documented.cast("long").alias("documented"))
+
+
 def dead_code_report(repos: DataFrame, dead_exports: DataFrame, dead_deps: DataFrame) -> DataFrame:
     """(repo, unused_deps, dead_exports, files, rules, score) from joins.unused_exports and joins.unused_deps; repos without either score 100."""
     e = dead_exports.groupBy("repo").agg(F.count(F.lit(1)).alias("dead_exports"), F.count_distinct("path").alias("files"))

@@ -31,6 +31,7 @@ MARK = re.compile(r"(?P<guarded>(?i:auth|guard|protect|verify|session|passport|r
 BEFORE_PAREN = {"if", "for", "while", "switch", "catch", "return", "typeof", "function", "await", "new", "in", "of", "case", "with", "do", "else", "void", "delete", "throw", "yield", "async"}
 NO_VALUE = BEFORE_PAREN | {"const", "let", "var", "class", "import", "export", "default", "from", "try", "finally", "this", "true", "false", "null", "undefined"}
 OPENS = {"for": "loop", "while": "loop", "do": "loop", "try": "try", "switch": "switch", "catch": "catch", "class": "class"}
+ROUTE = re.compile(r"(?:app|router|server|fastify)\.(?:get|post|put|patch|delete|all|use)$")
 TESTS = {"it", "test", "it.only", "test.only", "it.skip", "test.skip", "xit", "xtest", "fit"}
 CONTINUES = set("+-*/%=?:,.&|<>([{!~^") | {"=>", "==", "===", "!=", "!==", "&&", "||", "??", "?.", "return", "in", "of", "typeof", "await", "new", "const", "let", "var"}
 CONTINUED = set("+-*/%=?:,.&|<>)]}([{") | {"=>", "==", "===", "!=", "!==", "&&", "||", "??", "?.", "in", "of", "instanceof"}
@@ -87,11 +88,11 @@ class _Argument:
 class _Open:
     """An open bracket, or the body of an arrow function without one."""
 
-    __slots__ = ("char", "kind", "name", "pos", "start", "fn", "loops", "alls", "tries", "args", "now", "marks", "guard", "sealed", "tokens", "inside", "bodies", "arrow", "four", "assign", "at", "key", "case")
+    __slots__ = ("char", "kind", "name", "pos", "start", "fn", "loops", "alls", "tries", "routes", "args", "now", "marks", "guard", "sealed", "tokens", "inside", "bodies", "arrow", "four", "assign", "at", "key", "case")
 
     def __init__(self, char, kind, name, pos, start, fn, up=None):
         self.char, self.kind, self.name, self.pos, self.start, self.fn = char, kind, name, pos, start, fn
-        self.loops, self.alls, self.tries = (up.loops, up.alls, up.tries) if up else (0, 0, 0)
+        self.loops, self.alls, self.tries, self.routes = (up.loops, up.alls, up.tries, up.routes) if up else (0, 0, 0, 0)
         self.args, self.now, self.marks, self.guard, self.sealed = [], _Argument(), set(), [False, False], False
         self.tokens = self.inside = self.bodies = 0
         self.arrow = self.four = self.case = False
@@ -228,7 +229,7 @@ class _Scan:
         where = {"name": o.name, "n_args": len(o.args), "pos": o.pos, "end": end}
         self.row(
             "call", o.start, **where, value=first.first if _quoted(first.first) else None, arg_kind=first.kind(), taint=level is not None, level=level, sanitized=first.cleaned,
-            in_loop=up.loops > 0, in_all=up.alls > 0, in_try=up.tries > 0, func=up.fn.name, marks=sorted(marks),
+            in_loop=up.loops > 0, in_all=up.alls > 0, in_try=up.tries > 0, in_handler=up.routes > 0, func=up.fn.name, marks=sorted(marks),
         )
         if o.name in TESTS:
             title = first.first[1:-1] if _quoted(first.first) else ""
@@ -377,6 +378,7 @@ class _Scan:
             last = name.rsplit(".", 1)[-1]
             f.loops += "." in name and last in REPEATING
             f.alls += name == "Promise.all"
+            f.routes += bool(ROUTE.match(name))
             if last.startswith("to") and self.token(k - 2) == ".":  # expect(x).toBe(, expect(x).not.toBe(
                 self.row("misc", start, name="matcher", value=last)
             self.stack.append(f)

@@ -10,6 +10,7 @@ from auditlake.operators import detectors as de
 from auditlake.operators import facts as fa
 from auditlake.operators import joins as jo
 from auditlake.operators import findings as fi
+from auditlake.operators import reports as re_
 from auditlake.operators import taint as ta
 from auditlake.operators import text as tx
 from auditlake.plans.bindings import table
@@ -21,14 +22,14 @@ _CODE = [
     "'import { f0 } from \"./lib.js\";'",
     "concat('export function fn', CAST(p_partkey AS string), '(x) { if (x && x.y) { return 1 }', repeat(' if (x) { y() }', p_size % 5), ' return 0 }')",
     "concat('app.', CASE WHEN p_size % 2 = 0 THEN 'post' ELSE 'get' END, '(\"/r', CAST(p_size % 5 AS string), '\", async (req, res) => { const id = req.query.id; db.query(', "
-    "CASE p_size % 3 WHEN 0 THEN '\"select \" + id' WHEN 1 THEN concat('`select $', '{id}`') ELSE '\"select ?\", [id]' END, '); });')",
+    "CASE p_size % 3 WHEN 0 THEN '\"select \" + id' WHEN 1 THEN concat('`select $', '{id}`') ELSE '\"select ?\", [id]' END, '); ', CASE WHEN p_size % 6 = 0 THEN 'fs.readFileSync(p); ' ELSE '' END, '});')",
     "CASE p_size % 4 WHEN 0 THEN 'for (const r of rows) { db.find(r) }' WHEN 1 THEN 'rows.map(r => db.query(r));' WHEN 2 THEN 'Promise.all(rows.map(r => db.query(r)));' ELSE 'rows.forEach(r => log(r));' END",
     "CASE WHEN p_size % 2 = 0 THEN 'if (a == b) { parseInt(z) }' ELSE 'if (a === b) { parseInt(z, 10) }' END",
     "CASE WHEN p_size % 7 = 0 THEN 'switch (k) { case 1: break; }' ELSE 'switch (k) { case 1: break; default: break; }' END",
     "concat(CASE p_size % 9 WHEN 0 THEN 'it.skip' WHEN 1 THEN 'it.only' ELSE 'it' END, '(\"works fn', CAST(p_partkey - p_partkey % 3 AS string), '\", () => { ', CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN 'g()' WHEN p_size % 8 = 7 THEN repeat('expect(2).toMatchSnapshot(); ', 1 + p_size % 3)"
     " ELSE concat(CASE WHEN p_size % 2 = 0 THEN 'expect(1).toBe(1); ' ELSE 'expect(1).toBeTruthy(); ' END, repeat('expect(2).toMatchSnapshot(); ', p_size % 3), repeat('expect(3).toBeDefined(); ', p_size % 4), CASE WHEN p_size % 6 = 0 THEN 'expect(4).toEqual(4); ' ELSE '' END) END, ' });')",
     "CASE p_size % 4 WHEN 0 THEN '// redis' WHEN 1 THEN '// Cloudflare' WHEN 2 THEN '// pool_size' ELSE '' END",
-    "CASE WHEN p_size % 6 = 0 THEN 'fs.readFileSync(p);' ELSE '' END",
+    "CASE WHEN p_size % 6 = 1 THEN 'fs.readFileSync(p);' ELSE '' END",
     "concat(CASE WHEN p_size % 3 = 0 THEN 'JSON.parse(s); ' ELSE 'try { JSON.parse(s) } catch (e) {} ' END, repeat('Number(z); ', p_size % 5), repeat('new Date(s); ', p_size % 6), CASE WHEN p_size % 7 = 3 THEN 'app.use(mw); ' ELSE '' END)",
     "concat(CASE WHEN p_size % 3 = 1 THEN concat('router.put(\"/x\", ', CASE WHEN p_size % 2 = 0 THEN 'requireAuth, ' ELSE '' END, 'h); ') ELSE '' END, CASE p_size % 13 WHEN 0 THEN 'cors(); ' WHEN 1 THEN 'cors({ origin: \"*\", credentials: true }); ' WHEN 2 THEN 'cors({ origin: true }); ' WHEN 3 THEN 'res.json({ password: p }); ' ELSE '' END)",
     "concat(CASE WHEN p_size % 4 = 1 THEN 'fc.property(g); ' ELSE '' END, repeat('invariant(x); ', p_size % 4), repeat('typeof y; ', p_size % 6))",
@@ -90,15 +91,23 @@ def dependency_findings(spark, sf):
     return de.dependency_findings(ma.extract_deps(_manifests(spark, sf)))
 
 
-@query("SELECT concat('p', p_partkey) AS repo, true AS no_rate_limit, p_size % 2 = 0 AS no_headers FROM part")
+def _web(spark, sf) -> DataFrame:
+    """Dependencies of one project for each part: a web framework or not, limits, headers, an ORM, an old package, tests."""
+    names = ["CASE p_size % 3 WHEN 0 THEN 'express' WHEN 1 THEN 'fastify' ELSE 'left-pad' END", "CASE WHEN p_size % 2 = 0 THEN 'express-rate-limit' ELSE 'pino' END", "CASE WHEN p_size % 5 < 2 THEN 'helmet' ELSE 'yargs' END", "CASE p_size % 4 WHEN 0 THEN 'prisma' WHEN 1 THEN 'drizzle-orm' ELSE 'chalk' END", "CASE p_size % 7 WHEN 0 THEN 'minimist' WHEN 1 THEN 'semver' WHEN 2 THEN 'node-fetch' ELSE 'vitest' END"]
+    listed = ", ',', ".join(f"""'"', {n}, '":"0.5.0"'""" for n in names)
+    return ma.extract_deps(_project(spark, sf, package_DOT_json=f"""concat('{{"dependencies":{{', {listed}, '}}}}')"""))
+
+
+@query("SELECT concat('p', p_partkey) AS repo, p_size % 2 > 0 AS no_rate_limit, p_size % 5 >= 2 AS no_headers FROM part WHERE p_size % 3 < 2 AND NOT (p_size % 2 = 0 AND p_size % 5 < 2)")
 def missing_controls(spark, sf):
-    return de.missing_controls(ma.extract_deps(_manifests(spark, sf)))
+    return de.missing_controls(_web(spark, sf))
 
 
-@query("SELECT concat('p', p_partkey) AS repo, 2 AS strengths, greatest(0, least(100, 80 - CASE WHEN p_size % 6 <= 4 THEN 16 ELSE 8 END)) AS score FROM part")
+@query("""WITH s AS (SELECT *, CAST(p_size % 3 < 2 AS INTEGER) + CAST(p_size % 4 < 2 AS INTEGER) + CAST(p_size % 7 > 2 AS INTEGER) AS strengths, CASE p_size % 7 WHEN 0 THEN 8 WHEN 1 THEN 15 WHEN 2 THEN 3 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 8 ELSE 0 END AS cost FROM part)
+SELECT concat('p', p_partkey) AS repo, strengths, greatest(0, least(100, 70 + 5 * strengths - cost)) AS score FROM s""")
 def stack_report(spark, sf):
-    deps = ma.extract_deps(_manifests(spark, sf))
-    return de.stack_report(deps, {"web": ["express", "fastify"], "orm": ["prisma"], "python": ["django", "fastapi"]}, de.dependency_findings(deps))
+    deps = _web(spark, sf)
+    return de.stack_report(deps, {"web": ["express", "fastify"], "orm": ["prisma", "drizzle-orm"], "tests": ["vitest", "jest"]}, de.dependency_findings(deps))
 
 
 @query("""SELECT concat('p', p_partkey) AS repo, unnest(['a', '@s/b', 'h.io/m']) AS name, unnest([concat('1.', p_size), concat('2.', p_size % 3), concat('v0.', p_size, '.0')]) AS version, unnest([true, false, NULL]) AS is_direct FROM part""")
@@ -261,21 +270,39 @@ def load_report(spark, sf):
     return de.load_report(de.load_flags(files, fa.js_calls(fa.code_facts(files))))
 
 
+@query("""WITH r AS (SELECT *, unnest(['no-rate-limit', 'no-cache', 'no-pool', 'no-compression', 'no-balancer', 'no-health-check', 'no-timeout', 'no-breaker', 'sync-io-in-handlers', 'listener-leak']) AS rule, unnest(range(10)) AS k FROM part),
+h AS (SELECT p_partkey, rule, k, CASE WHEN rule IN ('no-rate-limit', 'sync-io-in-handlers') THEN 50 WHEN rule IN ('no-compression', 'no-balancer', 'no-breaker') THEN 8 ELSE 20 END AS w FROM r WHERE CASE rule WHEN 'no-rate-limit' THEN p_size % 2 = 0 WHEN 'no-cache' THEN p_size % 3 > 0 WHEN 'no-pool' THEN p_size % 5 > 1
+  WHEN 'no-health-check' THEN p_size % 4 > 0 WHEN 'no-timeout' THEN p_size % 7 > 2 WHEN 'no-breaker' THEN p_size % 2 = 1 WHEN 'sync-io-in-handlers' THEN p_size % 6 = 0 WHEN 'listener-leak' THEN p_size % 3 = 1 ELSE true END)
+SELECT concat('p', p_partkey) AS repo, string_agg(rule, ',' ORDER BY k) AS rules, greatest(5, CAST(floor(100.0 / (1.0 + sum(w) / 100.0 / 5.0) + 0.5) AS INTEGER)) AS score FROM h GROUP BY p_partkey""")
+def load_findings(spark, sf):
+    lines = [
+        "CASE WHEN p_size % 2 = 1 THEN 'fetch(u); // rate-limit' ELSE '' END", "CASE WHEN p_size % 3 = 0 THEN '// memcached' ELSE '' END", "CASE WHEN p_size % 5 < 2 THEN '// pool_size' ELSE '' END", "CASE WHEN p_size % 4 = 0 THEN 'get(\"/health\")' ELSE '' END",
+        "CASE WHEN p_size % 7 < 3 THEN 'timeout: 3' ELSE '' END", "CASE WHEN p_size % 6 = 0 THEN 'router.get(\"/a\", (req, res) => { fs.readFileSync(p) })' ELSE 'fs.readFileSync(p)' END", "CASE p_size % 3 WHEN 1 THEN 'bus.addListener(f)' WHEN 2 THEN 'bus.addListener(f); bus.removeListener(f)' ELSE '' END",
+    ]
+    files = _code(spark, sf, lines, "js", _OWN)
+    return re_.load_findings(de.load_flags(files, fa.js_calls(fa.code_facts(files))))
+
+
 @query("SELECT concat('p', p_partkey) AS repo, CAST(40 + CASE WHEN p_size % 4 = 1 THEN 15 ELSE 0 END + 2 * (p_size % 4) + (p_size % 6) // 2 AS INTEGER) AS score FROM part")
 def property_report(spark, sf):
     return de.property_report(_facts(spark, sf, _OWN), ma.extract_deps(_manifests(spark, sf)))
 
 
-@query("""SELECT repo, mutants, score, CAST(floor(mutants * score / 100) AS BIGINT) AS killed FROM (SELECT repo, CAST(floor(files * 3 + lines / 100) AS BIGINT) AS mutants, greatest(10, least(90, least(75, CAST(floor(25 + CASE WHEN s > 0 THEN t / s ELSE 0 END * 100 + 0.5) AS INTEGER))
- + CASE WHEN kinds >= 5 THEN 5 ELSE 0 END - CASE WHEN weak / files > 0.3 THEN 10 ELSE 0 END)) AS score FROM (SELECT p_brand AS repo, count(*) AS files, sum(p_size) AS lines, count(*) FILTER (p_size % 2 = 0) AS s, count(*) FILTER (p_size % 2 = 1) AS t,
- count(DISTINCT p_size % 8) AS kinds, count(*) FILTER (p_size % 3 = 0) AS weak FROM part GROUP BY p_brand))""")
+# Each third file of a repo is a test file with matchers by its part's size; the estimate comes from facts of the files.
+_MATCHES = "concat('expect(a).toBe(1); ', repeat('expect(b).toBeDefined(); ', p_size % 4), repeat('expect(c).toMatchSnapshot(); ', p_size % 3), CASE p_size % 9 WHEN 0 THEN 'expect(d).toEqual(d); ' WHEN 1 THEN 'expect(d).toThrow(); ' WHEN 2 THEN 'expect(d).toMatch(x); ' WHEN 3 THEN 'expect(d).toContain(x); ' ELSE '' END)"
+_MUTANTS = ["CASE WHEN p_partkey % 3 = 0 THEN concat('it(\"a\", () => { ', " + _MATCHES + ", '})') ELSE 'export const a = 1' END", "repeat('\n', p_size)"]
+
+
+@query("""WITH f AS (SELECT p_brand AS repo, p_size + 2 AS lines, p_partkey % 3 = 0 AS test, p_size AS z FROM part),
+m AS (SELECT repo, count(*) AS files, sum(lines) AS lines, count(*) FILTER (NOT test) AS s, count(*) FILTER (test) AS t, sum(CASE WHEN test THEN z % 4 ELSE 0 END) AS weak, sum(CASE WHEN test THEN z % 3 ELSE 0 END) AS snap,
+  sum(CASE WHEN test THEN 1 + z % 4 + z % 3 + CAST(z % 9 < 4 AS INTEGER) ELSE 0 END) AS n, count(*) FILTER (test) > 0 AS any, bool_or(test AND z % 9 = 0) AS e, bool_or(test AND z % 9 = 1) AS h, bool_or(test AND z % 9 = 2) AS x, bool_or(test AND z % 9 = 3) AS c FROM f GROUP BY repo),
+r AS (SELECT repo, CAST(floor(files * 3 + lines / 100) AS BIGINT) AS mutants, greatest(10, least(90, least(75, CAST(floor(25 + CASE WHEN s > 0 THEN t / s ELSE 0 END * 100 + 0.5) AS INTEGER))
+  + CASE WHEN CAST(m.any AS INTEGER) + CAST(e AS INTEGER) + CAST(h AS INTEGER) + CAST(x AS INTEGER) + CAST(c AS INTEGER) >= 5 THEN 5 ELSE 0 END - CASE WHEN weak / n > 0.3 THEN 10 ELSE 0 END - CASE WHEN snap / n > 0.5 THEN 5 ELSE 0 END)) AS score FROM m)
+SELECT repo, mutants, score, CAST(floor(mutants * score / 100) AS BIGINT) AS killed FROM r""")
 def mutation_estimate(spark, sf):
-    z, n = F.col("p_size"), F.count(F.lit(1))
-    by = table(spark, sf, "part").groupBy(F.col("p_brand").alias("repo")).agg(
-        n.alias("files"), F.sum(z).alias("lines"), F.count_if(z % 2 == 0).alias("source_files"), F.count_if(z % 2 == 1).alias("test_files"), F.count_distinct(z % 8).alias("kinds"),
-        (F.count_if(z % 3 == 0) / n).alias("weak_ratio"), F.lit(0.0).alias("snapshot_ratio"), F.lit(False).alias("has_tool"),
-    )
-    return de.mutation_estimate(by)
+    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("tests/"), F.col("p_partkey"), F.lit(".test.js"))).otherwise(F.concat(F.lit("src/"), F.col("p_partkey"), F.lit(".js")))
+    files = _parts(spark, sf).select(F.col("p_brand").alias("repo"), path.alias("path"), F.array_join(F.array(*map(F.expr, _MUTANTS)), "\n").alias("content"))
+    return de.mutation_estimate(de.mutation_summary(files, fa.code_facts(files)))
 
 
 @query("SELECT p_brand AS repo, concat('ui/', p_partkey, '.html') AS path, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS n FROM part WHERE p_size % 3 < 2")
@@ -364,6 +391,35 @@ def a11y_lines(spark, sf):
     return tx.a11y_line_findings(fi.explode_lines(_code(spark, sf, _A11Y, "jsx").withColumn("path", F.regexp_replace("path", "^src", "ui"))))
 
 
+# Projects of three kinds: routes in JavaScript, with or without a description, and in Python with response models.
+_ROUTES = "array_join(transform(sequence(1, 1 + p_size % 13), i -> concat('app.get(\"', CASE WHEN p_size % 5 = 0 THEN '/v1' ELSE '' END, '/r', CAST(i AS string), '\", h);')), '\n')"
+_SPEC = "concat(CASE WHEN p_size % 4 = 1 THEN 'open: 1' ELSE 'openapi: 3.0.0' END, '\npaths:\n', array_join(transform(sequence(1, 1 + p_size % 8), i -> concat('  ', CASE WHEN p_size % 5 = 0 THEN '/v1' ELSE '' END, '/r', CAST(i AS string), ':\n    get:\n      x: 1\n')), ''))"
+_FASTAPI = "concat('from fastapi import FastAPI\n', array_join(transform(sequence(1, 1 + p_size % 4), i -> concat('@app.get(\"/p', CAST(i AS string), '\"', CASE WHEN i <= p_size % 5 THEN ', response_model=M' ELSE '' END, ')\ndef f', CAST(i AS string), '():\n    return 1\n')), ''))"
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS z, p_size % 3 AS kind, 1 + p_size % 13 AS r, 1 + p_size % 8 AS d, p_size % 4 = 1 AS bad, 1 + p_size % 4 AS n FROM part),
+s AS (SELECT *, CASE WHEN kind = 2 THEN n ELSE r END AS endpoints, kind = 1 AND NOT bad AS spec, CASE WHEN kind = 1 AND NOT bad THEN greatest(r - d, 0) ELSE CASE WHEN kind = 2 THEN n ELSE r END END AS undoc, CASE WHEN kind = 1 AND NOT bad THEN greatest(d - r, 0) ELSE 0 END AS orphans, greatest(n - z % 5, 0) AS bare FROM p),
+h AS (SELECT *, unnest(['no-response-model', 'few-response-models-missing', 'no-specification', 'invalid-specification', 'mostly-undocumented', 'undocumented-routes', 'spec-only-routes', 'no-versioning', 'mixed-responses']) AS rule, unnest(range(9)) AS i FROM s),
+f AS (SELECT k, rule, i, CASE WHEN rule IN ('no-specification', 'mostly-undocumented') THEN 50 WHEN rule IN ('few-response-models-missing', 'mixed-responses') THEN 8 ELSE 20 END AS w FROM h WHERE CASE rule WHEN 'no-response-model' THEN kind = 2 AND bare > 0 AND 2 * bare > n WHEN 'few-response-models-missing' THEN kind = 2 AND bare > 0 AND 2 * bare <= n
+  WHEN 'no-specification' THEN kind < 2 AND NOT spec AND z % 7 > 0 AND r > 5 WHEN 'invalid-specification' THEN kind = 1 AND bad WHEN 'mostly-undocumented' THEN spec AND undoc > 0 AND 2 * undoc > endpoints WHEN 'undocumented-routes' THEN spec AND undoc > 0 AND 2 * undoc <= endpoints
+  WHEN 'spec-only-routes' THEN orphans > 0 WHEN 'no-versioning' THEN spec AND endpoints > 10 AND z % 5 > 0 WHEN 'mixed-responses' THEN z % 9 = 0 END)
+SELECT concat('p', s.k) AS repo, coalesce(string_agg(rule, ',' ORDER BY i), '') AS rules, greatest(5, CAST(floor(100.0 / (1.0 + coalesce(sum(w), 0) / 100.0 / 5.0) + 0.5) AS INTEGER)) AS score, CAST(any_value(endpoints) AS BIGINT) AS endpoints,
+CAST(any_value(CASE WHEN kind = 2 THEN n - bare ELSE endpoints - undoc END) AS BIGINT) AS documented FROM s LEFT JOIN f USING (k) GROUP BY s.k""")
+def contract_findings(spark, sf):
+    files = _project(
+        spark, sf, src__a_DOT_js=f"CASE WHEN p_size % 3 < 2 THEN {_ROUTES} ELSE 'x' END", api__openapi_DOT_yaml=f"CASE WHEN p_size % 3 = 1 THEN {_SPEC} END", app__b_DOT_py=f"CASE WHEN p_size % 3 = 2 THEN {_FASTAPI} END",
+        package_DOT_json="concat('{\"dependencies\":{\"', CASE WHEN p_size % 7 = 0 THEN 'graphql' ELSE 'chalk' END, '\":\"1\"}}')", src__c_DOT_js="CASE WHEN p_size % 9 = 0 THEN 'reply.send(1); res.send(2)' ELSE 'res.json(1)' END",
+    ).where("content is not null")
+    facts = stored(fa.code_facts(files))
+    calls, python = fa.js_calls(facts), fa.py_endpoints(facts)
+    route = F.regexp_extract("value", r"^[\"'`](/[^\"'`]*)", 1)
+    own = calls.where(F.col("name").rlike(r"^(app|router|server|fastify)\.(get|post|put|patch|delete)$")).select("repo", F.element_at(F.split("name", r"\."), -1).alias("method"), route.alias("route"), F.lit("code").alias("origin"))
+    described = co.openapi_endpoints(files).select("repo", "method", "route", F.lit("spec").alias("origin"))
+    every = own.unionByName(python.select("repo", "method", "route", F.lit("code").alias("origin"))).unionByName(described)
+    specs = files.where(F.col("path").rlike(r"(openapi|swagger)[^/]*\.ya?ml$")).select("repo", "path", F.col("content").rlike(r"(?m)^(openapi|swagger):").alias("valid"))
+    return re_.contract_findings(files, every, python, specs, ma.extract_deps(files))
+
+
 _JSX = """concat('<img src={a} ', CASE WHEN p_size % 2 = 0 THEN '' ELSE 'alt="x" ' END, '/>\n<a href="u" target="_blank" ', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'rel="noopener" ' END, '>t</a>\n<div onClick={() => go(1)} ', CASE WHEN p_size % 5 = 0 THEN '' ELSE 'role="button"' END, '>x</div>')"""
 
 
