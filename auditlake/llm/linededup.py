@@ -154,7 +154,7 @@ def postings(lines: DataFrame, places: DataFrame, table: list[int]) -> DataFrame
 
 
 def in_company(posts: DataFrame) -> DataFrame:
-    """(t, doc, variant, at, later, head, lines): postings whose run other lines have too, of how many lines.
+    """(t, doc, variant, at, later, head, lines): postings whose run other lines have too that they might match, of how many lines.
 
     later says whether an earlier posting has the run; head is the earliest one, if this one is later and the two pass
     the filters. Of runs of two lines, only the later posting stays, without t, and only with a head: nothing else can
@@ -164,10 +164,18 @@ def in_company(posts: DataFrame) -> DataFrame:
     some = posts.withColumn("lines", F.count(F.lit(1)).over(of_t)).where("lines > 1")
     first = F.struct("doc", "variant", _line_number(F.col("at")).alias("k"), "at")
     some = some.withColumn("head", F.min(first).over(of_t).dropFields("k")).withColumn("later", _place() != _place("head."))
-    some = some.withColumn("head", F.when(F.col("later") & _may_match(F.col("at"), F.col("head.at")), F.col("head"))).where("lines > 2 or head is not null")
+    some = some.withColumn("head", F.when(F.col("later") & _may_match(F.col("at"), F.col("head.at")), F.col("head")))
+    some = _with_partner(some).where("lines > 2 or head is not null")
     return some.select(F.when(F.col("lines") > 2, F.col("t")).alias("t"), "doc", "variant", "at", "later", "head", "lines")
 
 
+def _with_partner(posts: DataFrame) -> DataFrame:
+    """Of the runs of up to DENSE lines the postings that pass the filters with another one of their run; all of the other runs."""
+    met = F.collect_list(F.when(F.col("lines") <= DENSE, F.col("at"))).over(Window.partitionBy("t"))
+    passing = F.size(F.filter("met", lambda y: _may_match(F.col("at"), y)))  # a posting passes with itself
+    return posts.withColumn("met", met).where((F.col("lines") > DENSE) | (passing > 1)).drop("met")
+
+
 def _map(hashes: Column) -> list[Column]:
     """A map of 256 bits in which each number turns one bit over: two maps differ in no more bits than the sets in numbers."""
     one = F.lit(1).cast("long")
@@ -232,7 +240,7 @@ def similar_to_earlier(rows: DataFrame, places: DataFrame) -> DataFrame:
     ends = company.select(F.explode(both).alias("p"), _small("at").alias("small")).groupBy("p").agg(F.count(F.lit(1)).alias("runs"), F.bool_or("small").alias("small"))
     busy = written(ends.where("runs > 1 or small").select("p"))
     crowd = company.where("t is not null").select("t", "at", "later", _place().alias("p")).join(busy, "p", "left_semi")
-    crowd = written(crowd.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1"))
+    crowd = written(_with_partner(crowd.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1")))
     dense, thin = crowd.where(F.col("lines") > DENSE), crowd.where(F.col("lines") <= DENSE)
     texts = written(_texts(lines, written(first_ends.union(dense.select("p")).distinct())))
     settled = written(_verified(first, texts))
