@@ -99,10 +99,12 @@ def remediation_plan(findings: DataFrame, run: str = "repo") -> DataFrame:
     for i, (name, severity, dimension, most) in reversed(list(enumerate(PHASES))):
         belongs = F.col("severity") == severity if severity else (F.col("dimension") == dimension) & F.col("severity").isin("low", "info")
         group, phase, limit = (F.when(belongs, v).otherwise(c) for v, c in ((i, group), (name, phase), (most, limit)))
-    taken = findings.withColumn("group", group).where("group is not null")
-    w = Window.partitionBy(run, "group").orderBy(*_order(S.severity_rank(F.col("severity"))))
-    ranked = taken.select("*", F.row_number().over(w).alias("rank"), phase.alias("phase"), limit.cast("int").alias("most"))
-    return ranked.where("most is null or rank <= most").select(run, "phase", "dimension", "severity", "title", "seq", "rank")
+    taken = findings.withColumn("group", group).where("group is not null").withColumn("phase", phase).withColumn("most", limit.cast("int"))
+    rank = F.row_number().over(Window.partitionBy(run, "group").orderBy(*_order(S.severity_rank(F.col("severity")))))
+    # the largest limit as a number lets Spark drop the rest of a group before it is shuffled
+    few = taken.where("most is not null").withColumn("rank", rank).where(F.col("rank") <= max(most for *_, most in PHASES if most)).where("rank <= most")
+    every = taken.where("most is null").withColumn("rank", rank)
+    return few.unionByName(every).select(run, "phase", "dimension", "severity", "title", "seq", "rank")
 
 
 def health_metrics(findings: DataFrame, run: str = "repo") -> DataFrame:
@@ -129,7 +131,7 @@ def compare_rollup(findings: DataFrame) -> DataFrame:
 
 def owasp_rollup(findings: DataFrame, mapping: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row for each code of the catalog, zero rows kept: counts by severity and whether it needs attention."""
-    hit = findings.join(F.broadcast(mapping), "category")
+    hit = findings.join(mapping, "category")
     counts = hit.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = catalog.join(counts, "code", "left").select("code", zero("n"), zero("critical"), zero("high"))

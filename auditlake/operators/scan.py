@@ -112,6 +112,7 @@ class _Scan:
             else:
                 self.tokens.append((t, m.start(), fresh))
                 fresh = False
+        self.words = ["", "", "", *(t for t, _, _ in self.tokens), "", "", ""]
         self.stack = [_Open("", "block", "", 0, 0, _Function("", 1, [], None))]
         self.closed = None  # the last parentheses that closed: their arguments name an arrow function's parameters
 
@@ -123,7 +124,8 @@ class _Scan:
         self.rows.append({"kind": kind, "line": line, "col": begin - self.starts[line - 1]} | more)
 
     def token(self, k: int) -> str:
-        return self.tokens[k][0] if 0 <= k < len(self.tokens) else ""
+        """The k-th token; '' beside the text's, up to three away."""
+        return self.words[k + 3]
 
     def flow_of(self, name: str):
         root, _, rest = name.replace("?.", ".").partition(".")
@@ -252,7 +254,7 @@ class _Scan:
     def read(self) -> list[dict]:
         pending = None
         for k, (t, start, fresh) in enumerate(self.tokens):
-            before, after, o = self.token(k - 1), self.token(k + 1), self.stack[-1]
+            before, after, o = self.words[k + 2], self.words[k + 4], self.stack[-1]
             if fresh and before not in CONTINUES and t not in CONTINUED:
                 while o.kind == "arrow" and self.stack[-2].char in ("{", ""):
                     self.pop(start, t)

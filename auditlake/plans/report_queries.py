@@ -13,6 +13,7 @@ from auditlake.operators import joins as jo
 from auditlake.operators import reports as re
 from auditlake.plans.bindings import table
 from auditlake.plans.registry import query
+from auditlake.sources import manifests as ma
 from auditlake.sources import reports as sr
 
 #: a line of code: when a project has it
@@ -202,3 +203,40 @@ def written_findings(spark, sf):
     path = scratch(spark)
     sr.write_findings(found, path)
     return fi.severity_counts(spark.read.parquet(path), "dimension").select("dimension", F.col("total").alias("n"))
+
+
+@query("SELECT concat('b', p_size % 9) AS repo, count(*) AS lines, CAST(sum(length(p_name)) AS BIGINT) AS chars, max(p_name) AS last FROM part GROUP BY 1")
+def read_repos(spark, sf):
+    """Texts written as trees of files, one folder a repository, and read again from the folders."""
+    from auditlake.sources.store import scratch
+
+    path = scratch(spark)
+    table(spark, sf, "part").select(F.expr("concat('b', CAST(p_size % 9 AS string))").alias("name"), F.col("p_name").alias("value")).repartition(5).write.partitionBy("name").text(path)
+    files = ma.read_repos(spark, path, ["txt"])
+    lines = files.select(F.regexp_replace("repo", "^name=", "").alias("repo"), F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("line"))
+    return lines.groupBy("repo").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"), F.max("line").alias("last"))
+
+
+_UNION = {"security": ("l_linenumber = 1", "'high'", "l_orderkey % 60"), "accessibility": ("l_linenumber = 2", "'low'", None), "load": ("l_linenumber > 5", None, "l_partkey % 7")}
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT l_suppkey % 30 AS repo, '{d}' AS dimension, {sev or 'NULL'} AS severity, {line or 'NULL'} AS line FROM lineitem WHERE {where}" for d, (where, sev, line) in _UNION.items()) + ") SELECT repo, dimension, severity, count(*) AS n, count(line) AS placed, CAST(max(line) AS BIGINT) AS last FROM u GROUP BY ALL")
+def union_findings(spark, sf):
+    """Findings of three dimensions, each without some of the others' columns, in one table."""
+    parts = []
+    for dimension, (where, severity, line) in _UNION.items():
+        columns = {"severity": severity, "line": line and f"CAST({line} AS bigint)"}
+        parts.append(table(spark, sf, "lineitem").where(where).select(F.expr("l_suppkey % 30").alias("repo"), F.lit(dimension).alias("dimension"), *[F.expr(e).alias(c) for c, e in columns.items() if e]))
+    return fi.union_findings(*parts).groupBy("repo", "dimension", "severity").agg(F.count(F.lit(1)).alias("n"), F.count("line").alias("placed"), F.max("line").alias("last"))
+
+
+@query("SELECT o_custkey % 50 AS repo, o_orderstatus AS status, count(*) AS n, CAST(sum(o_orderkey % 101) AS BIGINT) AS total FROM orders GROUP BY ALL")
+def stored_scores(spark, sf):
+    """Scores of runs stored in two writes and read again."""
+    from auditlake.sources.store import scratch
+
+    scores = table(spark, sf, "orders").select(F.expr("o_custkey % 50").alias("repo"), F.col("o_orderstatus").alias("status"), F.expr("o_orderkey % 101").alias("score"))
+    path = scratch(spark)
+    sr.write_scores(scores.where("score < 50"), path)
+    sr.write_scores(scores.where("score >= 50"), path)
+    return spark.read.parquet(path).groupBy("repo", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
