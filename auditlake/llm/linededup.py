@@ -1,9 +1,9 @@
 """Line dedup as an exact set-similarity self-join, in DataFrame operations only.
 
 A line is a set of words. Words are ordered by rarity (a table of corpus counts by hash bucket gives the level, the hash
-breaks ties). Each word that only one of two lines has breaks at most two pairs of neighbours in its own line's order and one in
-the other's, so lines of Jaccard similarity 0.8 share two pairs, or runs, among the first 0.4 n + 2: these runs are the
-prefix. Two runs in common are rare by chance, also where the vocabulary is small.
+breaks ties). Each word that only one of two lines has breaks at most three runs of three neighbours in its own line's order
+and two in the other's, so lines of Jaccard similarity 0.8 share two runs of three among the first 0.6 n + 2: these
+runs are the prefix. Two runs in common are rare by chance, also where the vocabulary is small.
 
 Postings (run, line) of distinct lines are shuffled once; those whose run has company are kept. Of the earliest lines of
 its runs, each line is first compared with the one that most of its runs have: in a large group of variants nearly all
@@ -132,11 +132,11 @@ def _place(x: str = "") -> Column:
 
 
 def postings(lines: DataFrame, places: DataFrame, table: list[int]) -> DataFrame:
-    """(t, doc, variant, at): the runs of two t in the prefix of the first place of each line text; at is _packed().
+    """(t, doc, variant, at): the runs of three t in the prefix of the first place of each line text; at is _packed().
 
-    With o common words of n and m, at most 2 (n - o) + (m - o) <= (2 n - m) / 3 <= 0.4 n runs of n are broken, so two
-    that are not are among the first 0.4 n + 2, in both lines (of one or two words: one, as such lines are equal sets);
-    the last word is a run of its own. Only lines whose text may stand elsewhere, going by a broadcast table of bits, are
+    With o common words of n and m, at most 3 (n - o) + 2 (m - o) <= (7 n - 2 m) / 9 <= 0.6 n runs of n are broken, so
+    two that are not are among the first 0.6 n + 2, in both lines (of one or two words: one, as such lines are equal
+    sets); runs at the end are shorter. Only lines whose text may stand elsewhere, going by a broadcast table of bits, are
     shuffled by text to find the first place; once that table is full, all lines are.
     """
     place = ["doc", "variant", "k"]
@@ -146,10 +146,10 @@ def postings(lines: DataFrame, places: DataFrame, table: list[int]) -> DataFrame
     several = _marked(keyed, copied, "key").select(*place, "line", *_keys(F.col("line")))
     firsts = several.groupBy("key", "key2").agg(F.min(F.struct(*place)).alias("p"), F.first("line").alias("line"))
     ranked = alone.union(firsts.select("p.*", "line")).select(*place, _ranked(F.col("line"), table).alias("r"))
-    last = F.floor(F.col("n") * 2 / 5).cast("int")
-    slim = ranked.select(*place, F.size("r").alias("n"), "r").select(*place, "n", F.slice("r", 1, last + 3).alias("r"))
+    last = F.floor(F.col("n") * 3 / 5).cast("int")
+    slim = ranked.select(*place, F.size("r").alias("n"), "r").select(*place, "n", F.slice("r", 1, last + 4).alias("r"))
     runs = slim.select(*place, "n", "r", F.explode(F.sequence(F.lit(0), F.least(last + 1, F.col("n") - 1))).alias("i"))
-    t = F.xxhash64(*[F.get("r", F.col("i") + j) for j in range(2)])
+    t = F.xxhash64(*[F.get("r", F.col("i") + j) for j in range(3)])
     return runs.select("variant", _packed(F.col("k"), F.col("n"), F.col("i")).alias("at"), t.alias("t"), "doc")
 
 
