@@ -297,7 +297,7 @@ _MUTANTS = ["CASE WHEN p_partkey % 3 = 0 THEN concat('it(\"a\", () => { ', " + _
 m AS (SELECT repo, count(*) AS files, sum(lines) AS lines, count(*) FILTER (NOT test) AS s, count(*) FILTER (test) AS t, sum(CASE WHEN test THEN z % 4 ELSE 0 END) AS weak, sum(CASE WHEN test THEN z % 3 ELSE 0 END) AS snap,
   sum(CASE WHEN test THEN 1 + z % 4 + z % 3 + CAST(z % 9 < 4 AS INTEGER) ELSE 0 END) AS n, count(*) FILTER (test) > 0 AS any, bool_or(test AND z % 9 = 0) AS e, bool_or(test AND z % 9 = 1) AS h, bool_or(test AND z % 9 = 2) AS x, bool_or(test AND z % 9 = 3) AS c FROM f GROUP BY repo),
 r AS (SELECT repo, CAST(floor(files * 3 + lines / 100) AS BIGINT) AS mutants, greatest(10, least(90, least(75, CAST(floor(25 + CASE WHEN s > 0 THEN t / s ELSE 0 END * 100 + 0.5) AS INTEGER))
-  + CASE WHEN CAST(m.any AS INTEGER) + CAST(e AS INTEGER) + CAST(h AS INTEGER) + CAST(x AS INTEGER) + CAST(c AS INTEGER) >= 5 THEN 5 ELSE 0 END - CASE WHEN weak / n > 0.3 THEN 10 ELSE 0 END - CASE WHEN snap / n > 0.5 THEN 5 ELSE 0 END)) AS score FROM m)
+  + CASE WHEN CAST(m.any AS INTEGER) + CAST(e AS INTEGER) + CAST(h AS INTEGER) + CAST(x AS INTEGER) + CAST(c AS INTEGER) >= 5 THEN 5 ELSE 0 END - CASE WHEN weak / nullif(n, 0) > 0.3 THEN 10 ELSE 0 END - CASE WHEN snap / nullif(n, 0) > 0.5 THEN 5 ELSE 0 END)) AS score FROM m)
 SELECT repo, mutants, score, CAST(floor(mutants * score / 100) AS BIGINT) AS killed FROM r""")
 def mutation_estimate(spark, sf):
     path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("tests/"), F.col("p_partkey"), F.lit(".test.js"))).otherwise(F.concat(F.lit("src/"), F.col("p_partkey"), F.lit(".js")))
