@@ -1,8 +1,8 @@
 """Configuration and markup: Kubernetes documents, API descriptions, workflow files, tags, and counts of endpoints.
 
-API descriptions and workflow files are read by the path of keys that every line of YAML has, whatever its indent;
-Kubernetes documents by blocks between '---'. Aliases take the lines of their anchor; flow mappings over several lines
-are not followed.
+Kubernetes documents, API descriptions and workflow files are read by the path of keys that every line of YAML has,
+whatever its indent; each entry of a flow mapping or list counts as a line, also where it spans several. Aliases take
+the lines of their anchor.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
@@ -22,7 +22,7 @@ ENDPOINTS = {
     "js": r"\b(?:app|router|server|fastify)\.(?:get|post|put|patch|delete)\s*\(\s*[\"'`]/", "ts": r"\b(?:app|router|server|fastify)\.(?:get|post|put|patch|delete)\s*\(\s*[\"'`]/",
     "py": r"@\w+\.(?:get|post|put|patch|delete|route)\s*\(", "go": r"\.(?:GET|POST|PUT|PATCH|DELETE|HandleFunc)\s*\(",
 }
-SECRET_KEY = r"(?im)^\s+[\w.-]*(pass(word)?|secret|token|api[_-]?key|private[_-]?key|credential)[\w.-]*\s*:"
+SECRET_NAMES = ["pass", "secret", "token", "apikey", "api_key", "api-key", "privatekey", "private_key", "private-key", "credential"]
 WORKLOADS = ["Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "Pod", "ReplicaSet"]
 
 
@@ -36,37 +36,172 @@ def endpoint_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.sum(n.cast("long")).alias("endpoints"), F.sum(used.cast("long")).alias("middleware"))
 
 
+# Words that open template blocks which only control, and the keys of a security context.
+CONTROL_WORDS = ["if", "else", "end", "range", "with", "define", "template", "block"]
+CONTEXT = ["privileged", "runAsNonRoot", "runAsUser", "allowPrivilegeEscalation"]
+
+
+def k8s_lines(files: DataFrame) -> DataFrame:
+    """(repo, path, doc_no, kind, name, line, keys, value): the lines of YAML documents that have a kind at their root.
+
+    Template control blocks go before the text is read, other templates become a word. name is null without one.
+    """
+    yaml = files.where(F.col("path").rlike(r"\.ya?ml$") & F.col("content").contains("kind"))
+    control = r"\{\{-?\s*(" + "|".join(CONTROL_WORDS) + r")\b[^}]*\}\}"
+    plain = F.regexp_replace(F.regexp_replace("content", control, ""), r"\{\{[^}]*\}\}", "template")
+    lines = yaml_paths(yaml.select("repo", "path", plain.alias("content"))).withColumnRenamed("doc", "doc_no")
+    of_doc = Window.partitionBy("repo", "path", "doc_no")  # no document is larger than its file
+    said = lambda *keys: F.max(F.when(F.col("keys") == F.array(*map(F.lit, keys)), F.col("value"))).over(of_doc)
+    known = lines.withColumn("kind", F.nullif(said("kind"), F.lit(""))).withColumn("name", F.nullif(said("metadata", "name"), F.lit(""))).where("kind is not null")
+    return known.select("repo", "path", "doc_no", "kind", "name", "line", "keys", "value")
+
+
 def k8s_docs(files: DataFrame) -> DataFrame:
-    """(repo, path, doc_no, kind, name, body): YAML documents with a kind; template control lines are blanked."""
-    yaml = files.where(F.col("path").rlike(r"\.ya?ml$") & F.col("content").contains("kind:"))
-    plain = F.regexp_replace("content", r"(?m)^\s*\{\{-?\s*(if|else|end|range|with|define|include)[^\n]*$", "")
-    docs = yaml.select("repo", "path", F.posexplode(F.split(plain, r"(?m)^---[ \t]*$")).alias("doc_no", "body"))
-    name = F.regexp_extract("body", r"(?m)^metadata:\s*\n(?:[ \t]+[^\n]*\n)*?[ \t]+name:[ \t]*[\"']?([^\s\"']+)", 1)
-    return docs.select("repo", "path", "doc_no", F.regexp_extract("body", r"(?m)^kind:[ \t]*[\"']?(\w+)", 1).alias("kind"), name.alias("name"), "body").where("kind <> ''")
-
-
-def k8s_findings(docs: DataFrame) -> DataFrame:
-    """(repo, path, doc_no, rule, severity) of each document, and one network-policy row (path null) for a repo with workloads and no policy."""
-    b, kind = F.col("body"), F.col("kind")
-    work, role = kind.isin(*WORKLOADS), kind.isin("Role", "ClusterRole")
-    image = F.regexp_extract_all("body", F.lit(r"(?m)^\s*(?:-\s*)?image:[ \t]*[\"']?([^\s\"'#]+)"), F.lit(1))
-    mutable = F.exists(image, lambda i: i.endswith(":latest") | (~i.contains("@") & ~F.element_at(F.split(i, "/"), -1).contains(":")))
+    """(repo, path, doc_no, kind, name): YAML documents with a kind."""
+    return k8s_lines(files).groupBy("repo", "path", "doc_no").agg(F.first("kind").alias("kind"), F.first("name").alias("name"))
+
+
+def k8s_facts(files: DataFrame) -> DataFrame:
+    """What the Kubernetes rules ask, one row for each container, each rule of a role, and the rest of each document.
+
+    unit tells the three apart ('containers/0', 'initContainers/1', 'rules/2', ''). A workload is a document of a
+    workload kind with a pod's spec, which CronJob, Pod and the others keep in different places. A container's security
+    context goes before its pod's, key by key. Documents without a kind give no rows.
+    """
+    lines = k8s_lines(files)
+    kind, value = F.col("kind"), F.col("value")
+    path = lambda text: F.array(*map(F.lit, text.split()))
+    spec = F.when(kind == "Pod", path("spec")).when(kind == "CronJob", path("spec jobTemplate spec template spec")).otherwise(path("spec template spec"))
+    inside = kind.isin(*WORKLOADS) & (F.slice("keys", 1, F.size(spec)) == spec)
+    lines = lines.withColumn("pod", F.when(inside, F.slice("keys", F.size(spec) + 1, 64)))
+    pod, given = F.col("pod"), ~value.isin("", "null", "~")
+    of_doc = Window.partitionBy("repo", "path", "doc_no")
+    in_pod = lambda text: F.max(F.when(pod == path(text), value)).over(of_doc)
+    lines = lines.withColumns({"workload": F.coalesce(F.max(pod.isNotNull() & ((F.size("pod") > 0) | given)).over(of_doc), F.lit(False)), "token": in_pod("automountServiceAccountToken"), **{f"pod_{k}": in_pod(f"securityContext {k}") for k in CONTEXT}})
+    held = F.get("pod", F.lit(0)).isin("containers", "initContainers") & (F.size("pod") >= 2)
+    role = kind.isin("Role", "ClusterRole") & (F.get("keys", F.lit(0)) == "rules") & (F.size("keys") >= 2)
+    unit = F.when(held, F.concat_ws("/", F.slice("pod", 1, 2))).when(role, F.concat_ws("/", F.slice("keys", 1, 2))).otherwise("")
+    own = F.when(held, F.slice("pod", 3, 64))
+    said = lambda text: F.max(F.when(own == path(text), value))
+    has = lambda *of: F.coalesce(F.bool_or(F.get(own, F.lit(0)).isin(*of) & ((F.size(own) > 1) | given)), F.lit(False))
+    limits = F.coalesce(F.bool_or((F.get(own, F.lit(0)) == "resources") & F.get(own, F.lit(1)).isin("limits", "requests") & ((F.size(own) > 2) | given)), F.lit(False))
+    secret = F.get("keys", F.lit(0)).isin("data", "stringData") & F.exists(F.array(*map(F.lit, SECRET_NAMES)), lambda n: F.contains(F.lower(F.get("keys", F.lit(1))), n))
+    wild = role & F.get("keys", F.lit(2)).isin("verbs", "resources") & (F.size("keys") == 4) & (value == "*")
+    return lines.withColumn("unit", unit).groupBy("repo", "path", "doc_no", "unit").agg(
+        *[F.first(c).alias(c) for c in ("kind", "name", "workload", "token")],
+        *[F.coalesce(said(f"securityContext {k}"), F.first(f"pod_{k}")).alias(k) for k in CONTEXT],
+        said("name").alias("container"), said("image").alias("image"), limits.alias("limits"), has("livenessProbe", "readinessProbe").alias("probes"),
+        F.coalesce(F.bool_or((F.size(own) > 0) | F.startswith("value", F.lit("{"))), F.lit(False)).alias("object"),
+        F.min_by(F.when(secret, F.get("keys", F.lit(1))), F.when(secret, F.struct(F.get("keys", F.lit(0)).alias("of"), "line"))).alias("secret"), F.coalesce(F.bool_or(wild), F.lit(False)).alias("wild"),
+    )
+
+
+def k8s_findings(facts: DataFrame) -> DataFrame:
+    """(repo, path, doc_no, unit, rule, severity, subject) by k8s_facts(); one network-policy row (path null) for a repo with workloads and no policy."""
+    of_container = F.col("workload") & F.col("unit").rlike("^(containers|initContainers)/") & F.col("object")
+    of_doc = F.col("unit") == ""
+    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    image = F.col("image")
+    named = F.coalesce("container", F.lit("container"))
     rules = [
-        (role & b.rlike(r"(?m)(verbs|resources):\s*(\[[^\]]*\*|\n?\s*-\s*[\"']?\*)"), "wildcard-rbac", F.when(kind == "ClusterRole", "high").otherwise("medium")),
-        ((kind == "ConfigMap") & b.rlike(SECRET_KEY), "secret-in-configmap", F.lit("high")), (work & b.rlike(r"privileged:\s*true"), "privileged", F.lit("critical")),
-        (work & b.rlike(r"runAsUser:\s*0\b|runAsNonRoot:\s*false"), "runs-as-root", F.lit("high")), (work & b.rlike(r"allowPrivilegeEscalation:\s*true"), "privilege-escalation", F.lit("high")),
-        (work & ~b.rlike(r"(?m)^\s+resources:"), "no-resources", F.lit("medium")), (work & ~kind.isin("Job", "CronJob") & ~b.rlike("livenessProbe:|readinessProbe:"), "no-probes", F.lit("low")),
-        (work & mutable, "mutable-image", F.lit("medium")), (work & b.rlike(r"automountServiceAccountToken:\s*true"), "service-account-token", F.lit("low")),
+        (F.col("wild"), "wildcard-rbac", F.when(F.col("kind") == "ClusterRole", "high").otherwise("medium"), F.col("name")),
+        (of_doc & (F.col("kind") == "ConfigMap") & F.col("secret").isNotNull(), "secret-in-configmap", F.lit("high"), F.col("secret")),
+        (of_doc & F.col("workload") & ~is_("token", "false"), "service-account-token", F.lit("low"), F.coalesce("name", "kind")),
+        (of_container & is_("privileged", "true"), "privileged", F.lit("critical"), named),
+        (of_container & ~is_("runAsNonRoot", "true") & ~F.coalesce(F.col("runAsUser").rlike(r"^\d+$"), F.lit(False)), "runs-as-root", F.lit("medium"), named),
+        (of_container & ~is_("allowPrivilegeEscalation", "false"), "privilege-escalation", F.lit("low"), named),
+        (of_container & ~F.col("limits"), "no-resources", F.lit("medium"), named), (of_container & ~F.col("probes"), "no-probes", F.lit("medium"), named),
+        (of_container & (image != "") & (image.endswith(":latest") | ~image.contains(":")), "mutable-image", F.lit("low"), named),
     ]
-    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), s.alias("severity"))) for c, r, s in rules]))
-    each = docs.select("repo", "path", "doc_no", F.explode(hits).alias("h")).select("repo", "path", "doc_no", "h.*")
-    open_net = docs.groupBy("repo").agg(F.bool_or(work).alias("w"), F.bool_or(kind == "NetworkPolicy").alias("p")).where("w and not p")
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), s.alias("severity"), n.alias("subject"))) for c, r, s, n in rules]))
+    each = facts.select("repo", "path", "doc_no", "unit", F.explode(hits).alias("h")).select("repo", "path", "doc_no", "unit", "h.*")
+    open_net = facts.groupBy("repo").agg(F.bool_or("workload").alias("w"), F.bool_or(F.col("kind") == "NetworkPolicy").alias("p")).where("w and not p")
     return each.unionByName(open_net.select("repo", F.lit("no-network-policy").alias("rule"), F.lit("medium").alias("severity")), allowMissingColumns=True)
 
 
+def k8s_report(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """(repo, applicable, manifests, documents, kinds, findings, score) for every repo of files; without a manifest not applicable and 0.
+
+    kinds: 'Kind:count' in order of the kind, comma-joined.
+    """
+    docs = facts.groupBy("repo", "path", "doc_no").agg(F.first("kind").alias("kind"))
+    by_kind = docs.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = by_kind.groupBy("repo").agg(F.sum("n").alias("documents"), F.array_sort(F.collect_list(F.concat_ws(":", "kind", "n"))).alias("kinds"))
+    manifests = docs.select("repo", "path").distinct().groupBy("repo").agg(F.count(F.lit(1)).alias("manifests"))
+    scored = k8s_findings(facts).groupBy("repo").agg(F.count(F.lit(1)).alias("findings"), F.sum(S.penalty_hundredths(F.col("severity"))).alias("p"))
+    both = files.select("repo").distinct().join(manifests, "repo", "left").join(kinds, "repo", "left").join(scored, "repo", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    applies = F.col("manifests").isNotNull()
+    score = F.when(applies, S.curve(zero("p"), 6)).otherwise(0)
+    return both.select("repo", applies.alias("applicable"), *[zero(c).alias(c) for c in ("manifests", "documents")], F.coalesce(F.concat_ws(",", "kinds"), F.lit("")).alias("kinds"), zero("findings").alias("findings"), score.alias("score"))
+
+
 KEY = re.compile(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#"'\[\]{},&*!|>%@`-][^#]*?|-[^\s#:][^#:]*))\s*:(?=\s|$)\s*""")
 
 
+FLOW = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')|([\[\]{},])|(:)(?=[\s,\[\]{}]|$)|((?:[^\[\]{},:"']|:(?![\s,\[\]{}]|$)|(?<=[\w.-])["'])+)""")
+FLOW_DEPTH = 64
+NESTED = "\0"  # stands for a nested mapping or list whose entries are out
+
+
+def _flow_open(line: str, depth: int, quote: str) -> tuple[str, int, str]:
+    """The line without its comment, and the brackets and the quote left open after it, given those before it."""
+    for m in re.finditer(r"""\\.|[\[\]{}"']|(?<!\S)#""", line):
+        c = m[0]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = "" if re.match(r"[\w.-]", line[m.start() - 1 : m.start()]) else c
+        elif c == "#":
+            return line[: m.start()], depth, quote
+        elif len(c) == 1:
+            depth += 1 if c in "[{" else -1
+            if depth == 0:
+                break
+    return line, depth, quote
+
+
+def _flow_entries(text: str) -> Iterator[tuple[list[str], str]]:
+    """(keys, value) of each entry of a flow mapping or list, those of nested ones too; a nested one's own value is its bracket."""
+    frames: list[list] = []  # [is it a list, key or number, scalar not yet given out]
+    above = lambda: [str(f[1]) for f in frames[:FLOW_DEPTH]]
+    quoted_key = False
+    for m in FLOW.finditer(text):
+        quoted, mark, colon, plain = m.groups()
+        if plain is not None and quoted_key and plain.startswith(":"):  # "key":value
+            colon, plain = ":", plain[1:]
+        quoted_key = quoted is not None
+        if mark is not None and mark in "[{":
+            if frames:
+                frames[-1][1] = "" if frames[-1][1] is None else frames[-1][1]
+                yield above(), mark
+                frames[-1][2] = None
+            frames.append([mark == "[", 0 if mark == "[" else None, None])
+        elif not frames:
+            return
+        elif mark is not None:
+            is_list, key, scalar = frames[-1]
+            if is_list and scalar is not None:
+                yield above(), scalar
+            elif not is_list and (scalar is not None or key is not None):
+                if key is None:
+                    frames[-1][1], scalar = scalar, ""
+                if scalar != NESTED:
+                    yield above(), scalar or ""
+            if mark == ",":
+                frames[-1][1:] = [key + 1, None] if is_list else [None, None]
+                continue
+            frames.pop()
+            if not frames:
+                return
+            frames[-1][2] = None if frames[-1][0] else NESTED
+        if colon is not None and not frames[-1][0]:
+            frames[-1][1:] = [frames[-1][2] or "", None]
+        scalar = quoted[1:-1] if quoted is not None else plain.strip() if plain is not None else ""
+        if scalar or quoted is not None:
+            frames[-1][2] = scalar
+
+
 def _key_lines(text: str) -> Iterator[tuple]:
     """(line, doc, keys, value, anchor, alias) of each line of YAML that says something; items of lists are numbered keys.
 
@@ -75,10 +210,19 @@ def _key_lines(text: str) -> Iterator[tuple]:
     """
     stack: list[list] = []  # [indent, key, number of the last item below]
     doc, scalar = 0, None
+    flow: list[str] = []  # lines of a flow mapping or list that is still open
+    depth, quote = 0, ""
     for n, raw in enumerate(text.split("\n"), 1):
         line = raw.rstrip()
         body = line.lstrip(" \t")
         indent = len(line) - len(body)
+        if depth > 0 and not body.startswith("---"):
+            body, depth, quote = _flow_open(body, depth, quote)
+            flow.append(body)
+            if depth <= 0:
+                yield from ((start, doc, [*keys, *more], value, None, None) for more, value in _flow_entries(" ".join(flow)))
+            continue
+        depth = 0
         if scalar is not None and (not body or indent > scalar):
             if body:
                 yield n, doc, [k for _, k, _ in stack], body, None, None
@@ -111,7 +255,13 @@ def _key_lines(text: str) -> Iterator[tuple]:
         alias = re.match(r"\*(\S+)$", body)
         quoted = re.match(r"""(["'])(.*)\1$""", body)
         value = quoted[2] if quoted else re.sub(r"\s+#.*$", "", body)
-        yield n, doc, [k for _, k, _ in stack], value, anchor[1] if anchor else None, alias[1] if alias else None
+        keys = [k for _, k, _ in stack]
+        yield n, doc, keys, value, anchor[1] if anchor else None, alias[1] if alias else None
+        if body[:1] in ("{", "["):
+            body, depth, quote = _flow_open(body, 0, "")
+            start, flow = n, [body]
+            if depth <= 0:
+                yield from ((n, doc, [*keys, *more], value, None, None) for more, value in _flow_entries(body))
 
 
 def yaml_paths(files: DataFrame, max_depth: int = 64) -> DataFrame:

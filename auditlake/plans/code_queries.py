@@ -330,13 +330,41 @@ def endpoint_counts(spark, sf):
     return co.endpoint_counts(_code(spark, sf, _CODE, "js"))
 
 
-@query("""WITH p AS (SELECT concat('p', p_partkey) AS repo, p_size AS z FROM part)
-SELECT repo, 0 AS doc_no, 'privileged' AS rule, 'critical' AS severity FROM p WHERE z % 2 = 0 UNION ALL SELECT repo, 0, 'no-resources', 'medium' FROM p WHERE z % 3 = 0 UNION ALL SELECT repo, 0, 'no-probes', 'low' FROM p
-UNION ALL SELECT repo, 0, 'mutable-image', 'medium' FROM p WHERE z % 5 < 2 UNION ALL SELECT repo, 1, 'wildcard-rbac', 'high' FROM p WHERE z % 7 = 0 UNION ALL SELECT repo, NULL, 'no-network-policy', 'medium' FROM p""")
+# Manifests by part: a workload whose kind, containers and contexts vary, with block and flow style; a role; a map of settings; some with a policy.
+_POD = "CASE WHEN p_size % 3 = 1 THEN '  jobTemplate:\n    spec:\n      template:\n        spec:\n' WHEN p_size % 3 = 2 THEN '  template: # of pods\n        spec:\n' ELSE '' END"
+_MANIFEST = f"""concat('kind: ', CASE p_size % 3 WHEN 0 THEN 'Pod' WHEN 1 THEN 'CronJob' ELSE '"Deployment"' END, '\nmetadata: {{ labels: {{ a: "}}" }}, name: d', CAST(p_size % 4 AS string), ' }}\nspec:\n', {_POD},
+'            securityContext: {{ runAsNonRoot: ', CASE WHEN p_size % 5 = 0 THEN 'true' ELSE 'false' END, ' }}\n', CASE WHEN p_size % 4 = 1 THEN '            automountServiceAccountToken: false\n' ELSE '' END,
+'            containers:\n            - name: web\n              image: app', CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN ':latest' ELSE ':1.2' END, '\n              securityContext:\n                privileged: ', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END,
+'\n                allowPrivilegeEscalation: ', CASE WHEN p_size % 7 = 0 THEN 'true' ELSE 'false' END, '\n              resources:', CASE WHEN p_size % 3 = 0 THEN ' {{}}' ELSE '\n                limits: {{cpu: 1}}' END, '\n', CASE WHEN p_size % 6 < 2 THEN '' ELSE '              livenessProbe:\n                  exec: {{command: [a, b]}}\n' END,
+'            initContainers:\n              - {{name: "init", image: "{{{{ .Values.image }}}}:3", securityContext: {{runAsUser: 10, allowPrivilegeEscalation: false}},\n                 resources: {{requests: {{memory: 1Mi}}}}, readinessProbe: {{exec: x}}}}\n{{{{- if .Values.x }}}}\n---\n',
+'kind: ', CASE WHEN p_size % 2 = 0 THEN 'ClusterRole' ELSE 'Role' END, '\nmetadata:\n  name: r\nrules:\n  - verbs: [get, ', CASE WHEN p_size % 7 = 0 THEN '"*"' ELSE 'list' END, ']\n  - resources:\n    - ', CASE WHEN p_size % 4 = 0 THEN '"*"' ELSE 'pods' END,
+'\n---\nkind: ConfigMap\ndata: {{LEVEL: info, ', CASE p_size % 3 WHEN 0 THEN 'DB_PASSWORD' WHEN 1 THEN 'api-key' ELSE 'DB_HOST' END, ': x}}\n', CASE WHEN p_size % 8 = 0 THEN '---\nkind: NetworkPolicy\nspec: {{podSelector: {{}}}}\n' ELSE '' END)"""
+_K8S = """WITH p AS (SELECT concat('p', p_partkey) AS repo, p_size AS z FROM part), f AS (
+SELECT repo, 0 AS doc_no, 'containers/0' AS unit, 'privileged' AS rule, 'critical' AS severity, 'web' AS subject FROM p WHERE z % 2 = 0 UNION ALL SELECT repo, 0, 'containers/0', 'runs-as-root', 'medium', 'web' FROM p WHERE z % 5 > 0
+UNION ALL SELECT repo, 0, 'containers/0', 'privilege-escalation', 'low', 'web' FROM p WHERE z % 7 = 0 UNION ALL SELECT repo, 0, 'containers/0', 'no-resources', 'medium', 'web' FROM p WHERE z % 3 = 0
+UNION ALL SELECT repo, 0, 'containers/0', 'no-probes', 'medium', 'web' FROM p WHERE z % 6 < 2 UNION ALL SELECT repo, 0, 'containers/0', 'mutable-image', 'low', 'web' FROM p WHERE z % 5 < 2
+UNION ALL SELECT repo, 0, '', 'service-account-token', 'low', concat('d', z % 4) FROM p WHERE z % 4 <> 1 UNION ALL SELECT repo, 1, 'rules/0', 'wildcard-rbac', CASE WHEN z % 2 = 0 THEN 'high' ELSE 'medium' END, 'r' FROM p WHERE z % 7 = 0
+UNION ALL SELECT repo, 1, 'rules/1', 'wildcard-rbac', 'high', 'r' FROM p WHERE z % 4 = 0 UNION ALL SELECT repo, 2, '', 'secret-in-configmap', 'high', CASE z % 3 WHEN 0 THEN 'DB_PASSWORD' ELSE 'api-key' END FROM p WHERE z % 3 < 2
+UNION ALL SELECT repo, NULL, NULL, 'no-network-policy', 'medium', NULL FROM p WHERE z % 8 > 0)"""
+
+
+def _manifests(spark, sf) -> DataFrame:
+    made = _parts(spark, sf).select(F.expr(_OWN).alias("repo"), F.lit("k8s/all.yaml").alias("path"), F.expr(_MANIFEST).alias("content"), "p_size")
+    return made.withColumn("path", F.when(F.col("p_size") % 11 == 0, "k8s/all.txt").otherwise(F.col("path"))).drop("p_size")
+
+
+@query(f"{_K8S} SELECT f.repo, doc_no, unit, rule, severity, subject FROM f JOIN p ON p.repo = f.repo WHERE z % 11 > 0")
 def k8s_findings(spark, sf):
-    text = """concat('kind: Deployment\nmetadata:\n  name: d\nspec:\n  containers:\n    - image: app', CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN ':latest' ELSE ':1.2' END, '\n      privileged: ', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '\n',
-CASE WHEN p_size % 3 = 0 THEN '' ELSE '      resources: {}\n' END, '---\nkind: ClusterRole\nmetadata:\n  name: r\nrules:\n  - verbs: [', CASE WHEN p_size % 7 = 0 THEN '"*"' ELSE 'get' END, ']\n')"""
-    return co.k8s_findings(co.k8s_docs(_project(spark, sf, k8s__all_DOT_yaml=text))).select("repo", "doc_no", "rule", "severity")
+    return co.k8s_findings(stored(co.k8s_facts(_manifests(spark, sf)))).select("repo", "doc_no", "unit", "rule", "severity", "subject")
+
+
+@query(f"""{_K8S}, c AS (SELECT repo, count(*) AS n, sum(CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 50 WHEN 'medium' THEN 20 ELSE 8 END) AS w FROM f GROUP BY repo)
+SELECT repo, z % 11 > 0 AS applicable, CASE WHEN z % 11 > 0 THEN 1 ELSE 0 END AS manifests, CASE WHEN z % 11 = 0 THEN 0 WHEN z % 8 = 0 THEN 4 ELSE 3 END AS documents,
+CASE WHEN z % 11 = 0 THEN '' ELSE array_to_string(list_sort(list_filter([CASE z % 3 WHEN 0 THEN 'Pod:1' WHEN 1 THEN 'CronJob:1' ELSE 'Deployment:1' END, CASE WHEN z % 2 = 0 THEN 'ClusterRole:1' ELSE 'Role:1' END, 'ConfigMap:1', CASE WHEN z % 8 = 0 THEN 'NetworkPolicy:1' END], lambda x: x IS NOT NULL)), ',') END AS kinds,
+CASE WHEN z % 11 = 0 THEN 0 ELSE coalesce(n, 0) END AS findings, CASE WHEN z % 11 = 0 THEN 0 ELSE greatest(5, CAST(floor(100.0 / (1.0 + CAST(coalesce(w, 0) AS DOUBLE) / 100.0 / 6.0) + 0.5) AS INTEGER)) END AS score FROM p LEFT JOIN c USING (repo)""")
+def k8s_report(spark, sf):
+    files = _manifests(spark, sf)
+    return co.k8s_report(files, stored(co.k8s_facts(files)))
 
 
 @query("""SELECT concat('p', p_partkey) AS repo, unnest(['GET', 'POST', 'DELETE', 'PATCH', 'HEAD', 'HEAD']) AS method,

@@ -97,7 +97,7 @@ def test_paths_of_lines(spark):
     rows = co.yaml_paths(df).collect()
     got = {(r.doc, r.line, ".".join(r["keys"])): r.value for r in rows if r.path == "a.yml"}
     assert got == {
-        (0, 2, "paths"): "", (0, 3, "paths./a b"): "", (0, 4, "paths./a b.get"): "{x: 1}", (0, 5, "paths./c"): "", (0, 6, "paths./c.0.name"): "one", (0, 7, "paths./c.0.deep"): "", (0, 8, "paths./c.0.deep.0.x"): "1",
+        (0, 2, "paths"): "", (0, 3, "paths./a b"): "", (0, 4, "paths./a b.get"): "{x: 1}", (0, 4, "paths./a b.get.x"): "1", (0, 5, "paths./c"): "", (0, 6, "paths./c.0.name"): "one", (0, 7, "paths./c.0.deep"): "", (0, 8, "paths./c.0.deep.0.x"): "1",
         (0, 9, "paths./c.0.deep.1"): "", (0, 10, "paths./c.0.deep.1.0"): "inner", (0, 11, "paths./c.0.deep.1.1.y"): "2", (0, 12, "paths.run"): "", (0, 13, "paths.run"): "line: one", (0, 15, "paths.run"): "line two", (0, 16, "paths.after"): "it''s",
         (1, 18, "jobs"): "*none", (1, 19, "more"): "", (1, 20, "more.base"): "", (1, 21, "more.base.image"): "x", (1, 22, "more.own"): "", (1, 23, "more.own.<<"): "*b", (1, 23, "more.own.image"): "x", (1, 24, "more.own.k"): "v",
     }
