@@ -137,6 +137,37 @@ def dimension_groups(spark, sf):
     return fi.dimension_groups(FINDINGS(spark, sf), DIMENSIONS)
 
 
+# Scores and applicability by supplier; dimensions without a row have neither.
+_KNOWN = f"""SELECT concat('repo-', s_suppkey) AS repo, dimension, CAST(CASE WHEN (s_suppkey + k) % 4 > 0 THEN s_suppkey * k * 7 % 1009 / 10.0 END AS DOUBLE) AS score,
+CASE dimension WHEN 'accessibility' THEN s_suppkey % 3 > 0 WHEN 'load' THEN s_suppkey % 5 > 0 ELSE true END AS applicable, 'no such files' AS reason
+FROM (SELECT s_suppkey, unnest(range(1, {len(DIMENSIONS)})) AS k, unnest([{', '.join(f"'{d}'" for d in DIMENSIONS[:-1])}]) AS dimension FROM supplier)"""
+_GROUPS = f"""{cte('findings')}, f AS (SELECT * FROM findings WHERE line % 6 < 3), r AS (SELECT *, row_number() OVER (PARTITION BY repo, dimension ORDER BY {_ORDER}) AS rank FROM f), known AS ({_KNOWN}),
+g AS (SELECT repo, dimension, count(*) AS n, string_agg(title, '|' ORDER BY rank) FILTER (rank <= 4) AS titles FROM r GROUP BY ALL),
+grid AS (SELECT concat('repo-', s_suppkey) AS repo, unnest(range(1, {len(DIMENSIONS) + 1})) AS position, unnest([{', '.join(f"'{d}'" for d in DIMENSIONS)}]) AS dimension FROM supplier),
+report AS (SELECT repo, position, dimension, CAST(floor(score + 0.5) AS INTEGER) AS score, coalesce(applicable, true) AS applicable, CASE WHEN NOT applicable THEN reason END AS reason, coalesce(n, 0) AS n, coalesce(titles, '') AS titles
+FROM grid LEFT JOIN known USING (repo, dimension) LEFT JOIN g USING (repo, dimension))"""
+
+
+def _report(spark, sf):
+    suppliers = table(spark, sf, "supplier")
+    repos = suppliers.select(F.expr("concat('repo-', CAST(s_suppkey AS string))").alias("repo"), "s_suppkey")
+    known = repos.select("*", F.posexplode(F.array(*map(F.lit, DIMENSIONS[:-1]))).alias("k0", "dimension")).withColumn("k", F.col("k0") + 1)
+    score = F.expr("CASE WHEN (s_suppkey + k) % 4 > 0 THEN CAST(s_suppkey * k * 7 % 1009 AS double) / 10 END")
+    applies = F.expr("CASE dimension WHEN 'accessibility' THEN s_suppkey % 3 > 0 WHEN 'load' THEN s_suppkey % 5 > 0 ELSE true END")
+    scores = known.select("repo", "dimension", score.alias("score"), applies.alias("applicable"), F.lit("no such files").alias("reason"))
+    return fi.dimension_report(repos, FINDINGS(spark, sf).where("line % 6 < 3"), scores, DIMENSIONS, 4)
+
+
+@query(f"{_GROUPS} SELECT * FROM report")
+def dimension_report(spark, sf):
+    return _report(spark, sf)
+
+
+@query(f"{_GROUPS} SELECT repo, CAST(coalesce(floor(avg(score) FILTER (applicable) + 0.5), 0) AS INTEGER) AS overall, CAST(sum(n) AS BIGINT) AS findings FROM report GROUP BY repo")
+def overall_of_groups(spark, sf):
+    return fi.overall_of_groups(_report(spark, sf))
+
+
 def _phase(i: int, p: tuple) -> str:
     phase, severity, dimension, limit = p
     where = f"severity = '{severity}'" if severity else f"dimension = '{dimension}' AND severity IN ('low', 'info')"
@@ -399,6 +430,28 @@ def stage_summary(spark, sf):
     return se.stage_summary(FINDINGS(spark, sf))
 
 
+_RESULTS = """SELECT CAST(l_orderkey AS BIGINT) AS run_id, CASE l_linenumber WHEN 1 THEN 'security' WHEN 2 THEN 'unit' WHEN 3 THEN 'load' ELSE 'other' END AS dimension,
+CASE l_partkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'warning' WHEN 2 THEN 'pending' WHEN 3 THEN NULL WHEN 4 THEN 'running' ELSE 'passed' END AS status, CASE WHEN l_suppkey % 6 > 0 THEN CAST(l_quantity * 100 AS INTEGER) END AS duration_ms FROM lineitem"""
+_STATES = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in se.STAGE_STATES)
+
+
+def _results(spark, sf):
+    states = "CASE l_partkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'warning' WHEN 2 THEN 'pending' WHEN 3 THEN NULL WHEN 4 THEN 'running' ELSE 'passed' END"
+    dimension = "CASE l_linenumber WHEN 1 THEN 'security' WHEN 2 THEN 'unit' WHEN 3 THEN 'load' ELSE 'other' END"
+    ms = "CASE WHEN l_suppkey % 6 > 0 THEN CAST(l_quantity * 100 AS int) END"
+    return table(spark, sf, "lineitem").select(F.expr("CAST(l_orderkey AS bigint)").alias("run_id"), F.expr(dimension).alias("dimension"), F.expr(states).alias("status"), F.expr(ms).alias("duration_ms"))
+
+
+@query(f"SELECT run_id, count(*) AS total, {_STATES}, CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS duration_ms, 100.0 * count(*) FILTER (status = 'passed') / count(*) AS percent FROM ({_RESULTS}) GROUP BY run_id")
+def stage_status_by_run(spark, sf):
+    return se.stage_status(_results(spark, sf), "run_id")
+
+
+@query(f"SELECT dimension, count(*) AS total, {_STATES}, CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS duration_ms, 100.0 * count(*) FILTER (status = 'passed') / count(*) AS percent FROM ({_RESULTS}) GROUP BY dimension")
+def stage_status_by_dimension(spark, sf):
+    return se.stage_status(_results(spark, sf), "dimension")
+
+
 @query(f"{cte('runs')} SELECT id, CASE WHEN status <> 'running' THEN CASE WHEN id % 300 < 60 THEN concat(id % 300, 's') ELSE concat(id % 300 // 60, 'm ', id % 60, 's') END END AS duration FROM runs")
 def run_duration(spark, sf):
     return se.run_duration(RUNS(spark, sf))
@@ -499,6 +552,23 @@ def report_detail(spark, sf):
     return se.report_detail(FINDINGS(spark, sf), RUNS(spark, sf))
 
 
+# Reports of orders: several of one run, some without a known run; asked for by report, by run, and by others than the owner.
+_REPORTS = {"id": "concat('rep-', CAST(o_orderkey AS string))", "run_id": "CASE WHEN o_orderkey % 9 > 0 THEN concat('run-', CAST(o_orderkey - o_orderkey % 5 AS string)) END", "title": "concat('report ', o_orderpriority)", "created_at": "CAST(o_orderdate AS timestamp)"}
+_OWNED = {"id": "concat('run-', CAST(o_orderkey AS string))", "user_id": "CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS bigint) END", "project_id": "CAST(o_orderkey % 97 AS bigint)", "branch": "CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'dev' END", "score": "CAST(o_orderkey % 101 AS int)"}
+_ASKED = {"key": "CASE o_orderkey % 4 WHEN 0 THEN concat('run-', CAST(o_orderkey - o_orderkey % 5 AS string)) WHEN 1 THEN 'rep-0' ELSE concat('rep-', CAST(o_orderkey AS string)) END", "user_id": "CAST(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE o_custkey END AS bigint)"}
+_PROJECTS = {"id": "CAST(p_partkey AS bigint)", "name": "p_name", "repo_url": "concat('https://host/', CAST(p_size AS string))"}
+_sql = lambda columns, source, where="true": f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source} WHERE {where}".replace("string)", "varchar)")
+
+
+@query(f"""WITH reports AS ({_sql(_REPORTS, 'orders')}), runs AS ({_sql(_OWNED, 'orders', 'o_orderkey % 5 = 0')}), projects AS ({_sql(_PROJECTS, 'part', 'p_partkey % 97 < 80 AND p_partkey < 97')}), asked AS (SELECT DISTINCT * FROM ({_sql(_ASKED, 'orders')})),
+b AS (SELECT a.key, a.user_id, r.*, row_number() OVER (PARTITION BY a.key, a.user_id ORDER BY CASE WHEN r.id = a.key THEN 0 ELSE 1 END, r.created_at DESC NULLS LAST, r.id) AS rank FROM asked a JOIN (SELECT id AS k, * FROM reports UNION ALL SELECT run_id, * FROM reports WHERE run_id IS NOT NULL) r ON r.k = a.key)
+SELECT b.key, b.user_id, b.id, b.run_id, b.title, runs.branch, runs.score, projects.name AS project_name, projects.repo_url FROM b LEFT JOIN runs ON runs.id = b.run_id LEFT JOIN projects ON projects.id = runs.project_id WHERE rank = 1 AND (runs.user_id IS NULL OR runs.user_id = b.user_id)""")
+def report_lookup(spark, sf):
+    made = lambda columns, source: source.select(*[F.expr(e).alias(c) for c, e in columns.items()])
+    orders, parts = table(spark, sf, "orders"), table(spark, sf, "part").where("p_partkey % 97 < 80 and p_partkey < 97")
+    return se.report_lookup(made(_ASKED, orders), made(_REPORTS, orders), made(_OWNED, orders.where("o_orderkey % 5 = 0")), made(_PROJECTS, parts))
+
+
 # ---------------------------------------------------------------- request logs and streams
 
 _LEVELS = "SELECT concurrency, count(*) AS attempts, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.9) AS p90, quantile_cont(latency, 0.99) AS p99, least(1.0, count(*) FILTER (status >= 300) / count(*)) AS error_rate FROM requests GROUP BY concurrency"

@@ -93,6 +93,28 @@ def dimension_groups(findings: DataFrame, order: list[str], cap: int = VISIBLE)
     return counts.join(lists, ["repo", "dimension"]).select("repo", "dimension", position.alias("position"), "n", F.concat_ws("|", F.transform("t", lambda x: x["title"])).alias("titles"))
 
 
+def dimension_report(repos: DataFrame, findings: DataFrame, scores: DataFrame, order: list[str], cap: int = VISIBLE) -> DataFrame:
+    """(repo, position, dimension, score, applicable, reason, n, titles): every dimension of the order for each repo, found or not.
+
+    scores: (repo, dimension, score, applicable, reason), a row where something is known; without one the score is null
+    and the dimension applies. Scores are rounded half up; reason is that of dimensions that don't apply, else null.
+    """
+    grid = repos.select("repo").distinct().select("repo", F.posexplode(F.array(*map(F.lit, order))).alias("at", "dimension"))
+    groups = dimension_groups(findings, order, cap).select("repo", "dimension", "n", "titles")
+    both = grid.join(scores.select("repo", "dimension", "score", "applicable", "reason"), ["repo", "dimension"], "left").join(groups, ["repo", "dimension"], "left")
+    applies = F.coalesce("applicable", F.lit(True))
+    return both.select(
+        "repo", (F.col("at") + 1).alias("position"), "dimension", S.round_half_up(F.col("score")).alias("score"), applies.alias("applicable"), F.when(~applies, F.col("reason")).alias("reason"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("titles", F.lit("")).alias("titles"),
+    )
+
+
+def overall_of_groups(report: DataFrame) -> DataFrame:
+    """(repo, overall, findings) of a dimension_report(): the rounded mean of the scores that are known and apply (0 without any), and all findings."""
+    counts = F.when(F.col("applicable"), F.col("score"))
+    return report.groupBy("repo").agg(F.coalesce(S.round_half_up(F.avg(counts)), F.lit(0)).alias("overall"), F.sum("n").alias("findings"))
+
+
 def remediation_plan(findings: DataFrame, run: str = "repo") -> DataFrame:
     """(repo, phase, dimension, severity, title, rank): what to mend first, each group with its limit."""
     group, phase, limit = F.lit(None), F.lit(None), F.lit(None)

@@ -11,6 +11,7 @@ from auditlake.functions import scores as S
 PLANS = {"free": (5, 1, 0), "pro": (100, 10, 20), "team": (500, 50, 200), "enterprise": (None, None, None)}
 ALIASES = {"premium": "team", "forge": "team"}
 PERSONAL_KEY_CAP = 50
+STAGE_STATES = ["passed", "failed", "warning", "pending"]  # fixed values
 
 
 def run_history(runs: DataFrame, n: int = 20, status: str | None = None, projects: DataFrame | None = None, search: str | None = None) -> DataFrame:
@@ -83,6 +84,17 @@ def stage_summary(findings: DataFrame) -> DataFrame:
     return stages.groupBy("repo").agg(F.count(F.lit(1)).alias("stages"), F.count_if(F.col("bad") == 0).alias("passed"), S.round_half_up(F.lit(100.0) * F.count_if(F.col("bad") == 0) / F.count(F.lit(1))).alias("percent"))
 
 
+def stage_status(results: DataFrame, *by: str) -> DataFrame:
+    """Stages by status for each key (a run, a dimension): results hold a stage's status and duration_ms.
+
+    percent is the share of passed stages; a stage without one of these counts in the total alone, one without a duration
+    adds nothing to it.
+    """
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in STAGE_STATES]
+    g = results.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *counts, F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long").alias("duration_ms"))
+    return g.withColumn("percent", F.lit(100.0) * F.col("passed") / F.col("total"))
+
+
 def run_duration(runs: DataFrame) -> DataFrame:
     seconds = F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")
     text = F.when(seconds >= 60, F.concat((seconds / 60).cast("int").cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
@@ -196,3 +208,22 @@ def report_detail(findings: DataFrame, runs: DataFrame) -> DataFrame:
     """Findings of each run with the run's columns, in order of severity, then sequence."""
     ranked = findings.withColumn("severity_rank", S.severity_rank(F.col("severity")))
     return ranked.join(runs.select(F.col("id").alias("run_id"), "user_id", "project_id", F.col("status").alias("run_status")), "run_id", "left").select("run_id", "user_id", "project_id", "run_status", "severity", "severity_rank", "seq")
+
+
+def report_lookup(wanted: DataFrame, reports: DataFrame, runs: DataFrame, projects: DataFrame) -> DataFrame:
+    """(key, user_id, id, run_id, title, branch, score, project_name, repo_url) for each (key, user_id) that asks and may see.
+
+    The key is a report's id or its run's; of several reports the one of that id comes first, then the newest, then the
+    smallest id. A report whose run belongs to another user isn't shown; one of a run without a user, or of no known
+    run, is. Keys without a report give no row. Each side is joined by its own key, so that no condition is an OR.
+    """
+    asked = wanted.select("key", "user_id").distinct()
+    report = F.struct("id", "run_id", "title")
+    one = reports.where("id is not null").groupBy(F.col("id").alias("key")).agg(F.min(report).alias("own"))
+    newest = F.struct(F.col("created_at").isNull(), -F.unix_micros(F.col("created_at").cast("timestamp")), "id")
+    of_key = reports.where("run_id is not null").groupBy(F.col("run_id").alias("key")).agg(F.min_by(report, newest).alias("newest"))
+    best = asked.join(one, "key", "left").join(of_key, "key", "left").withColumn("r", F.coalesce("own", "newest")).where("r is not null").select("key", "user_id", "r.*")
+    of_run = runs.select(F.col("id").alias("run_id"), F.col("user_id").alias("owner"), "project_id", "branch", "score")
+    of_project = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"), "repo_url")
+    seen = best.join(of_run, "run_id", "left").where("owner is null or owner = user_id").join(of_project, "project_id", "left")
+    return seen.select("key", "user_id", "id", "run_id", "title", "branch", "score", "project_name", "repo_url")

@@ -156,3 +156,22 @@ def test_ledger_lines(spark):
     lines = ["- 2024-01-02 | open | An idea | low | seen", "* 2024-02-30 | open | bad day | low | x", "- four | parts | only | here", "## head | a | b | c | d", None]
     got = sr.read_ledger(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [(str(r.entry_date), r.state, r.title, r.risk, r.evidence) for r in got] == [("2024-01-02", "open", "An idea", "low", "seen")]
+
+
+def test_report_lookup_of_keys_and_owners(spark):
+    reports = [("a", "r1", "old", 1), ("b", "r1", "new", 2), ("c", None, "alone", None), ("r1", "r2", "named like a run", 0), ("d", "r3", "t", 3), ("e", "r3", "t", 3), ("f", "gone", "t", None)]
+    runs = [("r1", 7, 1, "main", 50), ("r2", None, 2, None, None), ("r3", 8, None, "dev", 1)]
+    wanted = [(k, u) for k in ("a", "r1", "r3", "c", "gone", "nothing", None) for u in (7, 8)] + [("a", 7)]
+    d = spark.createDataFrame
+    got = se.report_lookup(
+        d(wanted, "key string, user_id long"), d(reports, "id string, run_id string, title string, created_at long"), d(runs, "id string, user_id long, project_id long, branch string, score int"), d([(1, "p", "u"), (2, "q", None)], "id long, name string, repo_url string"),
+    )
+    assert sorted((r.key, r.user_id, r.id, r.project_name) for r in got.collect()) == [("a", 7, "a", "p"), ("c", 7, "c", None), ("c", 8, "c", None), ("gone", 7, "f", None), ("gone", 8, "f", None), ("r1", 7, "r1", "q"), ("r1", 8, "r1", "q"), ("r3", 8, "d", None)]
+
+
+def test_groups_without_findings_or_scores(spark):
+    found = spark.createDataFrame([("r", "unit", "high", "t", "a.js", 1, 1, 1)], "repo string, dimension string, severity string, title string, path string, line int, col int, seq long")
+    scores = spark.createDataFrame([("r", "unit", 61.5, True, None), ("r", "load", 99.0, False, "no server")], "repo string, dimension string, score double, applicable boolean, reason string")
+    report = fi.dimension_report(spark.createDataFrame([("r",), ("s",), ("s",)], "repo string"), found, scores, ["load", "unit", "chaos"])
+    assert [tuple(r) for r in report.where("repo = 'r'").orderBy("position").collect()] == [("r", 1, "load", 99, False, "no server", 0, ""), ("r", 2, "unit", 62, True, None, 1, "t"), ("r", 3, "chaos", None, True, None, 0, "")]
+    assert {tuple(r) for r in fi.overall_of_groups(report).collect()} == {("r", 62, 1), ("s", 0, 0)}
