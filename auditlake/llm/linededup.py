@@ -313,8 +313,7 @@ def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that line_verdicts() rejects cut from text; n_chars follows. All columns stay, whatever their names.
 
-    Lines without a word stay as they are unless a neighbour's removal leaves the text without words: then it is ''.
-    Null and empty texts stay. Rows of one id and equal texts are one document and lose the same lines; different texts
+    Lines without a word stay as they are; a text of which every line goes is ''. Null and empty texts stay. Rows of one id and equal texts are one document and lose the same lines; different texts
     of one id are judged each for itself. An empty table gives no rows.
     """
     rows, _, gone = _verdicts(docs, "text", "doc_id")
