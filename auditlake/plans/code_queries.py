@@ -348,14 +348,14 @@ UNION ALL SELECT repo, 1, 'rules/1', 'wildcard-rbac', 'high', 'r' FROM p WHERE z
 UNION ALL SELECT repo, NULL, NULL, 'no-network-policy', 'medium', NULL FROM p WHERE z % 8 > 0)"""
 
 
-def _manifests(spark, sf) -> DataFrame:
+def _k8s_files(spark, sf) -> DataFrame:
     made = _parts(spark, sf).select(F.expr(_OWN).alias("repo"), F.lit("k8s/all.yaml").alias("path"), F.expr(_MANIFEST).alias("content"), "p_size")
     return made.withColumn("path", F.when(F.col("p_size") % 11 == 0, "k8s/all.txt").otherwise(F.col("path"))).drop("p_size")
 
 
 @query(f"{_K8S} SELECT f.repo, doc_no, unit, rule, severity, subject FROM f JOIN p ON p.repo = f.repo WHERE z % 11 > 0")
 def k8s_findings(spark, sf):
-    return co.k8s_findings(stored(co.k8s_facts(_manifests(spark, sf)))).select("repo", "doc_no", "unit", "rule", "severity", "subject")
+    return co.k8s_findings(stored(co.k8s_facts(_k8s_files(spark, sf)))).select("repo", "doc_no", "unit", "rule", "severity", "subject")
 
 
 @query(f"""{_K8S}, c AS (SELECT repo, count(*) AS n, sum(CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 50 WHEN 'medium' THEN 20 ELSE 8 END) AS w FROM f GROUP BY repo)
@@ -363,7 +363,7 @@ SELECT repo, z % 11 > 0 AS applicable, CASE WHEN z % 11 > 0 THEN 1 ELSE 0 END AS
 CASE WHEN z % 11 = 0 THEN '' ELSE array_to_string(list_sort(list_filter([CASE z % 3 WHEN 0 THEN 'Pod:1' WHEN 1 THEN 'CronJob:1' ELSE 'Deployment:1' END, CASE WHEN z % 2 = 0 THEN 'ClusterRole:1' ELSE 'Role:1' END, 'ConfigMap:1', CASE WHEN z % 8 = 0 THEN 'NetworkPolicy:1' END], lambda x: x IS NOT NULL)), ',') END AS kinds,
 CASE WHEN z % 11 = 0 THEN 0 ELSE coalesce(n, 0) END AS findings, CASE WHEN z % 11 = 0 THEN 0 ELSE greatest(5, CAST(floor(100.0 / (1.0 + CAST(coalesce(w, 0) AS DOUBLE) / 100.0 / 6.0) + 0.5) AS INTEGER)) END AS score FROM p LEFT JOIN c USING (repo)""")
 def k8s_report(spark, sf):
-    files = _manifests(spark, sf)
+    files = _k8s_files(spark, sf)
     return co.k8s_report(files, stored(co.k8s_facts(files)))
 
 
