@@ -2,7 +2,8 @@
 
 Nine overlapping heuristics vote good, bad or nothing on every document. The corpus is counted by vote pattern (a table
 bounded by 3^9 rows), expectation-maximisation on those counts estimates each heuristic's accuracy without any label, and the
-posteriors of a bounded sample train a linear scorer on hashed features. Every document is then scored.
+posteriors of all documents train a linear scorer on hashed features: votes and features are written once, and each step of
+the training is a pass over them that sums the slope. Every document is then scored.
 """
 
 from __future__ import annotations
@@ -10,19 +11,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import row_id
-from auditlake.llm.rules import STATS, STATS_TYPE, stats_of, text_stats
+from auditlake.llm.common import written
+from auditlake.llm.rules import STATS, STATS_TYPE, stats_of
 
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+SAMPLE_CHARS = float("inf")  # characters of the longest text that is learned from: there is no bound
+HEURISTICS = 9
 BUCKETS = 1 << 12
+UNIT = 1 << 30  # slopes, losses and scores become whole numbers of 1 / UNIT; sums don't depend on how rows are dealt to tasks
 SHAPE = bytes(
     ord("a") if c >= 0x80 or chr(c).islower() else ord("A") if chr(c).isupper() else ord("0") if chr(c).isdigit() else c
     for c in range(256)
@@ -102,49 +107,142 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights[k] @ x + self.weights[-1], -50, 50))))
 
 
-def train(texts: list[str | None], target: np.ndarray, rounds: int = 300, rate: float = 0.05) -> Scorer:
-    """Logistic regression on soft labels. It keeps the share of its texts that the soft labels say is good."""
-    weights = np.zeros(BUCKETS + 1)
+def _logits(weights: np.ndarray, key: np.ndarray, value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    return np.clip(np.bincount(row, weights[key] * value, rows) + weights[-1], -50, 50)
+
+
+def slopes(weights: np.ndarray, key: np.ndarray, value: np.ndarray, row: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log loss of rows on soft labels and its slopes, summed in whole numbers of 1 / UNIT: by bucket, of the bias, the loss."""
+    logit = _logits(weights, key, value, row, len(target))
+    slope = 1 / (1 + np.exp(-logit)) - target
+    loss = np.logaddexp(0, logit) - target * logit
+    by_bucket = np.bincount(key, np.rint(slope[row] * value * UNIT), BUCKETS)
+    return np.append(by_bucket, [np.rint(slope * UNIT).sum(), np.rint(loss * UNIT).sum()]).astype(np.int64)
+
+
+def minimised(summed: Callable[[np.ndarray], np.ndarray], rows: int, passes: int = 40, memory: int = 8, shrink: float = 1e-5, enough: float = 1e-6) -> np.ndarray:
+    """The weights of the logistic regression by L-BFGS; summed(weights) is slopes() over all rows, one pass over them."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        got = summed(w) / (UNIT * rows)
+        return float(got[-1] + shrink / 2 * (w @ w)), got[:-1] + shrink * w
+
+    w, past, rate = np.zeros(BUCKETS + 1), [], 1.0
+    loss, g = at(w)
+    step = -g
+    for _ in range(passes - 1):
+        if np.abs(g).max() < enough:
+            break
+        new = w + rate * step
+        new_loss, new_g = at(new)
+        if new_loss > loss + 1e-4 * rate * (g @ step):
+            rate /= 4
+            continue
+        if (new - w) @ (new_g - g) > 0:
+            past = [*past, (new - w, new_g - g)][-memory:]
+        w, loss, g, rate = new, new_loss, new_g, 1.0
+        step, told = -g, []
+        for s, y in reversed(past):
+            told.append(s @ step / (s @ y))
+            step = step - told[-1] * y
+        if past:
+            step = step * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(told)):
+            step = step + (a - y @ step / (s @ y)) * s
+    return w.round(9)
+
+
+def _levels(weights: np.ndarray, key: np.ndarray, value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Scores in whole numbers of 1 / UNIT, less than UNIT."""
+    scores = 1 / (1 + np.exp(-_logits(weights, key, value, row, rows)))
+    return np.minimum(np.floor(scores * UNIT), UNIT - 1).astype(np.int64)
+
+
+def train(texts: list[str | None], target: np.ndarray) -> Scorer:
+    """What quality_scores() learns from all rows of a table, learned from a list of texts and their posteriors."""
     if not len(texts):
-        return Scorer(weights, 0.5)
+        return Scorer(np.zeros(BUCKETS + 1), 0.5)
     parts = [features(t, stats_of(t)) for t in texts]
     row = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
     key, value = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(row, weights[key] * value, len(parts)) + weights[-1])))
-        slope = (p - target) / len(parts)
-        g = np.append(np.bincount(key, slope[row] * value, BUCKETS), slope.sum()) + 1e-5 * weights
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    weights = weights.round(9)
-    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[key] * value, len(parts)) + weights[-1], -50, 50)))
-    return Scorer(weights, float(np.quantile(p, 1 - target.mean())))
-
-
-def quality_scores(docs: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS, text: str = "text", doc_id: str = "doc_id", into: str = "_quality") -> DataFrame:
+    weights = minimised(lambda w: slopes(w, key, value, row, target), len(texts))
+    kept = max(1, round(float(target.sum())))
+    return Scorer(weights, float(np.sort(_levels(weights, key, value, row, len(texts)))[-kept] / UNIT))
+
+
+@F.pandas_udf(T.StructType([*STATS_TYPE.fields, T.StructField("key", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]))
+def _featured(texts: pd.Series) -> pd.DataFrame:
+    stats = [stats_of(t) for t in texts]
+    made = [features(t, s) for t, s in zip(texts, stats)]
+    out = pd.DataFrame(stats, columns=STATS, dtype="int64")
+    return out.assign(key=pd.Series([k for k, _ in made], dtype=object), value=pd.Series([v for _, v in made], dtype=object))
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns (a row each), keys, values and their rows of a batch of (v, key, value)."""
+    v, key, value = (batch.column(c) for c in ("v", "key", "value"))
+    sizes = np.diff(key.offsets.to_numpy())
+    return v.flatten().to_numpy().reshape(-1, HEURISTICS), key.flatten().to_numpy(), value.flatten().to_numpy(), np.repeat(np.arange(len(v)), sizes)
+
+
+def _summed(made: DataFrame, model: VoteModel, weights: np.ndarray) -> np.ndarray:
+    """slopes() over all rows of made."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 2, np.int64)
+        for pattern, key, value, row in map(_arrays, batches):
+            total += slopes(weights, key, value, row, model.posterior(pattern))
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"at": pa.array(at, pa.int32()), "total": pa.array(total[at], pa.int64())})
+
+    out = np.zeros(BUCKETS + 2)
+    sums = made.mapInArrow(add, "at int, total long").groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
+    for r in sums.collect():  # BUCKETS + 2 rows at most
+        out[r["at"]] = float(r["total"])
+    return out
+
+
+def _cut(made: DataFrame, weights: np.ndarray, kept: int) -> float:
+    """The score of the kept-th best of all rows, in whole numbers of 1 / UNIT, found by counting in ranges and then in one range."""
+
+    def counted(low: int, width: int) -> Iterator[tuple[int, int]]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pattern, key, value, row in map(_arrays, batches):
+                level = _levels(weights, key, value, row, len(pattern))
+                at, n = np.unique((level[(level >= low) & (level < low + (width << 15))] - low) // width, return_counts=True)
+                yield pa.record_batch({"at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+
+        return ((r["at"], r["n"]) for r in made.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy(F.desc("at")).collect())
+
+    low, left = 0, kept
+    for width in (1 << 15, 1):
+        for at, n in counted(low, width):  # 2^15 rows at most
+            if left <= n:
+                low += at * width
+                break
+            left -= n
+    return low / UNIT
+
+
+def quality_scores(docs: DataFrame, text: str = "text", into: str = "_quality") -> DataFrame:
     """docs with a struct column `into`: votes (array of int), posterior (of the votes), score (of the linear scorer, 0 to 1), kept.
 
-    Uses no labels. Kept is a text that scores at least what leaves the share of texts that the posteriors hold for good.
-    Null and empty texts vote like texts of no words. Repeated rows get equal scores and count each in the estimate. On
-    an empty table nothing is learned and the result is empty. The scorer is trained on at most `rows` documents, those
-    with the smallest hashes of their ids, of at most max_chars characters. Other columns stay; one named `into` is replaced.
+    Uses no labels. The scorer is trained on all rows, whatever the length of their texts. Kept is a text that scores at
+    least what leaves the share of rows that the posteriors hold for good, in steps of 1 / UNIT. Null and empty texts
+    vote like texts of no words. Repeated rows get equal scores and count each in the estimate, the training and the
+    share. On an empty table nothing is learned and the result is empty. Other columns stay; one named `into` is replaced.
     """
     spark = docs.sparkSession
-    voted = docs.select(text_stats(F.col(text)).alias("s")).select(F.array(*votes(F.col("s"))).alias("v"))
-    got = voted.groupBy("v").count().orderBy("v").collect()  # at most 3^9 rows
+    s = F.col("s")
+    made = written(docs.select(_featured(F.col(text)).alias("s")).select(F.array(*votes(s)).alias("v"), "s.key", "s.value"))
+    got = made.groupBy("v").count().orderBy("v").collect()  # at most 3^9 rows
     if got:
-        model = estimate(np.array([r["v"] for r in got]), np.array([r["count"] for r in got], float))
+        patterns, counts = np.array([r["v"] for r in got]), np.array([r["count"] for r in got], float)
+        model = estimate(patterns, counts)
+        weights = minimised(lambda w: _summed(made, model, w), int(counts.sum()))
+        scorer = Scorer(weights, _cut(made, weights, max(1, round(float(model.posterior(patterns) @ counts)))))
     else:
-        model = VoteModel(0.0, np.zeros((len(votes(F.col("s"))), 3)))
-    ids = docs.select(row_id(doc_id, text).alias("_rid"), F.length(text).alias("n")).where(F.coalesce("n", F.lit(0)) <= max_chars)
-    picked = ids.select("_rid").distinct().orderBy(F.xxhash64("_rid"), "_rid").limit(rows)
-    texts = docs.select(row_id(doc_id, text).alias("_rid"), F.col(text).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
-    texts = texts.join(F.broadcast(picked), "_rid").groupBy("_rid").agg(F.min("_t").alias("_t"))
-    sample = texts.select("_rid", "_t", text_stats("_t").alias("s")).select("_rid", "_t", F.array(*votes(F.col("s"))).alias("v")).orderBy("_rid").collect()
-    target = model.posterior(np.array([r["v"] for r in sample])) if sample else np.zeros(0)
-    scorer = train([r["_t"] for r in sample], target)
+        model, scorer = VoteModel(0.0, np.zeros((HEURISTICS, 3))), train([], np.zeros(0))
     shared = spark.sparkContext.broadcast(scorer)
 
     @F.pandas_udf(T.StructType([*STATS_TYPE.fields, T.StructField("score", T.DoubleType())]))
