@@ -1,15 +1,16 @@
 """Line dedup as an exact set-similarity self-join, in DataFrame operations only.
 
 A line is a set of words. Words are ordered by rarity (a table of corpus counts by hash bucket gives the level, the hash
-breaks ties). Each word that only one of two lines has breaks at most three runs of three neighbours in its own line's order
-and two in the other's, so lines of Jaccard similarity 0.8 share two runs of three among the first 0.6 n + 2: these
-runs are the prefix. Two runs in common are rare by chance, also where the vocabulary is small.
-
-Postings (run, line) of distinct lines are shuffled once; those whose run has company are kept. Of the earliest lines of
-its runs, each line is first compared with the one that most of its runs have: in a large group of variants nearly all
-are settled there. Lines that this does not settle meet all earlier lines of their runs. Size and positional filters
-stand before each meeting, pairs that meet once only go, maps of 256 bits rule out most others, and what is left is
-verified on its words. A line goes if an earlier line is equal or similar.
+breaks ties). Each word that only one of two lines has breaks at most two runs of two neighbours in its own line's order
+and one in the other's, so lines of Jaccard similarity 0.8 share a run of two among the first 0.4 n + 1: these runs are
+the prefix.
+
+Postings (run, line) of distinct lines are shuffled once, with a map of 64 bits of the line's words. Where few lines have
+a run, each is compared there with all earlier ones, else with the earliest, by size and positional filters and by the
+maps; the pairs that pass are counted, and each line is first verified on its words with the one that it meets most
+often: nearly all similar lines are settled there. Lines that this does not settle are verified with the others they met
+and, in runs of many lines, with all earlier ones whose maps are near. Maps of 256 bits rule out pairs before words are
+compared. A line goes if an earlier line is equal or similar.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import row_id, written
 
 TENTHS = 8  # similarity in tenths
-BUCKETS = 1 << 15
-MARKS = 1 << 22  # bits of the tables that keep lines out of a shuffle; each is broadcast as MARKS / 64 rows at most
-DENSE = 8  # in runs of more lines, the lines' maps are compared where they meet
+BUCKETS = 1 << 17
+MARKS = 1 << 23  # bits of the tables that keep lines out of a shuffle; each is broadcast as MARKS / 64 rows at most
+DENSE = 8  # in runs of more lines, lines are compared with the earliest one first, and with all others only if that does not settle them
 FULL = 255  # sizes and positions of that and more are not told apart; the filters let such lines pass
 
 
@@ -108,9 +109,10 @@ def _hashes(line: Column) -> Column:
 
 def _ranked(line: Column, table: list[int]) -> Column:
     """The distinct words of a line as numbers whose order is by rarity, then by hash."""
-    levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a literal, which plans show
-    level = lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), 56)
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+    levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a literal, which plans show
+    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
+    ranked = lambda w: level(F.xxhash64(w)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split(_spaced(line), " "), ranked), ranked(F.lit("")))))
 
 
 def _need(nx: Column, ny: Column) -> Column:
@@ -126,70 +128,76 @@ def _may_match(x: Column, y: Column) -> Column:
     return (F.greatest(nx, ny) == FULL) | (10 * nx >= TENTHS * ny) & (10 * ny >= TENTHS * nx) & (room >= _need(nx, ny))
 
 
-def _place(x: str = "") -> Column:
-    """(doc, variant, k) of a posting."""
-    return F.struct(F.col(f"{x}doc").alias("doc"), F.col(f"{x}variant").alias("variant"), _line_number(F.col(f"{x}at")).alias("k"))
+def _near(x: Column, y: Column, mx: Column, my: Column) -> Column:
+    """Whether the postings' maps mx and my leave room for similarity; x and y are _packed()."""
+    nx, ny = (F.shiftrightunsigned(c, 48).bitwiseAND(F.lit(FULL)) for c in (x, y))
+    return (F.greatest(nx, ny) == FULL) | (F.bit_count(mx.bitwiseXOR(my)) <= nx + ny - 2 * _need(nx, ny))
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def postings(lines: DataFrame, places: DataFrame, table: list[int]) -> DataFrame:
-    """(t, doc, variant, at): the runs of three t in the prefix of the first place of each line text; at is _packed().
+def postings(lines: DataFrame, firsts: DataFrame, table: list[int]) -> DataFrame:
+    """(t, doc, variant, at, m): the runs of two t in the prefix of the first place of each line text; at is _packed(), m the line's map.
 
-    With o common words of n and m, at most 3 (n - o) + 2 (m - o) <= (7 n - 2 m) / 9 <= 0.6 n runs of n are broken, so
-    two that are not are among the first 0.6 n + 2, in both lines (of one or two words: one, as such lines are equal
-    sets); runs at the end are shorter. Only lines whose text may stand elsewhere, going by a broadcast table of bits, are
-    shuffled by text to find the first place; once that table is full, all lines are.
+    With o common words of n and m, at most 2 (n - o) + (m - o) <= (2 n - m) / 3 <= 0.4 n runs of n are broken, so one
+    that is not is among the first 0.4 n + 1, in both lines; the run at the end is a single word. Only lines whose text
+    may stand elsewhere (firsts has the first places of such texts), going by a broadcast table of bits, are shuffled by
+    text to find the first place; once that table is full, all lines are.
     """
     place = ["doc", "variant", "k"]
-    copied = _table(places.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    copied = _table(firsts, "key")
     keyed = lines.withColumn("key", F.xxhash64("line"))
     alone = _marked(keyed, copied, "key", there=False).select(*place, "line")
     several = _marked(keyed, copied, "key").select(*place, "line", *_keys(F.col("line")))
-    firsts = several.groupBy("key", "key2").agg(F.min(F.struct(*place)).alias("p"), F.first("line").alias("line"))
-    ranked = alone.union(firsts.select("p.*", "line")).select(*place, _ranked(F.col("line"), table).alias("r"))
-    last = F.floor(F.col("n") * 3 / 5).cast("int")
-    slim = ranked.select(*place, F.size("r").alias("n"), "r").select(*place, "n", F.slice("r", 1, last + 4).alias("r"))
-    runs = slim.select(*place, "n", "r", F.explode(F.sequence(F.lit(0), F.least(last + 1, F.col("n") - 1))).alias("i"))
-    t = F.xxhash64(*[F.get("r", F.col("i") + j) for j in range(3)])
-    return runs.select("variant", _packed(F.col("k"), F.col("n"), F.col("i")).alias("at"), t.alias("t"), "doc")
+    first = several.groupBy("key", "key2").agg(F.min(F.struct(*place)).alias("p"), F.first("line").alias("line"))
+    ranked = alone.union(first.select("p.*", "line")).select(*place, _ranked(F.col("line"), table).alias("r"))
+    last = F.floor(F.col("n") * 2 / 5).cast("int")
+    turned = F.aggregate("r", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(_bit(h))).alias("m")
+    slim = ranked.select(*place, F.size("r").alias("n"), "r", turned).select(*place, "n", "m", F.slice("r", 1, last + 2).alias("r"))
+    runs = slim.select(*place, "n", "m", "r", F.explode(F.sequence(F.lit(0), F.least(last, F.col("n") - 1))).alias("i"))
+    t = F.xxhash64(*[F.get("r", F.col("i") + j) for j in range(2)])
+    return runs.select("variant", _packed(F.col("k"), F.col("n"), F.col("i")).alias("at"), t.alias("t"), "m", "doc")
 
 
 def in_company(posts: DataFrame) -> DataFrame:
-    """(t, doc, variant, at, later, head, lines): postings whose run other lines have too that they might match, of how many lines.
+    """(p, met, t, at, m, lines, later): postings whose run other lines have too; p is the place.
 
-    later says whether an earlier posting has the run; head is the earliest one, if this one is later and the two pass
-    the filters. Of runs of two lines, only the later posting stays, without t, and only with a head: nothing else can
-    come of them.
+    met holds the places before p that have the run and pass the filters: in runs of up to DENSE lines all, in others
+    the earliest one at most. Postings of runs of up to DENSE lines stay only with such places, and without what follows
+    met; later says whether an earlier posting has the run.
     """
     of_t = Window.partitionBy("t")
     some = posts.withColumn("lines", F.count(F.lit(1)).over(of_t)).where("lines > 1")
-    first = F.struct("doc", "variant", _line_number(F.col("at")).alias("k"), "at")
-    some = some.withColumn("head", F.min(first).over(of_t).dropFields("k")).withColumn("later", _place() != _place("head."))
-    some = some.withColumn("head", F.when(F.col("later") & _may_match(F.col("at"), F.col("head.at")), F.col("head")))
-    some = _with_partner(some).where("lines > 2 or head is not null")
-    return some.select(F.when(F.col("lines") > 2, F.col("t")).alias("t"), "doc", "variant", "at", "later", "head", "lines")
-
-
-def _with_partner(posts: DataFrame) -> DataFrame:
-    """Of the runs of up to DENSE lines the postings that pass the filters with another one of their run; all of the other runs."""
-    met = F.collect_list(F.when(F.col("lines") <= DENSE, F.col("at"))).over(Window.partitionBy("t"))
-    passing = F.size(F.filter("met", lambda y: _may_match(F.col("at"), y)))  # a posting passes with itself
-    return posts.withColumn("met", met).where((F.col("lines") > DENSE) | (passing > 1)).drop("met")
+    some = some.select("t", "at", "m", "lines", F.struct("doc", "variant", _line_number(F.col("at")).alias("k")).alias("p"))
+    few, spot = F.col("lines") <= DENSE, F.struct("p", "at", "m")
+    some = some.withColumn("all", F.collect_list(F.when(few, spot)).over(of_t)).withColumn("head", F.min(F.when(~few, spot)).over(of_t))
+    passes = lambda y: (y.p < F.col("p")) & _may_match(F.col("at"), y["at"]) & _near(F.col("at"), y["at"], F.col("m"), y["m"])
+    met = F.transform(F.filter(F.when(few, F.col("all")).otherwise(F.array("head")), passes), lambda y: y.p)
+    some = some.withColumn("met", met).where(~few | (F.size("met") > 0))
+    return some.select("p", "met", *[F.when(~few, F.col(c)).alias(c) for c in ("t", "at", "m", "lines")], (F.col("p") != F.col("head.p")).alias("later"))
 
 
 def _map(hashes: Column) -> list[Column]:
     """A map of 256 bits in which each number turns one bit over: two maps differ in no more bits than the sets in numbers."""
-    one = F.lit(1).cast("long")
-    turned = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
+    turned = lambda acc, h: acc.bitwiseXOR(_bit(h))
     return [F.aggregate(F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), turned).alias(f"b{j}") for j in range(4)]  # noqa: B023
 
 
-def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(p, line, n, b0, b1, b2, b3) at the wanted places p (distinct): the line, its number of words and its map. A broadcast table of bits keeps most other lines out of the shuffle."""
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(p, line, n, b0, b1, b2, b3) of the places p in pairs (x, y): the line, its number of words and its map.
+
+    Broadcast tables of bits keep most other texts and lines out. While few bits are set, the lines that still pass are
+    left in, up to one of 16; else lines are shuffled to meet their places.
+    """
     at = ["doc", "variant", "k"]
-    likely = _marked(lines, _table(wanted.select("p.*"), *at), *at)
-    # not a semi-join: that would be moved before the one with the table
-    found = likely.join(wanted.select("p.*"), at).select(F.struct(*at).alias("p"), "line", F.array_distinct(_hashes(F.col("line"))).alias("h"))
-    return found.select("p", "line", F.size("h").alias("n"), *_map(F.col("h")))
+    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().select("p.*"))
+    found = _marked(_lines(_marked(rows, _table(wanted, "doc"), "doc")), _table(wanted, *at), *at)
+    if wanted.count() > MARKS // 16:  # not a semi-join: that would be moved before the one with the table
+        found = found.join(wanted, at)
+    found = found.select(F.struct(*at).alias("p"), "line", F.array_distinct(_hashes(F.col("line"))).alias("h"))
+    return written(found.select("p", "line", F.size("h").alias("n"), *_map(F.col("h"))))
 
 
 def _apart(x: str, y: str) -> Column:
@@ -217,63 +225,37 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("lx", "ly")) >= _need(F.size("lx"), F.size("ly"))).select("x").distinct()
 
 
-def _small(at: str) -> Column:
-    """Whether a posting is of a line of one or two words."""
-    return F.shiftrightunsigned(at, 48).bitwiseAND(F.lit(FULL)) < 3
-
-
-def _met_twice(met: DataFrame) -> DataFrame:
-    """(x, y, count) of (x, y, small) for pairs that meet in two runs at least, or for which one will do (small)."""
-    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.bool_or("small").alias("small"))
-    return pairs.where("count > 1 or small").drop("small")
-
-
-def similar_to_earlier(rows: DataFrame, places: DataFrame) -> DataFrame:
+def similar_to_earlier(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(x): the first place (doc, variant, k) of every line text to which a different line text before it is similar."""
-    lines = _lines(rows)
-    company = written(in_company(postings(lines, places, rarity_table(rows))))
-    by_head = company.where("head is not null").select(_place().alias("x"), _place("head.").alias("y"), _small("at").alias("small"), "t")
-    first = written(_met_twice(by_head).groupBy("x").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("y")))  # of equal counts the earliest
-    first_ends = first.select(F.explode(F.array("x", "y")).alias("p"))
-    # lines that stand in one run only meet no other line twice
-    both = F.when(F.col("t").isNull(), F.array(_place(), _place("head."))).otherwise(F.array(_place()))
-    ends = company.select(F.explode(both).alias("p"), _small("at").alias("small")).groupBy("p").agg(F.count(F.lit(1)).alias("runs"), F.bool_or("small").alias("small"))
-    busy = written(ends.where("runs > 1 or small").select("p"))
-    crowd = company.where("t is not null").select("t", "at", "later", _place().alias("p")).join(busy, "p", "left_semi")
-    crowd = written(_with_partner(crowd.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("lines > 1")))
-    dense, thin = crowd.where(F.col("lines") > DENSE), crowd.where(F.col("lines") <= DENSE)
-    texts = written(_texts(lines, written(first_ends.union(dense.select("p")).distinct())))
-    settled = written(_verified(first, texts))
-    open_ = lambda some: some.where("later").join(settled.select(F.col("x").alias("p")), "p", "left_anti")
-    pair = (F.col("a.t") == F.col("b.t")) & (F.col("b.p") < F.col("a.p")) & _may_match(F.col("a.at"), F.col("b.at"))
-    met_as = [F.col("a.p").alias("x"), F.col("b.p").alias("y"), _small("a.at").alias("small")]
-    in_line = Window.partitionBy("p").orderBy(F.shiftrightunsigned("at", 56), "t")
-    maps = dense.withColumn("prev", F.lag("t").over(in_line)).join(texts.drop("line"), "p")
-    mapped = written(maps.select("t", "prev", "at", "later", "lines", "p", "n", "b0", "b1", "b2", "b3"))
-    # a line of a dense group is settled most often by its nearest neighbour in the two smallest of its dense runs
-    smallest = F.row_number().over(Window.partitionBy("p").orderBy("lines", "t"))
-    few = open_(mapped).withColumn("rank", smallest).where("rank <= 2")
-    nearest = few.alias("a").join(mapped.alias("b"), pair & _close("a.", "b.")).groupBy(F.col("a.p").alias("x")).agg(F.min_by("b.p", F.struct(_apart("a.", "b."), "b.p")).alias("y"))
-    settled = written(settled.union(_verified(written(nearest), texts)))
-    met = open_(thin).alias("a").join(thin.alias("b"), pair).select(*met_as)
-    # two lines whose runs before this one are the same have met there
-    anew = F.col("a.prev").isNull() | ~F.col("a.prev").eqNullSafe(F.col("b.prev"))
-    met_dense = open_(mapped).alias("a").join(mapped.alias("b"), pair & anew & _close("a.", "b.")).select(*met_as[:2], F.lit(True).alias("small"))
-    alone = by_head.where("t is null").select("x", "y", "small").join(settled, "x", "left_anti")
-    more = _met_twice(alone.union(met).union(met_dense)).select("x", "y").join(first, ["x", "y"], "left_anti")
-    more = written(more)
-    more_texts = written(_texts(lines, written(more.select(F.explode(F.array("x", "y")).alias("p")).distinct())))
-    return settled.union(_verified(more, more_texts))
+    company = written(in_company(postings(_lines(rows), firsts, rarity_table(rows))))
+    met = written(company.select(F.col("p").alias("x"), F.explode("met").alias("y")).groupBy("x", "y").count())
+    first = written(met.groupBy("x").agg(F.min_by("y", F.struct(-F.col("count"), "y")).alias("y")))  # of equal counts the earliest
+    settled = written(_verified(first, _texts(rows, first)))
+    dense = company.where("t is not null").drop("met")
+    open_ = lambda some: some.join(settled, "x", "left_anti")
+    late = written(open_(dense.where("later").withColumnRenamed("p", "x")))
+    pair = (F.col("a.t") == F.col("b.t")) & (F.col("b.p") < F.col("a.x")) & _may_match(F.col("a.at"), F.col("b.at")) & _near(*map(F.col, ("a.at", "b.at", "a.m", "b.m")))
+    meet = lambda some: some.alias("a").join(dense.alias("b"), pair)
+    # a line of dense runs is settled most often by its nearest neighbour in the two smallest of them
+    smallest = F.row_number().over(Window.partitionBy("x").orderBy("lines", "t"))
+    apart = F.bit_count(F.col("a.m").bitwiseXOR(F.col("b.m")))
+    nearest = meet(late.withColumn("rank", smallest).where("rank <= 2")).groupBy("a.x").agg(F.min_by("b.p", F.struct(apart, "b.p")).alias("y"))
+    more = written(open_(met.select("x", "y").union(nearest)).distinct().join(first, ["x", "y"], "left_anti"))
+    settled = written(settled.union(_verified(more, _texts(rows, more))).distinct())
+    tried = first.union(more)
+    rest = written(meet(open_(late)).select("a.x", F.col("b.p").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+    return settled.union(_verified(rest, _texts(rows, rest)))
 
 
 def _verdicts(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows: numbered(docs); places: (doc, variant, k, key, key2) of every line with a word; gone: (doc, variant, k, verdict) of lines that go."""
     rows = numbered(docs, text, doc_id)
     places = written(_lines(rows).select("doc", "variant", "k", *_keys(F.col("line"))))
-    similar = similar_to_earlier(rows, places).select("x.*", F.lit("similar").alias("verdict"))
     place = F.struct("doc", "variant", "k")
-    firsts = places.groupBy("key", "key2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = places.join(firsts, ["key", "key2"]).where(place != F.col("p")).select("doc", "variant", "k", F.lit("copy").alias("verdict"))
+    firsts = written(places.groupBy("key", "key2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    similar = similar_to_earlier(rows, firsts).select("x.*", F.lit("similar").alias("verdict"))
+    likely = _marked(places, _table(firsts, "key"), "key")
+    copies = likely.join(firsts, ["key", "key2"]).where(place != F.col("p")).select("doc", "variant", "k", F.lit("copy").alias("verdict"))
     return rows, places, written(similar.union(copies))
 
 

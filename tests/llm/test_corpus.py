@@ -206,6 +206,26 @@ def test_line_dedup_of_a_hot_line(spark):
     assert verdicts(spark, rows) == brute_verdicts(rows)
 
 
+def test_line_dedup_posts_two_fifths_of_a_line(spark):
+    """Lines of n words post 0.4 n + 1 runs, and pairs at and just under the threshold are told apart at all lengths."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 4, 5, 8, 9, 10, 14, 27, 45, 63, 90, 180, 300]
+    rows = []
+    for n in sizes:
+        base = [f"w{x}" for x in rng.choice(5000, n, replace=False)]
+        for cut in range(4):  # Jaccard similarity of 0.8 allows n // 5 words less, or n // 9 replaced
+            less, other = n // 5 + cut - 2, n // 9 + cut - 2
+            fewer = list(rng.permutation(base)[max(less, 0) :])
+            changed = list(rng.permutation(base)[max(other, 0) :]) + [f"x{x}" for x in rng.choice(5000, max(other, 0), replace=False)]
+            rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate((fewer, changed) if cut % 2 else (changed, fewer))]
+        rows.append((len(rows), " ".join(base)))
+    assert verdicts(spark, rows) == brute_verdicts(rows)
+    docs = linededup.numbered(spark.createDataFrame(rows[-1:], "doc_id long, text string"))
+    none = spark.createDataFrame([], "key long, key2 long")
+    posts = linededup.postings(linededup._lines(docs), none, linededup.rarity_table(docs))
+    assert posts.count() == 121
+
+
 def test_line_dedup_of_one_id_with_several_texts(spark):
     texts = ["wholly other opening words here\ntail one", "a shared line of five words\ntail two", "a shared line of five words\ntail two"]
     by_hash = sorted(set(texts), key=lambda t: xxhash.xxh64(t.encode(), 42).intdigest() - (1 << 64) * (xxhash.xxh64(t.encode(), 42).intdigest() >> 63))
