@@ -63,6 +63,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts and merges both sides, whatever Spark takes their sizes for.
+
+    Spark sizes a table by its files and columns: one that an explode unfolds, or whose files compress well, is taken for
+    far smaller than it is, and a side that is taken for small is collected by the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """At most `rows` labelled documents outside the held-out fold, one row an id: (doc_id, label, text).
 

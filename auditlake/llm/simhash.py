@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import real_id, row_id, written
+from auditlake.llm.common import real_id, row_id, sorted_side, written
 from auditlake.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -138,7 +138,7 @@ def fingerprint_links(fps: DataFrame, block: int = 2048) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     met = (
-        cells.join(counts, ["grid", "cell"]).withColumn("blocks", blocks).withColumn("own", own)
+        sorted_side(cells).join(counts, ["grid", "cell"]).withColumn("blocks", blocks).withColumn("own", own)
         .select("grid", "cell", "fp", F.explode(pairs).alias("p")).select("grid", "cell", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "fp")
         .repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
     )
@@ -151,9 +151,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marked = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), fingerprint(F.col(text)).alias("fp")))
     fps = written(marked.groupBy("fp").agg(F.min("row").alias("first")))
     roots = components(fingerprint_links(fps.select("fp")))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = sorted_side(fps).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    return marked.join(named.join(least, "root").select("fp", "component"), "fp")
+    return sorted_side(marked).join(sorted_side(named).join(least, "root").select("fp", "component"), "fp")
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,4 +178,4 @@ def keep_first_of_groups(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("id"), F.xxhash64("text").alias("hash"))
     first = _grouped(docs, "doc_id", "text").where("row = component").select("row.id", "row.hash").distinct()
-    return whole.join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    return whole.join(sorted_side(first), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
