@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditlake.llm import simhash
+from auditlake.llm import linededup, simhash
 
 
 def broadcasts(df) -> int:
@@ -27,3 +27,11 @@ def test_groups_of_documents_are_not_broadcast(spark):
     groups = simhash.near_duplicate_groups(docs)
     assert broadcasts(groups) <= 1  # the table of linked fingerprints, as large as its file says
     assert {r.doc_id: r.component_id for r in groups.collect()} == {i: i % 20 for i in range(60)}
+
+
+def test_lines_that_go_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five line {i % 4}\nalone {i} {i * i} {i + 7}") for i in range(12)], "doc_id long, text string")
+    cut = linededup.without_repeated_lines(docs)
+    assert broadcasts(cut) == 0
+    assert {r.doc_id: r.text.count("\n") for r in cut.collect()} == {i: int(i < 4) for i in range(12)}
+    assert broadcasts(linededup.dedup_report(docs)) == 0
