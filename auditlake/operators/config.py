@@ -141,6 +141,7 @@ KEY = re.compile(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#"'\[\]{},&*!|
 
 FLOW = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')|([\[\]{},])|(:)(?=[\s,\[\]{}]|$)|((?:[^\[\]{},:"']|:(?![\s,\[\]{}]|$)|(?<=[\w.-])["'])+)""")
 FLOW_DEPTH = 64
+BATCH_LINES = 10_000  # rows of an Arrow batch that a task hands over
 NESTED = "\0"  # stands for a nested mapping or list whose entries are out
 
 
@@ -269,23 +270,46 @@ def yaml_paths(files: DataFrame, max_depth: int = 64) -> DataFrame:
 
     An alias, also one that is merged ('<<: *name'), brings in the lines below its anchor under the keys where it
     stands; aliases inside those lines stay as they are. Files without contents give no rows; deeper lines than
-    max_depth keys have only the first that many.
+    max_depth keys have only the first that many. A file is read once, by one task, which holds its lines.
     """
-    kinds = [("repo", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("doc", pa.int32()), ("keys", pa.list_(pa.string())), ("value", pa.string()), ("anchor", pa.string()), ("alias", pa.string())]
+    kinds = [("repo", pa.string()), ("path", pa.string()), ("doc", pa.int32()), ("line", pa.int32()), ("keys", pa.list_(pa.string())), ("value", pa.string())]
 
     def run(batches):
         for batch in batches:
+            rows = []
             for repo, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows = [(repo, path, n, doc, keys[:max_depth], *more) for n, doc, keys, *more in _key_lines(text)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=[k for k, _ in kinds])
-
-    lines = files.where("content is not null").select("repo", "path", "content").mapInArrow(run, "repo string, path string, line int, doc int, keys array<string>, value string, anchor string, alias string")
-    at = ["repo", "path", "doc"]
-    anchors = lines.where("anchor is not null").select(*at, F.col("anchor").alias("alias"), F.col("keys").alias("root"))
-    uses = lines.where("alias is not null").select(*at, "alias", F.col("line").alias("use"), F.when(F.element_at("keys", -1) == "<<", F.slice("keys", 1, F.size("keys") - 1)).otherwise(F.col("keys")).alias("under"))
-    below = lines.join(uses.join(anchors, [*at, "alias"]).drop("alias"), at).where((F.size("keys") > F.size("root")) & (F.slice("keys", 1, F.size("root")) == F.col("root")))
-    brought = below.select(*at, F.col("use").alias("line"), F.concat("under", F.slice("keys", F.size("root") + 1, max_depth)).alias("keys"), "value")
-    return lines.select(*at, "line", "keys", "value").unionByName(brought)
+                for row in _with_aliases([(n, doc, keys[:max_depth], *more) for n, doc, keys, *more in _key_lines(text)]):
+                    rows.append((repo, path, *row))
+                    if len(rows) >= BATCH_LINES:
+                        yield _batch(rows, kinds)
+                        rows = []
+            if rows:
+                yield _batch(rows, kinds)
+
+    return files.where("content is not null").select("repo", "path", "content").mapInArrow(run, "repo string, path string, doc int, line int, keys array<string>, value string")
+
+
+def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
+
+
+def _with_aliases(lines: list[tuple]) -> Iterator[tuple]:
+    """(doc, line, keys, value) of a file's _key_lines(), and of the lines that its aliases bring in."""
+    roots: dict[tuple, list[list[str]]] = {}
+    for _, doc, keys, _, anchor, _ in lines:
+        if anchor is not None:
+            roots.setdefault((doc, anchor), []).append(keys)
+    for n, doc, keys, value, _, _ in lines:
+        yield doc, n, keys, value
+    below: dict[tuple, list[tuple]] = {}  # lines below an anchor that an alias names, found once
+    for use, doc, keys, _, _, alias in lines:
+        for root in roots.get((doc, alias), []) if alias is not None else []:
+            at = (doc, *root)
+            if at not in below:
+                below[at] = [(k[len(root) :], v) for _, d, k, v, _, _ in lines if d == doc and len(k) > len(root) and k[: len(root)] == root]
+            under = keys[:-1] if keys and keys[-1] == "<<" else keys
+            for rest, value in below[at]:
+                yield doc, use, under + rest, value
 
 
 def openapi_endpoints(files: DataFrame) -> DataFrame:

@@ -383,7 +383,7 @@ def openapi_endpoints(spark, sf):
 @query("""SELECT concat('p', p_partkey) AS repo, unnest(['build', 'ship']) AS job, unnest([false, p_size % 2 = 0]) AS deploys, unnest([p_size % 3 = 0, false]) AS type_checks FROM part""")
 def ci_jobs(spark, sf):
     text = "concat('on: push\njobs:\n  build:\n    steps:\n      - run: ', CASE WHEN p_size % 3 = 0 THEN 'npx tsc --noEmit' ELSE 'make' END, '\n  ship:\n    steps:\n      - run: ', CASE WHEN p_size % 2 = 0 THEN 'make deploy' ELSE 'make' END, '\n')"
-    made = table(spark, sf, "part").select(F.expr(_OWN).alias("repo"), F.lit(".github/workflows/ci.yml").alias("path"), F.expr(text).alias("content"))
+    made = _parts(spark, sf).select(F.expr(_OWN).alias("repo"), F.lit(".github/workflows/ci.yml").alias("path"), F.expr(text).alias("content"))
     return co.ci_jobs(made).select("repo", "job", "deploys", "type_checks")
 
 
@@ -392,7 +392,7 @@ unnest([false, false, p_size % 2 = 0]) AS deploys, unnest([false, p_size % 3 = 0
 def ci_steps(spark, sf):
     text = """concat('jobs:\n    build:\n        steps:\n        - uses: actions/checkout@v4\n', CASE WHEN p_size % 4 = 0 THEN '          name: "get"\n' ELSE '' END, '        - run: |\n            make\n            ', CASE WHEN p_size % 3 = 0 THEN 'npx tsc --noEmit' ELSE 'make all' END,
 '\n    "ship":\n        needs: [build]\n        steps:\n            -\n                name: go\n                run: ', CASE WHEN p_size % 2 = 0 THEN 'make deploy' ELSE 'make' END, CASE WHEN p_size % 5 = 0 THEN ' && mypy .' ELSE '' END, '\n')"""
-    made = table(spark, sf, "part").select(F.expr(_OWN).alias("repo"), F.lit(".github/workflows/ci.yaml").alias("path"), F.expr(text).alias("content"))
+    made = _parts(spark, sf).select(F.expr(_OWN).alias("repo"), F.lit(".github/workflows/ci.yaml").alias("path"), F.expr(text).alias("content"))
     return co.ci_steps(made).select("repo", "job", "step", "name", "uses", "deploys", "type_checks")
 
 
