@@ -339,7 +339,7 @@ def ci_jobs(files: DataFrame) -> DataFrame:
 
 def ci_steps(files: DataFrame) -> DataFrame:
     """(repo, path, job, step, name, uses, deploys, type_checks): the steps of each job, numbered from 0, with all lines of their scripts."""
-    lines = _workflow_lines(files).where((F.size("keys") >= 4) & (F.col("keys")[2] == "steps"))
+    lines = _workflow_lines(files).where((F.size("keys") >= 4) & (F.col("keys")[2] == "steps") & F.col("keys")[3].rlike(r"^\d{1,9}$"))
     said = lambda key: F.max(F.when(F.element_at("keys", -1) == key, F.col("value")))
     return lines.groupBy("repo", "path", "job", F.col("keys")[3].cast("int").alias("step")).agg(said("name").alias("name"), said("uses").alias("uses"), F.bool_or("deploys").alias("deploys"), F.bool_or("type_checks").alias("type_checks"))
 

@@ -28,3 +28,11 @@ def test_aliases_of_repeated_and_nameless_files(spark):
     assert not [x for x in lines if x[2].startswith("jobs/d/")]  # an anchor is known in its own document only
     assert co.yaml_paths(files).where("repo = 'r'").count() == 2 * len(lines)  # a repeated file counts as often as it stands there
     assert {(r.repo, r.job): r.deploys for r in co.ci_jobs(files).collect()} == {(repo, job): job != "d" for repo in ("r", None) for job in "abcd"}
+
+
+def test_steps_that_are_no_list(spark):
+    text = "jobs:\n  a:\n    steps:\n      one: x\n      2a: deploy\n  b:\n    steps:\n    - run: make\n    - name: n\n"
+    got = {(r.job, r.step): r.name for r in co.ci_steps(spark.createDataFrame([("r", ".github/workflows/a.yml", text)], FILE)).collect()}
+    assert got == {("b", 0): None, ("b", 1): "n"}
+    made = plan(cq.ci_steps(spark, SF))
+    assert "Join" not in made and made.count("MapInArrow") == 1
