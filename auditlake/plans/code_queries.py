@@ -60,7 +60,7 @@ def _facts(spark, sf, repo: str = "p_brand") -> DataFrame:
 def _project(spark, sf, **files: str) -> DataFrame:
     """One repo for each part, with the given files; content is an expression."""
     made = F.array(*[F.struct(F.lit(p.replace("__", "/").replace("_DOT_", ".").replace("_DASH_", "-")).alias("path"), F.expr(e).alias("content")) for p, e in files.items()])
-    return table(spark, sf, "part").select(F.expr(_OWN).alias("repo"), F.explode(made).alias("f")).select("repo", "f.*")
+    return _parts(spark, sf).select(F.expr(_OWN).alias("repo"), F.explode(made).alias("f")).select("repo", "f.*")
 
 
 def _manifests(spark, sf) -> DataFrame:

@@ -36,3 +36,10 @@ def test_steps_that_are_no_list(spark):
     assert got == {("b", 0): None, ("b", 1): "n"}
     made = plan(cq.ci_steps(spark, SF))
     assert "Join" not in made and made.count("MapInArrow") == 1
+
+
+def test_descriptions_are_read_once_and_spread(spark):
+    found = cq.openapi_endpoints(spark, SF)
+    made = plan(found)
+    assert "Join" not in made and made.count("MapInArrow") == 1
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()  # the table's few files come in few partitions
