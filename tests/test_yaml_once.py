@@ -43,3 +43,8 @@ def test_descriptions_are_read_once_and_spread(spark):
     made = plan(found)
     assert "Join" not in made and made.count("MapInArrow") == 1
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()  # the table's few files come in few partitions
+
+
+def test_kubernetes_rules_join_nothing(spark):
+    facts = co.k8s_facts(cq._k8s_files(spark, SF))
+    assert "Join" not in plan(facts) and plan(facts).count("MapInArrow") == 1
