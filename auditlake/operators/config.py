@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
+from auditlake.sources.store import sorted_side
 
 # Verbs of an API description, endpoint patterns by extension.
 VERBS = "get|put|post|delete|options|head|patch|trace"
@@ -129,7 +130,9 @@ def k8s_report(files: DataFrame, facts: DataFrame) -> DataFrame:
     kinds = by_kind.groupBy("repo").agg(F.sum("n").alias("documents"), F.array_sort(F.collect_list(F.concat_ws(":", "kind", "n"))).alias("kinds"))
     manifests = docs.select("repo", "path").distinct().groupBy("repo").agg(F.count(F.lit(1)).alias("manifests"))
     scored = k8s_findings(facts).groupBy("repo").agg(F.count(F.lit(1)).alias("findings"), F.sum(S.penalty_hundredths(F.col("severity"))).alias("p"))
-    both = files.select("repo").distinct().join(manifests, "repo", "left").join(kinds, "repo", "left").join(scored, "repo", "left")
+    both = files.select("repo").distinct()
+    for side in (manifests, kinds, scored):
+        both = both.join(sorted_side(side), "repo", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     applies = F.col("manifests").isNotNull()
     score = F.when(applies, S.curve(zero("p"), 6)).otherwise(0)

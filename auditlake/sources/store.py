@@ -23,3 +23,12 @@ def stored(df: DataFrame) -> DataFrame:
     at = scratch(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts and merges both sides, whatever Spark takes their sizes for.
+
+    Spark sizes a table by its files and columns: what is parsed, unfolded or read from files that compress well is taken
+    for far smaller than it is, and a side that is taken for small is collected by the driver to be broadcast.
+    """
+    return df.hint("merge")

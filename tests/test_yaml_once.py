@@ -48,3 +48,8 @@ def test_descriptions_are_read_once_and_spread(spark):
 def test_kubernetes_rules_join_nothing(spark):
     facts = co.k8s_facts(cq._k8s_files(spark, SF))
     assert "Join" not in plan(facts) and plan(facts).count("MapInArrow") == 1
+
+
+def test_sides_of_the_kubernetes_report_are_not_broadcast(spark):
+    files = cq._k8s_files(spark, SF)
+    assert "Broadcast" not in plan(co.k8s_report(files, co.k8s_facts(files)))
