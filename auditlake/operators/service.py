@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
+from auditlake.sources.store import sorted_side, stored
 
 # Tests, repositories and iterations that a plan includes a month; None is without limit. Old names of plans.
 PLANS = {"free": (5, 1, 0), "pro": (100, 10, 20), "team": (500, 50, 200), "enterprise": (None, None, None)}
@@ -128,28 +129,55 @@ def plan_from_billing(events: DataFrame) -> DataFrame:
     return once.groupBy("customer").agg(F.max_by(plan, F.struct("ts", "id")).alias("plan"), F.count(F.lit(1)).alias("n_events"))
 
 
+def _before(points: DataFrame, events: DataFrame) -> DataFrame:
+    """points (customer, open, when, ...) with n, how many events (customer, when, plan) of the customer come before, and latest, the last of them (when, plan).
+
+    An open point comes after all events. Points and events are dealt into ranges of customer and time; each range counts
+    by itself and adds what its customer's ranges before it hold, so that a customer of many events is no single task's.
+    """
+    own = [c for c in points.columns if c not in ("customer", "open", "when")]
+    event = events.select("customer", F.lit(False).alias("open"), "when", F.lit(1).cast("long").alias("is_event"), "plan")
+    every = event.unionByName(points.withColumn("is_event", F.lit(0).cast("long")), allowMissingColumns=True)
+    ranges = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(every.repartitionByRange(ranges, "customer", "open", "when", "is_event", "user_id").withColumn("range", F.spark_partition_id()))
+    seen = F.when(F.col("is_event") == 1, F.struct("when", "plan"))
+    sums = dealt.groupBy("customer", "range").agg(F.sum("is_event").alias("n"), F.max(seen).alias("last"))
+    earlier = Window.partitionBy("customer").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("customer", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_then"), F.last("last", ignorenulls=True).over(earlier).alias("last_then"))
+    so_far = Window.partitionBy("customer", "range").orderBy("open", "when", "is_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.withColumn("n_here", F.sum("is_event").over(so_far)).withColumn("last_here", F.last(seen, ignorenulls=True).over(so_far)).where("is_event = 0")
+    both = local.join(sorted_side(sums), ["customer", "range"])
+    return both.select("customer", "open", "when", *own, (F.col("n_here") + F.col("n_then")).alias("n"), F.coalesce("last_here", "last_then").alias("latest"))
+
+
 def plan_of_users(events: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, plan, customer, n_events) after replaying billing events (id, ts, kind, user_id, customer, plan) in order.
 
     created and updated with a user set that user's plan (pro by default) and customer (the old one if null); without a
     user they set the plan of whoever had that customer then, and deleted frees those. Who had a customer when: the
-    spans between a user's links, from the users table's own customer on. Events are joined to spans by customer, and a
-    span holds those between its ends. Repeated ids count once; other kinds don't. users: (id, plan, customer), the plan
-    and customer they start with; events of unknown users are ignored.
+    spans between a user's links, from the users table's own customer on. A span holds its customer's events between its
+    ends: as many as stand before its end less those before its start, and the last before its end is the one that counts
+    (see _before()), so that no event meets each span. Repeated ids count once; other kinds don't. users: (id, plan,
+    customer), the plan and customer they start with; events of unknown users are ignored.
     """
     once = events.where(F.col("kind").isin("created", "updated", "deleted")).groupBy("id").agg(F.min(F.struct("ts", "kind", "user_id", "customer", "plan")).alias("e")).select("id", "e.*")
     order, plan = F.struct("ts", "id"), F.when(F.col("kind") == "deleted", "free").otherwise(F.coalesce("plan", F.lit("pro")))
-    once = once.withColumn("at", order).withColumn("plan", plan)
+    once = stored(once.withColumn("at", order).withColumn("plan", plan).drop("ts", "id"))
     direct = once.where("user_id is not null and kind <> 'deleted'")
     never = F.lit(None).cast(once.schema["at"].dataType)
     links = users.where("customer is not null").select(F.col("id").alias("user_id"), "customer", never.alias("at")).unionByName(direct.where("customer is not null").select("user_id", "customer", "at"))
-    spans = links.withColumn("until", F.lead("at").over(Window.partitionBy("user_id").orderBy(F.asc_nulls_first("at"))))
+    spans = stored(links.withColumn("until", F.lead("at").over(Window.partitionBy("user_id").orderBy(F.asc_nulls_first("at")))))
     others = once.where("customer is not null and (user_id is null or kind = 'deleted')").select("customer", F.col("at").alias("when"), F.col("plan"))
-    held = spans.join(others, "customer").where("(at is null or when >= at) and (until is null or when < until)").select("user_id", F.col("when").alias("at"), "plan")
-    applied = direct.select("user_id", "at", "plan").unionByName(held).groupBy("user_id").agg(F.max_by("plan", "at").alias("now"), F.count(F.lit(1)).alias("n_events"))
+    starts = spans.where("at is not null").select("customer", F.lit(False).alias("open"), F.col("at").alias("when"), "user_id", F.lit(-1).alias("sign"), never.alias("since"))
+    ends = spans.select("customer", F.col("until").isNull().alias("open"), F.col("until").alias("when"), "user_id", F.lit(1).alias("sign"), F.col("at").alias("since"))
+    met = _before(starts.unionByName(ends), others)
+    counts = (F.col("sign") == 1) & (F.col("since").isNull() | (F.col("latest.when") >= F.col("since")))
+    held = met.select("user_id", F.when(counts, F.col("latest.when")).alias("at"), F.col("latest.plan").alias("plan"), (F.col("sign") * F.col("n")).alias("n"))
+    each = direct.select("user_id", "at", "plan", F.lit(1).cast("long").alias("n")).unionByName(held)
+    applied = each.groupBy("user_id").agg(F.max_by("plan", "at").alias("now"), F.sum("n").alias("n_events"))
     last = spans.where("until is null").select("user_id", F.col("customer").alias("linked"))
     known = users.select(F.col("id").alias("user_id"), F.coalesce("plan", F.lit("free")).alias("had"))
-    out = known.join(applied, "user_id", "left").join(last, "user_id", "left")
+    out = known.join(sorted_side(applied), "user_id", "left").join(sorted_side(last), "user_id", "left")
     return out.select("user_id", F.coalesce("now", "had").alias("plan"), F.col("linked").alias("customer"), F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"))
 
 
