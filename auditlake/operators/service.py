@@ -103,11 +103,18 @@ def run_duration(runs: DataFrame) -> DataFrame:
 
 
 def usage_by_day(runs: DataFrame) -> DataFrame:
-    """Runs and findings of every user for each UTC day from the user's first run to the last; days without a run count 0."""
+    """Runs and findings of every user for each UTC day from the user's first run to the last; days without a run count 0.
+
+    Each day with a run gives itself and the days up to the next one, so that only days with a run are shuffled. Runs
+    without a user count for nobody, their days are listed with 0.
+    """
     counts = runs.groupBy("user_id", F.to_date("started_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_findings").alias("found"))
-    spans = counts.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    days = spans.select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
-    return days.join(counts, ["user_id", "day"], "left").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+    following = F.lead("day").over(Window.partitionBy("user_id").orderBy("day"))
+    gaps = counts.where("day is not null").withColumn("until", F.coalesce(F.date_sub(following, 1), "day"))
+    days = gaps.select("user_id", F.explode(F.sequence("day", "until")).alias("on"), "day", "n", "found")
+    own = (F.col("on") == F.col("day")) & F.col("user_id").isNotNull()
+    of_day = lambda c: F.when(own, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    return days.select("user_id", F.date_format("on", "yyyy-MM-dd").alias("day"), of_day("n"), of_day("found"))
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
