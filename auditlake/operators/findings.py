@@ -224,11 +224,17 @@ def file_risk(findings: DataFrame, n_plus_one: DataFrame, dead: DataFrame, sizes
 
 
 def risk_hotspots(risk: DataFrame, n: int = 5) -> DataFrame:
-    """The n riskiest files of each repo with a severity, and the repo's predicted failures and its level, that of its riskiest file."""
+    """The n riskiest files of each repo with a severity, and the repo's predicted failures and its level, that of its riskiest file.
+
+    predicted is a fifth of the repo's risks, rounded down. They are added as doubles from the riskiest on, which the SQL's
+    window does too: another order can end just above or below a multiple of 5.
+    """
     w = Window.partitionBy("repo").orderBy(F.col("risk").desc(), "path")
-    top = risk.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    so_far = F.sum("risk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    added = risk.withColumn("rank", F.row_number().over(w)).withColumn("so_far", so_far)
+    whole = F.max(F.struct("rank", "so_far")).over(Window.partitionBy("repo"))["so_far"]
+    top = added.withColumn("predicted", F.floor(whole / 5)).where(F.col("rank") <= n)
     level = F.when(F.col("risk") >= 30, "high").when(F.col("risk") >= 12, "medium").otherwise("low")
-    sums = risk.groupBy("repo").agg(F.floor(F.sum("risk") / 5).alias("predicted"))
     worst = F.max(level.isin("high").cast("int") * 2 + level.isin("medium").cast("int")).over(Window.partitionBy("repo"))
     repo_level = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.least(worst, F.lit(2)) + 1)
-    return top.join(sums, "repo").select("repo", "path", "risk", "rank", level.alias("severity"), "predicted", repo_level.alias("level"))
+    return top.select("repo", "path", "risk", "rank", level.alias("severity"), "predicted", repo_level.alias("level"))
