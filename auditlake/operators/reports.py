@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import scores as S
 from auditlake.operators import joins as jo
 from auditlake.operators.detectors import TEST_OR_EXAMPLE
+from auditlake.sources.store import sorted_side
 
 # Packages, names and file names by what their presence shows.
 VALIDATION = ["zod", "joi", "yup", "validator"]
@@ -55,7 +56,7 @@ def together(repos: DataFrame, *signals: DataFrame) -> DataFrame:
     """The signals of each repo of repos, false or 0 where a repo has none. Each side has one row a repo."""
     out = repos.select("repo").distinct()
     for s in signals:
-        out = out.join(s, "repo", "left")
+        out = out.join(sorted_side(s), "repo", "left")
         for name, kind in s.dtypes:
             if name != "repo":
                 out = out.withColumn(name, F.coalesce(F.col(name), F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)))

@@ -1,7 +1,10 @@
 """YAML is read once, and its aliases are resolved where it is read: no join, nothing that the driver could collect."""
 
+import pytest
+
 from auditlake.operators import config as co
 from auditlake.plans import code_queries as cq
+from auditlake.plans import report_queries as rq
 
 SF = "/root/testdata/sf0.001"
 FILE = "repo string, path string, content string"
@@ -53,3 +56,8 @@ def test_kubernetes_rules_join_nothing(spark):
 def test_sides_of_the_kubernetes_report_are_not_broadcast(spark):
     files = cq._k8s_files(spark, SF)
     assert "Broadcast" not in plan(co.k8s_report(files, co.k8s_facts(files)))
+
+
+@pytest.mark.parametrize("query", [rq.dora_report])
+def test_sides_of_project_reports_are_not_broadcast(spark, query):
+    assert "Broadcast" not in plan(query(spark, SF))
