@@ -58,6 +58,6 @@ def test_sides_of_the_kubernetes_report_are_not_broadcast(spark):
     assert "Broadcast" not in plan(co.k8s_report(files, co.k8s_facts(files)))
 
 
-@pytest.mark.parametrize("query", [rq.dora_report])
+@pytest.mark.parametrize("query", [rq.dora_report, cq.contract_findings])
 def test_sides_of_project_reports_are_not_broadcast(spark, query):
     assert "Broadcast" not in plan(query(spark, SF))
