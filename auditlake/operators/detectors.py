@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scores as S
 from auditlake.operators.text import TEST_PATH
-from auditlake.sources.store import stored
+from auditlake.sources.store import sorted_side, stored
 
 # Which callees query a database, which packages are known to be vulnerable and below which major version.
 QUERY_METHODS = {"query", "exec", "execute", "raw", "findone", "findmany", "findunique", "findfirst", "aggregate", "queryraw", "executeraw"}
@@ -232,17 +232,20 @@ def contained_in(parts: DataFrame, wholes: DataFrame, by: str = "repo", gram: in
     common = index.groupBy(by, "g").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("text") >= gram, F.array_distinct(grams(gram))).otherwise(F.array("text"))
     asked = parts.where("text <> ''").select(by, F.col("text").alias("part"), F.explode(own).alias("g"))
-    rarest = asked.join(common, [by, "g"], "left").groupBy(by, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0")
-    return rarest.select(by, "part", F.col("r.g").alias("g")).join(index, [by, "g"]).where(F.contains("whole", F.col("part"))).select(by, "part", "whole")
+    rarest = asked.join(sorted_side(common), [by, "g"], "left").groupBy(by, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0")
+    return rarest.select(by, "part", F.col("r.g").alias("g")).join(sorted_side(index), [by, "g"]).where(F.contains("whole", F.col("part"))).select(by, "part", "whole")
 
 
 def tested_functions(functions: DataFrame, titles: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """(repo, name, tested): the name, whatever its case, is a test word, holds one or stands in one; see test_words()."""
-    words = test_words(titles, imports).select("repo", F.col("w").alias("text"))
-    names = functions.where("name <> ''").select("repo", "name").distinct().withColumn("text", F.lower("name"))
+    """(repo, name, tested): the name, whatever its case, is a test word, holds one or stands in one; see test_words().
+
+    Names and words are looked up in both directions; they are written once, so that no file is parsed again for that.
+    """
+    words = stored(test_words(titles, imports).select("repo", F.col("w").alias("text")))
+    names = stored(functions.where("name <> ''").select("repo", "name").distinct().withColumn("text", F.lower("name")))
     own = names.select("repo", "text").distinct()
     hit = contained_in(own, words).select("repo", F.col("part").alias("text")).union(contained_in(words, own).select("repo", F.col("whole").alias("text"))).distinct()
-    return names.join(hit.withColumn("hit", F.lit(True)), ["repo", "text"], "left").select("repo", "name", F.coalesce("hit", F.lit(False)).alias("tested"))
+    return names.join(sorted_side(hit.withColumn("hit", F.lit(True))), ["repo", "text"], "left").select("repo", "name", F.coalesce("hit", F.lit(False)).alias("tested"))
 
 
 # Packages that only run tests.

@@ -57,6 +57,11 @@ def _facts(spark, sf, repo: str = "p_brand") -> DataFrame:
     return fa.code_facts(_code(spark, sf, _CODE, "js", repo))
 
 
+def _functions_and_tests(spark, sf) -> DataFrame:
+    """The facts of both kinds, written once, as they are asked for separately."""
+    return stored(_facts(spark, sf).where("kind IN ('function', 'test')"))
+
+
 def _project(spark, sf, **files: str) -> DataFrame:
     """One repo for each part, with the given files; content is an expression."""
     made = F.array(*[F.struct(F.lit(p.replace("__", "/").replace("_DOT_", ".").replace("_DASH_", "-")).alias("path"), F.expr(e).alias("content")) for p, e in files.items()])
@@ -226,7 +231,7 @@ t AS (SELECT repo, name, EXISTS (FROM w WHERE w.repo = n.repo AND (contains(word
 
 @query(f"WITH {_TESTED} SELECT * FROM t")
 def tested_functions(spark, sf):
-    facts = _facts(spark, sf)
+    facts = _functions_and_tests(spark, sf)
     return de.tested_functions(fa.js_functions(facts), fa.tests(facts))
 
 
