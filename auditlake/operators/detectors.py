@@ -278,7 +278,7 @@ def coverage_estimate(tested: DataFrame, counts: DataFrame, measured: DataFrame)
     counts: (repo, source_files, test_files); measured: (repo, pct).
     """
     share = tested.groupBy("repo").agg(S.round_half_up(F.lit(100.0) * F.count_if("tested") / F.count(F.lit(1))).alias("share"))
-    both = counts.join(share, "repo", "left").join(measured.select("repo", F.col("pct").alias("real")), "repo", "left")
+    both = counts.join(sorted_side(share), "repo", "left").join(sorted_side(measured.select("repo", F.col("pct").alias("real"))), "repo", "left")
     ratio = F.when(F.col("source_files") > 0, F.least(F.lit(95), S.round_half_up(F.lit(100.0) * F.col("test_files") / F.col("source_files")))).otherwise(0)
     found = F.coalesce("share", F.lit(0))
     failed = (found < 10) & (F.col("test_files") >= 10) & (10 * F.col("test_files") >= F.greatest(F.lit(1), F.col("source_files")))

@@ -63,7 +63,7 @@ def test_sides_of_project_reports_are_not_broadcast(spark, query):
     assert "Broadcast" not in plan(query(spark, SF))
 
 
-@pytest.mark.parametrize("query", [cq.tested_functions])
+@pytest.mark.parametrize("query", [cq.tested_functions, cq.coverage_estimate])
 def test_grams_of_names_are_not_broadcast(spark, query):
     made = plan(query(spark, SF))
     assert "Broadcast" not in made and "MapInArrow" not in made  # files are parsed before, once
